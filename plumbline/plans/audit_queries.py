@@ -1,0 +1,4 @@
+"""Queries over the audit operators, with the same result in SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
