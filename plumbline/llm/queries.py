@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.llm import hilbert_shards, line_dedup
+from plumbline.llm import decontaminate, hilbert_shards, line_dedup, substring_dedup
 
-MODULES = [hilbert_shards, line_dedup]
+MODULES = [hilbert_shards, line_dedup, decontaminate, substring_dedup]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
