@@ -44,6 +44,7 @@ SHORT = 64
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 _SLOT_BITS = 20
+_SPREAD = 0xD1342543DE82EF95
 
 ENCODED = "doc_id long, text_crc32 long, n_pieces long, score long, ids binary"
 
@@ -95,7 +96,7 @@ class Pieces:
         for piece, i in self.id.items():
             if len(piece) <= SHORT:
                 key = sum((b + 1) * self.power[k] for k, b in enumerate(piece)) & (2**64 - 1)
-                slot = key >> (64 - _SLOT_BITS)
+                slot = ((key * _SPREAD) & (2**64 - 1)) >> (64 - _SLOT_BITS)
                 while self.slots[slot] >= 0:
                     slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
                 self.keys[slot], self.slots[slot] = key, i
@@ -105,7 +106,7 @@ class Pieces:
         self.at = np.cumsum(self.width) - self.width
 
     def _lookup(self, keys: np.ndarray) -> np.ndarray:
-        slot = (keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        slot = ((keys * np.uint64(_SPREAD)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         ids = np.where(self.keys[slot] == keys, self.slots[slot], -1)
         on = np.flatnonzero((ids < 0) & (self.slots[slot] >= 0))
         while len(on):
