@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, hilbert_shards, line_dedup, piece_scan, substring_dedup, token_files
+from plumbline.llm import (
+    decontaminate,
+    hilbert_shards,
+    language_id,
+    line_dedup,
+    piece_scan,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 
-MODULES = [hilbert_shards, line_dedup, decontaminate, substring_dedup, token_files, piece_scan]
+MODULES = [hilbert_shards, line_dedup, decontaminate, substring_dedup, toxicity, language_id, token_files, piece_scan]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
