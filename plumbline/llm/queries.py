@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm import (
+    cover_tree_topk,
     decontaminate,
     hilbert_shards,
     jaccard_join,
@@ -14,6 +15,6 @@ from plumbline.llm import (
     toxicity,
 )
 
-MODULES = [hilbert_shards, line_dedup, jaccard_join, decontaminate, substring_dedup, toxicity, language_id, token_files, piece_scan]
+MODULES = [hilbert_shards, line_dedup, jaccard_join, decontaminate, substring_dedup, toxicity, cover_tree_topk, language_id, token_files, piece_scan]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
