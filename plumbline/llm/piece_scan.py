@@ -28,6 +28,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +39,9 @@ from plumbline.llm.segments import SegmentStore, gather
 from plumbline.llm.word_arrays import slices, text_bytes
 from plumbline.session import written
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 65_536
+SLICE_BYTES = 1_000_000
+STORED = 1_000_000  # distinct segments a worker keeps
 LOOK_CHARS = 64  # no piece is longer
 NEVER = -(1 << 62)
 SHORT = 64
@@ -100,7 +104,7 @@ class Pieces:
                 while self.slots[slot] >= 0:
                     slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
                 self.keys[slot], self.slots[slot] = key, i
-        self.store = SegmentStore(self.encode_segments)
+        self.store = SegmentStore(self.encode_segments, STORED)
         self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.width = np.array([len(b) for b in self.bytes], np.int64)
         self.at = np.cumsum(self.width) - self.width
@@ -261,11 +265,13 @@ class Pieces:
             at = np.concatenate([[0], at])
         return (int(at[0]), int(at[-1])) if len(at) else (-1, -1)
 
-    def _middle(self, chunk: bytes, first: int, last: int) -> np.ndarray:
-        data = np.frombuffer(chunk[first:last], np.uint8)
-        return self.encode_bytes(data, np.array([0, len(data)]))[0]
+    def middles(self, chunks: list[bytes], before: list[bytes]) -> list[np.ndarray]:
+        """The ids between the first and the last place of each chunk that no piece crosses, all at once."""
+        own = [c[a:b] if a >= 0 else b"" for c, (a, b) in ((c, self._parts(c, p)) for c, p in zip(chunks, before))]
+        flat, counts = self.encode_bytes(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+        return np.split(flat, np.cumsum(counts)[:-1])
 
-    def transfer(self, chunk: bytes, look: bytes, before: bytes) -> np.ndarray:
+    def transfer(self, chunk: bytes, look: bytes, before: bytes, inner: np.ndarray | None = None) -> np.ndarray:
         """The transfer matrix of a chunk; ``look`` is what follows, ``before`` the byte that precedes."""
         n = self.longest + 4
         out = np.full((n, n), NEVER, np.int64)
@@ -278,7 +284,7 @@ class Pieces:
             for i in range(len(chunk), n):
                 out[i, i - len(chunk)] = 0
             return out
-        middle = int(self.score[self._middle(chunk, first, last)].sum())
+        middle = int(self.score[self.middles([chunk], [before])[0] if inner is None else inner].sum())
         right = self.lattice(chunk[last:] + look, {0: 0}, len(chunk) - last)[0][len(chunk) - last :]
         for i in range(min(n, first + 1)):
             if i == first or chunk[i] & 0xC0 != 0x80:
@@ -289,7 +295,7 @@ class Pieces:
                             out[i, j] = left + middle + right[j]
         return out
 
-    def backtrace(self, chunk: bytes, look: bytes, before: bytes, entry: dict[int, int]) -> dict[int, tuple[list[int], int]]:
+    def backtrace(self, chunk: bytes, look: bytes, before: bytes, entry: dict[int, int], inner: np.ndarray | None = None) -> dict[int, tuple[list[int], int]]:
         """For each state in which the chunk can be left: its ids, and the state in which it is entered."""
         first, last = self._parts(chunk, before)
         if first < 0:
@@ -300,7 +306,7 @@ class Pieces:
                     out.setdefault(i - len(chunk), ([], i))
             return out
         left = self.path(chunk[:first], {i: v for i, v in entry.items() if i <= first}, first)[0] if first else ([], 0)
-        middle = self._middle(chunk, first, last).tolist()
+        middle = (self.middles([chunk], [before])[0] if inner is None else inner).tolist()
         return {j: (left[0] + middle + ids, left[1]) for j, (ids, _) in self.path(chunk[last:] + look, {0: 0}, len(chunk) - last).items()}
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -349,7 +355,7 @@ def _encode_small(docs: DataFrame, model: str) -> DataFrame:
         v = vocabulary(model)
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 data, at = text_bytes(texts.slice(a, b - a))
                 flat, counts = v.encode_bytes(data, at)
                 yield _batch(batch.column("doc_id").slice(a, b - a), batch.column("text_crc32").slice(a, b - a), flat, counts, v.score)
@@ -357,8 +363,10 @@ def _encode_small(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def _bytes(x) -> bytes:
-    return (x or "").encode()
+def _few(rows: list[dict], most: int = 32) -> Iterator[list[dict]]:
+    """Some chunks at a time, their texts as bytes."""
+    for a in range(0, len(rows), most):
+        yield [r | {c: (r[c] or "").encode() for c in ("chunk", "look", "before")} for r in rows[a : a + most]]
 
 
 def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
@@ -380,7 +388,10 @@ def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     def matrices(batches):
         v = vocabulary(model)
         for batch in batches:
-            made = [v.transfer(_bytes(r["chunk"]), _bytes(r["look"]), _bytes(r["before"])) for r in batch.select(["chunk", "look", "before"]).to_pylist()]
+            made = []
+            for rows in _few(batch.select(["chunk", "look", "before"]).to_pylist()):
+                inner = v.middles([r["chunk"] for r in rows], [r["before"] for r in rows])
+                made += [v.transfer(r["chunk"], r["look"], r["before"], ids) for r, ids in zip(rows, inner)]
             finite = [np.flatnonzero(m.ravel() > NEVER) for m in made]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("seq"), pa.array([f.astype(np.int32).tobytes() for f in finite], pa.binary()), pa.array([m.ravel()[f].tobytes() for m, f in zip(made, finite)], pa.binary())],
@@ -405,18 +416,20 @@ def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
 
     def backtraces(batches):
         v = vocabulary(model)
+        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "text_crc32": pa.int64(), "seq": pa.int32(), "leave": pa.int32(), "enter": pa.int32(), "ids": pa.binary()}
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "doc_id", "text_crc32", "seq", "leave", "enter", "ids")}
-            for r in batch.to_pylist():
-                entry = {i: int(s) for i, s in enumerate(np.frombuffer(r["entry"], np.int64)) if s > NEVER}
-                for leave, (ids, enter) in v.backtrace(_bytes(r["chunk"]), _bytes(r["look"]), _bytes(r["before"]), entry).items():
-                    for c in ("row", "doc_id", "text_crc32", "seq"):
-                        out[c].append(r[c])
-                    out["leave"].append(leave)
-                    out["enter"].append(enter)
-                    out["ids"].append(np.array(ids, "<u4").tobytes())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in zip(out, kinds)], names=list(out))
+            for rows in _few(batch.to_pylist()):
+                out: dict[str, list] = {c: [] for c in kinds}
+                inner = v.middles([r["chunk"] for r in rows], [r["before"] for r in rows])
+                for r, middle in zip(rows, inner):
+                    entry = {i: int(s) for i, s in enumerate(np.frombuffer(r["entry"], np.int64)) if s > NEVER}
+                    for leave, (ids, enter) in v.backtrace(r["chunk"], r["look"], r["before"], entry, middle).items():
+                        for c in ("row", "doc_id", "text_crc32", "seq"):
+                            out[c].append(r[c])
+                        out["leave"].append(leave)
+                        out["enter"].append(enter)
+                        out["ids"].append(np.array(ids, "<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in kinds.items()], names=list(kinds))
 
     def resolve(key, table):
         """From the last chunk back: each is left in the state in which the next one is entered."""
@@ -454,8 +467,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             sizes = batch.column("n_pieces").to_numpy()
             ends, start = np.cumsum(sizes), 0
-            while start < len(sizes):  # about a million ids at a time
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 1_000_000, "right")))
+            while start < len(sizes):  # some hundred thousand ids at a time
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 400_000, "right")))
                 part = batch.slice(start, stop - start)
                 flat = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, v.decode(flat, sizes[start:stop]).cast(pa.string())], names=[*part.schema.names, "decoded"])

@@ -2,7 +2,7 @@
 
 A segment is a span of the text that the tokenizer encodes on its own, whatever stands around it.
 The store keeps, per Python worker, the ids of the segments seen lately; it is emptied when it holds
-more than ``MOST`` segments, so its memory is bounded and results never depend on it.
+more than ``most`` segments, so its memory is bounded and results never depend on it.
 """
 
 from __future__ import annotations
@@ -42,11 +42,10 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class SegmentStore:
     """Segment hash -> ids. ``encode`` gets the bytes of new segments and returns ids and their counts."""
 
-    SLOTS = 1 << 22
-
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
-        self.clear()
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST):
+        self.encode, self.most = encode, most
+        self.slots = 1 << (2 * most - 1).bit_length()
+        self.table = None  # until the first segment
 
     def clear(self) -> None:
         self.size = 0
@@ -55,18 +54,18 @@ class SegmentStore:
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
         self.pool = np.zeros(1 << 18, np.int32)
-        self.table = np.full(self.SLOTS, -1, np.int32)  # open addressing: number of the segment
+        self.table = np.full(self.slots, -1, np.int32)  # open addressing: number of the segment
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's segment; -1 if it is new."""
         found = np.full(len(keys), -1, np.int64)
-        open_, slot = np.arange(len(keys)), (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        open_, slot = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(open_):
             at = self.table[slot].astype(np.int64)
             hit = (at >= 0) & (self.keys[at] == keys[open_])
             found[open_[hit]] = at[hit]
             on = (at >= 0) & ~hit
-            open_, slot = open_[on], (slot[on] + 1) & (self.SLOTS - 1)
+            open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
         return found
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -80,18 +79,18 @@ class SegmentStore:
         self.start[self.size : n] = self.used + np.cumsum(counts) - counts
         self.length[self.size : n] = counts
         number = np.arange(self.size, n, dtype=np.int32)
-        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(number):
             free = self.table[slot] < 0
             self.table[slot[free]] = number[free]
             on = self.table[slot] != number
-            number, slot = number[on], (slot[on] + 1) & (self.SLOTS - 1)
+            number, slot = number[on], (slot[on] + 1) & (self.slots - 1)
         self.size, self.used = n, m
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each span of ``data``: where its ids stand in the pool, and how many they are."""
         keys = span_hashes(data, start, end)
-        if self.size + len(keys) > MOST:
+        if self.table is None or self.size + len(keys) > self.most:
             self.clear()
         at = self._find(keys)
         missing = np.flatnonzero(at < 0)
