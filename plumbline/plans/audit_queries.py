@@ -1,4 +1,825 @@
-"""Queries over the audit operators, with the same result in SQL."""
+"""Queries over the audit operators on the driver's tables, with the same result in SQL.
+
+Rows of the audit: lineitem with orders and supplier; product = return flag, stream = line status,
+shift = order priority, group = the supplier's nation, time = ship date. Doubles are rounded on both
+sides, arrays are joined to text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import fixed_values as V
+from plumbline.operators import bootstrap, claims, decide, evidence, gates, headroom, models, profile, readiness, selection, stability, views
+from plumbline.operators.prepare import Policy, Roles, converted_quantity, group_token, prepare
+from plumbline.plans.audit import audit
+from plumbline.session import written
+from plumbline.sources import measurements
+
+ROLES = Roles("l_quantity", ("s_nationkey",), product="l_returnflag", stream="l_linestatus", shift="o_orderpriority", time="l_shipdate", tie_breaks=("l_orderkey", "l_linenumber"))
+PRICE_ROLES = Roles("unit_price", ("s_nationkey",), product="l_returnflag", stream="l_linestatus", shift="o_orderpriority", time="l_shipdate", tie_breaks=("l_orderkey", "l_linenumber"))
+POLICY = Policy(nominal=25.0, lower_limit=0.5, alpha=0.05, resolution=0.01, minimum_shift=0.05, maximum_shift=5.0, spread_tolerance=0.5, unit="L")
+EVENT_ROLES = Roles("value", ("user_group",), product="event_type", stream="user_stream", time="ts")
+EVENT_POLICY = Policy(nominal=10.0, lower_limit=0.0, alpha=0.05, maximum_shift=5.0)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def audit_source(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem joined with its order's priority and its supplier's nation."""
+    l, o, s = _t(spark, d, "lineitem"), _t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    joined = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.withColumn("unit_price", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6))
+
+
+def audit_rows(spark: SparkSession, d: str, roles: Roles = ROLES, scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    return prepare(audit_source(spark, d), roles, scope)
+
+
+def event_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").withColumns({"user_group": F.col("user_id") % 16, "user_stream": F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string"))})
+    return prepare(e, EVENT_ROLES)[0]
+
+
+SOURCE_SQL = """
+src AS (SELECT l.*, o_orderpriority, s_nationkey, round(l_extendedprice / l_quantity, 6) AS unit_price
+        FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT CAST(l_quantity AS DOUBLE) AS y, 'GRP-' || upper(substr(sha256('["' || CAST(s_nationkey AS VARCHAR) || '"]'), 1, 16)) AS g,
+             l_returnflag AS product, l_linestatus AS stream, o_orderpriority AS shift, epoch_us(l_shipdate) / 3.6e9 AS h_abs,
+             l_orderkey, l_linenumber, unit_price
+      FROM src)"""
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# --- profiling -------------------------------------------------------------------------------------
+
+_PROFILED = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_CELLS = "\nUNION ALL\n".join(f"SELECT {i} AS position, '{c}' AS name, trim(CAST({c} AS VARCHAR)) AS v FROM customer" for i, c in enumerate(_PROFILED))
+_NUM = f"regexp_full_match(v, '{V.NUMBER}')"
+
+
+@query(
+    "profile_columns",
+    f"""
+WITH cells AS ({_CELLS}),
+t AS (SELECT position, name, count(*) AS n, count(*) FILTER (WHERE v = '') AS missing, count(DISTINCT nullif(v, '')) AS u,
+             count(*) FILTER (WHERE regexp_full_match(v, '{V.INTEGER}')) AS ints, count(*) FILTER (WHERE {_NUM}) AS nums,
+             min(CASE WHEN {_NUM} THEN TRY_CAST(v AS DOUBLE) END) AS lo, quantile_cont(CASE WHEN {_NUM} THEN TRY_CAST(v AS DOUBLE) END, 0.5) AS mid, max(CASE WHEN {_NUM} THEN TRY_CAST(v AS DOUBLE) END) AS hi
+      FROM cells GROUP BY 1, 2)
+SELECT name, CASE WHEN ints = n THEN 'integer' WHEN nums = n THEN 'number' ELSE 'string' END AS dtype, round(missing / n, 6) AS missing_fraction, u AS unique_count,
+       CASE WHEN nums = n THEN round(lo, 6) END AS minimum, CASE WHEN nums = n THEN round(mid, 6) END AS median, CASE WHEN nums = n THEN round(hi, 6) END AS maximum
+FROM t""",
+)
+def profile_columns(spark, d):
+    return profile.profile(_t(spark, d, "customer")).select("name", "dtype", *r6("missing_fraction"), "unique_count", *r6("minimum", "median", "maximum"))
+
+
+@query(
+    "type_inference",
+    f"""
+WITH e AS (SELECT event_type AS sample_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", CAST(user_id AS VARCHAR) AS code, CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'FALSE' END AS enabled,
+                  CASE WHEN user_id % 7 = 0 THEN 'nan' ELSE CAST(user_id AS VARCHAR) END AS volume FROM events)
+SELECT 'sample_id' AS name, 'string' AS dtype, 'PROFILE_DUPLICATE_ROW_ID' AS failure_code FROM e HAVING count(*) > count(DISTINCT sample_id)
+UNION ALL SELECT 'timestamp', 'datetime', NULL FROM e HAVING bool_and(regexp_full_match("timestamp", '{V.DATETIME}'))
+UNION ALL SELECT 'code', 'integer', NULL FROM e HAVING bool_and(regexp_full_match(code, '{V.INTEGER}'))
+UNION ALL SELECT 'enabled', 'boolean', NULL FROM e HAVING bool_and(lower(enabled) IN ('true', 'false'))
+UNION ALL SELECT 'volume', 'string', 'PROFILE_NONFINITE_VALUE' FROM e HAVING bool_or(volume = 'nan')""",
+)
+def type_inference(spark, d):
+    e = _t(spark, d, "events")
+    shown = e.select(
+        F.col("event_type").alias("sample_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("user_id").cast("string").alias("code"),
+        F.when(F.col("user_id") % 2 == 0, "true").otherwise("FALSE").alias("enabled"), F.when(F.col("user_id") % 7 == 0, "nan").otherwise(F.col("user_id").cast("string")).alias("volume"),
+    )
+    return profile.profile(shown).select("name", "dtype", "failure_code")
+
+
+@query("duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return profile.repeated_keys(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "role_suggestions",
+    """
+WITH t AS (SELECT count(*) AS n FROM lineitem)
+SELECT * FROM (VALUES ('quantity', 'Quantity', 0.95, 'name'), ('product', 'sku', 0.85, 'name'), ('deployment_group', 'batch_id', 0.85, 'name'), ('time', 'row_sequence', 0.85, 'name'),
+                      ('stream', 'line', 0.99, 'hint+name'), ('shift', 'shift', 0.85, 'name')) v(role, name, confidence, reason), t WHERE n > 0""".replace("SELECT * FROM", "SELECT role, name, CAST(confidence AS DOUBLE) AS confidence, reason FROM"),
+)
+def role_suggestions(spark, d):
+    l = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("Quantity"), F.col("l_returnflag").alias("sku"), F.col("l_suppkey").alias("batch_id"), F.col("l_orderkey").alias("row_sequence"), F.col("l_linestatus").alias("line"), F.col("l_shipdate").cast("date").cast("string").alias("shift"))
+    return profile.suggest_roles(profile.profile(l), {"stream": "line"}).select("role", "name", "confidence", "reason")
+
+
+@query(
+    "identifier_columns",
+    """
+WITH d AS (SELECT count(DISTINCT r_name) AS n FROM region)
+SELECT 's_name' AS name, TRUE AS is_identifier, '' AS examples FROM supplier HAVING count(*) > 0
+UNION ALL SELECT 's_nationkey', FALSE, '' FROM supplier HAVING count(*) > 0
+UNION ALL SELECT 'n_regionkey', FALSE, '' FROM supplier HAVING count(*) > 0
+UNION ALL SELECT 'segment', FALSE, (SELECT string_agg(s, ',') FROM (SELECT DISTINCT CAST(n_regionkey AS VARCHAR) || 'x' AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY s LIMIT 3)) FROM supplier HAVING count(*) > 0""",
+)
+def identifier_columns(spark, d):
+    s = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    shown = s.select("s_name", "s_nationkey", "n_regionkey", F.concat(F.col("n_regionkey").cast("string"), F.lit("x")).alias("segment"))
+    p = profile.profile(shown)
+    return p.join(profile.safe_examples(shown, p), "name", "left").select("name", "is_identifier", F.coalesce(F.array_join("examples", ","), F.lit("")).alias("examples"))
+
+
+@query(
+    "readiness_issues",
+    """
+WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS scope, count(*) AS n, count(DISTINCT c_mktsegment) AS g FROM customer GROUP BY 1)
+SELECT scope, 'CONTRACT_INSUFFICIENT_GROUPS' AS code, CASE WHEN g < 4 THEN 'blocking' ELSE 'warning' END AS severity, 'grouping.deployment_group_columns' AS field FROM s WHERE g < 8
+UNION ALL SELECT scope, 'CONTRACT_GROUP_CONSTANT', 'blocking', 'grouping.deployment_group_columns' FROM s WHERE g <= 1
+UNION ALL SELECT scope, 'CONTRACT_EVIDENCE_PROFILE_INVALID', 'blocking', 'evidence_profile.min_rows' FROM s WHERE n < 80
+UNION ALL SELECT scope, 'CONTRACT_EVIDENCE_PROFILE_INVALID', 'warning', 'evidence_profile.min_expected_tail_count' FROM s WHERE n * 0.05 < 5
+UNION ALL SELECT '*', 'CONTRACT_QUANTITY_NOT_NUMERIC', 'blocking', 'quantity' FROM s HAVING count(*) > 0
+UNION ALL SELECT '*', 'CONTRACT_COLUMN_NOT_FOUND', 'blocking', 'shift' FROM s HAVING count(*) > 0
+UNION ALL SELECT '*', 'CONTRACT_SHIFT_RANGE_INVALID', 'blocking', 'policy.maximum_screening_shift' FROM s HAVING count(*) > 0""",
+)
+def readiness_issues(spark, d):
+    c = _t(spark, d, "customer")
+    roles = Roles("c_name", ("c_mktsegment",), shift="c_shift")
+    return readiness.readiness(c, profile.profile(c), roles, Policy(nominal=1.0, lower_limit=0.5, alpha=0.05, minimum_shift=0.5, maximum_shift=0.1), ("c_nationkey",))
+
+
+_UNIT_ROWS = ", ".join(f"('{n.lower()}', '{u}')" for u, names in V.UNITS.items() for n in dict.fromkeys(x.lower() for x in names))
+
+
+@query(
+    "unit_lookup",
+    f"""
+WITH u(name, unit) AS (VALUES {_UNIT_ROWS}), p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN ' Millilitres ' WHEN 1 THEN 'KG' WHEN 2 THEN 'gram' WHEN 3 THEN 'µL' ELSE 'ounce' END AS raw FROM part)
+SELECT p_partkey, raw, max(unit) AS unit FROM p LEFT JOIN u ON lower(trim(raw)) = name GROUP BY 1, 2""",
+)
+def unit_lookup(spark, d):
+    k = F.col("p_size") % 5
+    p = _t(spark, d, "part").select("p_partkey", F.when(k == 0, " Millilitres ").when(k == 1, "KG").when(k == 2, "gram").when(k == 3, "µL").otherwise("ounce").alias("raw"))
+    return profile.normalize_units(p, "raw")
+
+
+# --- preparation -----------------------------------------------------------------------------------
+
+
+@query(
+    "quantity_conversions",
+    """
+SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice - l_tax), 2) AS gross_minus_tare, round(sum(l_extendedprice / l_quantity), 2) AS row_density, round(sum(l_extendedprice / 1.25), 2) AS fixed_density
+FROM lineitem GROUP BY 1""",
+)
+def quantity_conversions(spark, d):
+    of = lambda **k: F.round(F.sum(converted_quantity(Roles("l_extendedprice", ("l_suppkey",), **k))), 2)
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"),
+        of(weight="l_extendedprice", tare="l_tax", conversion="gross_minus_tare").alias("gross_minus_tare"),
+        of(density="l_quantity", conversion="row_density").alias("row_density"),
+        of(fixed_density=1.25, conversion="fixed_density").alias("fixed_density"),
+    )
+
+
+@query(
+    "group_tokens",
+    """
+SELECT DISTINCT l_returnflag, s_nationkey, 'GRP-' || upper(substr(sha256('["' || l_returnflag || '","' || CAST(s_nationkey AS VARCHAR) || '"]'), 1, 16)) AS group_token
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
+)
+def group_tokens(spark, d):
+    j = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_returnflag", "s_nationkey").distinct()
+    return j.withColumn("group_token", group_token([F.col("l_returnflag"), F.col("s_nationkey").cast("string")]))
+
+
+@query(
+    "elapsed_hours",
+    "SELECT l_returnflag AS scope, count(*) AS n, round(max(h), 6) AS last_hour, round(avg(h), 6) AS mean_hour FROM (SELECT l_returnflag, (epoch_us(l_shipdate) - min(epoch_us(l_shipdate)) OVER (PARTITION BY l_returnflag)) / 3.6e9 AS h FROM lineitem) GROUP BY 1",
+)
+def elapsed_hours(spark, d):
+    rows, _ = prepare(_t(spark, d, "lineitem"), Roles("l_quantity", ("l_suppkey",), time="l_shipdate"), ("l_returnflag",))
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.round(F.max("time_h"), 6).alias("last_hour"), F.round(F.avg("time_h"), 6).alias("mean_hour"))
+
+
+@query(
+    "fold_levels",
+    f"""
+WITH {SOURCE_SQL}, u AS (SELECT g, 'product' AS term, product AS level FROM a UNION ALL SELECT g, 'stream', stream FROM a UNION ALL SELECT g, 'shift', shift FROM a)
+SELECT term, g AS group_token, level, sum(count(*)) OVER (PARTITION BY term, level) - count(*) AS n_train FROM u GROUP BY term, g, level""".replace("sum(count(*)) OVER (PARTITION BY term, level) - count(*)", "CAST(sum(count(*)) OVER (PARTITION BY term, level) - count(*) AS BIGINT)"),
+)
+def fold_levels(spark, d):
+    return models.fold_levels(models.cell_statistics(audit_rows(spark, d)[0])).select("term", "group_token", "level", "n_train")
+
+
+@query(
+    "logo_grid",
+    f"""
+WITH {SOURCE_SQL}, k(candidate_id) AS (VALUES {", ".join(f"('{c}')" for c in V.CANDIDATES)}), n AS (SELECT g, count(*) AS n FROM a GROUP BY g)
+SELECT candidate_id, g AS group_token, CAST(sum(n) OVER (PARTITION BY candidate_id) - n AS BIGINT) AS n_train, n AS n_test FROM k, n""",
+)
+def logo_grid(spark, d):
+    return models.logo_grid(models.cell_statistics(audit_rows(spark, d)[0])).drop("scope")
+
+
+# --- means, boundaries, models ---------------------------------------------------------------------
+
+
+@query(
+    "mean_diagnostic",
+    f"""
+WITH {SOURCE_SQL}
+SELECT product AS scope, count(*) AS n_rows, round(avg(y), 6) AS mean, round(avg(y) - 25.0, 6) AS overfill, round(avg(y) - 0.5, 6) AS margin, count(*) FILTER (WHERE y < 0.5) AS underfill_count, round(count(*) FILTER (WHERE y < 0.5) / count(*), 6) AS underfill_rate
+FROM a GROUP BY 1""",
+)
+def mean_diagnostic(spark, d):
+    rows, _ = audit_rows(spark, d, scope=("l_returnflag",))
+    return headroom.mean_diagnostic(rows, POLICY).select("scope", "n_rows", *r6("mean", "overfill", "margin"), "underfill_count", *r6("underfill_rate"))
+
+
+@query(
+    "empirical_headroom",
+    f"""
+WITH {SOURCE_SQL}, m AS (SELECT product AS scope, g, unit_price - 500.0 AS m FROM a),
+s AS (SELECT scope, count(*) AS n_rows, count(DISTINCT g) AS n_groups, CAST(floor(CAST(0.05 AS DECIMAL(18, 6)) * count(*)) AS BIGINT) AS k, count(*) FILTER (WHERE m < 0) AS under FROM m GROUP BY 1),
+o AS (SELECT scope, m, row_number() OVER (PARTITION BY scope ORDER BY m) - 1 AS i FROM m),
+b AS (SELECT s.*, o.m AS raw FROM s JOIN o ON s.scope = o.scope AND s.k = o.i)
+SELECT scope, n_rows, n_groups, k, round(raw, 6) AS raw_boundary, round(greatest(0.0, raw), 6) AS point_estimate, (SELECT count(*) FROM m WHERE m.scope = b.scope AND m.m = b.raw) AS tie_multiplicity, under AS baseline_underfills,
+       CASE WHEN n_rows < 80 OR n_groups < 4 OR 0.05 * n_rows < 5 OR under > k THEN 'ineligible' WHEN (SELECT count(*) FROM m WHERE m.scope = b.scope AND m.m = b.raw) > 1 THEN 'warning' ELSE 'ok' END AS status
+FROM b""",
+)
+def empirical_headroom(spark, d):
+    rows, _ = audit_rows(spark, d, PRICE_ROLES, ("l_returnflag",))
+    out = headroom.empirical_headroom(rows, Policy(nominal=1500.0, lower_limit=500.0, alpha=0.05))
+    return out.select("scope", "n_rows", "n_groups", "k", *r6("raw_boundary", "point_estimate"), "tie_multiplicity", "baseline_underfills", "status")
+
+
+def fitted(spark: SparkSession, d: str, only: list[str] | None = None, scope: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    rows, scopes = audit_rows(spark, d, scope=scope)
+    rows = written(rows, "rows")
+    cells = models.cell_statistics(rows)
+    tried = models.feasible(scopes)
+    if only:
+        tried = tried.filter(F.col("candidate_id").isin(only))
+    coefficients = written(models.fit_all(cells, tried), "coefficients")
+    crossfit = models.score_rows(rows, coefficients, held_out=True)
+    return {"rows": rows, "scopes": scopes, "cells": cells, "tried": tried, "coefficients": coefficients, "crossfit": crossfit, "ledger": models.candidate_ledger(rows, tried, coefficients, crossfit)}
+
+
+_LEDGER = ["candidate_id", "status", "parameter_count", "rss", "aic", "bic_eff", "grouped_risk", "group_balanced_risk"]
+
+
+def shown_ledger(ledger: DataFrame) -> DataFrame:
+    return ledger.select("candidate_id", "status", F.col("parameter_count").cast("long").alias("parameter_count"), F.round("rss", 3).alias("rss"), F.round("aic", 3).alias("aic"), F.round("bic_eff", 3).alias("bic_eff"), *r6("grouped_risk", "group_balanced_risk"))
+
+
+# leave-one-group-out means by product: the closed form of M1; M0 has one product
+def _means_sql(candidate: str, by: str, k: str) -> str:
+    return f"""
+SELECT '{candidate}' AS candidate_id, 'ok' AS status, CAST({k} AS BIGINT) AS parameter_count, round(any_value(rss), 3) AS rss,
+       round(any_value(n * ln(rss / n) + 2 * ({k})), 3) AS aic, round(any_value(n * ln(rss / n) + ({k}) * ln(n)), 3) AS bic_eff, round(sum(sse) / any_value(n), 6) AS grouped_risk, round(avg(sse / gn), 6) AS group_balanced_risk
+FROM (SELECT g, count(*) AS gn, sum((y - (ty - gy) / (tn - gnn)) ** 2) AS sse
+      FROM (SELECT g, y, sum(y) OVER (PARTITION BY {by}) AS ty, count(*) OVER (PARTITION BY {by}) AS tn, sum(y) OVER (PARTITION BY {by}, g) AS gy, count(*) OVER (PARTITION BY {by}, g) AS gnn FROM x) GROUP BY g),
+     (SELECT count(*) AS n, sum((y - m) ** 2) AS rss, count(DISTINCT product) AS p FROM (SELECT y, product, avg(y) OVER (PARTITION BY {by}) AS m FROM x))"""
+
+
+_LEDGER_SQL = f"WITH {SOURCE_SQL}, x AS (SELECT g, y, product, 1 AS one FROM a) {_means_sql('M0_intercept', 'one', '1')} UNION ALL {_means_sql('M1_product', 'product', 'any_value(p)')}".replace("any_value(n * ln(rss / n) + 2 * (any_value(p)))", "any_value(n * ln(rss / n) + 2 * p)").replace("any_value(n * ln(rss / n) + (any_value(p)) * ln(n))", "any_value(n * ln(rss / n) + p * ln(n))")
+
+
+@query("ledger_m0_m1", _LEDGER_SQL)
+def ledger_m0_m1(spark, d):
+    return shown_ledger(fitted(spark, d, ["M0_intercept", "M1_product"])["ledger"])
+
+
+@query(
+    "ledger_m5",
+    f"""
+WITH {SOURCE_SQL}, x AS (SELECT g, product AS p, y, h_abs - (SELECT avg(h_abs) FROM a) AS t FROM a),
+gs AS (SELECT g, p, count(*) AS n, sum(y) AS sy, sum(t) AS st, sum(t * t) AS stt, sum(t * y) AS sty FROM x GROUP BY g, p),
+ts AS (SELECT p, sum(n) AS n, sum(sy) AS sy, sum(st) AS st, sum(stt) AS stt, sum(sty) AS sty FROM gs GROUP BY p),
+fold AS (SELECT f.g, ts.p, ts.n - coalesce(gs.n, 0) AS n, ts.sy - coalesce(gs.sy, 0) AS sy, ts.st - coalesce(gs.st, 0) AS st, ts.stt - coalesce(gs.stt, 0) AS stt, ts.sty - coalesce(gs.sty, 0) AS sty
+         FROM (SELECT DISTINCT g FROM gs UNION ALL SELECT '') f(g) CROSS JOIN ts LEFT JOIN gs ON gs.g = f.g AND gs.p = ts.p),
+b AS (SELECT g, sum(sty - st * sy / n) / sum(stt - st * st / n) AS slope FROM fold GROUP BY g),
+fit AS (SELECT fold.g, p, (sy - slope * st) / n AS base, slope FROM fold JOIN b USING (g)),
+full_fit AS (SELECT count(*) AS n, sum((y - base - slope * t) ** 2) AS rss, count(DISTINCT x.p) + 1 AS k FROM x JOIN fit ON fit.p = x.p AND fit.g = ''),
+folds AS (SELECT x.g, count(*) AS gn, sum((y - base - slope * t) ** 2) AS sse FROM x JOIN fit ON fit.p = x.p AND fit.g = x.g GROUP BY x.g)
+SELECT 'M5_product_time' AS candidate_id, 'ok' AS status, CAST(any_value(k) AS BIGINT) AS parameter_count, round(any_value(rss), 3) AS rss, round(any_value(n * ln(rss / n) + 2 * k), 3) AS aic, round(any_value(n * ln(rss / n) + k * ln(n)), 3) AS bic_eff,
+       round(sum(sse) / any_value(n), 6) AS grouped_risk, round(avg(sse / gn), 6) AS group_balanced_risk
+FROM folds, full_fit""",
+)
+def ledger_m5(spark, d):
+    return shown_ledger(fitted(spark, d, ["M5_product_time"])["ledger"])
+
+
+@query("ledger_all")
+def ledger_all(spark, d):
+    return shown_ledger(fitted(spark, d)["ledger"])
+
+
+_CROSS_M1 = f"""
+WITH {SOURCE_SQL}, x AS (
+  SELECT g, y, y - (sum(y) OVER (PARTITION BY product) - sum(y) OVER (PARTITION BY product, g)) / (count(*) OVER (PARTITION BY product) - count(*) OVER (PARTITION BY product, g)) AS e FROM a)"""
+
+
+@query("residual_moments", f"{_CROSS_M1} SELECT 'M1_product' AS candidate_id, count(*) AS n, round(avg(e), 6) AS location, round(stddev_samp(e), 6) AS scale, round(skewness(e), 6) AS skewness, round(kurtosis(e), 6) AS excess_kurtosis FROM x")
+def residual_moments(spark, d):
+    return headroom.residual_moments(fitted(spark, d, ["M1_product"])["crossfit"]).select("candidate_id", "n", *r6("location", "scale", "skewness", "excess_kurtosis"))
+
+
+@query("scale_ratio", f"{_CROSS_M1}, s AS (SELECT g, stddev_samp(e) AS s FROM x GROUP BY g HAVING count(*) >= 2) SELECT 'M1_product' AS candidate_id, round(max(s) / min(s), 6) AS scale_ratio, FALSE AS unbounded FROM s")
+def scale_ratio(spark, d):
+    return headroom.scale_ratio(fitted(spark, d, ["M1_product"])["crossfit"]).select("candidate_id", *r6("scale_ratio"), "unbounded")
+
+
+@query(
+    "scores",
+    f"""
+WITH l AS ({_LEDGER_SQL.replace("round(", "(").replace(", 3) AS", ") AS").replace(", 6) AS grouped", ") AS grouped").replace(", 6) AS group_b", ") AS group_b")}),
+{SOURCE_SQL.strip()}, n AS (SELECT count(*) AS n FROM a), b AS (SELECT grouped_risk AS r0 FROM l WHERE candidate_id = 'M0_intercept'),
+s AS (SELECT candidate_id, r0 / grouped_risk AS xpe, 1.0 / ln(n) AS "lambda", bic_eff - ln(r0 / grouped_risk) / ln(n) AS c_score FROM l, n, b)
+SELECT candidate_id, round(xpe, 6) AS xpe, round("lambda", 6) AS "lambda", round(c_score, 3) AS c_score, row_number() OVER (ORDER BY c_score) AS rank, c_score - min(c_score) OVER () <= greatest(1e-6, 1e-8 * greatest(1, abs(min(c_score) OVER ()))) AS equivalent FROM s""".replace("row_number() OVER (ORDER BY c_score)", "CAST(row_number() OVER (ORDER BY c_score) AS INTEGER)"),
+)
+def scores(spark, d):
+    scored = selection.score(written(fitted(spark, d, ["M0_intercept", "M1_product"])["ledger"], "ledger"), 1.0)
+    ranked = selection.rank_candidates(scored, POLICY).select("candidate_id", "rank", "equivalent")
+    return scored.join(ranked, "candidate_id").select("candidate_id", *r6("xpe", "lambda"), F.round("c_score", 3).alias("c_score"), "rank", "equivalent")
+
+
+@query(
+    "pairwise_switches",
+    """
+WITH t AS (SELECT n_nationkey AS scope, n_regionkey, count(*) AS n, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+k AS (SELECT CAST(scope AS VARCHAR) AS scope, n AS n_rows, i AS ordinal, 'C' || i AS candidate_id, CASE WHEN i = 3 AND scope % 4 = 0 THEN NULL ELSE CAST((scope * 7 + i * 3) % 11 AS DOUBLE) END AS bic_eff, CAST(1 + (scope + i * i) % 3 AS DOUBLE) AS grouped_risk FROM t, (SELECT unnest([0, 1, 2, 3]) AS i)),
+p AS (SELECT a.scope, a.candidate_id AS candidate_a, b.candidate_id AS candidate_b, b.bic_eff - a.bic_eff AS delta, ln(a.grouped_risk) - ln(b.grouped_risk) AS ratio, a.n_rows FROM k a JOIN k b ON a.scope = b.scope AND a.ordinal < b.ordinal)
+SELECT scope, candidate_a, candidate_b, CASE WHEN delta IS NULL THEN 'not_available' WHEN ratio = 0 AND delta = 0 THEN 'coincident' WHEN ratio = 0 THEN 'parallel_no_switch' WHEN delta * ln(n_rows) / ratio < 0 THEN 'outside_nonnegative_domain' ELSE 'finite' END AS status,
+       CASE WHEN ratio <> 0 THEN round(delta * ln(n_rows) / ratio, 6) + 0 END AS switch_c
+FROM p""",
+)
+def pairwise_switches(spark, d):
+    t = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.count("*").alias("n_rows"))
+    i, s = F.col("ordinal"), F.col("n_nationkey")
+    k = t.withColumn("ordinal", F.explode(F.array(*[F.lit(x) for x in range(4)]))).select(
+        s.cast("string").alias("scope"), "n_rows", "ordinal", F.concat(F.lit("C"), i.cast("string")).alias("candidate_id"),
+        F.when(~((i == 3) & (s % 4 == 0)), ((s * 7 + i * 3) % 11).cast("double")).alias("bic_eff"), (1 + (s + i * i) % 3).cast("double").alias("grouped_risk"),
+    )
+    out = selection.pairwise_switches(k, 1.0)
+    return out.select("scope", "candidate_a", "candidate_b", "status", (F.round("switch_c", 6) + F.lit(0.0)).alias("switch_c"))
+
+
+# --- order -----------------------------------------------------------------------------------------
+
+_TIES = f"""
+WITH {SOURCE_SQL}, k AS (
+  SELECT *, count(*) OVER w AS n_tied, count(DISTINCT (l_orderkey, l_linenumber)) OVER w AS n_keys FROM a WINDOW w AS (PARTITION BY product, stream, h_abs)),
+m AS (SELECT *, n_tied > n_keys AS lost FROM k),
+seg AS (SELECT *, sum(CASE WHEN lost THEN 1 ELSE 0 END) OVER (PARTITION BY product, stream ORDER BY h_abs, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS segment FROM m),
+z AS (SELECT product, stream, segment, count(*) FILTER (WHERE NOT lost) AS n, count(*) FILTER (WHERE lost) AS dropped FROM seg GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "ordered_coverage",
+    f"""{_TIES} SELECT CAST(sum(n + dropped) AS BIGINT) AS n_rows, CAST(sum(dropped) AS BIGINT) AS unresolved_rows, CAST(coalesce(sum(n) FILTER (WHERE n >= 20), 0) AS BIGINT) AS eligible_rows,
+       count(DISTINCT (product, stream)) FILTER (WHERE n >= 20) AS eligible_streams, round(coalesce(sum(n) FILTER (WHERE n >= 20), 0) / sum(n + dropped), 6) AS coverage FROM z""",
+)
+def ordered_coverage(spark, d):
+    out = stability.ordered_coverage(stability.ordered_segments(audit_rows(spark, d)[0]), POLICY)
+    return out.select("n_rows", "unresolved_rows", "eligible_rows", "eligible_streams", *r6("coverage"))
+
+
+_RULES = """
+WITH e AS (SELECT event_type AS p, 's' || CAST(user_id % 4 AS VARCHAR) AS s, ts, value AS x FROM events),
+w AS (SELECT *, count(*) OVER q AS n, avg(x) OVER q AS mean, stddev_samp(x) OVER q AS sd, x - lag(x) OVER o AS step, row_number() OVER o AS pos FROM e WINDOW q AS (PARTITION BY p, s), o AS (PARTITION BY p, s ORDER BY ts)),
+v AS (SELECT *, sign(x - mean) AS side, sign(step) AS way FROM w WHERE n >= 20),
+c AS (SELECT *, CASE WHEN side IS DISTINCT FROM lag(side) OVER o THEN 1 ELSE 0 END AS ns, CASE WHEN way IS DISTINCT FROM lag(way) OVER o THEN 1 ELSE 0 END AS nw FROM v WINDOW o AS (PARTITION BY p, s ORDER BY ts)),
+r AS (SELECT *, sum(ns) OVER o AS sr, sum(nw) OVER o AS wr FROM c WINDOW o AS (PARTITION BY p, s ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT p, s, max(n) AS n, max(mean) AS mean, max(sd) AS sd, avg(abs(step)) / 1.128 AS sigma, avg(x) FILTER (WHERE pos <= greatest(1, n // 4)) AS early, avg(x) FILTER (WHERE pos > n - greatest(1, n // 4)) AS late FROM r GROUP BY p, s),
+b AS (SELECT r.p, r.s, count(*) FILTER (WHERE abs(x - r.mean) > 3 * sigma) AS beyond FROM r JOIN f ON r.p = f.p AND r.s = f.s GROUP BY 1, 2),
+side_runs AS (SELECT p, s, count(*) AS hits FROM (SELECT p, s, sr FROM r WHERE side <> 0 GROUP BY p, s, sr HAVING count(*) >= 8) GROUP BY 1, 2),
+way_runs AS (SELECT p, s, count(*) AS hits FROM (SELECT p, s, wr FROM r WHERE way <> 0 GROUP BY p, s, wr HAVING count(*) >= 5) GROUP BY 1, 2),
+o AS (SELECT f.p AS product, f.s AS stream, f.n, round(f.sigma, 6) AS sigma, beyond AS beyond_3sigma, coalesce(a.hits, 0) AS one_side_runs, coalesce(m.hits, 0) AS monotone_runs, CAST(CASE WHEN sd > 0 AND abs(early - late) > 1.5 * sd THEN 1 ELSE 0 END AS BIGINT) AS quartile_shift
+      FROM f JOIN b ON f.p = b.p AND f.s = b.s LEFT JOIN side_runs a ON a.p = f.p AND a.s = f.s LEFT JOIN way_runs m ON m.p = f.p AND m.s = f.s)"""
+
+
+@query("stability_rules", f"{_RULES} SELECT * FROM o")
+def stability_rules(spark, d):
+    out = stability.segment_rules(stability.ordered_segments(event_rows(spark, d)), EVENT_POLICY)
+    return out.select("product", "stream", "n", *r6("sigma"), "beyond_3sigma", "one_side_runs", "monotone_runs", "quartile_shift")
+
+
+@query(
+    "stability_screen",
+    f"""{_RULES} SELECT CASE WHEN sum(beyond_3sigma) + sum(one_side_runs) + sum(monotone_runs) + sum(quartile_shift) > 0 THEN 'material_warning' ELSE 'pass' END AS state, (SELECT count(*) FROM events) AS n_rows, CAST(sum(n) AS BIGINT) AS eligible_rows,
+       CAST(sum(beyond_3sigma) AS BIGINT) AS beyond_3sigma, CAST(sum(one_side_runs) AS BIGINT) AS one_side_runs, CAST(sum(monotone_runs) AS BIGINT) AS monotone_runs, CAST(sum(quartile_shift) AS BIGINT) AS quartile_shift FROM o""",
+)
+def stability_screen(spark, d):
+    return stability.stability_screen(event_rows(spark, d), EVENT_POLICY).select("state", "n_rows", "eligible_rows", "beyond_3sigma", "one_side_runs", "monotone_runs", "quartile_shift")
+
+
+@query("product_support", f"WITH {SOURCE_SQL} SELECT product, count(*) AS n_rows, count(DISTINCT g) AS n_groups FROM a GROUP BY 1")
+def product_support(spark, d):
+    return gates.product_support(audit_rows(spark, d)[0]).drop("scope")
+
+
+@query(
+    "sufficiency_gate",
+    f"""
+WITH {SOURCE_SQL}, s AS (SELECT shift AS scope, product, count(*) AS n, count(DISTINCT g) AS g FROM a GROUP BY 1, 2), m AS (SELECT scope, min(n) AS n, min(g) AS g, count(*) AS k FROM s GROUP BY 1)
+SELECT scope, k AS product_scope_count, n AS minimum_product_rows, g AS minimum_product_groups, round(CAST(n AS DOUBLE) * 0.05::DOUBLE, 6) AS expected_tail_count, g >= 4 AS exploratory_supported, FALSE AS action_supported,
+       concat_ws(',', CASE WHEN n < 80 THEN 'EVIDENCE_ROWS_INSUFFICIENT' END, CASE WHEN g < 4 THEN 'EVIDENCE_GROUPS_EXPLORATORY_INSUFFICIENT' END, CASE WHEN g < 8 THEN 'EVIDENCE_GROUPS_ACTION_INSUFFICIENT' END,
+                 CASE WHEN n * 0.05 < 5 THEN 'EVIDENCE_TAIL_SUPPORT_INSUFFICIENT' END, 'EVIDENCE_BOOTSTRAP_INSUFFICIENT', CASE WHEN ascii(scope) % 2 = 0 THEN 'EVIDENCE_ORDER_INSUFFICIENT' END) AS reasons
+FROM m""",
+)
+def sufficiency_gate(spark, d):
+    rows, _ = audit_rows(spark, d, scope=("o_orderpriority",))
+    support = gates.product_support(rows)
+    scopes = support.select("scope").distinct()
+    coverage = scopes.withColumn("coverage", F.when(F.ascii("scope") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.9)))
+    out = gates.sufficiency_gate(support, coverage, scopes.withColumn("valid", F.lit(False)), POLICY)
+    return out.select("scope", "product_scope_count", "minimum_product_rows", "minimum_product_groups", *r6("expected_tail_count"), "exploratory_supported", "action_supported", F.array_join("reason_codes", ",").alias("reasons"))
+
+
+# --- tails and bootstrap ---------------------------------------------------------------------------
+
+
+def _tail_query(spark, d, student):
+    f = fitted(spark, d, ["M1_product"])
+    return headroom.parametric_headroom(f["crossfit"], POLICY, student).select("scope", "protocol_id", "status", *r6("point_estimate"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("gaussian_headroom")
+def gaussian_headroom(spark, d):
+    return _tail_query(spark, d, False)
+
+
+@query("student_t_headroom")
+def student_t_headroom(spark, d):
+    return _tail_query(spark, d, True)
+
+
+def shared_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Draws that SQL can repeat: replicate r and slot i take group (r * 7919 + i * i * 31 + r * i * 17) mod G."""
+    rows, _ = audit_rows(spark, d)
+    tokens = rows.select("scope", "group_token").distinct()
+    ranked = tokens.withColumn("i", F.row_number().over(Window.partitionBy("scope").orderBy("group_token")) - 1)
+    size = tokens.groupBy("scope").agg(F.count("*").alias("g"))
+    slots = size.select("scope", "g", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("replicate")).select("scope", "g", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("s"))
+    r, s = F.col("replicate"), F.col("s")
+    drawn = slots.select("scope", "replicate", ((r * 7919 + s * s * 31 + r * s * 17) % F.col("g")).alias("i"))
+    return drawn.groupBy("scope", "replicate", "i").agg(F.count("*").cast("int").alias("w")).join(ranked, ["scope", "i"]).select("scope", "replicate", "group_token", "w")
+
+
+_DRAWS_SQL = """
+t AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i FROM (SELECT DISTINCT g FROM a)), z AS (SELECT count(*) AS n FROM t),
+drawn AS (SELECT r, g, count(*) AS w FROM (SELECT r, (r * 7919 + s * s * 31 + r * s * 17) % z.n AS i FROM (SELECT unnest(generate_series(0, 199)) AS r), (SELECT unnest(generate_series(0, z.n - 1)) AS s FROM z), z) q JOIN t USING (i) GROUP BY r, g)"""
+_BOOT_SQL = f"""
+WITH {SOURCE_SQL}, {_DRAWS_SQL.replace("(SELECT unnest(generate_series(0, z.n - 1)) AS s FROM z)", "(SELECT i AS s FROM t)")},
+h AS (SELECT g, y - 0.5 AS m, count(*) AS n FROM a GROUP BY 1, 2),
+x AS (SELECT r, m, sum(w * n) AS n FROM h JOIN drawn USING (g) GROUP BY r, m),
+c AS (SELECT r, m, sum(n) OVER (PARTITION BY r ORDER BY m) AS upto, sum(n) OVER (PARTITION BY r) AS total FROM x),
+v AS (SELECT r, greatest(0.0, min(m) FILTER (WHERE upto > floor(CAST(0.05 AS DECIMAL(18, 6)) * total))) AS value FROM c GROUP BY r)"""
+
+
+@query("bootstrap_h1", f"{_BOOT_SQL} SELECT CAST(r AS INTEGER) AS replicate, round(value, 6) AS value FROM v")
+def bootstrap_h1(spark, d):
+    rows = written(audit_rows(spark, d)[0], "rows")
+    return bootstrap.bootstrap_h1(rows, written(shared_draws(spark, d), "draws"), POLICY).select("replicate", *r6("value"))
+
+
+@query("bootstrap_bound_h1", f"{_BOOT_SQL} SELECT round(value, 6) AS lower_bound, 'ok' AS u1_status, count(*) OVER () AS successful FROM (SELECT value, row_number() OVER (ORDER BY value) AS k FROM v) WHERE k = 20".replace("count(*) OVER () AS successful", "CAST(200 AS BIGINT) AS successful"))
+def bootstrap_bound_h1(spark, d):
+    rows = written(audit_rows(spark, d)[0], "rows")
+    values = bootstrap.bootstrap_h1(rows, written(shared_draws(spark, d), "draws"), POLICY)
+    return bootstrap.group_bootstrap(values, rows, POLICY).select(*r6("lower_bound"), "u1_status", "successful")
+
+
+@query("bootstrap_bounds")
+def bootstrap_bounds(spark, d):
+    rows, scopes = audit_rows(spark, d)
+    rows = written(rows, "rows")
+    cells = written(models.cell_statistics(rows), "cells")
+    draws = written(bootstrap.bootstrap_draws(cells, 100, POLICY.seed), "draws")
+    chosen = models.candidate_table(spark).filter(F.col("candidate_id") == "M1_product").crossJoin(scopes.select("scope")).select("scope", "candidate_id", "terms")
+    values = bootstrap.bootstrap_h1(rows, draws, POLICY).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, chosen, POLICY, student=False))
+    return bootstrap.group_bootstrap(values, cells, POLICY).select("scope", "protocol_id", "u1_status", "successful", *r6("lower_bound"))
+
+
+# --- decisions -------------------------------------------------------------------------------------
+
+
+def _nation_protocols(spark, d) -> DataFrame:
+    """Three protocol rows per nation with values that follow its customers: a table of many scopes."""
+    n = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("m"), F.count("*").alias("n"))
+    i, k = F.col("i"), F.col("c_nationkey")
+    t = n.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    point = F.round(((k * 13 + i * 7) % 29) / 20.0 + F.col("m") * 0, 2)
+    return t.select(
+        k.cast("string").alias("scope"), F.element_at(F.array(F.lit(V.H1), F.lit(V.H2), F.lit(V.H3)), i + 1).alias("protocol_id"),
+        F.when((k + i) % 6 == 0, "ineligible").otherwise("ok").alias("status"), point.alias("point_estimate"), ((i > 0) & (k % 9 == 4)).alias("material_warning"),
+        F.when((k + i) % 5 != 0, F.round(point * 0.9, 4)).alias("lower_bound"),
+    )
+
+
+_PROTOCOL_SQL = """
+WITH n AS (SELECT c_nationkey AS k FROM customer GROUP BY 1),
+p AS (SELECT CAST(k AS VARCHAR) AS scope, k, i, (k + i) % 6 <> 0 AS ok, round(((k * 13 + i * 7) % 29) / 20.0, 2) AS point, CASE WHEN (k + i) % 5 <> 0 THEN round(round(((k * 13 + i * 7) % 29) / 20.0, 2) * 0.9, 4) END AS bound FROM n, (SELECT unnest([0, 1, 2]) AS i)),
+v AS (SELECT *, CASE WHEN ok THEN coalesce(bound, point) END AS value FROM p),
+s AS (SELECT scope, any_value(k) AS k, min(value) AS h, CASE WHEN count(value) >= 2 THEN max(value) - min(value) END AS spread, count(value) AS eligible,
+             CASE WHEN count(value) = 0 THEN 'none' WHEN bool_and(bound IS NOT NULL) FILTER (WHERE ok) THEN 'lower_bounds' ELSE 'point_estimates_without_bound' END AS basis,
+             count(value) BETWEEN 1 AND 2 AS mixed, any_value(k) % 9 = 4 AS parametric FROM v GROUP BY scope)"""
+
+
+@query("safe_headroom", f"{_PROTOCOL_SQL} SELECT scope, round(h, 6) AS safe_headroom, basis, round(spread, 6) AS protocol_spread, eligible, mixed AS mixed_states, parametric AS parametric_warning FROM s")
+def safe_headroom(spark, d):
+    return decide.safe_headroom(_nation_protocols(spark, d)).select("scope", *r6("safe_headroom"), "basis", *r6("protocol_spread"), "eligible", "mixed_states", "parametric_warning")
+
+
+def _decided(spark, d) -> DataFrame:
+    k = F.col("scope").cast("int")
+    table = decide.safe_headroom(_nation_protocols(spark, d)).withColumns(
+        {"contract_valid": k % 11 != 10, "action_supported": k % 7 != 6, "g1_state": F.when(k % 8 == 5, "material_warning").otherwise("pass"), "near_tie": k % 5 == 3}
+    )
+    return decide.action_state(table, Policy(nominal=1.0, lower_limit=0.5, minimum_shift=0.1, maximum_shift=0.5, spread_tolerance=0.6))
+
+
+_STATE_SQL = f"""{_PROTOCOL_SQL},
+c AS (SELECT *, coalesce(spread > 0.6, FALSE) OR mixed OR parametric OR k % 5 = 3 OR basis = 'point_estimates_without_bound' AS conservative FROM s),
+r AS (SELECT *, CAST(CAST(round(h, 4) AS VARCHAR) AS DECIMAL(18, 6)) AS hd FROM c),
+g AS (SELECT *, floor(CASE WHEN conservative THEN 0.1 ELSE greatest(0.1, 0.30 * hd) END / 0.01) * 0.01 AS lo, floor(least(0.5, CASE WHEN conservative THEN 0.50 ELSE 0.80 END * hd) / 0.01) * 0.01 AS hi FROM r),
+o AS (SELECT *, CASE WHEN k % 11 = 10 THEN 'invalid_contract' WHEN k % 7 = 6 THEN 'insufficient_evidence' WHEN h IS NULL OR h < 0.1 THEN 'no_actionable_headroom' WHEN k % 8 = 5 THEN 'diagnose_process_first'
+                          WHEN hi < 0.1 OR lo < 0.1 OR hi < lo THEN 'no_actionable_headroom' WHEN conservative THEN 'pilot_only_conservative' ELSE 'pilot_range_supported' END AS state FROM g)"""
+
+
+@query("action_state", f"{_STATE_SQL} SELECT scope, state, round(h, 6) AS safe_headroom FROM o")
+def action_state(spark, d):
+    return _decided(spark, d).select("scope", "state", *r6("safe_headroom"))
+
+
+@query("pilot_range", f"{_STATE_SQL} SELECT scope, CAST(round(lo, 4) AS DOUBLE) AS pilot_lower, CAST(round(hi, 4) AS DOUBLE) AS pilot_upper FROM o WHERE state LIKE 'pilot%'")
+def pilot_range(spark, d):
+    return _decided(spark, d).filter(F.col("pilot_upper").isNotNull()).select("scope", F.round("pilot_lower", 4).alias("pilot_lower"), F.round("pilot_upper", 4).alias("pilot_upper"))
+
+
+@query("audit_decision")
+def audit_decision(spark, d):
+    tables = audit(audit_source(spark, d), PRICE_ROLES, Policy(nominal=1500.0, lower_limit=900.0, alpha=0.05, maximum_shift=200.0, minimum_shift=1.0, spread_tolerance=50.0, replicates=100), student=False)
+    return tables["decisions"].select("scope", "state", F.array_join("reason_codes", ",").alias("reasons"), *r6("safe_headroom", "pilot_lower", "pilot_upper"))
+
+
+# --- evidence and lineage --------------------------------------------------------------------------
+
+
+@query(
+    "evidence_hash",
+    """
+WITH p AS (SELECT s_suppkey, '{"component":"SUPPLIER","parents":"","statement":"' || s_name || '","status":"ok","unit":"EUR","value":"' || CAST(CAST(s_acctbal AS DECIMAL(38, 9)) AS VARCHAR) || '"}' AS payload FROM supplier)
+SELECT s_suppkey, sha256(payload) AS content_sha256, 'EV-SUPPLIER-' || upper(substr(sha256(payload), 1, 12)) AS evidence_id, FALSE AS wrong FROM p""",
+)
+def evidence_hash(spark, d):
+    s = _t(spark, d, "supplier").select("s_suppkey", F.lit("SUPPLIER").alias("component"), F.col("s_name").alias("statement"), F.lit("ok").alias("status"), F.col("s_acctbal").alias("value"), F.lit("EUR").alias("unit"), F.array().cast("array<string>").alias("parents"))
+    e = evidence.make_evidence(s)
+    wrong = evidence.verify_evidence(e).select("evidence_id", F.lit(True).alias("wrong")).distinct()
+    return e.join(wrong, "evidence_id", "left").select("s_suppkey", "content_sha256", "evidence_id", F.coalesce("wrong", F.lit(False)).alias("wrong"))
+
+
+def _lineage(spark, d) -> DataFrame:
+    """Lines cite their order, orders their customer; a few orders cite customers that are not there."""
+    o = _t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("evidence_id"), F.array(F.concat(F.lit("c"), F.when(F.col("o_orderkey") % 97 == 0, -1).otherwise(F.col("o_custkey")).cast("string"))).alias("parents"))
+    c = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("evidence_id"), F.when(F.col("c_custkey") % 50 == 7, F.array(F.concat(F.lit("c"), "c_custkey"))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return o.unionByName(c)
+
+
+@query(
+    "provenance_checks",
+    """
+SELECT 'o' || o_orderkey AS evidence_id, 'missing_parent' AS problem FROM orders WHERE o_orderkey % 97 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION SELECT 'c' || c_custkey, 'self_parent' FROM customer WHERE c_custkey % 50 = 7
+UNION SELECT 'o' || o_orderkey, 'duplicate_id' FROM orders GROUP BY 1 HAVING count(*) > 1""",
+)
+def provenance_checks(spark, d):
+    return evidence.check_lineage(_lineage(spark, d))
+
+
+def _chain(spark, d) -> DataFrame:
+    """Nations in a binary tree, customers below them."""
+    n = _t(spark, d, "nation").filter("n_nationkey > 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.floor((F.col("n_nationkey") - 1) / 2).cast("string")).alias("parent"))
+    c = _t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"))
+    return n.unionByName(c)
+
+
+_CHAIN_SQL = """
+e AS (SELECT 'n' || n_nationkey AS child, 'n' || ((n_nationkey - 1) // 2) AS parent FROM nation WHERE n_nationkey > 0 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+r AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT r.node, e.parent, depth + 1 FROM r JOIN e ON r.ancestor = e.child)"""
+
+
+@query("ancestors", f"WITH RECURSIVE {_CHAIN_SQL} SELECT DISTINCT node, ancestor FROM r")
+def ancestors(spark, d):
+    return evidence.ancestors(_chain(spark, d))
+
+
+@query("topological_levels", f"WITH RECURSIVE {_CHAIN_SQL} SELECT node, CAST(max(depth) AS INTEGER) AS level FROM r GROUP BY node UNION ALL SELECT DISTINCT parent, 0 FROM e WHERE parent NOT IN (SELECT child FROM e)")
+def topological_levels(spark, d):
+    return evidence.topo_levels(_chain(spark, d))
+
+
+@query(
+    "checksum_verify",
+    """
+WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 10 = 3 THEN sha256('x') ELSE sha256(text) END AS x FROM documents WHERE doc_id % 10 <> 4), f AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS y FROM documents WHERE doc_id % 10 <> 5)
+SELECT coalesce(e.path, f.path) AS path, CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'unexpected' WHEN x <> y THEN 'hash_mismatch' ELSE 'ok' END AS status FROM e FULL OUTER JOIN f ON e.path = f.path""",
+)
+def checksum_verify(spark, d):
+    """Two inventories of all documents, one with a tenth altered, one tenth absent on either side."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", (F.col("doc_id") % 10).alias("k"))
+    found = measurements.checksum_inventory(docs.filter("k <> 5"), content="text")
+    expected = measurements.checksum_inventory(docs.filter("k <> 4").withColumn("text", F.when(F.col("k") == 3, F.lit("x")).otherwise(F.col("text"))), content="text")
+    return measurements.verify_checksums(expected, found)
+
+
+# --- texts -----------------------------------------------------------------------------------------
+
+
+def _sql_rules() -> str:
+    parts = []
+    for code, pattern, case, placeholder in V.TEXT_RULES:
+        p = pattern.replace("'", "''")
+        flags = "" if case else "i"
+        if placeholder:
+            shape = V.PLACEHOLDER_SHAPE.replace("'", "''")
+            known = ", ".join(f"'{x}'" for x in V.PLACEHOLDERS)
+            bare = """trim(regexp_replace(trim(v), '^["'']+|["'']+$', '', 'g'))"""
+            parts.append(f"SELECT DISTINCT doc_id, '{code}' AS code FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m{flags}){p}', 1)) AS v FROM documents) WHERE lower({bare}) NOT IN ({known}) AND NOT regexp_full_match({bare}, '(?i)(?:{shape})')")
+        else:
+            parts.append(f"SELECT doc_id, '{code}' AS code FROM documents WHERE regexp_matches(text, '(?m{flags}){p}')")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("secret_scan", _sql_rules())
+def secret_scan(spark, d):
+    return claims.scan_text(_t(spark, d, "documents"))
+
+
+@query(
+    "content_limits",
+    r"""
+SELECT doc_id, 'FILE_TOO_LARGE' AS code FROM documents WHERE strlen(text) > 20000
+UNION ALL SELECT doc_id, 'SUSPICIOUS_BINARY_FILE' FROM documents WHERE len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) > greatest(2, length(text) // 100)
+UNION ALL SELECT doc_id, 'KNOWN_PRIVATE_HASH' FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 40 = 0)""",
+)
+def content_limits(spark, d):
+    docs = _t(spark, d, "documents")
+    block = docs.filter("doc_id % 40 = 0").select(F.sha2("text", 256).alias("sha256")).distinct()
+    return claims.scan_content(docs, most_bytes=20_000, blocklist=block)
+
+
+@query("numeric_grounding")
+def numeric_grounding(spark, d):
+    """Numbers in conversations that are no document's length."""
+    facts = _t(spark, d, "documents").select(F.col("n_chars").cast("string").alias("value"))
+    texts = _t(spark, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" It has "), F.col("n_chars").cast("string"), F.lit(" characters, 100% of "), (F.col("n_chars") + 1).cast("string"), F.lit("; see M1_product and 12.50."))
+        .alias("text"))
+    return claims.ungrounded_numbers(texts, facts)
+
+
+@query(
+    "citation_grounding",
+    r"""
+WITH t AS (SELECT doc_id, text || ' cites EV-DOC-' || upper(substr(sha256(CAST(doc_id % 200 AS VARCHAR)), 1, 12)) || ', profile.n' || (doc_id % 30) || ' and H' || (doc_id % 5) || CASE WHEN doc_id % 3 = 0 THEN ' for pilot_only_conservative' ELSE '' END AS text FROM documents),
+c AS (SELECT DISTINCT doc_id, 'evidence' AS kind, unnest(regexp_extract_all(text, '\bEV-[A-Z0-9_]{2,16}-[A-F0-9]{12}\b')) AS cited FROM t
+      UNION ALL SELECT DISTINCT doc_id, 'fact', unnest(regexp_extract_all(text, '\b(?:action|gate|policy|profile|protocol|riec)[.][A-Za-z0-9_.]+\b')) FROM t
+      UNION ALL SELECT DISTINCT doc_id, 'protocol', unnest(regexp_extract_all(text, '\b[DHUG][0-9]+\b')) FROM t
+      UNION ALL SELECT doc_id, 'action', 'pilot_only_conservative' FROM t WHERE contains(text, 'pilot_only_conservative'))
+SELECT * FROM c WHERE NOT (kind = 'evidence' AND cited IN (SELECT 'EV-DOC-' || upper(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12)) FROM documents WHERE doc_id < 100))
+  AND NOT (kind = 'fact' AND cited IN (SELECT 'profile.n' || n_nationkey FROM nation)) AND NOT (kind = 'protocol' AND cited IN ('H1', 'H2', 'H3'))""",
+)
+def citation_grounding(spark, d):
+    docs = _t(spark, d, "documents")
+    name = lambda c: F.concat(F.lit("EV-DOC-"), F.upper(F.substring(F.sha2(c.cast("string"), 256), 1, 12)))
+    i = F.col("doc_id")
+    text = F.concat("text", F.lit(" cites "), name(i % 200), F.lit(", profile.n"), (i % 30).cast("string"), F.lit(" and H"), (i % 5).cast("string"), F.when(i % 3 == 0, F.lit(" for pilot_only_conservative")).otherwise(F.lit("")))
+    ids = docs.filter("doc_id < 100").select(name(i).alias("evidence_id"))
+    keys = _t(spark, d, "nation").select(F.concat(F.lit("profile.n"), F.col("n_nationkey").cast("string")).alias("fact_key"))
+    return claims.ungrounded_citations(docs.select("doc_id", text.alias("text")), ids, keys, ["H1", "H2", "H3"], ["pilot_range_supported"])
+
+
+_CLAIM = "CASE doc_id % 8 WHEN 0 THEN ' The plant is compliant.' WHEN 1 THEN ' There is no evidence of achieved savings.' WHEN 2 THEN ' Protocols agree' WHEN 3 THEN ' Proceed with a pilot' WHEN 4 THEN ' D0 alone carries the action' WHEN 5 THEN ' This is not a production setpoint' WHEN 6 THEN ' It will save! Zero risk' ELSE ' Nothing more' END"
+
+
+def _with_claims(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.expr(f"substring(text, 1, 0) || text || ({_CLAIM})").alias("text"))
+
+
+@query(
+    "prohibited_claims",
+    f"""
+WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text || ({_CLAIM})), '[.!?;\\n]+')) AS s FROM documents)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_prohibited FROM t WHERE regexp_matches(s, '{"|".join([*V.POSITIVE_PHRASES, "production setpoint"])}') AND NOT regexp_matches(s, '{"|".join(V.NEGATIONS)}') GROUP BY 1""",
+)
+def prohibited_claims(spark, d):
+    return claims.prohibited_sentences(_with_claims(spark, d))
+
+
+_VERDICT_SQL = f"""
+WITH t AS (SELECT doc_id, lower(text || ({_CLAIM})) AS t, CASE WHEN doc_id % 2 = 0 THEN 'diagnose_process_first' ELSE 'pilot_range_supported' END AS state, doc_id % 3 = 0 AS conflict FROM documents),
+v AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(V.PROHIBITED_CLAIMS)}') OR (contains(t, 'production setpoint') AND NOT contains(t, 'not a production setpoint')) THEN 5
+        WHEN conflict AND (contains(t, 'full agreement') OR contains(t, 'protocols agree')) THEN 3
+        WHEN state = 'diagnose_process_first' AND (contains(t, 'supports a pilot') OR contains(t, 'pilot interval is supported') OR contains(t, 'proceed with a pilot')) AND NOT contains(t, 'no pilot') THEN 4
+        WHEN contains(t, 'd0') AND (contains(t, 'action') OR contains(t, 'pilot')) THEN 4 ELSE 1 END AS a, CASE WHEN doc_id % 10 = 1 THEN 2 ELSE 0 END AS b FROM t)"""
+
+
+def _verdicts(spark, d):
+    docs = _with_claims(spark, d)
+    c = docs.select("doc_id", F.lit("CLM-001").alias("claim_id"), F.col("text").alias("claim_text"))
+    s = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "diagnose_process_first").otherwise("pilot_range_supported").alias("state"), (F.col("doc_id") % 3 == 0).alias("conflict"))
+    other = docs.filter("doc_id % 10 = 1").select("doc_id", F.lit("CLM-001").alias("claim_id"), F.lit("supported_with_qualification").alias("verdict"))
+    return claims.judge_claims(c, s, other_reviews=other)
+
+
+@query("claim_verdicts", f"{_VERDICT_SQL} SELECT doc_id, 'CLM-001' AS claim_id, ['not_a_claim', 'supported', 'supported_with_qualification', 'overstated', 'unsupported', 'prohibited'][greatest(a, b) + 1] AS verdict FROM v")
+def claim_verdicts(spark, d):
+    return _verdicts(spark, d)
+
+
+@query("claim_status", f"{_VERDICT_SQL} SELECT doc_id, CASE WHEN a = 5 THEN 'blocked' WHEN greatest(a, b) >= 2 THEN 'revise' ELSE 'pass' END AS status FROM v")
+def claim_status(spark, d):
+    return claims.document_status(_verdicts(spark, d))
+
+
+@query(
+    "state_semantics",
+    f"""
+WITH t AS (SELECT doc_id, lower(text || ({_CLAIM})) AS t FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, 'lacks: retrospective screening reference' AS missing FROM t WHERE NOT contains(t, 'retrospective screening reference')
+UNION ALL SELECT doc_id, 'lacks: controlled pilot' FROM t WHERE NOT contains(t, 'controlled pilot')
+UNION ALL SELECT doc_id, 'lacks: engineering review' FROM t WHERE NOT contains(t, 'engineering review')
+UNION ALL SELECT doc_id, 'lacks: not a production setpoint' FROM t WHERE NOT contains(t, 'not a production setpoint')""",
+)
+def state_semantics(spark, d):
+    docs = _with_claims(spark, d).filter("doc_id % 2 = 0").withColumn("state", F.lit("pilot_range_supported"))
+    return claims.state_semantics(docs)
+
+
+@query(
+    "export_gate",
+    f"""
+{_VERDICT_SQL},
+k AS (SELECT doc_id, greatest(a, b) AS v, CASE doc_id % 3 WHEN 0 THEN 'material' WHEN 1 THEN 'headline' ELSE 'supporting' END AS kind FROM v),
+g AS (SELECT doc_id, concat_ws(',', CASE WHEN kind <> 'supporting' AND v = 5 THEN 'prohibited_material_or_headline_claim' END, CASE WHEN kind <> 'supporting' AND v IN (3, 4) THEN 'unresolved_unsupported_or_overstated_material_or_headline' END,
+        CASE WHEN doc_id % 4 = 1 AND doc_id % 8 <> 5 THEN 'conditional_claim_missing_required_qualifier' END, CASE WHEN doc_id % 50 = 9 THEN 'deterministic_precheck_failure' END, CASE WHEN kind = 'supporting' AND doc_id % 11 = 0 THEN 'supporting_removal_hides_material_limitations' END) AS rules FROM k)
+SELECT doc_id, rules = '' AS exportable, rules FROM g""",
+)
+def export_gate(spark, d):
+    i = F.col("doc_id")
+    c = _verdicts(spark, d).select(
+        "doc_id", "verdict", F.when(i % 3 == 0, "material").when(i % 3 == 1, "headline").otherwise("supporting").alias("kind"), (i % 4 == 1).alias("conditional"), (i % 8 == 5).alias("qualified"),
+        (i % 50 == 9).alias("precheck_failed"), (i % 11 == 0).alias("hides_limitation"),
+    )
+    return claims.export_gate(c).select("doc_id", "exportable", F.array_join("blocking_rules", ",").alias("rules"))
+
+
+@query(
+    "fact_table",
+    "SELECT 'profile.mean_' || l_returnflag AS fact_key, printf('%.2f L', avg(l_quantity)) AS display, round(avg(l_quantity), 6) AS raw FROM lineitem GROUP BY l_returnflag",
+)
+def fact_table(spark, d):
+    r = _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("raw"))
+    facts = r.select(F.concat(F.lit("profile.mean_"), "l_returnflag").alias("fact_key"), "raw", F.lit("L").alias("unit"), F.array().cast("array<string>").alias("evidence_ids"))
+    return claims.fact_table(facts).select("fact_key", "display", *r6("raw"))
+
+
+@query("gate_view", f"{_RULES} SELECT 'ALL' AS scope, '{V.G1}' AS protocol_id, CASE WHEN sum(beyond_3sigma) + sum(one_side_runs) + sum(monotone_runs) + sum(quartile_shift) > 0 THEN 'material_warning' ELSE 'pass' END AS state FROM o UNION ALL SELECT 'ALL', '{V.G2}', 'ineligible'")
+def gate_view(spark, d):
+    rows = event_rows(spark, d)
+    g1 = stability.stability_screen(rows, EVENT_POLICY)
+    g2 = gates.sufficiency_gate(gates.product_support(rows), g1, g1.select("scope", F.lit(False).alias("valid")), EVENT_POLICY)
+    return views.gate_view(g1, g2).select("scope", "protocol_id", "state")
+
+
+@query("table_fingerprint")
+def table_fingerprint(spark, d):
+    return measurements.table_fingerprint(_t(spark, d, "orders"))
+
+
+@query(
+    "result_drift",
+    "SELECT CAST(c_nationkey AS VARCHAR) AS scope, 'customers' AS field, CAST(count(*) AS VARCHAR) AS now, CAST(count(*) - 1 AS VARCHAR) AS was FROM customer GROUP BY c_nationkey HAVING c_nationkey % 3 = 0",
+)
+def result_drift(spark, d):
+    now = _t(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("scope")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    was = now.withColumn("customers", F.when(F.col("scope").cast("int") % 3 == 0, F.col("customers") - 1).otherwise(F.col("customers")))
+    return views.drift(now, was)
