@@ -12,7 +12,7 @@ from plumbline.operators.prepare import Policy
 
 def as_decimal(x: Column) -> Column:
     """A double as the decimal that it prints as."""
-    return x.cast("string").cast("decimal(38,18)")
+    return x.cast("string").try_cast("decimal(38,18)")
 
 
 def attach_bounds(protocols: DataFrame, bounds: DataFrame) -> DataFrame:
