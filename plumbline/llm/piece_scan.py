@@ -299,12 +299,7 @@ class Pieces:
         """For each state in which the chunk can be left: its ids, and the state in which it is entered."""
         first, last = self._parts(chunk, before)
         if first < 0:
-            inside = {i: v for i, v in entry.items() if i < len(chunk)}
-            out = self.path(chunk + look, inside, len(chunk)) if inside else {}
-            for i, v in entry.items():
-                if i >= len(chunk):
-                    out.setdefault(i - len(chunk), ([], i))
-            return out
+            return self.path(chunk + look, entry, len(chunk))
         left = self.path(chunk[:first], {i: v for i, v in entry.items() if i <= first}, first)[0] if first else ([], 0)
         middle = (self.middles([chunk], [before])[0] if inner is None else inner).tolist()
         return {j: (left[0] + middle + ids, left[1]) for j, (ids, _) in self.path(chunk[last:] + look, {0: 0}, len(chunk) - last).items()}

@@ -235,16 +235,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 part = batch.column("part")[0].as_py()
             for a, b in slices(texts):
                 flat, counts = enc.encode_texts(texts.slice(a, b - a))
-                ends = np.cumsum(counts)
                 # the end id after each text
-                flat = np.insert(flat, ends, END_ID)
-                ids.append(flat)
-                lengths += (counts + 1).tolist()
-                doc_ids += numbers[a:b]
-                held += len(flat)
-                if held >= shard_tokens:
-                    yield pa.RecordBatch.from_pylist([_shard_row(part, seq, enc.bits, ids, doc_ids, lengths)], _FILE)
-                    seq, held, ids, doc_ids, lengths = seq + 1, 0, [], [], []
+                flat = np.insert(flat, np.cumsum(counts), END_ID)
+                sizes = counts + 1
+                ends, first = np.cumsum(sizes), 0
+                while first < len(sizes):
+                    done = ends[first] - sizes[first]
+                    last = min(len(sizes), int(np.searchsorted(ends, done + shard_tokens - held)) + 1)
+                    ids.append(flat[done : ends[last - 1]])
+                    lengths += sizes[first:last].tolist()
+                    doc_ids += numbers[a + first : a + last]
+                    held += len(ids[-1])
+                    if held >= shard_tokens:
+                        yield pa.RecordBatch.from_pylist([_shard_row(part, seq, enc.bits, ids, doc_ids, lengths)], _FILE)
+                        seq, held, ids, doc_ids, lengths = seq + 1, 0, [], [], []
+                    first = last
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_shard_row(part, seq, enc.bits, ids, doc_ids, lengths)], _FILE)
 
