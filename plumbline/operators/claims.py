@@ -45,9 +45,7 @@ def scan_content(files: DataFrame, key: str = "doc_id", text: str = "text", most
 def numbers_in(text: Column) -> Column:
     """Number tokens of a text, identifiers masked."""
     masked = F.regexp_replace(text, V.MASKED_IDENTIFIERS, "")
-    # each token is preceded by one character that is no part of a name or number
-    spaced = F.regexp_replace(masked, r"([0-9]%?)(?=[^A-Za-z0-9_.%])", "$1 ")
-    return F.regexp_extract_all(spaced, F.lit(V.NUMBERS_IN_TEXT), F.lit(1))
+    return F.regexp_extract_all(masked, F.lit(V.NUMBERS_IN_TEXT), F.lit(1))
 
 
 def ungrounded_numbers(texts: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,7 +53,7 @@ def ungrounded_numbers(texts: DataFrame, facts: DataFrame, key: str = "doc_id",
 
     ``facts(value string)`` may be any size: an anti join on the normal form of the number.
     """
-    normal = lambda c: F.when(c.endswith("%"), c).otherwise(c.cast("decimal(38,12)").cast("string"))
+    normal = lambda c: F.when(c.endswith("%"), c).otherwise(c.try_cast("decimal(38,12)").cast("string"))
     tokens = texts.select(key, F.explode(F.array_distinct(numbers_in(F.col(text)))).alias("token")).withColumn("normal", F.coalesce(normal(F.col("token")), F.col("token")))
     allowed = facts.select(F.coalesce(normal(F.col("value")), F.col("value")).alias("normal")).distinct()
     return tokens.join(allowed, "normal", "left_anti").select(key, "token")

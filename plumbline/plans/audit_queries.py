@@ -687,9 +687,16 @@ def content_limits(spark, d):
     return claims.scan_content(docs, most_bytes=20_000, blocklist=block)
 
 
-@query("numeric_grounding")
+_GROUNDING = """
+WITH t AS (SELECT doc_id, regexp_replace(text || ' It has ' || n_chars || ' characters, 100% of ' || (n_chars + 1) || '; see M1_product and 12.50.', 'MASK', '', 'g') AS t FROM documents),
+k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, 'NUMBER', 1)) AS token FROM t),
+n AS (SELECT *, CASE WHEN ends_with(token, '%') THEN token ELSE coalesce(CAST(TRY_CAST(token AS DECIMAL(38, 12)) AS VARCHAR), token) END AS normal FROM k)
+SELECT doc_id, token FROM n WHERE normal NOT IN (SELECT CAST(CAST(n_chars AS DECIMAL(38, 12)) AS VARCHAR) FROM documents)"""
+
+
+@query("numeric_grounding", _GROUNDING.replace("MASK", V.MASKED_IDENTIFIERS).replace("NUMBER", V.NUMBERS_IN_TEXT))
 def numeric_grounding(spark, d):
-    """Numbers in conversations that are no document's length."""
+    """Numbers in documents, with a sentence of numbers added, that are no document's length."""
     facts = _t(spark, d, "documents").select(F.col("n_chars").cast("string").alias("value"))
     texts = _t(spark, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" It has "), F.col("n_chars").cast("string"), F.lit(" characters, 100% of "), (F.col("n_chars") + 1).cast("string"), F.lit("; see M1_product and 12.50."))
         .alias("text"))
