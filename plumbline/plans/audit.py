@@ -66,7 +66,7 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
 def audit_evidence(chosen: DataFrame, protocols: DataFrame, decisions: DataFrame, policy: Policy) -> DataFrame:
     """Selection, protocol and action evidence, each citing what it rests on."""
     none = F.array().cast("array<string>")
-    base = chosen.select("scope", F.lit("RIEC").alias("component"), F.concat_ws(" ", F.col("scope"), F.coalesce("winner", F.lit("near tie"))).alias("statement"), F.lit("ok").alias("status"), F.col("gap").alias("value"), F.lit("").alias("unit"), none.alias("parents"))
+    base = chosen.select("scope", F.lit("SELECTION").alias("component"), F.concat_ws(" ", F.col("scope"), F.coalesce("winner", F.lit("near tie"))).alias("statement"), F.lit("ok").alias("status"), F.col("gap").alias("value"), F.lit("").alias("unit"), none.alias("parents"))
     e1 = evidence.make_evidence(base)
     p = protocols.join(e1.select("scope", F.col("evidence_id").alias("parent")), "scope", "left").select(
         "scope", F.lit("PROTOCOL").alias("component"), F.concat_ws(" ", "scope", "protocol_id").alias("statement"), "status", F.col("point_estimate").alias("value"), F.lit(policy.unit).alias("unit"), F.array_compact(F.array("parent")).alias("parents")
