@@ -27,11 +27,11 @@ from plumbline.llm.folds import held_out
 from plumbline.llm.segments import span_hashes
 from plumbline.llm.word_arrays import slices, text_bytes
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 5000
 BUCKETS = 1 << 17
 GRAMS = (4, 5)
 DIM = 8
-EPOCHS = 12
+EPOCHS = 16
 BATCH = 64
 RATE = 0.3
 SCALE = 40.0
