@@ -8,19 +8,19 @@ with probability 1 / (THRESHOLD * size), by a hash that all sets share, and goes
 picked shingle. Two linked sets share an expected picked shingle or more per level, unlinked sets soon
 part. A node of at most ``LIMIT`` sets is compared by brute force (one matrix product), a larger one is
 split again, up to ``LEVELS`` times. One run finds a link of similarity 0.8 in a node of depth d with
-probability of about 0.63**d or more, so 16 runs miss it with 1e-7 at depth 1, 3e-4 at depth 2.
+probability of about 0.63**d or more, so 16 runs miss it with 1e-7 at depth 1, 3e-4 at depth 2, 1e-2 at depth 3.
 
-What shares ``LEVELS`` shingles and is still more than ``LIMIT`` sets is a family of near copies. It
-is dealt to sub-buckets by a hash that differs from node to node, and some ``PIVOTS`` of its sets go
-to all of its sub-buckets: every set is compared with the pivots and with its own sub-bucket in each
-of its nodes, so families hold together while the work grows in proportion to their size.
+Before sets are fetched, nodes are thinned by sketches (``SKETCH`` MinHash bytes per class): a set that
+agrees with no other set of its node in ``AGREE`` bytes or more leaves the node. A linked pair agrees
+in 25.6 of 32 on average, in fewer than 12 with a probability under 1e-7.
 
-Before sets are fetched, buckets are thinned by sketches (``SKETCH`` MinHash bytes per class): a set
-that agrees with no other set of its bucket in ``AGREE`` bytes or more leaves the bucket. A linked pair
-agrees in 25.6 of 32 on average, in fewer than 12 with a probability under 1e-7.
+What shares ``LEVELS`` shingles and is still more than ``LIMIT`` sets is a family of near copies. Its
+sets are dealt to blocks, and every pair of blocks is a *tile*, compared as a bucket of its own, so all
+pairs of a node meet, each in one tile. The work on a family grows with the square of its size, spread
+over its tiles.
 
-Within a bucket no pairs leave the task: it returns a spanning forest of the links, for the classes,
-and for each set its number of links that no earlier node of the two sets has counted.
+No pairs leave the task: a tile returns a spanning forest of its links, for the classes, and for each
+set its number of links that no earlier node of the two sets has counted.
 
 Defined results: a text of 1 to 4 words is one shingle of all its words; a text without words is
 linked to nothing; a null doc_id belongs to no class (class_id null); rows with one doc_id and one text
@@ -45,9 +45,10 @@ THRESHOLD = 0.8
 RUNS = 16
 LEVELS = 3
 LIMIT = 200
-PIVOTS = 8
 SKETCH = 32
 AGREE = 12
+SET_BLOCK = 4  # times the limit: sets to a block
+SKETCH_BLOCK = 10
 
 PROFILE = "doc_id long, s1 long, s2 long, n int"
 PICKED = PROFILE + ", sketch binary, picked array<array<long>>"
@@ -151,7 +152,7 @@ def picks(docs: DataFrame, threshold: float, runs: int, levels: int) -> DataFram
 
 
 def buckets(classes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
-    """(node, sub, rep, pivot): the buckets that chosen paths end in, of two sets or more."""
+    """(node, count, rep): the nodes that chosen paths end in, of two sets or more."""
     nodes = (
         classes.select("rep", F.posexplode(F.slice("picked", 1, runs)).alias("run", "tokens"))
         .select("rep", "run", F.explode("tokens").alias("token"))
@@ -176,16 +177,21 @@ def buckets(classes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame
         whole = whole.unionByName(more)
     # runs that end in the same sets need one comparison; a node here has at most ``limit`` sets
     same = whole.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("sets"))
-    once = same.groupBy("sets").agg(F.min("node").alias("node")).select("node", F.lit(0).alias("sub"), F.explode("sets").alias("rep"), F.lit(False).alias("pivot"))
-    # families: dealt to sub-buckets, pivots to all of them
-    dealt = large.withColumn("subs", F.ceil(F.col("count") / limit).cast("int")).withColumn("draw", F.xxhash64("rep", "node", F.lit(1)))
-    dealt = dealt.withColumn("pivot", F.pmod("draw", F.col("count")) < PIVOTS).withColumn("own", F.pmod(F.xxhash64("rep", "node"), F.col("subs")).cast("int"))
-    every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("subs") - 1)).otherwise(F.array("own"))
-    return once.unionByName(dealt.select("node", F.explode(every).alias("sub"), "rep", "pivot"))
+    once = same.groupBy("sets").agg(F.min("node").alias("node")).select("node", F.size("sets").cast("long").alias("count"), F.explode("sets").alias("rep"))
+    return once.unionByName(large.select("node", "count", "rep"))
 
 
-def _bucket_links(ids, sets, stays, node: int, sub: int, threshold: float) -> list[tuple[int, int | None, int]]:
-    """Forest links (a, b, 0) and counts (a, None, links) of one bucket."""
+def tiles(rows: DataFrame, block: int) -> DataFrame:
+    """Every row once for each pair of its own block with a block of its node: (i, j), i <= j, and
+    ``sub``, its own."""
+    subs = F.ceil(F.col("count") / block).cast("int")
+    dealt = rows.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("rep", "node"), F.col("subs")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    return spread.withColumns({"i": F.least("sub", "other"), "j": F.greatest("sub", "other")}).drop("subs", "other", "count")
+
+
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets of ``left`` are linked to which of ``right``."""
     n = np.array([len(s) for s in sets])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(column, minlength=len(values)) > 1
@@ -193,46 +199,60 @@ def _bucket_links(ids, sets, stays, node: int, sub: int, threshold: float) -> li
     row = np.repeat(np.arange(len(sets)), n)
     used = often[column]
     row, column = row[used], place[column[used]]
-    width, inter = int(often.sum()), np.zeros((len(sets), len(sets)), np.float32)
+    width, inter = int(often.sum()), np.zeros((len(left), len(right)), np.float32)
     for a in range(0, width, 8192):  # bounded memory, whatever the sets' sizes
         part = (column >= a) & (column < a + 8192)
         x = np.zeros((len(sets), min(8192, width - a)), np.float32)
         x[row[part], column[part] - a] = 1
-        inter += x @ x.T
-    linked = inter >= threshold * (n[:, None] + n[None] - inter) - 1e-6
-    np.fill_diagonal(linked, False)
-    if not linked.any():
+        inter += x[left] @ x[right].T
+    return inter >= threshold * (n[left][:, None] + n[right][None] - inter) - 1e-6
+
+
+def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The links of a spanning forest of a symmetric matrix of links."""
+    fresh = linked.any(1)
+    while fresh.any():
+        frontier = [int(np.argmax(fresh))]
+        fresh[frontier] = False
+        while frontier:
+            at = frontier.pop()
+            found = np.flatnonzero(linked[at] & fresh)
+            fresh[found] = False
+            frontier += found.tolist()
+            yield from ((at, int(k)) for k in found)
+
+
+def _tile_links(ids, sets, nodes, own, node: int, i: int, j: int, threshold: float) -> list[tuple[int, int | None, int]]:
+    """Forest links (a, b, 0) and counts (a, None, links) of one tile. All pairs of a node's sets meet in
+    one of its tiles, so what two sets share an earlier node with is found there."""
+    own = np.array(own)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    earlier = {m: k for k, m in enumerate(sorted({m for those in nodes for m in those if m < node}))}
+    member = np.zeros((len(sets), len(earlier)), np.float32)
+    for k, those in enumerate(nodes):
+        member[k, [earlier[m] for m in those if m < node]] = 1
+    new = member[left] @ member[right].T == 0
+    if i == j:
+        np.fill_diagonal(new, False)
+    rows, columns = new.any(1), new.any(0)
+    if not rows.any():
         return []
-    out, root = [], np.arange(len(sets))
-    for i, j in zip(*np.nonzero(np.triu(linked))):
-        if root[i] != root[j]:
-            out.append((int(ids[i]), int(ids[j]), 0))
-            root[root == root[j]] = root[i]
-    # links that an earlier node of both sets has counted
-    at: dict[int, list[tuple[int, int, bool]]] = {}
-    for k, own in enumerate(stays):
-        for m, s, p in own:
-            if m < node or (m == node and s < sub):
-                at.setdefault(m, []).append((k, s, p))
-    for m, those in at.items():
-        if len(those) > 1:
-            k, s, p = (np.array(c) for c in zip(*those))
-            meet = (s[:, None] == s[None]) if m < node else (s[:, None] == s[None]) & (p[:, None] & p[None])
-            linked[np.ix_(k, k)] &= ~meet
-            if m < node:
-                # a pivot meets every set of its node
-                pivots = np.unique(k[p])
-                linked[np.ix_(pivots, k)] = False
-                linked[np.ix_(k, pivots)] = False
-    return out + [(int(ids[i]), None, int(c)) for i, c in enumerate(linked.sum(1)) if c]
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one bucket at a time from batches sorted by bucket."""
+    left, right, new = left[rows], right[columns], new[np.ix_(rows, columns)]
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(left, right)] = _links(sets, left, right, threshold) & new
+    if i != j:
+        linked |= linked.T
+    out = [(int(ids[a]), int(ids[b]), 0) for a, b in _forest(linked)]
+    return out + [(int(ids[a]), None, int(c)) for a, c in enumerate(linked.sum(1)) if c]
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one tile at a time from batches sorted by tile."""
+    tile = lambda r: (r["node"], r["i"], r["j"])
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (held[0]["node"], held[0]["sub"]) != (row["node"], row["sub"]):
+            if held and tile(held[0]) != tile(row):
                 yield held
                 held = []
             held.append(row)
@@ -240,33 +260,39 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _in_tiles(rows: DataFrame, run, schema: str) -> DataFrame:
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, schema)
+
+
 def compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """Brute force in every bucket: forest links and counts."""
+    """Brute force in every tile: forest links and counts."""
 
     def run(batches):
-        for held in _by_bucket(batches):
-            unique = {r["rep"]: r for r in held}
-            ids = sorted(unique)
-            found = _bucket_links(
-                ids,
-                [np.frombuffer(unique[i]["shingles"], np.uint64) for i in ids],
-                [[(s["node"], s["sub"], s["pivot"]) for s in unique[i]["stays"]] for i in ids],
-                held[0]["node"],
-                held[0]["sub"],
+        for held in _by_tile(batches):
+            first = held[0]
+            found = _tile_links(
+                [r["rep"] for r in held],
+                [np.frombuffer(r["shingles"], np.uint64) for r in held],
+                [r["nodes"] for r in held],
+                [r["sub"] for r in held],
+                first["node"],
+                first["i"],
+                first["j"],
                 threshold,
             )
             if found:
                 a, b, c = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], names=["a", "b", "links"])
 
-    return rows.repartition("node", "sub").sortWithinPartitions("node", "sub").mapInArrow(run, FOUND)
+    return _in_tiles(rows, run, FOUND)
 
 
-def thinned(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Bucket rows whose set may have a link in the bucket, by the classes' sketches."""
+def thinned(rows: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """(node, count, rep): the rows whose set may have a link in the node, by the classes' sketches; of
+    nodes that then have the same sets, one."""
 
     def run(batches):
-        for held in _by_bucket(batches):
+        for held in _by_tile(batches):
             x = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(-1, SKETCH)
             near = np.zeros(len(x), bool)
             for a in range(0, len(x), 64):
@@ -274,13 +300,13 @@ def thinned(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 near[a : a + 64] = agree.sum(1) > 1  # one is the set itself
             kept = [r for r, k in zip(held, near) if k]
             if kept:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["node"] for r in kept], pa.int64()), pa.array([r["sub"] for r in kept], pa.int32()), pa.array([r["rep"] for r in kept], pa.int64()), pa.array([r["pivot"] for r in kept], pa.bool_())],
-                    names=["node", "sub", "rep", "pivot"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], pa.int64()) for c in ("node", "rep")], names=["node", "rep"])
 
-    joined = rows.join(classes.select("rep", "sketch"), "rep").select("node", "sub", "rep", "pivot", "sketch")
-    return joined.repartition("node", "sub").sortWithinPartitions("node", "sub").mapInArrow(run, "node long, sub int, rep long, pivot boolean")
+    joined = tiles(rows.join(classes.select("rep", "sketch"), "rep"), SKETCH_BLOCK * limit)
+    kept = written(_in_tiles(joined, run, "node long, rep long").distinct(), "near")
+    sums = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    once = kept.groupBy("node").agg(F.count("*").alias("count"), *sums).groupBy("count", "x1", "x2").agg(F.min("node").alias("node"))
+    return kept.join(once.select("node", "count"), "node")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -306,12 +332,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     profile = written(profiles(docs), "profiles")
     known = picks(docs, threshold, runs, levels).filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = written(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("picked").alias("picked")), "classes")
-    rows = written(thinned(buckets(classes, runs, levels, limit), classes), "buckets")
+    rows = written(thinned(buckets(classes, runs, levels, limit), classes, limit), "buckets")
     # a set stands in at most a few nodes per run
-    stays = rows.groupBy("rep", "node").agg(F.max("pivot").alias("pivot"), F.min("sub").alias("sub")).groupBy("rep").agg(F.collect_list(F.struct("node", "sub", "pivot")).alias("stays"))
+    stays = rows.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
     reps = classes.join(stays.select("rep"), "rep", "left_semi").select("rep", "s1", "s2", "n")
     full = sets_of(docs, reps).join(stays, "rep")
-    found = written(compare(rows.select("node", "sub", "rep").join(full, "rep"), threshold), "found")
+    found = written(compare(tiles(rows, SET_BLOCK * limit).join(full, "rep"), threshold), "found")
     label = components(found.filter(F.col("b").isNotNull()))
     links = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
     named = classes.select("s1", "s2", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")

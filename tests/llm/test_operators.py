@@ -150,6 +150,16 @@ def test_jaccard_join_against_brute_force(spark):
     assert whole == {i: len(links.get(i, ())) for i in range(len(texts))}
 
 
+def test_jaccard_join_counts_all_links_of_a_family_over_the_limit(spark):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base[:c] + [f"x{c}_{k}"] + base[c + 1 :]) for k in range(130) for c in [rng.randrange(150)]]
+    _, links = brute_links(texts)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_classes(table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), levels=1, limit=8).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(links[i]) for i in range(len(texts))}
+    assert {r.class_id for r in got.values()} == {0}
+
+
 def test_jaccard_join_odd_inputs(spark):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(odd(spark)).collect()}
     assert got[None] == (None, 0) and all(v == (k, 0) for k, v in got.items() if k is not None)
