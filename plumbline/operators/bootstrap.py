@@ -24,25 +24,27 @@ from plumbline.session import written
 VALUES = "scope string, replicate int, protocol_id string, value double"
 
 
-def bootstrap_draws(groups: DataFrame, replicates: int, seed: int, mode: str = "hashed", max_groups: int = 200) -> DataFrame:
+def bootstrap_draws(groups: DataFrame, replicates: int, seed: int, mode: str = "hashed") -> DataFrame:
     """(scope, replicate, group_token, w): how often each replicate draws each group.
 
-    ``compatible`` draws like Python's generator over the sorted tokens, on the driver, for scopes of at
-    most ``max_groups`` groups; ``hashed`` draws by a hash, in SQL, for any number.
+    ``compatible`` draws like Python's generator over the sorted tokens, a scope in one task
+    because its draws are one stream; ``hashed`` draws by a hash, in SQL.
     """
     tokens = groups.select("scope", "group_token").distinct()
     if mode == "compatible":
-        spark, out = groups.sparkSession, []
-        small = tokens.groupBy("scope").agg(F.count("*").alias("g"), F.array_sort(F.collect_list("group_token")).alias("tokens")).filter(F.col("g") <= max_groups)
-        for row in small.toLocalIterator():
-            rng = random.Random(seed)
-            for r in range(replicates):
-                drawn: dict[str, int] = {}
-                for _ in row.tokens:
-                    t = rng.choice(row.tokens)
-                    drawn[t] = drawn.get(t, 0) + 1
-                out += [(row.scope, r, t, w) for t, w in sorted(drawn.items())]
-        return spark.createDataFrame(out, "scope string, replicate int, group_token string, w int")
+        held = tokens.groupBy("scope").agg(F.array_sort(F.collect_list("group_token")).alias("tokens"))
+
+        def draw(batches):
+            for scope, own in ((s, list(t)) for pdf in batches for s, t in zip(pdf["scope"], pdf["tokens"])):
+                rng = random.Random(seed)
+                for r in range(replicates):
+                    drawn: dict[str, int] = {}
+                    for _ in own:
+                        t = rng.choice(own)
+                        drawn[t] = drawn.get(t, 0) + 1
+                    yield pd.DataFrame({"scope": scope, "replicate": r, "group_token": list(drawn), "w": list(drawn.values())})
+
+        return held.mapInPandas(draw, "scope string, replicate int, group_token string, w int")
     ranked = tokens.withColumn("i", F.row_number().over(Window.partitionBy("scope").orderBy("group_token")) - 1)
     size = tokens.groupBy("scope").agg(F.count("*").alias("g"))
     slots = size.select("scope", "g", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))

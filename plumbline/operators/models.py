@@ -18,6 +18,8 @@ from plumbline.functions.fixed_values import CANDIDATES
 FACTORS = ("product", "stream", "shift")
 MIN_ROWS, MIN_GROUPS = 80, 4
 RANK_TOLERANCE = 1e-10
+FOLD_BLOCK = 1000
+ALL_GROUPS = "\x01all"  # stands for all groups of a scope among its cells
 
 COEFFICIENTS = (
     "scope string, candidate_id string, ordinal int, fold_token string, failure_code string, k int, intercept double, slope double, t_mean double, "
@@ -141,32 +143,44 @@ class Design:
 
     def folds(self) -> list[tuple[str, dict]]:
         """The fit on all groups (fold '') and on all but one."""
-        gram, right = self.gram.sum(0), self.right.sum(0)
+        whole = self.groups == ALL_GROUPS
+        whole = whole if whole.any() else ~whole
+        gram, right = self.gram[whole].sum(0), self.right[whole].sum(0)
         out = [("", self.solve(gram, right, None))]
         if out[0][1]["failure_code"] is None:
             for i, g in enumerate(self.groups):
-                out.append((g, self.solve(gram - self.gram[i], right - self.right[i], self.gram[i])))
+                if g != ALL_GROUPS:
+                    out.append((g, self.solve(gram - self.gram[i], right - self.right[i], self.gram[i])))
         return out
 
 
-def fit_all(cells: DataFrame, tried: DataFrame) -> DataFrame:
+def fit_all(cells: DataFrame, tried: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
     """Coefficients of every feasible candidate on all rows (fold '') and without each group.
 
-    A task gets the cells of one scope: as many as it has groups and factor combinations.
+    A task gets the cells of one scope: as many as it has groups and factor combinations. Of a scope with
+    more than ``block`` groups it gets those of about ``block`` groups, and the sums over all groups.
     """
-    work = cells.join(tried.filter(F.col("reason").isNull()).select("scope", "candidate_id", "ordinal", "terms"), "scope")
+    wanted = tried.filter(F.col("reason").isNull()).select("scope", "candidate_id", "ordinal", "terms", F.ceil(F.col("n_groups") / block).cast("int").alias("parts"))
+    own = cells.join(wanted, "scope").withColumn("part", F.pmod(F.xxhash64("group_token"), F.col("parts")).cast("int"))
+    sums = [F.sum(c).alias(c) for c in ("n", "sy", "st", "stt", "sty")]
+    totals = cells.groupBy("scope", *FACTORS).agg(*sums, F.first("y_mean").alias("y_mean"), F.first("t_mean").alias("t_mean")).withColumn("group_token", F.lit(ALL_GROUPS))
+    shared = totals.join(wanted.filter(F.col("parts") > 1), "scope").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    work = own.unionByName(shared)
     names = [c.strip().split(" ")[0] for c in COEFFICIENTS.replace("map<string,double>", "m").split(",")]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         fixed = {"scope": first["scope"], "candidate_id": first["candidate_id"], "ordinal": int(first["ordinal"])}
-        rows = [fixed | {"fold_token": token} | result for token, result in Design(pdf, list(first["terms"])).folds()]
+        folds = Design(pdf, list(first["terms"])).folds()
+        rows = [fixed | {"fold_token": token} | result for token, result in folds if token or not first["part"]]
+        if not rows:
+            return pd.DataFrame(columns=names)
         out = pd.DataFrame(rows).reindex(columns=names).astype({"k": "Int32"})
         for c in ("failure_code", *(f"{f}_effects" for f in FACTORS)):
             out[c] = pd.Series([r.get(c) for r in rows], dtype=object)
         return out
 
-    return work.groupBy("scope", "candidate_id").applyInPandas(fit, COEFFICIENTS)
+    return work.groupBy("scope", "candidate_id", "part").applyInPandas(fit, COEFFICIENTS)
 
 
 def prediction() -> Column:

@@ -20,7 +20,7 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     rows, scopes = prepare(df, roles, scope_cols)
     rows, scopes = written(rows, "rows"), written(scopes, "scopes")
     cells = written(models.cell_statistics(rows), "cells")
-    tried = models.feasible(scopes.withColumn("failure_code", F.when(F.col("n_groups") > policy.max_groups, "RIEC_TOO_MANY_GROUPS_EXACT_LOGO").otherwise(F.col("failure_code"))))
+    tried = models.feasible(scopes)
     coefficients = written(models.fit_all(cells, tried), "coefficients")
     crossfit = models.score_rows(rows, coefficients, held_out=True)
     ledger = written(models.candidate_ledger(rows, tried, coefficients, crossfit), "ledger")
@@ -33,7 +33,7 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     if student:
         protocols = protocols.unionByName(headroom.parametric_headroom(kept, policy, student=True))
     protocols = written(protocols, "protocols")
-    draws = written(bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode, policy.max_groups), "draws")
+    draws = written(bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode), "draws")
     terms = models.candidate_table(df.sparkSession)
     equivalent = members.join(F.broadcast(terms), "candidate_id")
     values = bootstrap.bootstrap_h1(rows, draws, policy).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, equivalent, policy, student))

@@ -278,6 +278,26 @@ def test_whole_audit_on_a_stable_process(spark):
 from plumbline.functions.fixed_values import ACTION_STATES as V_STATES  # noqa: E402
 
 
+def test_audit_of_more_groups_than_max_groups(spark):
+    rng = np.random.default_rng(5)
+    data = [(round(250.4 + 0.05 * (i % 2) + 0.12 * rng.normal(), 3), f"p{i % 2}", f"b{i // 4:03d}") for i in range(840)]
+    df = spark.createDataFrame(data, "quantity double, product string, batch_id string")
+    roles = Roles("quantity", ("batch_id",), product="product")
+    tables = audit(df, roles, Policy(nominal=250.0, lower_limit=249.5, replicates=10, min_success=5), draw_mode="compatible", student=False)
+    assert {r.status for r in tables["ledger"].filter("candidate_id IN ('M0_intercept', 'M1_product')").collect()} == {"ok"}
+    assert {r.protocol_id for r in tables["protocols"].collect()} == {"H1_group_empirical_quantile", "H2_gaussian_residual_tail"}
+    assert {(r.requested, r.successful) for r in tables["bounds"].collect()} == {(10, 10)}
+
+
+def test_folds_in_blocks_are_the_folds_of_the_whole(spark):
+    rows, scopes = prepare(spark.createDataFrame(stage_rows(), COLUMNS), ROLES)
+    cells, tried = models.cell_statistics(rows), models.feasible(scopes)
+    got, want = ({(r.candidate_id, r.fold_token): (r.failure_code, r.k, r.intercept, r.slope) for r in models.fit_all(cells, tried, block=b).collect()} for b in (3, 1000))
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k][:2] == v[:2] and got[k][2:] == pytest.approx(v[2:])
+
+
 def test_profile_types_missing_and_identifiers(spark):
     df = spark.createDataFrame(
         [("12", "007", "1.5", "true", "2026-01-01", "2026-01-01", "a@b.co", "NA"), ("", "8", ".5e1", "FALSE", "2026-01-02T10:00:00Z", "2026-01-02", "x", "b")],
