@@ -17,7 +17,6 @@ from plumbline.operators.prepare import Policy, decimal
 
 SKEWNESS, KURTOSIS, SCALE_RATIO, DEGENERATE = 1.0, 3.0, 2.0, 1e-12
 MIN_DF, MAX_DF, DF_EDGE = 2.1, 100.0, 1e-3
-BINS = 1 << 20
 QUANTILE_ACCURACY = 10_000
 
 
@@ -104,13 +103,8 @@ def scale_ratio(crossfit: DataFrame) -> DataFrame:
 
 
 def compacted(values: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(keys, x, n): distinct values with counts; a scope with very many is brought to a grid of ``BINS``
-    steps over its range, so that what one task gets is bounded."""
-    counts = values.groupBy(*keys, x).agg(F.count("*").alias("n"))
-    spread = counts.groupBy(*keys).agg(F.count("*").alias("__many"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    step = (F.col("__hi") - F.col("__lo")) / BINS
-    grid = F.when(F.col("__many") > BINS, F.col("__lo") + F.round((F.col(x) - F.col("__lo")) / step) * step).otherwise(F.col(x))
-    return counts.join(spread, keys).withColumn(x, grid).groupBy(*keys, x).agg(F.sum("n").alias("n"))
+    """(keys, x, n): distinct values with counts."""
+    return values.groupBy(*keys, x).agg(F.count("*").alias("n"))
 
 
 TAIL = "scope string, candidate_id string, failure_code string, headroom double, baseline_risk double, feasible boolean, censored boolean, df double, location double, scale double"

@@ -375,3 +375,9 @@ def test_every_query_runs_and_matches_sql(spark):
         r = c.sql(entry.oracle_sql()[name])
         at = [r.columns.index(x) for x in columns]
         assert mine == sorted(str(tuple(row[i] for i in at)) for row in r.fetchall()), name
+
+
+def test_headroom_values_are_not_rounded_to_a_grid(spark):
+    n = 1_100_000
+    values = spark.range(n).select(F.lit("ALL").alias("scope"), F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") / n).alias("x"))
+    assert headroom.compacted(values, ["scope"], "x").count() == n
