@@ -781,6 +781,34 @@ def state_semantics(spark, d):
     return claims.state_semantics(docs)
 
 
+_STATES = ("pilot_range_supported", "pilot_only_conservative", "diagnose_process_first", "insufficient_evidence", "no_actionable_headroom", "invalid_contract")
+
+
+def _missing_sql(*checks: str) -> str:
+    """A list of ``lacks: phrase`` and ``holds: phrase``, each null where the text is in order."""
+    one = lambda c: f"CASE WHEN {'NOT ' * c.startswith('lacks')}contains(t, '{c[7:]}') THEN '{c}' END"
+    return ", ".join(one(c) for c in checks)
+
+
+@query(
+    "state_semantics_all",
+    f"""
+WITH d AS (SELECT doc_id, lower(text || ({_CLAIM})) AS t FROM documents),
+m AS (SELECT doc_id, unnest(CASE doc_id % 6
+  WHEN 0 THEN [{_missing_sql("lacks: retrospective screening reference", "lacks: controlled pilot", "lacks: engineering review", "lacks: not a production setpoint")}]
+  WHEN 1 THEN [{_missing_sql("lacks: conservative", "lacks: controlled pilot", "lacks: not a production setpoint")}, CASE WHEN NOT (contains(t, 'protocol disagreement') OR contains(t, 'protocol conflict')) THEN 'lacks: protocol disagreement' END, {_missing_sql("holds: full agreement", "holds: protocols agree", "holds: complete agreement", "holds: unanimous")}]
+  WHEN 2 THEN [{_missing_sql("lacks: no pilot interval", "lacks: process diagnosis")}, CASE WHEN len(list_filter(string_split_regex(t, '[.!?;\\n]+'), lambda s: contains(s, 'pilot') AND regexp_matches(s, '{V.NUMBERS_IN_TEXT}'))) > 0 THEN 'holds: numeric pilot interval' END]
+  WHEN 3 THEN [{_missing_sql("lacks: cannot support an action", "lacks: diagnostic headroom")}]
+  WHEN 4 THEN [{_missing_sql("lacks: no actionable headroom", "lacks: no pilot interval")}]
+  WHEN 5 THEN [{_missing_sql("lacks: contract")}] END) AS missing FROM d)
+SELECT doc_id, missing FROM m WHERE missing IS NOT NULL""",
+)
+def state_semantics_all(spark, d):
+    """Every document, under each of the six states in turn."""
+    state = F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return claims.state_semantics(_with_claims(spark, d).withColumn("state", state))
+
+
 @query(
     "export_gate",
     f"""

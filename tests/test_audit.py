@@ -381,3 +381,15 @@ def test_headroom_values_are_not_rounded_to_a_grid(spark):
     n = 1_100_000
     values = spark.range(n).select(F.lit("ALL").alias("scope"), F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") / n).alias("x"))
     assert headroom.compacted(values, ["scope"], "x").count() == n
+
+
+def test_state_semantics_judges_every_document_under_six_states(spark):
+    from plumbline.plans import audit_queries
+
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.n for r in audit_queries.QUERIES["state_semantics_all"](spark, d).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {k % 6 for k in got} == set(range(6))
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert got == dict(duckdb.sql(f"SELECT doc_id, count(*) FROM ({audit_queries.ORACLE_SQL['state_semantics_all']}) GROUP BY 1").fetchall())
