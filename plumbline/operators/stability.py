@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,12 @@ STREAM = ["scope", "product", "stream"]
 def ordered_segments(rows: DataFrame) -> DataFrame:
     """Rows in order with their segment. Ties with blank or repeated keys are dropped and split the
     sequence; ``resolved`` says which rows stay."""
-    tie = Window.partitionBy(*STREAM, "time_h")
     blank = (F.size("tie_key") == 0) | F.exists("tie_key", lambda k: k.isNull() | (k == ""))
-    marked = rows.select(*STREAM, "y", "time_h", "tie_key", F.count("*").over(tie).alias("n_tied"), F.max(blank.cast("int")).over(tie).alias("any_blank"), F.size(F.collect_set("tie_key").over(tie)).alias("n_keys"))
+    keys = rows.groupBy(*STREAM, "time_h", "tie_key").agg(F.count("*").alias("n"), F.max(blank.cast("int")).alias("blank"))
+    ties = keys.groupBy(*STREAM, "time_h").agg(F.sum("n").alias("n_tied"), F.max("blank").alias("any_blank"), F.count("tie_key").alias("n_keys"))
+    ties = ties.select(*[F.col(c).alias(f"__{c}") for c in (*STREAM, "time_h")], "n_tied", "any_blank", "n_keys")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*STREAM, "time_h")])
+    marked = rows.select(*STREAM, "y", "time_h", "tie_key").join(ties, same).drop(*[f"__{c}" for c in (*STREAM, "time_h")])
     resolved = (F.col("n_tied") == 1) | ((F.col("any_blank") == 0) & (F.col("n_keys") == F.col("n_tied")))
     marked = marked.withColumn("resolved", resolved)
     upto = Window.partitionBy(*STREAM).orderBy("time_h", "tie_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)

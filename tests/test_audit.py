@@ -383,6 +383,14 @@ def test_headroom_values_are_not_rounded_to_a_grid(spark):
     assert headroom.compacted(values, ["scope"], "x").count() == n
 
 
+def test_ties_are_counted_without_a_list(spark):
+    rows = [("ALL", "p", "s", float(i), t, k) for i, (t, k) in enumerate([(0.0, ["a"]), (0.0, ["b"]), (1.0, ["a"]), (1.0, ["a"]), (2.0, [""]), (2.0, ["b"]), (3.0, []), (4.0, None)])]
+    df = spark.createDataFrame(rows, "scope string, product string, stream string, y double, time_h double, tie_key array<string>")
+    out = stability.ordered_segments(df)
+    assert {r.y: r.resolved for r in out.collect()} == dict(enumerate([True, True, False, False, False, False, True, True]))
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+
+
 def test_state_semantics_judges_every_document_under_six_states(spark):
     from plumbline.plans import audit_queries
 
