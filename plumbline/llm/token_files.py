@@ -157,7 +157,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(vocabulary.values()).bit_length())
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)

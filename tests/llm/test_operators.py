@@ -505,3 +505,14 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert kept == {r[0] for r in clean} | {200 + i for i in range(10)}
     assert {r.text.split("\n")[-1] for r in seen.filter("doc_id >= 200").collect()} == {f"own{i} " * 9 for i in range(10)}
+
+
+def test_token_files_special_literals_against_a_fresh_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "one two  <|endoftext|>  three", "<|endoftext|> <|endoftext|> é <|endof text|>", "plain words"]
+    ids, counts = token_files.Encoder(path).encode_texts(pa.array(texts))
+    fresh = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(fresh, []) and counts.tolist() == [len(f) for f in fresh]
