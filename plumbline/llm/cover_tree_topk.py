@@ -6,15 +6,18 @@ over its queries and one over every ``BLOCK`` rows of its slice. A node pair (Q,
 
     <cQ, cX> + |cQ| rX + |cX| rQ + rQ rX  <  the worst kth score of the queries under Q,
 
-with centres c and covering radii r. What is left is evaluated by matrix products; per-query results
-of the slices merge by a window. The search is exact: nothing is sampled, and a tie is never pruned.
+with centres c (points themselves) and covering radii r, and queries under Q by their own kth score.
+What is left is evaluated by matrix products; per-query results of the slices merge by a window. The
+search is exact: nothing is sampled, and a tie is never pruned.
 
-A node's children lie within half of its radius; where a set has no such structure (its points lie
-at equal distances, as in high dimensions) it stays one leaf, and the search is one product.
+Where a set has no structure (its points lie at nearly equal distances, as random vectors of many
+dimensions do) its node stays one leaf: a ball around any two points then reaches every query's best
+scores, no bound can prune, and the search is one product. ``DualTree.evaluated`` of ``offered`` tells.
 
 Defined results: null vectors, vectors with null or non-finite components and rows without vec_id
-take no part; of rows with one vec_id the least vector counts; shorter vectors are padded with 0;
-other columns are ignored; an empty table gives no rows. Scores must fit a long.
+take no part; rows with one vec_id are each a candidate and a query, and only a row itself is left out
+of its own result (equal rows are interchangeable); shorter vectors are padded with 0; other columns
+are ignored; an empty table gives no rows. Scores must fit a long.
 """
 
 from __future__ import annotations
@@ -33,58 +36,63 @@ LEAF = 64
 GROUP = 256
 QUERY_LEAF = 64
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 class CoverTree:
-    """Nodes with centre, covering radius, children, and the rows of leaves."""
+    """A cover tree over points: every centre is a point, a node's first child has the node's own centre
+    (nesting), children's centres lie more than half of the node's radius apart (separation) and all
+    points within that half of one of them (covering)."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.centre: list[np.ndarray] = []
+        self.points = points.astype(np.float64)
+        self.squares = (self.points * self.points).sum(1)
+        self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray] = []
         if len(points):
-            self._node(points.astype(np.float64), np.arange(len(points)), leaf)
-        self.centres = np.array(self.centre) if self.centre else np.zeros((0, points.shape[1]))
+            rows = np.arange(len(points))
+            first = int(self._squared(rows, self.points.mean(0)).argmin())
+            self._node(rows, first, self._squared(rows, self.points[first]), leaf)
+        self.centres = self.points[self.centre]
         self.radii = np.array(self.radius)
         self.norms = np.linalg.norm(self.centres, axis=1)
 
-    def _node(self, points: np.ndarray, rows: np.ndarray, leaf: int) -> int:
-        own = points[rows]
-        centre = own.mean(0)
-        away = np.linalg.norm(own - centre, axis=1)
+    def _squared(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.maximum(0, self.squares[rows] - 2 * (self.points[rows] @ point) + point @ point)
+
+    def _node(self, rows: np.ndarray, centre: int, away: np.ndarray, leaf: int) -> int:
+        """Adds the node of ``rows``, whose squared distances from ``centre`` are ``away``."""
         me = len(self.centre)
+        # the product form of a distance is off by rounding: widen the radius by more than that
+        slack = 1e-7 * float(np.sqrt(self.squares[rows].max()))
         self.centre.append(centre)
-        self.radius.append(float(away.max()) * (1 + 1e-9))
+        self.radius.append(float(np.sqrt(away.max())) * (1 + 1e-9) + slack)
         self.children.append([])
         self.rows.append(rows)
-        if len(rows) <= leaf or away.max() == 0:
+        if len(rows) <= leaf or away.max() <= slack * slack:
             return me
-        parts = self._cover(own, float(away.max()) / 2, max(64, len(rows) // 16))
-        if parts is not None and parts.max() > 0:
-            self.children[me] = [self._node(points, rows[parts == k], leaf) for k in range(parts.max() + 1)]
+        cover = self._cover(rows, centre, away)
+        if cover is not None:
+            centres, part, near = cover
+            self.children[me] = [self._node(rows[part == k], c, near[part == k], leaf) for k, c in enumerate(centres)]
             self.rows[me] = rows[:0]
         return me
 
-    @staticmethod
-    def _cover(own: np.ndarray, radius: float, most: int) -> np.ndarray | None:
-        """Each row's nearest of at most ``most`` centres, farthest points first, that cover all rows
-        within ``radius``; None if so many do not."""
-        squares = (own * own).sum(1)
-        near = np.full(len(own), np.inf)
-        part = np.zeros(len(own), np.int64)
-        at = 0
-        for k in range(most):
-            distance = squares - 2 * (own @ own[at]) + squares[at]
+    def _cover(self, rows: np.ndarray, centre: int, away: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray] | None:
+        """Centres, each row's nearest of them and its squared distance: the farthest row becomes the next
+        centre until all lie within half of the radius. None if that takes too many to be of use."""
+        centres, part, near = [centre], np.zeros(len(rows), np.int64), away.copy()
+        bound, most = away.max() / 4, max(64, len(rows) // 16)
+        while near.max() > bound:
+            if len(centres) == most or (len(centres) == 64 and np.median(near) > 2.25 * bound):
+                return None  # the typical row is far from every centre: no structure to split by
+            centres.append(int(rows[near.argmax()]))
+            distance = self._squared(rows, self.points[centres[-1]])
             closer = distance < near
-            near[closer], part[closer] = distance[closer], k
-            at = int(near.argmax())
-            if near[at] <= radius * radius:
-                return part
-            if k == 63 and np.median(near) > 2.25 * radius * radius:
-                return None  # 64 centres leave the typical row far outside: no structure to split by
-        return None
+            near[closer], part[closer] = distance[closer], len(centres) - 1
+        return centres, part, near
 
     def beneath(self, node: int) -> np.ndarray:
         if not self.children[node]:
@@ -128,16 +136,20 @@ class TopK:
 class DualTree:
     """Queries under their own cover tree against one block of data after another."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int = TOP):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int = TOP, copies: np.ndarray | None = None):
         self.ids, self.queries, self.k = query_ids, queries, k
+        self.copies = np.zeros(len(query_ids), np.int64) if copies is None else copies
+        self.norms = np.linalg.norm(queries.astype(np.float64), axis=1)
         self.tree = CoverTree(queries, QUERY_LEAF)
         self.under = [self.tree.beneath(i) for i in range(len(self.tree.centre))]
         self.best = TopK(len(query_ids), k)
-        self.evaluated = 0
+        self.evaluated = self.offered = 0  # pairs scored, of all pairs
 
-    def search(self, ids: np.ndarray, data: np.ndarray) -> None:
+    def search(self, ids: np.ndarray, data: np.ndarray, copies: np.ndarray | None = None) -> None:
         order = np.argsort(ids, kind="stable")
         self.data_ids, self.data = ids[order], data[order]
+        self.data_copies = np.zeros(len(ids), np.int64) if copies is None else copies[order]
+        self.offered += len(ids) * len(self.ids)
         limit = float(np.abs(self.queries).max(initial=0)) * float(np.abs(self.data).max(initial=0)) * max(1, self.data.shape[1])
         self.kind = np.float64 if limit < 2**53 else np.int64  # products are exact in either
         self.over = CoverTree(self.data)
@@ -174,15 +186,25 @@ class DualTree:
             if size >= 1024 or i == len(nodes) - 1:
                 kept = self._alive(q, np.array(batch))
                 if len(kept):
-                    self._evaluate(self.under[q], np.sort(np.concatenate([self.over.rows[k] for k in kept.tolist()])))
+                    self._leaves(self.under[q], kept)
                 batch, size = [], 0
 
+    def _leaves(self, rows: np.ndarray, leaves: np.ndarray) -> None:
+        """Scores the leaves' points for the queries that their own kth score leaves open."""
+        bound = self.queries[rows].astype(np.float64) @ self.over.centres[leaves].T + self.norms[rows, None] * self.over.radii[leaves]
+        open_ = bound + 1e-9 * (1 + np.abs(bound)) >= self.best.score[rows, -1][:, None]
+        rows, leaves = rows[open_.any(1)], leaves[open_.any(0)]
+        if len(rows):
+            self._evaluate(rows, np.sort(np.concatenate([self.over.rows[k] for k in leaves.tolist()])))
+
     def _evaluate(self, rows: np.ndarray, points: np.ndarray) -> None:
         data = self.data[points].astype(self.kind)
         for a in range(0, len(rows), GROUP):
             part = rows[a : a + GROUP]
             score = (self.queries[part].astype(self.kind) @ data.T).astype(np.int64)
-            score[self.ids[part][:, None] == self.data_ids[points][None]] = np.iinfo(np.int64).min
+            i, j = np.nonzero((self.ids[part][:, None] == self.data_ids[points][None]) & (self.copies[part][:, None] == self.data_copies[points][None]))
+            own = (self.queries[part[i]] == self.data[points[j]]).all(1)
+            score[i[own], j[own]] = np.iinfo(np.int64).min
             self.evaluated += score.size
             self.best.add(part, score, self.data_ids[points])
 
@@ -198,11 +220,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(64 * x) of every vector that takes part."""
+    """(vec_id, v, copy): floor(64 * x) of every vector that takes part; ``copy`` numbers rows that agree
+    in both, so that these three name a row whatever the partitioning."""
     x = F.col("embedding")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     kept = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & sound)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 64)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 64)).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
 
 
 def top_inner_products(embeddings: DataFrame, k: int = TOP, step: int = QUERY_STEP) -> DataFrame:
@@ -213,22 +236,27 @@ def top_inner_products(embeddings: DataFrame, k: int = TOP, step: int = QUERY_ST
     slices, blocks = max(1, -(-n // SLICE)), max(1, -(-nq // QUERY_BLOCK))
     # small tables: as many slices as there are tasks to share the search
     slices = max(slices, min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)))
-    data = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = vectors.filter(is_query).select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
+    spread = F.pmod(F.xxhash64("vec_id", "copy"), F.lit(slices))
+    data = vectors.select("vec_id", "v", "copy", spread.alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    block = F.pmod(F.xxhash64("vec_id", "copy", F.lit(7)), F.lit(blocks)).cast("int")
+    queries = vectors.filter(is_query).select("vec_id", "v", "copy", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
     dims = int(width or 0)
 
     def search(key, own, rows):
         if not own.num_rows or not rows.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        dual = DualTree(own.column("vec_id").to_numpy(), _matrix(own.column("v"), dims), k)
-        ids, points = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dims)
+            return pa.table({name: pa.array([], pa.int64()) for name in ("query_id", "query_row", "vec_id", "score")})
+        owners, own_copies, own_points = own.column("vec_id").to_numpy(), own.column("copy").to_numpy(), _matrix(own.column("v"), dims)
+        dual = DualTree(owners, own_points, k, own_copies)
+        ids, copies, points = rows.column("vec_id").to_numpy(), rows.column("copy").to_numpy(), _matrix(rows.column("v"), dims)
         for a in range(0, len(ids), BLOCK):
-            dual.search(ids[a : a + BLOCK], points[a : a + BLOCK])
+            dual.search(ids[a : a + BLOCK], points[a : a + BLOCK], copies[a : a + BLOCK])
         got = dual.best.score > np.iinfo(np.int64).min
-        return pa.table({"query_id": np.repeat(dual.ids, k).reshape(got.shape)[got], "vec_id": dual.best.id[got], "score": dual.best.score[got]})
+        each = lambda x: np.repeat(x, k).reshape(got.shape)[got]
+        return pa.table({"query_id": each(owners), "query_row": each(own.column("row").to_numpy()), "vec_id": dual.best.id[got], "score": dual.best.score[got]})
 
+    queries = queries.withColumn("row", F.xxhash64("vec_id", "v", "copy"))
     found = queries.groupBy("block", "slice").cogroup(data.groupBy("block", "slice")).applyInArrow(search, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

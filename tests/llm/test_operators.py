@@ -343,8 +343,26 @@ def test_dual_tree_is_exact(kind):
     for r, (own, row) in enumerate(zip(ids[q], x[q] @ x.T)):
         want = sorted((-int(s), int(i)) for s, i in zip(row, ids) if i != own)[:20]
         assert want == [(-int(s), int(i)) for s, i in zip(dual.best.score[r], dual.best.id[r]) if s > least]
+    assert dual.offered == q.sum() * n and dual.evaluated <= dual.offered
     if kind == "clusters":
-        assert dual.evaluated < 0.7 * q.sum() * n  # node pairs were pruned
+        assert dual.evaluated < 0.5 * dual.offered  # node pairs were pruned
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(17)
+    x = rng.integers(-400, 400, (40, 6))[rng.integers(0, 40, 3000)] + rng.integers(-6, 7, (3000, 6))
+    tree = cover_tree_topk.CoverTree(x, leaf=8)
+    assert len(tree.centre) > 40 and np.array_equal(np.sort(tree.beneath(0)), np.arange(len(x)))
+    for node, kids in enumerate(tree.children):
+        under, centre = tree.beneath(node), x[tree.centre[node]]
+        away = np.linalg.norm(x[under] - centre, axis=1)
+        assert tree.centre[node] in under and away.max() <= tree.radii[node]
+        if kids:
+            own = x[[tree.centre[c] for c in kids]].astype(float)
+            between = np.linalg.norm(own[:, None] - own[None], axis=2) + 1e9 * np.eye(len(kids))
+            assert tree.centre[kids[0]] == tree.centre[node]  # nesting
+            assert between.min() > away.max() / 2 * (1 - 1e-6)  # separation
+            assert max(tree.radii[c] for c in kids) <= away.max() / 2 + 1e-3  # covering
 
 
 def test_topk_odd_inputs(spark):
@@ -352,12 +370,13 @@ def test_topk_odd_inputs(spark):
     rows = [(0, [0.5, -0.3]), (1, [0.5]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (20, [0.1, 0.2]), (20, [0.1, 0.2]), (None, [1.0, 1.0]), (5, [float("inf"), 0.0]), (6, [0.0, -0.001])]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "rank": F.lit(2)})
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_tree_topk.top_inner_products(t).collect())
-    v = {0: (32, -20), 1: (32, 0), 20: (6, 12), 6: (0, -1)}
+    v = [(0, 32, -20), (1, 32, 0), (20, 6, 12), (20, 6, 12), (6, 0, -1)]  # of equal rows only the query's own is left out
     want = []
-    for q in (0, 20):
-        s = sorted((-(v[q][0] * b[0] + v[q][1] * b[1]), i) for i, b in v.items() if i != q)
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    assert got == want
+    for k, q in enumerate(v):
+        if q[0] % 20 == 0:
+            s = sorted((-(q[1] * b[1] + q[2] * b[2]), b[0]) for j, b in enumerate(v) if j != k)
+            want += [(q[0], r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    assert got == sorted(want)
     assert cover_tree_topk.top_inner_products(t.limit(0)).count() == 0
 
 
