@@ -86,8 +86,8 @@ class CoverTree:
         centres, part, near = [centre], np.zeros(len(rows), np.int64), away.copy()
         bound, most = away.max() / 4, max(64, len(rows) // 16)
         while near.max() > bound:
-            if len(centres) == most or (len(centres) == 64 and np.median(near) > 2.25 * bound):
-                return None  # the typical row is far from every centre: no structure to split by
+            if len(centres) == most or (len(centres) == 64 and (near <= bound).sum() < 4 * 64):
+                return None  # a centre covers hardly more than itself: no structure to split by
             centres.append(int(rows[near.argmax()]))
             distance = self._squared(rows, self.points[centres[-1]])
             closer = distance < near
