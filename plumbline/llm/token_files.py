@@ -5,25 +5,29 @@ shards of about ``SHARD_TOKENS`` tokens (never inside a document). A shard is on
 folder (zstd): its documents' ids and lengths, and the wavelet matrix of its tokens: for each bit of
 the token id, from the highest on, one plane of packed bits, the tokens being sorted stably by that
 bit before the next plane; plus a rank directory. ``WaveletMatrix`` answers access, rank, select and
-count from the planes alone.
+count from the planes alone: rank goes down the planes, select goes back up them, each by the directory.
 
-The file goes through Spark's own writer and reader, so any store that Spark knows can hold it.
+The files go through Spark's own writer and reader, so any store that Spark knows can hold them.
+``read_token_files`` gives the documents back, ``token_counts`` and ``occurrences`` search the planes of
+every shard without decoding it.
 
-Defined results: a null or empty text is the end id alone; equal doc_ids follow one another in any
-order; a null doc_id stands first; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the end id alone; rows with one doc_id follow one another by
+the hash of their texts, nulls first; a null doc_id stands first; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.segments import SegmentStore, gather
 from plumbline.llm.word_arrays import slices, text_bytes
-from plumbline.session import new_path
+from plumbline.session import new_path, written
 
 SHARD_TOKENS = 2_000_000
 END_ID = 0
@@ -31,7 +35,6 @@ BLOCK_BITS = 512
 JOINED = 4096
 
 FILE_SCHEMA = "part int, seq int, bits int, n_tokens long, doc_ids array<long>, lengths array<int>, planes array<binary>, ranks array<binary>, zeros array<int>"
-TOKENS_SCHEMA = "part int, seq int, doc_id long, local_start long, n_tokens long, ids binary"
 
 
 def default_tokenizer() -> str:
@@ -95,15 +98,33 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _place(self, level: int, bit: int, k: int) -> int:
+        """The place of the k-th bit of a plane that is ``bit``: its block by the directory, then within."""
+        before = self.ranks[level].astype(np.int64)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK_BITS, self.n) - before
+        block = int(np.searchsorted(before, k, "right")) - 1
+        rest = np.unpackbits(self.planes[level][block * (BLOCK_BITS // 8) : (block + 1) * (BLOCK_BITS // 8)], bitorder="little")
+        return block * BLOCK_BITS + int(np.flatnonzero(rest == bit)[k - int(before[block])])
+
     def select(self, token: int, k: int) -> int:
         """The place of the k-th occurrence (from 0); -1 if there are fewer."""
-        low, high = 0, self.n
-        if k >= self.count(token):
+        if token >> self.bits:
             return -1
-        while low < high:  # the least i such that rank(token, i + 1) > k
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid + 1) > k else (mid + 1, high)
-        return low
+        a, i = 0, self.n
+        for level in range(self.bits):
+            ones_a, ones_i = self._ones(level, a), self._ones(level, i)
+            if token >> (self.bits - 1 - level) & 1:
+                a, i = self.zeros[level] + ones_a, self.zeros[level] + ones_i
+            else:
+                a, i = a - ones_a, i - ones_i
+        if not 0 <= k < i - a:
+            return -1
+        at = a + k
+        for level in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - level) & 1
+            at = self._place(level, bit, at - self.zeros[level] if bit else at)
+        return at
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, rebuilt from the last plane up."""
@@ -252,44 +273,83 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_shard_row(part, seq, enc.bits, ids, doc_ids, lengths)], _FILE)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), F.col("text").isNotNull(), F.crc32(F.col("text").cast("binary")))
     ordered.withColumn("part", F.spark_partition_id()).mapInArrow(build, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document in the files."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-
-    def decode(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                m = WaveletMatrix(row["n_tokens"], row["bits"], row["planes"], row["ranks"], row["zeros"])
-                tokens = m.tokens().astype("<u4")
-                lengths = np.array(row["lengths"], np.int64)
-                ends = np.cumsum(lengths)
-                data = tokens.tobytes()
-                offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                k = len(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * k, pa.int32()), pa.array([row["seq"]] * k, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), binary],
-                    names=["part", "seq", "doc_id", "local_start", "n_tokens", "ids"],
-                )
-
-    heads = files.select("part", "seq", "n_tokens")
+def shard_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, seq, shard_start): the ids before each shard, written to the shared folder. One row per shard
+    of millions of tokens, whose written size Spark knows when it chooses how to join them."""
+    heads = spark.read.schema(FILE_SCHEMA).parquet(path).select("part", "seq", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per write task
     parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    # ``parts`` has a row per write task; ``starts`` a row per shard of millions of tokens
-    starts = heads.withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).drop("n_tokens").join(F.broadcast(parts), "part")
-    tokens = files.mapInArrow(decode, TOKENS_SCHEMA)
-    return tokens.join(starts, ["part", "seq"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    starts = heads.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part")
+    return written(starts.select("part", "seq", (F.col("part_start") + F.col("before")).alias("shard_start")), "starts")
+
+
+def _shards(batches):
+    """(row, wavelet matrix) of one shard after another."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row, WaveletMatrix(row["n_tokens"], row["bits"], row["planes"], row["ranks"], row["zeros"])
+
+
+def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens of every document in the files, and its ids (little-endian unsigned
+    32-bit) or, with ``digests``, only their checksum ``ids_crc32``."""
+
+    def decode(batches):
+        for row, m in _shards(batches):
+            tokens = m.tokens().astype("<u4")
+            lengths = np.array(row["lengths"], np.int64)
+            ends = np.cumsum(lengths)
+            offsets = np.concatenate([[0], ends * 4])
+            if digests:
+                raw = memoryview(tokens).cast("B")
+                last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64())
+            else:
+                last = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["shard_start"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), last],
+                names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"],
+            )
+
+    files = spark.read.schema(FILE_SCHEMA).parquet(path).join(shard_starts(spark, path), ["part", "seq"])
+    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
+
+
+def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of the tokens stands in the files, counted on the planes."""
+
+    def count(batches):
+        for _, m in _shards(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([m.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    found = spark.read.schema(FILE_SCHEMA).parquet(path).mapInArrow(count, "token long, n long")
+    return found.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(doc_id, place): every occurrence of a token, as a place in its document, by select."""
+
+    def find(batches):
+        for row, m in _shards(batches):
+            at = np.array([m.select(token, k) for k in range(m.count(token))], np.int64)
+            ends = np.cumsum(np.array(row["lengths"], np.int64))
+            doc = np.searchsorted(ends, at, "right")
+            ids = pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at - np.concatenate([[0], ends])[doc], pa.int64())], names=["doc_id", "place"])
+
+    return spark.read.schema(FILE_SCHEMA).parquet(path).mapInArrow(find, "doc_id long, place long")
 
 
 def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, path, digests=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op9_wavelet_token_files": op9_wavelet_token_files}

@@ -382,7 +382,7 @@ def test_topk_odd_inputs(spark):
 
 # --- 9 ---------------------------------------------------------------------------------------------
 
-HARD = ["", "  a  b\n\n c  d x y　z", "don't 's  it's\t x ", "“ q” x", "a \x1c b", "<|endoftext|> x", "日本 語 テスト", "é è  ü", "x ", " x", "  ", "\n", None, "a" * 3000, " 1 2 33 4.5 -- !! ?", "l'école d'ici l' 's", "tab\t tab \x85 nel  line"]
+HARD = ["a<|endoftext|>b", "a <|endoftext|> b", "a<|endoftext|> <|endoftext|>é", "<|endoftext|>  b", "", "  a  b\n\n c  d x y　z", "don't 's  it's\t x ", "“ q” x", "a \x1c b", "<|endoftext|> x", "日本 語 テスト", "é è  ü", "x ", " x", "  ", "\n", None, "a" * 3000, " 1 2 33 4.5 -- !! ?", "l'école d'ici l' 's", "tab\t tab \x85 nel  line"]
 
 
 def test_token_files_round_trip(spark):
@@ -394,13 +394,34 @@ def test_token_files_round_trip(spark):
     path = new_path(spark, "tokens")
     token_files.write_token_files(table(spark, rows), path, shard_tokens=2000)
     got = {r.doc_id: r for r in token_files.read_token_files(spark, path).collect()}
-    tokenizer = token_files.encoder(token_files.default_tokenizer()).tokenizer
-    start = 0
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())  # a fresh one, nothing set
+    start, held = 0, {}
     for i, t, *_ in sorted(rows):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         assert (got[i].start, got[i].n_tokens) == (start, len(ids)) and bytes(got[i].ids) == np.array(ids, "<u4").tobytes()
         start += len(ids)
+        held[i] = ids
     assert spark.read.parquet(path).count() > 3
+    checks = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, path, digests=True).collect()}
+    assert checks == {i: (got[i].start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in held.items()}
+    wanted = [0, 262, 50256, held[7][0], 60_000_000]
+    assert {r.token: r.n for r in token_files.token_counts(spark, path, wanted).collect()} == {t: sum(ids.count(t) for ids in held.values()) for t in wanted}
+    for t in (0, 262):
+        assert {(r.doc_id, r.place) for r in token_files.occurrences(spark, path, t).collect()} == {(i, k) for i, ids in held.items() for k, x in enumerate(ids) if x == t}
+
+
+def test_token_files_order_rows_of_one_doc_id_by_text(spark):
+    from plumbline.session import new_path
+
+    rows = [(5, t, "en", "s", 0) for t in ("b b", None, "a", "", "a", "c c c")] + [(1, "x", "en", "s", 0)]
+    seen = []
+    for parts in (1, 3):
+        path = new_path(spark, "tokens")
+        token_files.write_token_files(table(spark, rows).repartition(parts), path)
+        seen.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in token_files.read_token_files(spark, path).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
 
 
 def test_token_files_odd_inputs(spark):
@@ -422,7 +443,7 @@ def test_wavelet_matrix_queries():
     for t in (5, int(x[3]), 49_999):
         at = np.flatnonzero(x == t)
         assert m.count(t) == len(at) and m.rank(t, 1000) == (x[:1000] == t).sum()
-        assert [m.select(t, k) for k in range(min(5, len(at)))] == at[:5].tolist() and m.select(t, len(at)) == -1
+        assert [m.select(t, k) for k in range(len(at))] == at.tolist() and m.select(t, len(at)) == m.select(t, -1) == -1
     none = token_files.WaveletMatrix.build(x[:0], 16)
     assert len(none.tokens()) == 0 and none.count(3) == 0
 
