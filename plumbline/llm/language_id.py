@@ -2,16 +2,18 @@
 
 Bytes are embedded, filters of widths 2, 3 and 4 run over windows of ``WINDOW`` bytes, each filter's
 largest response goes through a rectifier into a softmax over the languages. Trained in numpy by Adam
-on windows of at most ``TRAIN_ROWS`` documents of the training folds (in hash order of their id, at
-most ``WINDOWS_PER_ROW`` evenly spread windows each).
+on all windows of the whole texts of at most ``TRAIN_ROWS`` documents of the training folds, in hash
+order of their id: the one bound on what is learned from.
 
 Every whole text is tiled by windows; a text's score is the mean of its windows' probabilities,
 weighted by their bytes. Filters are evaluated from tables of byte pairs, which are the embeddings
 multiplied out: fixed size, sent by broadcast.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; without training
-rows every text is ``und``; a null language is not learned from; repeated rows are each judged; an
-empty table gives no rows; other columns are ignored.
+rows every text is ``und``; a null language is not learned from; of rows that share a doc_id the least
+language and the least text are learned from; repeated rows are each judged; an empty table gives no
+rows; other columns pass through whatever their names, but columns named ``lang_pred`` and ``score``
+make way for the results of ``predict``. ``identified`` returns the columns that it was given.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 DIM = 8
 TRAIN_ROWS = 2000
-WINDOWS_PER_ROW = 6
-EPOCHS = 8
+EPOCHS = 4
 BATCH = 128
 UNKNOWN = "und"
+MIN_SCORE = 0.5
 
 
 def tiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,24 +148,21 @@ def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarra
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
-    def pick(batches):
+    def cut(batches):
         for batch in batches:
             for a, b in slices(batch.column("text")):
-                x, owner, length = tiles(batch.column("text").slice(a, b - a))
-                first = np.searchsorted(owner, np.arange(b - a))
-                count = np.searchsorted(owner, np.arange(b - a), "right") - first
-                kept = [f + np.unique(np.linspace(0, n - 1, min(n, WINDOWS_PER_ROW)).astype(int)) if n else np.zeros(0, int) for f, n in zip(first, count)]
-                size = [len(k) for k in kept]
-                at = np.concatenate(kept) if kept else np.zeros(0, int)
-                who = pa.array(np.repeat(np.arange(a, b), size))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("lang").take(who), pa.array(at, pa.int64()), pa.array([r.tobytes() for r in x[at]], pa.binary())], names=["doc_id", "lang", "at", "bytes"])
+                x, owner, _ = tiles(batch.column("text").slice(a, b - a))
+                who = pa.array(owner + a)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("lang").take(who), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "bytes"])
 
     # ``chosen`` has at most ``rows`` rows
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     ready = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    found = ready.mapInArrow(pick, "doc_id long, lang string, at long, bytes binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.at))
-    return np.frombuffer(b"".join(r.bytes for r in found), np.uint8).reshape(-1, WINDOW), [r.lang for r in found]
+    found = ready.mapInArrow(cut, "doc_id long, lang string, bytes binary").toArrow()
+    # a document's windows stay in order: it is cut by one task
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    windows = np.frombuffer(b"".join(found.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)[order]
+    return windows, found.column("lang").take(pa.array(order)).to_pylist()
 
 
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
@@ -187,23 +186,35 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
                 weighted = net.probabilities(x, tables) * length[:, None]
                 total = np.stack([np.bincount(owner, weighted[:, k], minlength=b - a) for k in range(len(names))], 1)
                 share = total / np.maximum(1, np.bincount(owner, length, minlength=b - a))[:, None]
-                letters = np.array(part.column("letters"))
+                letters = np.array(part.column(part.num_columns - 1))
                 best = share.argmax(1)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(np.where(letters, names[best], UNKNOWN).tolist(), pa.string()), pa.array(np.where(letters & (names[best] != UNKNOWN), np.clip(share.max(1), 0, 1), 0.0), pa.float64())],
                     names=[*part.schema.names[:-1], "lang_pred", "score"],
                 )
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return kept.withColumn("letters", letters).mapInArrow(run, f"{fields}, lang_pred string, score double")
-
-
-def identified(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents whose text has a language: those without letters are rejected."""
-    out = predict(docs, learn(docs, rows))
-    return out.filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    # a name that no column has; dropped by its place, the last
+    letters = "__letters"
+    while letters in kept.columns:
+        letters += "_"
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return kept.withColumn(letters, has).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE, languages: list[str] | None = None) -> DataFrame:
+    """The documents whose language the network tells: those without letters, those whose best language
+    has a score below ``min_score``, and with ``languages`` those in other languages are rejected. A
+    null ``lang`` is filled with the prediction."""
+    net = learn(docs, rows)
+    own = [c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]
+    mine = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, own)])
+    out = predict(mine, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    if languages is not None:
+        out = out.filter(F.col("lang_pred").isin(languages))
+    told = lambda c, name: F.coalesce(F.col(name), "lang_pred") if c == "lang" else F.col(name)
+    return out.select(*[told(c, name).alias(c) for c, name in zip(docs.columns, own)])
 
 
 def op8_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,14 @@ line's sources go into a HyperLogLog sketch that merges by aggregation; lines wh
 near the threshold get an exact distinct count, all others are decided by the sketch. Lines are
 compared by the MD5 digest of the trimmed line; blank lines are never boilerplate.
 
+One line may stand in a third of all documents. Counts and sketches merge before any shuffle, and rows
+meet the keys by ``join_by_key``: the lines that hold more than 1/10000 of all rows by broadcast, the
+others by a shuffle.
+
 Defined results: a null text has no lines and stays null; a null source counts as no site; repeated
 rows are each rewritten; a document made of boilerplate alone keeps its row with an empty text; an
-empty table gives no rows.
+empty table gives no rows; other columns pass through, but two of the names of ``counts`` make way for
+the results.
 """
 
 from __future__ import annotations
@@ -15,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.hot_keys import join_by_key
+from plumbline.session import written
+
 MIN_SITES = 8
 LG_K = 12  # relative standard error 1.04 / sqrt(2**12) = 1.6 %
 NEAR = 0.1  # six standard errors
@@ -31,29 +39,34 @@ def line_sites(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """The keys of lines that at least ``min_sites`` sources share."""
+    """(key, n): the lines that at least ``min_sites`` sources share, and the documents that hold them."""
     margin = max(1.0, NEAR * min_sites)
     sites = line_sites(docs)
-    spread = sites.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(lg_k))).alias("sites"))
-    sure = spread.filter(F.col("sites") > min_sites + margin).select("key")
-    near = spread.filter(F.abs(F.col("sites") - min_sites) <= margin).select("key")
-    exact = sites.join(near, "key", "left_semi").groupBy("key").agg(F.count_distinct("source").alias("sites"))
-    return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("key"))
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """The documents with boilerplate lines taken out of ``text``; adds n_lines and n_removed."""
+    sketched = sites.groupBy("key").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(lg_k))).alias("sites"))
+    spread = written(sketched.filter(F.col("sites") >= min_sites - margin), "spread")
+    sure = spread.filter(F.col("sites") > min_sites + margin).select("key", "n")
+    near = spread.filter(F.col("sites") <= min_sites + margin).select("key", "n")
+    counted = join_by_key(sites, near, ["key"], "n").distinct()  # a row per line and source
+    exact = counted.groupBy("key", "n").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites)
+    return written(sure.unionByName(exact.select("key", "n")), "boilerplate")
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The documents with boilerplate lines taken out of ``text``; adds the numbers of lines and of lines
+    removed under the names of ``counts``."""
     bad = boilerplate_keys(docs, min_sites, lg_k)
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_key))).alias("key"))
-    per_doc = keyed.join(bad, "key", "left_semi").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__bad"))
+    per_doc = join_by_key(keyed, bad, ["key"], "n").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__bad"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), line_key(x)))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    n_lines, n_removed = counts
     return (
-        joined.withColumn("n_lines", F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long"))
+        joined.withColumn(n_lines, size(lines).cast("long"))
         .withColumn("__kept", F.when(F.col("__bad").isNull(), lines).otherwise(kept))
-        .withColumn("n_removed", (F.col("n_lines") - F.greatest(F.coalesce(F.size("__kept"), F.lit(0)), F.lit(0))).cast("long"))
-        .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text")))
+        .withColumn(n_removed, (F.col(n_lines) - size("__kept")).cast("long"))
+        .withColumn("text", F.when(F.col(n_removed) > 0, F.array_join("__kept", "\n")).otherwise(F.col("text")))
         .drop("__bad", "__kept")
     )
 

@@ -43,6 +43,7 @@ def table(spark, rows):
 def odd(spark):
     """Odd rows with columns whose names clash with those that operators use."""
     extra = {"shard": F.lit(1), "key": F.lit("k"), "score": F.lit(0.5), "lang_pred": F.lit("zz"), "chunk": F.lit(3), "n": F.lit(4), "part": F.lit(5), "row": F.lit(6), "rank": F.lit(7), "size": F.lit(8)}
+    extra |= {"letters": F.lit("abc"), "n_lines": F.lit(-1), "n_removed": F.lit(-2), "node": F.lit(9), "n_links": F.lit(10), "item_id": F.lit(11), "copy": F.lit(12), "toxic": F.lit(13), "held_out": F.lit(14)}
     return table(spark, ODD).withColumns(extra)
 
 
@@ -99,9 +100,29 @@ def test_line_dedup_counts_sites_not_documents(spark):
     assert got[100].text == "few\n0" and got[200].text == "0"
 
 
+def test_line_dedup_with_hot_and_seldom_keys_apart(spark, monkeypatch):
+    from plumbline.llm import hot_keys
+
+    rng = random.Random(2)
+    lines = [f"line {k}" for k in range(40)]
+    rows = [(i, "\n".join([f"own {i}", "everywhere", *(x for k, x in enumerate(lines) if rng.random() < 1 / (k + 1))]), "en", f"s{rng.randrange(10)}", 0) for i in range(300)]
+    want = {}
+    sites = {}
+    for i, t, _, s, _ in rows:
+        for x in set(t.split("\n")):
+            sites.setdefault(x, set()).add(s)
+    for i, t, *_ in rows:
+        want[i] = "\n".join(x for x in t.split("\n") if len(sites[x]) < line_dedup.MIN_SITES)
+    for hot in (3, 10_000):  # a few keys by broadcast and the rest shuffled; all by broadcast
+        monkeypatch.setattr(hot_keys.join_by_key, "__defaults__", ("inner", hot))
+        assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(table(spark, rows)).collect()} == want
+
+
 def test_line_dedup_odd_inputs(spark):
     got = line_dedup.remove_boilerplate(odd(spark))
     assert got.count() == len(ODD) and got.filter("doc_id = 1").first().text is None and got.filter("doc_id = 1").first().n_lines == 0
+    own = line_dedup.remove_boilerplate(odd(spark), counts=("a", "b"))
+    assert {(r.n_lines, r.n_removed) for r in own.collect()} == {(-1, -2)}
     assert line_dedup.remove_boilerplate(empty(spark)).count() == 0
 
 
@@ -307,7 +328,20 @@ def test_language_identification(spark):
     assert odd_out[4].lang_pred != "und"
     assert language_id.predict(empty(spark), net).count() == 0
     assert {r.lang_pred for r in language_id.predict(odd(spark), language_id.learn(empty(spark))).collect()} == {"und"}
-    assert set(language_id.identified(odd(spark)).columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
+    kept = language_id.identified(odd(spark))
+    assert kept.columns == odd(spark).columns and {r.letters for r in kept.collect()} == {"abc"}
+    assert language_id.identified(empty(spark)).count() == 0
+
+
+def test_language_stage_rejects_by_the_prediction(spark):
+    docs, _ = synthetic(spark)
+    docs = docs.unionByName(table(spark, [(9000, "kalomita mikalo tatalo " * 9, None, "s", 0), (9001, "kalo eitung qaoll xyzzy 0w " * 3, None, "s", 0)]))
+    kept = {r.doc_id: r.lang for r in language_id.identified(docs, min_score=0.95).collect()}
+    all_ = {r.doc_id: r.score for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    assert set(kept) == {k for k, v in all_.items() if v >= 0.95} and kept[9000] == "aa"
+    assert 400 < len(kept) < len(all_)
+    only = {r.lang for r in language_id.identified(docs, languages=["bb"]).collect()}
+    assert only == {"bb"}
 
 
 def test_tables_equal_the_convolution():
@@ -547,6 +581,25 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.text.split("\n")[-1] for r in seen.filter("doc_id >= 200").collect()} == {f"own{i} " * 9 for i in range(10)}
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "word word word word word word word"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd(spark), empty(spark)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= n, name
+            if n:
+                assert {(r.n_lines, r.n_removed, r.letters, r.score) for r in out.collect()} == {(-1, -2, "abc", 0.5)}, name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert last.columns == ["doc_id", "n_pieces", "score", "ids"] and last.count() == n
+    assert {r.doc_id for r in corpus_pipeline.with_language(spark, odd(spark), str(tmp_path)).collect()} >= {4, 5}
+    assert corpus_pipeline.without_benchmark(spark, odd(spark), str(tmp_path)).filter("doc_id = 5").count() == 0
+    odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 4, 6, 7}
+
+
 def test_token_files_special_literals_against_a_fresh_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
