@@ -34,7 +34,7 @@ TRAIN_ROWS = 2000
 EPOCHS = 4
 BATCH = 128
 UNKNOWN = "und"
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def tiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,14 +6,17 @@ states: T[i, j] is the best score of its own pieces if the piece that crosses in
 first i bytes and its own last piece covers j bytes beyond it. The matrix of two parts on end is the
 max-plus product of theirs, which is associative. Hence
 
-* documents of more than ``CHUNK_CHARS`` characters are dealt out as chunks; each chunk's matrix is
-  computed on its own, a scan over the matrices gives the scores with which each chunk is entered,
-  and every chunk is then backtraced on its own from each state in which it can be left; one more
-  pass over these small tables picks the states, and so the pieces;
-* no piece crosses from a character into a space, so there the only state is 0 and the matrix a
-  single number: between two such places the best pieces depend on nothing else, and each distinct
-  segment is solved once per worker (``SegmentStore``). Whole documents up to ``CHUNK_CHARS`` are
-  sums of such segments.
+* documents of more than ``CHUNK_BYTES`` are dealt out as chunks, cut between characters in one pass
+  over the bytes; each chunk's matrix is computed on its own. The matrices are combined as an
+  associative scan: ``FAN`` neighbours at a time are multiplied pair by pair to the matrix of their
+  block, the blocks' matrices again, until one block is left (up), and the states with which blocks are
+  entered go down the same tree to the chunks. Every chunk is then backtraced on its own from each
+  state in which it can be left, and a pass over these small tables picks the states, and so the pieces;
+* where no piece that occurs crosses a place, the only state is 0 and the matrix a single number:
+  between two such places the best pieces depend on nothing else, and each distinct segment is solved
+  once per worker (``SegmentStore``). No piece crosses from a character into a space; in long spans
+  without spaces (Chinese, Japanese, Thai) such places are found by looking up all their substrings at
+  once. Whole documents up to ``CHUNK_BYTES`` are sums of such segments.
 
 Scores are exact integers. Ties go to the longer last piece, as in the library's own unigram search.
 A character outside the vocabulary costs the lowest score less 10 and becomes byte pieces.
@@ -23,7 +26,8 @@ pieces and scores are used here as a unigram model (see the README).
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; the character
 U+2581 counts as a space, as in the library; repeated rows are each encoded; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows. A row of the table is a row of the result, so a text's ids come
+together in one row, as its bytes did: a document is bounded by what a row may hold (2 GB).
 """
 
 from __future__ import annotations
@@ -36,13 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.segments import SegmentStore, gather
-from plumbline.llm.word_arrays import slices, text_bytes
+from plumbline.llm.word_arrays import _power_table, slices, text_bytes
 from plumbline.session import written
 
-CHUNK_CHARS = 65_536
+CHUNK_BYTES = 16_384
+FAN = 64
 SLICE_BYTES = 1_000_000
 STORED = 1_000_000  # distinct segments a worker keeps
-LOOK_CHARS = 64  # no piece is longer
+LOOK_BYTES = 256  # no piece is longer
 NEVER = -(1 << 62)
 SHORT = 64
 _B = 0x9E3779B97F4A7C15
@@ -238,14 +243,42 @@ class Pieces:
             out[j] = (ids[::-1], at)
         return out
 
+    def free_places(self, data: np.ndarray) -> np.ndarray:
+        """Which of the places 0 to n of ``data`` begin a character and are crossed by no piece that stands
+        in it: all substrings that may be pieces are looked up at once, one length after another."""
+        n = len(data)
+        change = np.zeros(n + self.longest + 1, np.int32)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(np.uint64(_B), n), out=sums[1:])
+        inverse = _power_table(np.uint64(_INV), n + 1)
+        live = np.flatnonzero(self.by_first[data] >= 2)
+        for k in range(2, min(self.longest, n) + 1):
+            live = live[(self.by_first[data[live]] >= k) & (live + k <= n)]
+            if not len(live):
+                break
+            if k > SHORT:  # not in the table: a piece may start at any of these
+                at = live
+            else:
+                at = live[self._lookup((sums[live + k] - sums[live]) * inverse[live]) >= 0]
+            np.add.at(change, at + 1, 1)
+            np.add.at(change, at + k, -1)
+        out = np.cumsum(change[: n + 1]) == 0
+        out[:n] &= (data & 0xC0) != 0x80
+        return out
+
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments: cut before a space that follows another character, and at the given offsets."""
+        """Segments: cut before a space that follows another character, at the given offsets, and in long
+        spans wherever no piece crosses."""
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[1:n] = (data[1:] == 32) & (data[:-1] != 32)
         edge[offsets] = True
         edge[n] = False
         start = np.flatnonzero(edge)
+        end = np.append(start[1:], n)[: len(start)]
+        for a, b in ((a, b) for a, b in zip(start[end - start > SHORT].tolist(), end[end - start > SHORT].tolist())):
+            edge[a:b] |= self.free_places(data[a:b])[:-1]
+        start = np.flatnonzero(edge)
         return start, np.append(start[1:], n)[: len(start)]
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,25 +290,29 @@ class Pieces:
         total = np.concatenate([[0], np.cumsum(length)])
         return gather(self.store.pool, where, length), total[np.searchsorted(start, offsets[1:])] - total[np.searchsorted(start, offsets[:-1])]
 
-    def _parts(self, chunk: bytes, before: bytes) -> tuple[int, int]:
+    def _parts(self, chunk: bytes, before: bytes, look: bytes) -> tuple[int, int]:
         """The first and the last place of a chunk that no piece crosses; (-1, -1) if there is none."""
         data = np.frombuffer(chunk, np.uint8)
         at = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32)) + 1
         if chunk[:1] == b" " and before != b" ":
             at = np.concatenate([[0], at])
+        if not len(at):
+            # a piece that crosses a place this far in starts in this chunk
+            at = np.flatnonzero(self.free_places(np.frombuffer(chunk + look, np.uint8))[: len(chunk)])
+            at = at[at >= self.longest]
         return (int(at[0]), int(at[-1])) if len(at) else (-1, -1)
 
-    def middles(self, chunks: list[bytes], before: list[bytes]) -> list[np.ndarray]:
+    def middles(self, chunks: list[bytes], parts: list[tuple[int, int]]) -> list[np.ndarray]:
         """The ids between the first and the last place of each chunk that no piece crosses, all at once."""
-        own = [c[a:b] if a >= 0 else b"" for c, (a, b) in ((c, self._parts(c, p)) for c, p in zip(chunks, before))]
+        own = [c[a:b] if a >= 0 else b"" for c, (a, b) in zip(chunks, parts)]
         flat, counts = self.encode_bytes(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
         return np.split(flat, np.cumsum(counts)[:-1])
 
-    def transfer(self, chunk: bytes, look: bytes, before: bytes, inner: np.ndarray | None = None) -> np.ndarray:
+    def transfer(self, chunk: bytes, look: bytes, before: bytes, inner: np.ndarray | None = None, part: tuple[int, int] | None = None) -> np.ndarray:
         """The transfer matrix of a chunk; ``look`` is what follows, ``before`` the byte that precedes."""
         n = self.longest + 4
         out = np.full((n, n), NEVER, np.int64)
-        first, last = self._parts(chunk, before)
+        first, last = part or self._parts(chunk, before, look)
         if first < 0:
             for i in range(min(n, len(chunk))):
                 if chunk[i] & 0xC0 != 0x80:
@@ -284,7 +321,7 @@ class Pieces:
             for i in range(len(chunk), n):
                 out[i, i - len(chunk)] = 0
             return out
-        middle = int(self.score[self.middles([chunk], [before])[0] if inner is None else inner].sum())
+        middle = int(self.score[self.middles([chunk], [(first, last)])[0] if inner is None else inner].sum())
         right = self.lattice(chunk[last:] + look, {0: 0}, len(chunk) - last)[0][len(chunk) - last :]
         for i in range(min(n, first + 1)):
             if i == first or chunk[i] & 0xC0 != 0x80:
@@ -295,13 +332,13 @@ class Pieces:
                             out[i, j] = left + middle + right[j]
         return out
 
-    def backtrace(self, chunk: bytes, look: bytes, before: bytes, entry: dict[int, int], inner: np.ndarray | None = None) -> dict[int, tuple[list[int], int]]:
+    def backtrace(self, chunk: bytes, look: bytes, before: bytes, entry: dict[int, int], inner: np.ndarray | None = None, part: tuple[int, int] | None = None) -> dict[int, tuple[list[int], int]]:
         """For each state in which the chunk can be left: its ids, and the state in which it is entered."""
-        first, last = self._parts(chunk, before)
+        first, last = part or self._parts(chunk, before, look)
         if first < 0:
             return self.path(chunk + look, entry, len(chunk))
         left = self.path(chunk[:first], {i: v for i, v in entry.items() if i <= first}, first)[0] if first else ([], 0)
-        middle = (self.middles([chunk], [before])[0] if inner is None else inner).tolist()
+        middle = (self.middles([chunk], [(first, last)])[0] if inner is None else inner).tolist()
         return {j: (left[0] + middle + ids, left[1]) for j, (ids, _) in self.path(chunk[last:] + look, {0: 0}, len(chunk) - last).items()}
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -358,56 +395,119 @@ def _encode_small(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def _few(rows: list[dict], most: int = 32) -> Iterator[list[dict]]:
-    """Some chunks at a time, their texts as bytes."""
+def cut_bytes(data: np.ndarray, size: int) -> np.ndarray:
+    """Ends of chunks of about ``size`` bytes, none inside a character, in one pass."""
+    ends = np.arange(size, len(data) + size, size)
+    ends[-1] = len(data)
+    for _ in range(3):  # a character has at most three further bytes
+        inside = ends < len(data)
+        inside[inside] = (data[ends[inside]] & 0xC0) == 0x80
+        ends[inside] += 1
+    return np.unique(ends)
+
+
+CHUNKS = "row long, seq int, doc_id long, text_crc32 long, n_chunks int, chunk binary, look binary, before binary"
+_CHUNK_NAMES = [c.split(" ")[0] for c in CHUNKS.split(", ")]
+
+
+def text_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The chunks of every text, each with the bytes that follow and the byte that precedes it."""
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for k in range(batch.num_rows):  # a long text at a time
+                data, _ = text_bytes(texts.slice(k, 1))
+                raw, ends = memoryview(data).cast("B"), cut_bytes(data, chunk_bytes)
+                starts = np.concatenate([[0], ends[:-1]])
+                for a in range(0, len(ends), FAN):
+                    own = [(int(x), int(y)) for x, y in zip(starts[a : a + FAN], ends[a : a + FAN])]
+                    same = {name: batch.column(name).slice(k, 1).take(pa.array([0] * len(own))) for name in ("row", "doc_id", "text_crc32")}
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            same["row"], pa.array(range(a, a + len(own)), pa.int32()), same["doc_id"], same["text_crc32"], pa.array([len(ends)] * len(own), pa.int32()),
+                            pa.array([raw[x:y].tobytes() for x, y in own], pa.binary()), pa.array([raw[y : y + LOOK_BYTES].tobytes() for _, y in own], pa.binary()), pa.array([raw[max(0, x - 1) : x].tobytes() for x, _ in own], pa.binary()),
+                        ],
+                        names=_CHUNK_NAMES,
+                    )
+
+    return docs.mapInArrow(cut, CHUNKS)
+
+
+def _few(rows: list[dict], most: int = 64) -> Iterator[list[dict]]:
     for a in range(0, len(rows), most):
-        yield [r | {c: (r[c] or "").encode() for c in ("chunk", "look", "before")} for r in rows[a : a + most]]
+        yield rows[a : a + most]
+
+
+MATRIX = "row long, seq int, cells binary, scores binary"
+
+
+def packed(matrix: np.ndarray) -> tuple[bytes, bytes]:
+    """The finite cells of a matrix and their scores."""
+    finite = np.flatnonzero(matrix.ravel() > NEVER)
+    return finite.astype(np.int32).tobytes(), matrix.ravel()[finite].tobytes()
 
 
-def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
+def unpacked(cells: bytes, scores: bytes, n: int) -> np.ndarray:
+    m = np.full(n * n, NEVER, np.int64)
+    m[np.frombuffer(cells, np.int32)] = np.frombuffer(scores, np.int64)
+    return m.reshape(n, n)
+
+
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product of neighbours, pair by pair in rounds."""
+    while len(matrices) > 1:
+        pairs = [maxplus(a, b) for a, b in zip(matrices[::2], matrices[1::2])]
+        matrices = pairs + matrices[len(pairs) * 2 :]
+    return matrices[0]
+
+
+def entry_states(made: DataFrame, n_states: int, longest: int, fan: int = FAN) -> DataFrame:
+    """(row, seq, entry): the scores of the states in which each chunk is entered, by an associative scan
+    over the chunks' matrices. ``longest``: the most chunks of a document. A task holds ``fan`` matrices."""
+
+    def up(key, table):
+        table = table.sort_by("seq")
+        whole = product([unpacked(c, s, n_states) for c, s in zip(table.column("cells").to_pylist(), table.column("scores").to_pylist())])
+        cells, scores = packed(whole)
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "seq": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary()), "scores": pa.array([scores], pa.binary())})
+
+    def down(key, table, above):
+        now = np.frombuffer(above.column("entry")[0].as_py(), np.int64).reshape(1, -1)
+        table = table.sort_by("seq")
+        entries = []
+        for c, s in zip(table.column("cells").to_pylist(), table.column("scores").to_pylist()):
+            entries.append(now.tobytes())
+            now = maxplus(now, unpacked(c, s, n_states))
+        return pa.table({"row": table.column("row").combine_chunks(), "seq": table.column("seq").combine_chunks(), "entry": pa.array(entries, pa.binary())})
+
+    block = F.floor(F.col("seq") / fan).cast("int").alias("block")
+    if longest <= 1:
+        first = np.full(n_states, NEVER, np.int64)
+        first[0] = 0
+        return made.select("row", "seq", F.lit(first.tobytes()).alias("entry"))
+    blocks = written(made.groupBy("row", block).applyInArrow(up, MATRIX), "blocks")
+    above = entry_states(blocks, n_states, -(-longest // fan), fan)
+    return made.groupBy("row", block).cogroup(above.groupBy("row", "seq")).applyInArrow(down, "row long, seq int, entry binary")
+
+
+def _encode_giant(docs: DataFrame, model: str, chunk_bytes: int, fan: int) -> DataFrame:
     """Chunk matrices, their scan, and independent backtraces."""
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(chunk_chars)).cast("int") - 1)
-    cut = F.transform(
-        parts,
-        lambda k: F.struct(
-            k.alias("seq"),
-            F.substring("text", k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk"),
-            F.substring("text", (k + 1) * chunk_chars + 1, F.lit(LOOK_CHARS)).alias("look"),
-            F.when(k == 0, F.lit("")).otherwise(F.substring("text", k * chunk_chars, F.lit(1))).alias("before"),
-        ),
-    )
-    chunks = keyed.select("row", "doc_id", "text_crc32", F.explode(cut).alias("c")).select("row", "doc_id", "text_crc32", "c.*")
-    chunks = written(chunks.repartition("row", "seq"), "chunks")
+    chunks = written(text_chunks(keyed.select("row", "doc_id", "text_crc32", "text"), chunk_bytes).repartition("row", "seq"), "chunks")
+    longest = chunks.agg(F.max("n_chunks")).first()[0] or 0
+
+    def prepared(v: Pieces, rows: list[dict]) -> Iterator[tuple[dict, np.ndarray, tuple[int, int]]]:
+        parts = [v._parts(r["chunk"], r["before"], r["look"]) for r in rows]
+        return zip(rows, v.middles([r["chunk"] for r in rows], parts), parts)
 
     def matrices(batches):
         v = vocabulary(model)
         for batch in batches:
             made = []
             for rows in _few(batch.select(["chunk", "look", "before"]).to_pylist()):
-                inner = v.middles([r["chunk"] for r in rows], [r["before"] for r in rows])
-                made += [v.transfer(r["chunk"], r["look"], r["before"], ids) for r, ids in zip(rows, inner)]
-            finite = [np.flatnonzero(m.ravel() > NEVER) for m in made]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("seq"), pa.array([f.astype(np.int32).tobytes() for f in finite], pa.binary()), pa.array([m.ravel()[f].tobytes() for m, f in zip(made, finite)], pa.binary())],
-                names=["row", "seq", "cells", "scores"],
-            )
-
-    n_states = vocabulary(model).longest + 4
-
-    def scan(key, table):
-        # a document is at most 2 GB (a string's limit), so its matrices, of a few cells each, are bounded
-        order = np.argsort(table.column("seq").to_numpy())
-        cells, scores = table.column("cells").to_pylist(), table.column("scores").to_pylist()
-        now = np.full((1, n_states), NEVER, np.int64)
-        now[0, 0] = 0
-        entries = []
-        for k in order:
-            entries.append(now.tobytes())
-            m = np.full(n_states * n_states, NEVER, np.int64)
-            m[np.frombuffer(cells[k], np.int32)] = np.frombuffer(scores[k], np.int64)
-            now = maxplus(now, m.reshape(n_states, n_states))
-        return pa.table({"row": pa.array([key[0].as_py()] * len(order), pa.int64()), "seq": table.column("seq").take(pa.array(order)).combine_chunks(), "entry": pa.array(entries, pa.binary())})
+                made += [packed(v.transfer(r["chunk"], r["look"], r["before"], ids, part)) for r, ids, part in prepared(v, rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seq"), pa.array([c for c, _ in made], pa.binary()), pa.array([s for _, s in made], pa.binary())], names=["row", "seq", "cells", "scores"])
 
     def backtraces(batches):
         v = vocabulary(model)
@@ -415,10 +515,9 @@ def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
         for batch in batches:
             for rows in _few(batch.to_pylist()):
                 out: dict[str, list] = {c: [] for c in kinds}
-                inner = v.middles([r["chunk"] for r in rows], [r["before"] for r in rows])
-                for r, middle in zip(rows, inner):
+                for r, middle, part in prepared(v, rows):
                     entry = {i: int(s) for i, s in enumerate(np.frombuffer(r["entry"], np.int64)) if s > NEVER}
-                    for leave, (ids, enter) in v.backtrace(r["chunk"], r["look"], r["before"], entry, middle).items():
+                    for leave, (ids, enter) in v.backtrace(r["chunk"], r["look"], r["before"], entry, middle, part).items():
                         for c in ("row", "doc_id", "text_crc32", "seq"):
                             out[c].append(r[c])
                         out["leave"].append(leave)
@@ -437,20 +536,20 @@ def _encode_giant(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
         flat = np.frombuffer(b"".join(chosen[::-1]), "<u4").astype(np.int64)
         return pa.Table.from_batches([_batch(table.column("doc_id")[:1].combine_chunks(), table.column("text_crc32")[:1].combine_chunks(), flat, np.array([len(flat)]), v.score)])
 
-    made = chunks.mapInArrow(matrices, "row long, seq int, cells binary, scores binary")
-    entries = made.groupBy("row").applyInArrow(scan, "row long, seq int, entry binary")
+    made = written(chunks.mapInArrow(matrices, MATRIX), "matrices")
+    entries = entry_states(made, vocabulary(model).longest + 4, longest, fan)
     traced = chunks.join(entries, ["row", "seq"]).mapInArrow(backtraces, "row long, doc_id long, text_crc32 long, seq int, leave int, enter int, ids binary")
     return traced.groupBy("row").applyInArrow(resolve, ENCODED)
 
 
-def encode(docs: DataFrame, model: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, checksum of the normalised text, number of pieces, score, and ids (little-endian
     unsigned 32-bit) of every document."""
     model = model or default_model()
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     ready = ready.withColumn("text_crc32", F.crc32(F.expr("substring(text, 2)").cast("binary")))
-    small = _encode_small(ready.filter(F.length("text") <= chunk_chars).select("doc_id", "text", "text_crc32"), model)
-    return small.unionByName(_encode_giant(ready.filter(F.length("text") > chunk_chars), model, chunk_chars))
+    small = _encode_small(ready.filter(F.octet_length("text") <= chunk_bytes).select("doc_id", "text", "text_crc32"), model)
+    return small.unionByName(_encode_giant(ready.filter(F.octet_length("text") > chunk_bytes), model, chunk_bytes, fan))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:

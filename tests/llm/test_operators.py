@@ -509,7 +509,7 @@ def test_pieces_equal_the_librarys_unigram_search():
 
 def test_pieces_have_the_largest_score():
     v, rng = piece_scan.vocabulary(piece_scan.default_model()), random.Random(11)
-    for text in [" ab\ncd 梦龘x", "   a", " " + "é" * 90, *(" " + "".join(rng.choice("ab é\n梦龘") for _ in range(40)) for _ in range(30))]:
+    for text in [" ab\ncd 梦龘x", "   a", " " + "é" * 90, " " + "x" * 200, " " + "".join(rng.choice("我的一是不了人在有他中国大学日本語の東京") for _ in range(300)), *(" " + "".join(rng.choice("ab é\n梦龘") for _ in range(40)) for _ in range(30))]:
         data = text.encode()
         best, _ = v.lattice(data, {0: 0}, len(data))
         assert v.score[whole(v, text)].sum() == best[len(data)]
@@ -520,12 +520,14 @@ def test_any_cut_gives_the_whole_texts_pieces():
     n = v.longest + 4
     for case in range(60):
         text = " " + "".join(rng.choice(["the ", "and", "er", "ing ", "é", "梦", "\n", "  ", "x"]) for _ in range(rng.randint(1, 120)))
-        size = rng.choice([1, 3, 7, 40])
+        if case % 4 == 0:  # no space anywhere
+            text = "".join(rng.choice("我的一是不了人在中国大学東京ab") for _ in range(rng.randint(100, 300)))
+        size = rng.choice([1, 3, 7, 40, 90])
         parts = [text[k : k + size] for k in range(0, len(text), size)]
         now, made, matrices = np.full((1, n), piece_scan.NEVER, np.int64), [], []
         now[0, 0] = 0
         for k, part in enumerate(parts):
-            look, before = text[(k + 1) * size :][:64].encode(), text[k * size - 1 : k * size].encode() if k else b""
+            look, before = text[(k + 1) * size :].encode()[:256], text[k * size - 1 : k * size].encode() if k else b""
             made.append(v.backtrace(part.encode(), look, before, {i: int(s) for i, s in enumerate(now[0]) if s > piece_scan.NEVER}))
             matrices.append(v.transfer(part.encode(), look, before))
             now = piece_scan.maxplus(now, matrices[-1])
@@ -537,13 +539,26 @@ def test_any_cut_gives_the_whole_texts_pieces():
         if len(matrices) > 2:
             a, b, c = matrices[:3]
             assert (piece_scan.maxplus(piece_scan.maxplus(a, b), c) == piece_scan.maxplus(a, piece_scan.maxplus(b, c))).all()
+        every = np.full((1, n), piece_scan.NEVER, np.int64)
+        every[0, 0] = 0
+        assert (piece_scan.maxplus(every, piece_scan.product(matrices)) == now).all()
+
+
+def test_chunks_end_between_characters():
+    for text in ["", "a", "é梦😀" * 50, "x" * 99, "ab梦" * 30]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for size in (4, 5, 7, 64):
+            if len(data):
+                ends = piece_scan.cut_bytes(data, size)
+                assert ends[-1] == len(data) and "".join(bytes(data[a:b]).decode() for a, b in zip([0, *ends], ends)) == text
+                assert np.diff([0, *ends]).max() <= size + 3
 
 
 def test_encode_and_decode_giant_and_odd_texts(spark):
     texts = [(r[0], r[1]) for r in ODD] + [(50, "giant words here " * 300), (51, "y" * 900 + " 梦" * 400)]
     docs = table(spark, [(i, t, "en", "s", 0) for i, t in texts])
     small = {r.doc_id: bytes(r.ids) for r in piece_scan.encode(docs).collect()}
-    cut = piece_scan.decode(piece_scan.encode(docs, chunk_chars=500)).collect()
+    cut = piece_scan.decode(piece_scan.encode(docs, chunk_bytes=500, fan=3)).collect()
     assert len(cut) == len(texts)
     for r in cut:
         assert bytes(r.ids) == small[r.doc_id]
