@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 HOT = 10_000
 
 
-def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner", hot: int = HOT, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``keys``, which has one row per key, is already written, and tells by
     ``weight`` how many rows each key has.
 
     A key with more than 1 / ``hot`` of the whole weight is hot, so there are fewer than ``hot`` of them,
     whatever the data: they are broadcast and their rows stay where they are. All others are shuffled by
-    key, and no task gets more than a small share for one of them.
+    key, and no task gets more than a small share for one of them. ``how``: inner or left_semi.
     """
-    total = keys.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = keys.agg(F.sum(weight)).first()[0] or 0
     often = keys.filter(F.col(weight) > total / hot)
     seldom = keys.filter(F.col(weight) <= total / hot)
     here = rows.join(F.broadcast(often), on, how)

@@ -3,12 +3,14 @@
 Documents are sets of 5-word shingles; documents with equal sets form one *text class*, and classes
 are joined: two are linked if their Jaccard similarity is at least ``THRESHOLD``.
 
-Each of ``RUNS`` runs splits the classes recursively: at every level a set picks each of its shingles
+Each run splits the classes recursively: at every level a set picks each of its shingles
 with probability 1 / (THRESHOLD * size), by a hash that all sets share, and goes to one child node per
 picked shingle. Two linked sets share an expected picked shingle or more per level, unlinked sets soon
 part. A node of at most ``LIMIT`` sets is compared by brute force (one matrix product), a larger one is
 split again, up to ``LEVELS`` times. One run finds a link of similarity 0.8 in a node of depth d with
-probability of about 0.63**d or more, so 16 runs miss it with 1e-7 at depth 1, 3e-4 at depth 2, 1e-2 at depth 3.
+probability of about 0.63**d or more; runs repeat until the links of depth ``DEPTH`` are found with
+``TARGET_RECALL`` (``runs_for``): 16 runs, which miss a link with 1e-7 at depth 1, 3e-4 at depth 2, 1e-2
+at depth 3.
 
 Before sets are fetched, nodes are thinned by sketches (``SKETCH`` MinHash bytes per class): a set that
 agrees with no other set of its node in ``AGREE`` bytes or more leaves the node. A linked pair agrees
@@ -29,6 +31,7 @@ have one class; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.hot_keys import join_by_key
 from plumbline.llm.word_arrays import mix, slices, words
 from plumbline.session import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RUNS = 16
+TARGET_RECALL = 0.9997
+DEPTH = 2
 LEVELS = 3
 LIMIT = 200
 SKETCH = 32
@@ -56,6 +61,11 @@ SETS = "rep long, s1 long, s2 long, n int, shingles binary"
 FOUND = "a long, b long, links int"
 
 
+def runs_for(target_recall: float, depth: int = DEPTH) -> int:
+    """The runs that find a link at the threshold in nodes of ``depth`` with the target probability."""
+    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - (1 - math.exp(-1)) ** depth)))
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts, sorted within each, and their number per text."""
     w = words(texts)
@@ -160,8 +170,8 @@ def buckets(classes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame
     )
     small, large = [], None
     for level in range(1, levels + 1):
-        sizes = nodes.groupBy("node").count().filter(F.col("count") > 1)
-        nodes = written(nodes.join(sizes, "node"), f"level{level}")
+        sizes = written(nodes.groupBy("node").count().filter(F.col("count") > 1), "sizes")
+        nodes = written(join_by_key(nodes, sizes, ["node"], "count").select("rep", "run", "node", "count"), f"level{level}")
         fits = nodes.filter(F.col("count") <= limit)
         small.append(fits.select("rep", "node"))
         large = nodes.filter(F.col("count") > limit)
@@ -306,7 +316,7 @@ def thinned(rows: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
     kept = written(_in_tiles(joined, run, "node long, rep long").distinct(), "near")
     sums = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     once = kept.groupBy("node").agg(F.count("*").alias("count"), *sums).groupBy("count", "x1", "x2").agg(F.min("node").alias("node"))
-    return kept.join(once.select("node", "count"), "node")
+    return join_by_key(kept, written(once.select("node", "count"), "once"), ["node"], "count")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -326,12 +336,13 @@ def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, SETS).join(reps, ["rep", "s1", "s2", "n"], "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links lead to), n_links (distinct other texts linked
     to this one), n_shingles."""
+    runs = runs_for(target_recall)
     profile = written(profiles(docs), "profiles")
     known = picks(docs, threshold, runs, levels).filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = written(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("picked").alias("picked")), "classes")
+    classes = written(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"), F.first("picked").alias("picked")), "classes")
     rows = written(thinned(buckets(classes, runs, levels, limit), classes, limit), "buckets")
     # a set stands in at most a few nodes per run
     stays = rows.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
@@ -340,11 +351,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     found = written(compare(tiles(rows, SET_BLOCK * limit).join(full, "rep"), threshold), "found")
     label = components(found.filter(F.col("b").isNotNull()))
     links = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
-    named = classes.select("s1", "s2", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    named = named.select("s1", "s2", "n", F.coalesce("label", "rep").alias("class"), "n_links")
-    out = profile.select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    return out.select("doc_id", own.alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    named = classes.select("s1", "s2", "n", "size", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    named = written(named.select("s1", "s2", "n", "size", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    # a class of copies may hold a third of all rows
+    has_class = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    shown = ["doc_id", "class_id", "n_links", F.col("n").alias("n_shingles")]
+    found = join_by_key(profile.filter(has_class), named, ["s1", "s2", "n"], "size").select(*shown)
+    alone = profile.filter(~has_class).withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    return found.unionByName(alone.select(*shown))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:

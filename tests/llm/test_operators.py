@@ -181,6 +181,22 @@ def test_jaccard_join_counts_all_links_of_a_family_over_the_limit(spark):
     assert {r.class_id for r in got.values()} == {0}
 
 
+def test_jaccard_join_repeats_runs_until_the_target_recall(spark):
+    assert [jaccard_join.runs_for(r) for r in (0.3, 0.9, 0.9997)] == [1, 5, 16]
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):  # pairs near the threshold, which one run often misses
+        base = [f"w{rng.randint(0, 10**7)}" for _ in range(100)]
+        own = list(base)
+        for at in rng.sample(range(5, 95, 10), 2):
+            own[at] = f"x{rng.randint(0, 10**7)}"
+        texts += [" ".join(base), " ".join(own)]
+    _, links = brute_links(texts)
+    docs = table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    recall = lambda r: sum(x.n_links for x in jaccard_join.jaccard_classes(docs, target_recall=r).collect()) / sum(map(len, links.values()))
+    assert len(links) > 200 and recall(0.9997) == 1 > recall(0.3)
+
+
 def test_jaccard_join_odd_inputs(spark):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(odd(spark)).collect()}
     assert got[None] == (None, 0) and all(v == (k, 0) for k, v in got.items() if k is not None)
@@ -194,6 +210,13 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(50)}
 
 
+def test_components_of_odd_links(spark):
+    links = [(7, 7), (9, 8), (8, 9), (9, 8), (None, 3), (3, None), (5, 6)]
+    got = {r.node: r.label for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {7: 7, 8: 8, 9: 8, 5: 5, 6: 5}
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 
