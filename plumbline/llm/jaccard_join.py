@@ -170,6 +170,7 @@ def buckets(classes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame
     )
     small, large = [], None
     for level in range(1, levels + 1):
+        nodes = written(nodes, f"nodes{level}")
         sizes = written(nodes.groupBy("node").count().filter(F.col("count") > 1), "sizes")
         nodes = written(join_by_key(nodes, sizes, ["node"], "count").select("rep", "run", "node", "count"), f"level{level}")
         fits = nodes.filter(F.col("count") <= limit)
