@@ -127,4 +127,61 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_hilbert_shards": op1_hilbert_shards}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes, half a byte at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table.append(f"{c}::BIGINT")
+    step = lambda c, b: f"xor(({c}) >> 4, [{', '.join(table)}][(xor({c}, {b}) & 15) + 1])"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {step(step('c', 'b'), 'b >> 4')}), 4294967295::BIGINT)"
+
+
+def _hilbert_sql(source: str) -> str:
+    """Common table expressions from ``source`` with lang_cell, source_cell, size_cell on: the cells'
+    bits, from the highest to the lowest, undone by the curve's reflections, one table per step."""
+    steps, last = [], source
+    for b in range(BITS - 1, 0, -1):
+        low = (1 << b) - 1
+        for i in range(3):
+            swap = f"(xor(x0, x{i}) & {low})"
+            kept = [f"x{k}" for k in range(3)]
+            kept[0] = f"CASE WHEN x{i} & {1 << b} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {swap}) END AS x0"
+            if i:
+                kept[i] = f"CASE WHEN x{i} & {1 << b} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}"
+            steps.append(f"h{b}_{i} AS (SELECT * EXCLUDE (x0, x1, x2), {', '.join(kept)} FROM {last})")
+            last = f"h{b}_{i}"
+    flips = "0"
+    for b in range(BITS - 1, 0, -1):
+        flips = f"xor({flips}, CASE WHEN g2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    steps.append(f"gray AS (SELECT *, x0 AS g0, xor(x1, x0) AS g1, xor(x2, xor(x1, x0)) AS g2 FROM {last})")
+    steps.append(f"turned AS (SELECT *, {flips} AS f FROM gray)")
+    bits = " + ".join(f"((xor(g{i}, f) >> {b}) & 1) * {1 << (3 * b + 2 - i)}" for b in range(BITS) for i in range(3))
+    steps.append(f"curve AS (SELECT *, CAST({bits} AS BIGINT) AS hilbert FROM turned)")
+    return ",\n".join(steps)
+
+
+_CELL = f"CASE WHEN {{0}} IS NULL THEN 0 ELSE {_crc_sql('{0}')} % {2**BITS} END"
+ORACLE_SQL = {
+    "op1_hilbert_shards": f"""
+WITH label AS (
+  SELECT 'lang' AS kind, lang AS v, {_CELL.format("lang")} AS cell FROM (SELECT DISTINCT lang FROM documents)
+  UNION ALL SELECT 'source', source, {_CELL.format("source")} FROM (SELECT DISTINCT source FROM documents)),
+size AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + {OVERHEAD_BYTES} AS BIGINT) AS size, CAST({_crc_sql("coalesce(text, '')")} AS BIGINT) AS text_crc32, a.cell AS lang_cell, b.cell AS source_cell
+  FROM documents d JOIN label a ON a.kind = 'lang' AND a.v IS NOT DISTINCT FROM d.lang JOIN label b ON b.kind = 'source' AND b.v IS NOT DISTINCT FROM d.source),
+cells AS (
+  SELECT *, lang_cell AS x0, source_cell AS x1, size_cell AS x2
+  FROM (SELECT *, greatest(0, least({2**BITS - 1}, 2 * (k - 3) + CASE WHEN size >= (1::BIGINT << k) + (1::BIGINT << (k - 1)) THEN 1 ELSE 0 END)) AS size_cell
+        FROM (SELECT *, CAST(floor(log2(size + 0.5)) AS BIGINT) AS k FROM size))),
+{_hilbert_sql("cells")},
+placed AS (SELECT *, row_number() OVER (ORDER BY hilbert, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM curve),
+dealt AS (SELECT *, pos * {N_SHARDS} // n AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+       CAST(lang_cell AS INTEGER) AS lang_cell, CAST(source_cell AS INTEGER) AS source_cell, CAST(size_cell AS INTEGER) AS size_cell, hilbert
+FROM dealt""",
+}

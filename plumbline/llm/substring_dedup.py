@@ -36,6 +36,7 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 CHUNK_BYTES = 4_000_000
 CHUNKS_PER_BUCKET = 4
+MOST_BUCKETS = 1 << 30  # a code has 32 bits beside the bucket and the flag; reached at 16 PB
 _LAST = np.iinfo(np.int64).max
 
 SENT = "bucket long, chunk long, keys binary, blocks binary, doc_ids binary"
@@ -94,7 +95,7 @@ def _send_anchors(n_buckets: int):
         code = (bucket.astype(np.uint64) << np.uint64(32) | small)[whole]
         block = (w.place[: len(whole)] % BLOCK == 0)[whole]
         # the block flag in the lowest place: of equal codes the last one tells whether any is a block
-        tagged = np.unique(code << np.uint64(1) | block) if n_buckets < 2**30 else None
+        tagged = np.unique(code << np.uint64(1) | block)
         code = tagged >> np.uint64(1)
         last = np.ones(len(code), bool)
         last[:-1] = code[1:] != code[:-1]
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     doc_id, the text without them, and the removed spans as word places."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-size // chunk_bytes))
-    n_buckets = max(1, -(-n_chunks // CHUNKS_PER_BUCKET))
+    n_buckets = min(MOST_BUCKETS, max(1, -(-n_chunks // CHUNKS_PER_BUCKET)))
     texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk")).repartition("chunk")
     anchors = texts.groupBy("chunk").applyInArrow(_send_anchors(n_buckets), SENT)
     hits = anchors.groupBy("bucket").applyInArrow(_match_anchors, REPLY)

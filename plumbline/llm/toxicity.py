@@ -10,7 +10,8 @@ To score, the embeddings are folded with the softmax into one weight per bucket,
 size, and every whole text is summed over its grams.
 
 Defined results: a null or empty text has an empty bag and gets the score of the bias; a label null
-is not learned from; repeated rows are each scored; without labels of both classes every score is
+is not learned from; of rows that share a doc_id the least text and the largest label are learned
+from; repeated rows are each scored; without labels of both classes every score is
 the share of positive labels (0 if there are none); an empty table gives no rows; other columns are
 ignored.
 """
@@ -84,13 +85,33 @@ class Bags:
         return b, np.concatenate([self.shares[r] for r in rows]), np.repeat(np.arange(len(rows)), [len(self.buckets[r]) for r in rows])
 
 
-def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> tuple[np.ndarray, float]:
-    """One weight per bucket (times ``SCALE``) and the bias, from jointly trained embeddings and softmax."""
+class Model:
+    """The trained parameters: an embedding per bucket, the softmax of the two classes, and its bias."""
+
+    def __init__(self, table: np.ndarray, out: np.ndarray, bias: np.ndarray):
+        self.table, self.out, self.bias = table, out, bias
+
+    def forward(self, buckets: np.ndarray) -> float:
+        """The probability of the toxic class for one text's features, layer by layer."""
+        mean = self.table[buckets].mean(0) if len(buckets) else np.zeros(DIM)
+        logits = self.out.astype(float) @ (SCALE * mean) + self.bias
+        e = np.exp(logits - logits.max())
+        return float(e[1] / e.sum())
+
+    def folded(self) -> tuple[np.ndarray, float]:
+        """One weight per bucket and one bias with the same result: the mean and the softmax's logit are
+        linear in the embeddings."""
+        return (SCALE * (self.table @ (self.out[1] - self.out[0]))).astype(np.float32), float(self.bias[1] - self.bias[0])
+
+
+def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> Model:
+    """Embeddings and softmax, trained jointly by Adagrad."""
     rng = np.random.default_rng(seed)
     n, positive = len(labels), int(labels.sum())
     if not 0 < positive < n:
         share = positive / n if n else 0.0
-        return np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+        bias = np.log(np.array([max(1 - share, 1e-9), max(share, 1e-9)]))
+        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((2, DIM), np.float32), bias)
     table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.3, (2, DIM)).astype(np.float32)
     bias = np.log(np.array([1 - positive / n, positive / n], np.float32))
@@ -117,7 +138,7 @@ def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -
             out -= RATE * g_out / np.sqrt(seen_out)
             seen_bias += g_bias * g_bias
             bias -= RATE * g_bias / np.sqrt(seen_bias)
-    return (SCALE * (table @ (out[1] - out[0]))).astype(np.float32), float(bias[1] - bias[0])
+    return Model(table, out, bias)
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Bags, np.ndarray]:
@@ -147,7 +168,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     # ``chosen`` has at most ``rows`` rows
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    found = picked.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, buckets binary, shares binary").collect()
+    found = picked.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, buckets binary, shares binary").collect()
     found.sort(key=lambda r: r.doc_id)
     bags = Bags([np.frombuffer(r.buckets, np.int32) for r in found], [np.frombuffer(r.shares, np.float32) for r in found])
     return bags, np.array([int(r.toxic > 0) for r in found], np.int64)
@@ -172,7 +193,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Trains on the training folds and scores every document."""
-    out = score(docs, *train(*training_bags(docs, labels, rows)))
+    out = score(docs, *train(*training_bags(docs, labels, rows)).folded())
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -329,6 +329,16 @@ def test_toxicity_learns_from_training_folds_only(spark):
     assert all(again[r.doc_id] == r.score for r in out)  # held-out labels do not matter
 
 
+def test_folded_scores_equal_the_networks_forward_pass(spark):
+    docs, labels = synthetic(spark, 200)
+    model = toxicity.train(*toxicity.training_bags(docs, labels), epochs=3)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, *model.folded()).collect()}
+    for r in docs.collect():
+        bucket, _ = toxicity.features(pa.array([r.text]))
+        assert abs(got[r.doc_id] - model.forward(bucket)) < 1e-4
+    assert len({round(x, 3) for x in got.values()}) > 20
+
+
 def test_toxicity_odd_inputs(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 8)] + [(2, 1, None)], "doc_id long, quality int, toxic int")
     out = toxicity.toxicity(odd(spark), labels).collect()
