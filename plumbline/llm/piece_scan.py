@@ -43,7 +43,7 @@ from plumbline.llm.segments import SegmentStore, gather
 from plumbline.llm.word_arrays import _power_table, slices, text_bytes
 from plumbline.session import written
 
-CHUNK_BYTES = 16_384
+CHUNK_BYTES = 32_768
 FAN = 64
 SLICE_BYTES = 1_000_000
 STORED = 1_000_000  # distinct segments a worker keeps
