@@ -94,7 +94,7 @@ def action_state(table: DataFrame, policy: Policy) -> DataFrame:
     detail = codes(
         (F.col("spread_material"), "PROTOCOL_SPREAD_MATERIAL"),
         (F.col("mixed_states"), "PROTOCOL_STATE_OR_ASSUMPTION_CONFLICT"),
-        (F.col("near_tie"), "RIEC_NEAR_TIE"),
+        (F.col("near_tie"), "SELECTION_NEAR_TIE"),
         (F.col("parametric_warning"), "PARAMETRIC_DIAGNOSTIC_MATERIAL"),
         (F.col("basis") == "point_estimates_without_bound", "UNCERTAINTY_BOUND_UNAVAILABLE"),
         (F.lit(True), "CONSERVATIVE_PILOT_REFERENCE"),

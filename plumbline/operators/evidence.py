@@ -44,13 +44,14 @@ def make_evidence(facts: DataFrame) -> DataFrame:
 
 
 def verify_evidence(evidence: DataFrame) -> DataFrame:
-    """(evidence_id, problem): payloads that do not match, wrong ids, repeated ids, colliding ids."""
+    """(evidence_id, problem): payloads that do not match, wrong ids, repeated ids, colliding ids. A
+    missing checksum or id never matches."""
     p = payload(*[F.col(c) for c in ("component", "statement", "status", "value", "unit", "parents")])
     checked = evidence.withColumn("__sha", F.sha2(p, 256))
     problems = F.array_compact(
         F.array(
-            F.when(F.col("__sha") != F.col("content_sha256"), F.lit("content_mismatch")),
-            F.when(evidence_id(F.col("component"), F.col("content_sha256")) != F.col("evidence_id"), F.lit("id_mismatch")),
+            F.when(~F.col("__sha").eqNullSafe(F.col("content_sha256")), F.lit("content_mismatch")),
+            F.when(F.col("evidence_id").isNull() | ~evidence_id(F.col("component"), F.col("content_sha256")).eqNullSafe(F.col("evidence_id")), F.lit("id_mismatch")),
         )
     )
     single = checked.select("evidence_id", F.explode(problems).alias("problem"))

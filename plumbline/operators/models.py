@@ -2,8 +2,8 @@
 
 Rows are aggregated once to cells (scope, group, product, stream, shift) with counts and centred sums;
 all candidates and all folds are solved from the cells, since the training statistics of a fold are
-the scope's less the group's. Coefficients go back to the rows by one join, and squared errors come
-from scored rows.
+the scope's less the group's. Squared errors follow from the same sums, and only where they cancel out
+(a fit that is nearly exact) from scored rows. Coefficients go back to the rows by one join on the group.
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ ALL_GROUPS = "\x01all"  # stands for all groups of a scope among its cells
 
 COEFFICIENTS = (
     "scope string, candidate_id string, ordinal int, fold_token string, failure_code string, k int, intercept double, slope double, t_mean double, "
-    "product_effects map<string,double>, stream_effects map<string,double>, shift_effects map<string,double>"
+    "product_effects map<string,double>, stream_effects map<string,double>, shift_effects map<string,double>, n_scored long, sse double, yy double, doubtful boolean"
 )
+#: Below this share of the held rows' squares a sum of squared errors is taken from the rows.
+CANCELLATION = 1e-6
 
 
 def cell_statistics(rows: DataFrame) -> DataFrame:
-    """Counts and centred sums per scope, group and cell."""
-    means = rows.groupBy("scope").agg(F.avg("y").alias("y_mean"), F.avg("time_h").alias("t_mean"))
-    y, t = F.col("y") - F.col("y_mean"), F.col("time_h") - F.col("t_mean")
-    return (
-        rows.join(means, "scope")
-        .groupBy("scope", "group_token", *FACTORS)
-        .agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(t).alias("st"), F.sum(t * t).alias("stt"), F.sum(t * y).alias("sty"), F.first("y_mean").alias("y_mean"), F.first("t_mean").alias("t_mean"))
+    """Counts and sums per scope, group and cell, centred by the scope's means, which ``prepare`` puts on
+    every row: one aggregation and no join."""
+    y, t = F.col("y") - F.col("y_centre"), F.col("time_h") - F.col("t_centre")
+    sums = {"sy": y, "st": t, "stt": t * t, "sty": t * y, "syy": y * y}
+    return rows.groupBy("scope", "group_token", *FACTORS).agg(
+        F.count("*").alias("n"), *[F.sum(x).alias(name) for name, x in sums.items()], F.first("y_centre").alias("y_mean"), F.first("t_centre").alias("t_mean")
     )
 
 
@@ -68,7 +69,7 @@ def feasible(scopes: DataFrame) -> DataFrame:
     missing = F.exists("terms", lambda t: ((t == "product") & ~F.col("has_product")) | ((t == "stream") & ~F.col("has_stream")) | ((t == "shift") & ~F.col("has_shift")) | ((t == "time") & ~F.col("has_at")))
     reason = (
         F.when(F.col("n_rows") < MIN_ROWS, "CANDIDATE_INSUFFICIENT_SUPPORT")
-        .when(F.col("n_groups") < MIN_GROUPS, "RIEC_INSUFFICIENT_GROUPS")
+        .when(F.col("n_groups") < MIN_GROUPS, "SELECTION_INSUFFICIENT_GROUPS")
         .when(missing, "CANDIDATE_REQUIRED_COLUMN_MISSING")
     )
     sound = scopes.filter(F.col("failure_code").isNull())
@@ -92,6 +93,7 @@ class Design:
             offset += len(names)
         p = offset + self.timed
         n, sy = cells["n"].to_numpy(float), cells["sy"].to_numpy(float)
+        self.squares, self.sums, self.count = (np.bincount(group, cells[c].to_numpy(float), minlength=len(self.groups)) for c in ("syy", "sy", "n"))
         self.gram = np.zeros((len(self.groups), p, p))
         self.right = np.zeros((len(self.groups), p))
         for a in columns:
@@ -107,6 +109,13 @@ class Design:
             np.add.at(self.right, (group, np.full(len(group), p - 1)), cells["sty"].to_numpy(float))
         self.y_mean, self.t_mean = float(cells["y_mean"].iloc[0]), cells["t_mean"].iloc[0]
 
+    def errors(self, beta: np.ndarray, of: np.ndarray) -> dict:
+        """The squared errors over the rows of the groups ``of``, from their sums."""
+        gram, right, squares = self.gram[of].sum(0), self.right[of].sum(0), self.squares[of].sum()
+        n, sse = self.count[of].sum(), float(squares - 2 * beta @ right + beta @ gram @ beta)
+        raw = float(squares + 2 * self.y_mean * self.sums[of].sum() + n * self.y_mean**2)
+        return {"n_scored": int(n), "sse": max(sse, 0.0), "yy": raw, "doubtful": bool(sse <= CANCELLATION * squares)}
+
     def solve(self, gram: np.ndarray, right: np.ndarray, held: np.ndarray | None) -> dict:
         """Coefficients from training statistics; ``held``: those of the rows to predict."""
         keep = [0]
@@ -135,7 +144,7 @@ class Design:
             return {"failure_code": "CANDIDATE_NONFINITE_RESULT"}
         full = np.zeros(len(gram))
         full[keep] = beta
-        out = {"failure_code": None, "k": len(keep), "intercept": full[0] + self.y_mean, "slope": full[-1] if self.timed else 0.0, "t_mean": self.t_mean if self.timed else 0.0}
+        out = {"failure_code": None, "beta": full, "k": len(keep), "intercept": full[0] + self.y_mean, "slope": full[-1] if self.timed else 0.0, "t_mean": self.t_mean if self.timed else 0.0}
         for f in self.factors:
             a, b = self.spans[f]
             out[f"{f}_effects"] = {str(n): float(full[a + i]) for i, n in enumerate(self.levels[f]) if np.diag(gram)[a + i] > 0.5}
@@ -146,12 +155,12 @@ class Design:
         whole = self.groups == ALL_GROUPS
         whole = whole if whole.any() else ~whole
         gram, right = self.gram[whole].sum(0), self.right[whole].sum(0)
-        out = [("", self.solve(gram, right, None))]
+        out = [("", self.solve(gram, right, None), whole)]
         if out[0][1]["failure_code"] is None:
             for i, g in enumerate(self.groups):
                 if g != ALL_GROUPS:
-                    out.append((g, self.solve(gram - self.gram[i], right - self.right[i], self.gram[i])))
-        return out
+                    out.append((g, self.solve(gram - self.gram[i], right - self.right[i], self.gram[i]), np.arange(len(self.groups)) == i))
+        return [(g, fit | self.errors(fit.pop("beta"), of) if fit["failure_code"] is None else fit) for g, fit, of in out]
 
 
 def fit_all(cells: DataFrame, tried: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
@@ -162,7 +171,7 @@ def fit_all(cells: DataFrame, tried: DataFrame, block: int = FOLD_BLOCK) -> Data
     """
     wanted = tried.filter(F.col("reason").isNull()).select("scope", "candidate_id", "ordinal", "terms", F.ceil(F.col("n_groups") / block).cast("int").alias("parts"))
     own = cells.join(wanted, "scope").withColumn("part", F.pmod(F.xxhash64("group_token"), F.col("parts")).cast("int"))
-    sums = [F.sum(c).alias(c) for c in ("n", "sy", "st", "stt", "sty")]
+    sums = [F.sum(c).alias(c) for c in ("n", "sy", "st", "stt", "sty", "syy")]
     totals = cells.groupBy("scope", *FACTORS).agg(*sums, F.first("y_mean").alias("y_mean"), F.first("t_mean").alias("t_mean")).withColumn("group_token", F.lit(ALL_GROUPS))
     shared = totals.join(wanted.filter(F.col("parts") > 1), "scope").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     work = own.unionByName(shared)
@@ -175,7 +184,7 @@ def fit_all(cells: DataFrame, tried: DataFrame, block: int = FOLD_BLOCK) -> Data
         rows = [fixed | {"fold_token": token} | result for token, result in folds if token or not first["part"]]
         if not rows:
             return pd.DataFrame(columns=names)
-        out = pd.DataFrame(rows).reindex(columns=names).astype({"k": "Int32"})
+        out = pd.DataFrame(rows).reindex(columns=names).astype({"k": "Int32", "n_scored": "Int64", "doubtful": "boolean"})
         for c in ("failure_code", *(f"{f}_effects" for f in FACTORS)):
             out[c] = pd.Series([r.get(c) for r in rows], dtype=object)
         return out
@@ -200,26 +209,36 @@ def score_rows(rows: DataFrame, coefficients: DataFrame, held_out: bool) -> Data
     return joined.select("scope", "group_token", "candidate_id", "ordinal", "y", "k", prediction().alias("yhat"))
 
 
-def fold_metrics(crossfit: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """SSE and MSE of every fold, failures kept."""
+def squared_errors(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """The coefficients with ``sse`` and ``yy`` (the sum of squares of y) of what each fold was scored on.
+
+    Sums that cancelled out are replaced by those over scored rows, of the few candidates that have any.
+    """
+    doubtful = coefficients.filter("doubtful").select("scope", "candidate_id").distinct()
+    again = coefficients.join(doubtful, ["scope", "candidate_id"], "left_semi")
     e = F.col("y") - F.col("yhat")
-    scored = crossfit.groupBy("scope", "candidate_id", "group_token").agg(F.count("*").alias("n_test"), F.sum(e * e).alias("sse"), F.avg(e * e).alias("mse"))
-    folds = coefficients.filter(F.col("fold_token") != "").select("scope", "candidate_id", F.col("fold_token").alias("group_token"), "failure_code")
-    return folds.join(scored, ["scope", "candidate_id", "group_token"], "left")
+    scored = [score_rows(rows, again, held).withColumn("fold_token", F.col("group_token") if held else F.lit("")) for held in (True, False)]
+    exact = [x.groupBy("scope", "candidate_id", "fold_token").agg(F.sum(e * e).alias("exact")) for x in scored]
+    out = coefficients.join(exact[0].unionByName(exact[1]), ["scope", "candidate_id", "fold_token"], "left")
+    return out.withColumn("sse", F.coalesce("exact", "sse")).drop("exact")
 
 
-def candidate_ledger(rows: DataFrame, tried: DataFrame, coefficients: DataFrame, crossfit: DataFrame) -> DataFrame:
-    """One row per scope and candidate: status, criteria, risks."""
-    full = coefficients.filter(F.col("fold_token") == "").select("scope", "candidate_id", F.col("failure_code").alias("full_failure"), "k")
-    e = F.col("y") - F.col("yhat")
-    fitted = score_rows(rows, coefficients, held_out=False).groupBy("scope", "candidate_id").agg(F.sum(e * e).alias("rss"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    folds = fold_metrics(crossfit, coefficients).groupBy("scope", "candidate_id").agg(
+def fold_metrics(errors: DataFrame) -> DataFrame:
+    """SSE and MSE of every fold, failures kept, from ``squared_errors``."""
+    n = F.col("n_scored")
+    return errors.filter(F.col("fold_token") != "").select("scope", "candidate_id", F.col("fold_token").alias("group_token"), "failure_code", n.alias("n_test"), "sse", (F.col("sse") / n).alias("mse"))
+
+
+def candidate_ledger(tried: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row per scope and candidate: status, criteria, risks, from ``squared_errors``."""
+    full = errors.filter(F.col("fold_token") == "").select("scope", "candidate_id", F.col("failure_code").alias("full_failure"), "k", F.col("sse").alias("rss"), F.col("yy").alias("syy"))
+    folds = fold_metrics(errors).groupBy("scope", "candidate_id").agg(
         F.min_by("failure_code", F.when(F.col("failure_code").isNotNull(), F.col("group_token"))).alias("fold_failure"),
         F.count_if(F.col("failure_code").isNotNull()).alias("failed_folds"),
         (F.sum("sse") / F.sum("n_test")).alias("risk"),
         F.avg("mse").alias("balanced"),
     )
-    out = tried.join(full, ["scope", "candidate_id"], "left").join(fitted, ["scope", "candidate_id"], "left").join(folds, ["scope", "candidate_id"], "left")
+    out = tried.join(full, ["scope", "candidate_id"], "left").join(folds, ["scope", "candidate_id"], "left")
     n, k = F.col("n_rows").cast("double"), F.col("k").cast("double")
     zero = F.col("rss") <= 1e-24 * F.col("syy")
     failed_full = F.col("full_failure").isNotNull()

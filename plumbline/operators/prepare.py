@@ -8,6 +8,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import written
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -120,7 +122,8 @@ def scope_of(scope_cols: list[str] | tuple[str, ...]) -> Column:
 
 
 def prepare(df: DataFrame, roles: Roles, scope_cols: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(audit rows of sound scopes, one status row per scope).
+    """(audit rows of sound scopes, one status row per scope). The scopes are counted and written at once;
+    rows carry their scope's mean quantity and time, which models centre by.
 
     One bad quantity or blank group fails its scope with a reason; a blank in an optional role makes
     that role unavailable (null) in its scope.
@@ -148,11 +151,15 @@ def prepare(df: DataFrame, roles: Roles, scope_cols: list[str] | tuple[str, ...]
         F.count_if("blank_group").alias("blank_groups"),
         there("product"), there("stream"), there("shift"), there("at"),
         F.min("at").alias("origin"),
+        F.avg("y").alias("y_mean"),
+        F.avg("at").alias("at_mean"),
     )
-    failure = F.when(F.col("bad_quantities") > 0, "RIEC_INVALID_QUANTITY").when(F.col("blank_groups") > 0, "RIEC_INVALID_DEPLOYMENT_GROUP")
-    scopes = scopes.withColumn("failure_code", failure)
-    sound = scopes.filter(F.col("failure_code").isNull()).select("scope", "has_product", "has_stream", "has_shift", "has_at", "origin")
+    failure = F.when(F.col("bad_quantities") > 0, "SELECTION_INVALID_QUANTITY").when(F.col("blank_groups") > 0, "SELECTION_INVALID_DEPLOYMENT_GROUP")
+    # written, so that Spark knows the table's size when it joins: one scope must not shuffle all rows to one task
+    scopes = written(scopes.withColumn("failure_code", failure), "scopes")
+    sound = scopes.filter(F.col("failure_code").isNull()).select("scope", "has_product", "has_stream", "has_shift", "has_at", "origin", "y_mean", "at_mean")
     rows = raw.drop("blank_group").join(sound, "scope")
     kept = lambda c: F.when(F.col(f"has_{c}"), F.col(c)).alias(c)
-    hours = F.when(F.col("has_at"), (F.col("at") - F.col("origin")) / 3600.0)
-    return rows.select("scope", "group_token", "y", kept("product"), kept("stream"), kept("shift"), hours.alias("time_h"), "tie_key"), scopes
+    hours = lambda c: F.when(F.col("has_at"), (F.col(c) - F.col("origin")) / 3600.0)
+    columns = ["scope", "group_token", "y", kept("product"), kept("stream"), kept("shift"), hours("at").alias("time_h"), "tie_key"]
+    return rows.select(*columns, F.col("y_mean").alias("y_centre"), hours("at_mean").alias("t_centre")), scopes.drop("y_mean", "at_mean")

@@ -40,7 +40,7 @@ def support_issues(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list
         issue(g <= 1, "CONTRACT_GROUP_CONSTANT", "blocking", where),
         issue(g < policy.min_groups_exploratory, "CONTRACT_INSUFFICIENT_GROUPS", "blocking", where),
         issue((g >= policy.min_groups_exploratory) & (g < policy.min_groups_action), "CONTRACT_INSUFFICIENT_GROUPS", "warning", where),
-        issue(g > policy.max_groups, "CONTRACT_RIEC_SETTINGS_INVALID", "blocking", "riec"),
+        issue(g > policy.max_groups, "CONTRACT_SELECTION_SETTINGS_INVALID", "blocking", "selection"),
         issue(n < policy.min_rows, "CONTRACT_EVIDENCE_PROFILE_INVALID", "blocking", "evidence_profile.min_rows"),
         issue(n * F.lit(policy.alpha) < policy.min_tail_count, "CONTRACT_EVIDENCE_PROFILE_INVALID", "warning", "evidence_profile.min_expected_tail_count"),
     )

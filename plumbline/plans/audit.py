@@ -18,16 +18,16 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     written to the shared folder once and read by what follows.
     """
     rows, scopes = prepare(df, roles, scope_cols)
-    rows, scopes = written(rows, "rows"), written(scopes, "scopes")
+    rows = written(rows, "rows")
     cells = written(models.cell_statistics(rows), "cells")
     tried = models.feasible(scopes)
     coefficients = written(models.fit_all(cells, tried), "coefficients")
-    crossfit = models.score_rows(rows, coefficients, held_out=True)
-    ledger = written(models.candidate_ledger(rows, tried, coefficients, crossfit), "ledger")
+    errors = written(models.squared_errors(rows, coefficients), "errors")
+    ledger = written(models.candidate_ledger(tried, errors), "ledger")
     scored = selection.score(ledger, policy.c)
     chosen = written(selection.select_candidate(scored, policy), "selection")
     members = chosen.select("scope", F.explode("equivalence_set").alias("candidate_id"))
-    kept = written(crossfit.join(members, ["scope", "candidate_id"], "left_semi"), "crossfit")
+    kept = written(models.score_rows(rows, coefficients.join(members, ["scope", "candidate_id"], "left_semi"), held_out=True), "crossfit")
     h1 = headroom.empirical_headroom(rows, policy).select("scope", "protocol_id", "status", "point_estimate", F.lit(False).alias("material_warning"), "warnings")
     protocols = h1.unionByName(headroom.parametric_headroom(kept, policy, student=False))
     if student:
@@ -57,7 +57,7 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     table = table.withColumn("basis", F.coalesce("basis", F.lit("none")))
     decisions = written(decide.action_state(table, policy), "decisions")
     return {
-        "scopes": scopes, "ledger": scored, "folds": models.fold_metrics(crossfit, coefficients), "selection": chosen, "switches": selection.pairwise_switches(scored, policy.c),
+        "scopes": scopes, "ledger": scored, "folds": models.fold_metrics(errors), "selection": chosen, "switches": selection.pairwise_switches(scored, policy.c),
         "mean": headroom.mean_diagnostic(rows, policy), "protocols": protocols, "bounds": bounds, "stability": g1, "sufficiency": g2, "decisions": decisions,
         "evidence": audit_evidence(chosen, protocols, decisions, policy),
     }

@@ -113,6 +113,27 @@ def type_inference(spark, d):
     return profile.profile(shown).select("name", "dtype", "failure_code")
 
 
+@query(
+    "profile_blockers",
+    """
+WITH c AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN '12,5' ELSE CAST(c_acctbal AS VARCHAR) END AS quantity, 'user' || c_custkey || '@mail.example.org' AS contact, CASE WHEN c_custkey % 9 = 0 THEN '+1 (555) 010-0199' ELSE 'none' END AS remark, c_mktsegment AS part_no FROM customer)
+SELECT 'quantity' AS name, CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) = count(*) THEN 'number' ELSE 'string' END AS dtype, FALSE AS is_identifier, CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) < count(*) THEN 'PROFILE_MALFORMED_NUMERIC' END AS failure_code, CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) < count(*) THEN 'PROFILE_MALFORMED_NUMERIC' END AS table_failure, count(DISTINCT quantity) AS unique_count FROM c
+UNION ALL SELECT 'contact', 'string', bool_or(contains(contact, '@')), NULL, (SELECT CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) < count(*) THEN 'PROFILE_MALFORMED_NUMERIC' END FROM c), count(DISTINCT contact) FROM c
+UNION ALL SELECT 'remark', 'string', bool_or(contains(remark, '555')), NULL, (SELECT CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) < count(*) THEN 'PROFILE_MALFORMED_NUMERIC' END FROM c), count(DISTINCT remark) FROM c
+UNION ALL SELECT 'part_no', 'string', FALSE, NULL, (SELECT CASE WHEN count(TRY_CAST(quantity AS DOUBLE)) < count(*) THEN 'PROFILE_MALFORMED_NUMERIC' END FROM c), count(DISTINCT part_no) FROM c""",
+)
+def profile_blockers(spark, d):
+    """Malformed numbers, addresses and telephone numbers among the values, and the table's own status."""
+    k = F.col("c_custkey")
+    shown = _t(spark, d, "customer").select(
+        F.when(k % 50 == 0, "12,5").otherwise(F.col("c_acctbal").cast("string")).alias("quantity"), F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.example.org")).alias("contact"),
+        F.when(k % 9 == 0, "+1 (555) 010-0199").otherwise("none").alias("remark"), F.col("c_mktsegment").alias("part_no"),
+    )
+    p = written(profile.profile(shown), "profile")
+    safe = profile.safe_profile(p).select("name", F.col("dtype"), "unique_count")
+    return safe.join(p.select("name", "is_identifier", "failure_code"), "name").crossJoin(F.broadcast(profile.profile_status(p).select(F.col("failure_code").alias("table_failure"))))
+
+
 @query("duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return profile.repeated_keys(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -279,7 +300,7 @@ def fitted(spark: SparkSession, d: str, only: list[str] | None = None, scope: tu
         tried = tried.filter(F.col("candidate_id").isin(only))
     coefficients = written(models.fit_all(cells, tried), "coefficients")
     crossfit = models.score_rows(rows, coefficients, held_out=True)
-    return {"rows": rows, "scopes": scopes, "cells": cells, "tried": tried, "coefficients": coefficients, "crossfit": crossfit, "ledger": models.candidate_ledger(rows, tried, coefficients, crossfit)}
+    return {"rows": rows, "scopes": scopes, "cells": cells, "tried": tried, "coefficients": coefficients, "crossfit": crossfit, "ledger": models.candidate_ledger(tried, models.squared_errors(rows, coefficients))}
 
 
 _LEDGER = ["candidate_id", "status", "parameter_count", "rss", "aic", "bic_eff", "grouped_risk", "group_balanced_risk"]
@@ -462,7 +483,26 @@ def _tail_query(spark, d, student):
     return headroom.parametric_headroom(f["crossfit"], POLICY, student).select("scope", "protocol_id", "status", *r6("point_estimate"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("gaussian_headroom")
+def _phi(z: str) -> str:
+    """The normal distribution function in SQL: Simpson's rule from 0."""
+    return f"(0.5 + ({z}) / (600 * sqrt(2 * pi())) * list_sum(list_transform(range(0, 201), lambda k: (CASE WHEN k IN (0, 200) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (({z}) * k / 200) ** 2))))"
+
+
+_GAUSSIAN = f"""
+WITH RECURSIVE {_CROSS_M1.strip().removeprefix("WITH ")},
+s AS (SELECT avg(e) AS loc, stddev_samp(e) AS sc, skewness(e) AS g1, kurtosis(e) AS g2 FROM x),
+p AS (SELECT y - e AS yhat, count(*) AS n FROM x GROUP BY 1),
+groups AS (SELECT max(d) / min(d) AS ratio FROM (SELECT g, stddev_samp(e) AS d FROM x GROUP BY g)),
+b AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, {POLICY.maximum_shift}::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN r <= {POLICY.alpha}::DOUBLE THEN m ELSE lo END, CASE WHEN r <= {POLICY.alpha}::DOUBLE THEN hi ELSE m END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, sum(n * {_phi(f"({POLICY.lower_limit}::DOUBLE + (lo + hi) / 2 - yhat - loc) / sc")}) / sum(n) AS r FROM b, p, s WHERE i < 48 GROUP BY i, lo, hi)),
+w AS (SELECT concat_ws(',', CASE WHEN abs(g1) > 1 THEN 'RESIDUAL_SKEW_DIAGNOSTIC' END, CASE WHEN g2 > 3 THEN 'HEAVY_TAIL_DIAGNOSTIC' END, CASE WHEN ratio > 2 THEN 'GROUPWISE_SCALE_DIAGNOSTIC' END) AS warnings FROM s, groups)
+SELECT 'ALL' AS scope, '{V.H2}' AS protocol_id, CASE WHEN warnings = '' THEN 'ok' ELSE 'warning' END AS status, round(lo, 6) AS point_estimate, warnings FROM b, w WHERE i = 48"""
+
+
+@query("gaussian_headroom", _GAUSSIAN)
 def gaussian_headroom(spark, d):
     return _tail_query(spark, d, False)
 
@@ -472,9 +512,9 @@ def student_t_headroom(spark, d):
     return _tail_query(spark, d, True)
 
 
-def shared_draws(spark: SparkSession, d: str) -> DataFrame:
+def shared_draws(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Draws that SQL can repeat: replicate r and slot i take group (r * 7919 + i * i * 31 + r * i * 17) mod G."""
-    rows, _ = audit_rows(spark, d)
+    rows = audit_rows(spark, d)[0] if rows is None else rows
     tokens = rows.select("scope", "group_token").distinct()
     ranked = tokens.withColumn("i", F.row_number().over(Window.partitionBy("scope").orderBy("group_token")) - 1)
     size = tokens.groupBy("scope").agg(F.count("*").alias("g"))
@@ -581,6 +621,50 @@ def audit_decision(spark, d):
     return tables["decisions"].select("scope", "state", F.array_join("reason_codes", ",").alias("reasons"), *r6("safe_headroom", "pilot_lower", "pilot_upper"))
 
 
+SCOPE_POLICY = Policy(nominal=1500.0, lower_limit=225.0, alpha=0.05, resolution=0.01, minimum_shift=4.0, maximum_shift=40.0, spread_tolerance=50.0)
+
+
+@query(
+    "scope_decisions",
+    f"""
+WITH {SOURCE_SQL}, m AS (SELECT product || '|' || shift AS scope, g, unit_price - 225.0 AS m FROM a),
+n AS (SELECT scope, count(*) AS n, count(DISTINCT g) AS gs, CAST(floor(CAST(0.05 AS DECIMAL(18, 6)) * count(*)) AS BIGINT) AS k, count(*) FILTER (WHERE m < 0) AS under FROM m GROUP BY 1),
+o AS (SELECT scope, m, row_number() OVER (PARTITION BY scope ORDER BY m) - 1 AS i FROM m),
+h AS (SELECT n.*, CASE WHEN n.n >= 80 AND gs >= 4 AND 0.05 * n.n >= 5 AND under <= k THEN greatest(0.0, o.m) END AS point FROM n JOIN o ON n.scope = o.scope AND n.k = o.i),
+t AS (SELECT scope, g, row_number() OVER (PARTITION BY scope ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY scope) AS z FROM (SELECT DISTINCT scope, g FROM m)),
+drawn AS (SELECT q.scope, r, g, count(*) AS w FROM (SELECT scope, r, (r * 7919 + i * i * 31 + r * i * 17) % z AS i FROM t, (SELECT unnest(generate_series(0, 199)) AS r)) q JOIN t ON t.scope = q.scope AND t.i = q.i GROUP BY ALL),
+x AS (SELECT scope, r, m, sum(w * c) AS c FROM (SELECT scope, g, m, count(*) AS c FROM m GROUP BY ALL) JOIN drawn USING (scope, g) GROUP BY ALL),
+c AS (SELECT scope, r, m, sum(c) OVER (PARTITION BY scope, r ORDER BY m) AS upto, sum(c) OVER (PARTITION BY scope, r) AS total, sum(CASE WHEN m < 0 THEN c ELSE 0 END) OVER (PARTITION BY scope, r) AS low FROM x),
+v AS (SELECT scope, r, CASE WHEN any_value(total) >= 80 AND 0.05 * any_value(total) >= 5 AND any_value(low) <= floor(CAST(0.05 AS DECIMAL(18, 6)) * any_value(total)) THEN greatest(0.0, min(m) FILTER (WHERE upto > floor(CAST(0.05 AS DECIMAL(18, 6)) * total))) END AS value FROM c GROUP BY scope, r),
+good AS (SELECT scope, count(value) AS good FROM v GROUP BY scope),
+valid AS (SELECT good.*, gs >= 8 AND good >= 100 AND (200 - good) / 200 <= 0.1 AS valid FROM good JOIN n USING (scope)),
+bound AS (SELECT scope, value AS bound FROM (SELECT v.scope, value, row_number() OVER (PARTITION BY v.scope ORDER BY value) AS p, greatest(1, ceil(CAST(0.1 AS DECIMAL(18, 6)) * good)) AS pos FROM v JOIN valid ON v.scope = valid.scope WHERE value IS NOT NULL AND valid) WHERE p = pos),
+s AS (SELECT h.*, valid, bound, CASE WHEN point IS NOT NULL THEN coalesce(bound, point) END AS safe FROM h JOIN valid ON h.scope = valid.scope LEFT JOIN bound ON bound.scope = h.scope),
+d AS (SELECT *, bound IS NULL AS conservative, CAST(CAST(round(safe, 6) AS VARCHAR) AS DECIMAL(18, 6)) AS hd, n >= 80 AND gs >= 8 AND 0.05 * n >= 5 AND valid AS supported FROM s),
+g AS (SELECT *, floor(CASE WHEN conservative THEN 4 ELSE greatest(4, 0.30 * hd) END / 0.01) * 0.01 AS lo, floor(least(40, CASE WHEN conservative THEN 0.50 ELSE 0.80 END * hd) / 0.01) * 0.01 AS hi FROM d),
+f AS (SELECT *, CASE WHEN NOT supported THEN 'insufficient_evidence' WHEN safe IS NULL OR safe < 4 OR hi < 4 OR lo < 4 OR hi < lo THEN 'no_actionable_headroom' WHEN conservative THEN 'pilot_only_conservative' ELSE 'pilot_range_supported' END AS state FROM g)
+SELECT scope, state, round(safe, 6) AS safe_headroom, CASE WHEN safe IS NULL THEN 'none' WHEN bound IS NULL THEN 'point_estimates_without_bound' ELSE 'lower_bounds' END AS basis,
+       CASE WHEN state LIKE 'pilot%' THEN round(CAST(lo AS DOUBLE), 4) END AS pilot_lower, CASE WHEN state LIKE 'pilot%' THEN round(CAST(hi AS DOUBLE), 4) END AS pilot_upper,
+       CASE state WHEN 'insufficient_evidence' THEN 'EVIDENCE_INSUFFICIENT' WHEN 'no_actionable_headroom' THEN CASE WHEN safe IS NULL THEN 'NO_ELIGIBLE_HEADROOM' WHEN safe <= 0 THEN 'HEADROOM_NONPOSITIVE' WHEN safe < 4 THEN 'HEADROOM_BELOW_MINIMUM_ACTIONABLE' WHEN hi <= 0 THEN 'PILOT_RANGE_NONPOSITIVE' WHEN lo < 4 OR hi < 4 THEN 'PILOT_RANGE_SUBMINIMUM' ELSE 'PILOT_RANGE_INVERTED' END
+         WHEN 'pilot_only_conservative' THEN 'UNCERTAINTY_BOUND_UNAVAILABLE,CONSERVATIVE_PILOT_REFERENCE' ELSE 'SUPPORTED_PILOT_REFERENCE' END AS reasons
+FROM f""",
+)
+def scope_decisions(spark, d):
+    """From rows to decisions, a scope per return flag and order priority: empirical headroom, its bound over
+    redrawn groups, sufficiency, action."""
+    rows = written(audit_rows(spark, d, PRICE_ROLES, ("l_returnflag", "o_orderpriority"))[0], "rows")
+    h1 = headroom.empirical_headroom(rows, SCOPE_POLICY).select("scope", "protocol_id", "status", "point_estimate", F.lit(False).alias("material_warning"))
+    values = bootstrap.bootstrap_h1(rows, written(shared_draws(spark, d, rows), "draws"), SCOPE_POLICY)
+    bounds = written(bootstrap.group_bootstrap(values, rows, SCOPE_POLICY), "bounds")
+    protocols = decide.attach_bounds(h1, bounds)
+    unordered = bounds.select("scope", F.lit(None).cast("double").alias("coverage")).distinct()
+    g2 = gates.sufficiency_gate(gates.product_support(rows), unordered, bounds.select("scope", "valid"), SCOPE_POLICY, ordered_required=False)
+    table = decide.safe_headroom(protocols).join(g2.select("scope", "action_supported"), "scope")
+    table = table.withColumns({"contract_valid": F.lit(True), "near_tie": F.lit(False), "g1_state": F.lit("not_applicable")})
+    out = decide.action_state(table, SCOPE_POLICY)
+    return out.select("scope", "state", *r6("safe_headroom"), "basis", F.round("pilot_lower", 4).alias("pilot_lower"), F.round("pilot_upper", 4).alias("pilot_upper"), F.array_join("reason_codes", ",").alias("reasons"))
+
+
 # --- evidence and lineage --------------------------------------------------------------------------
 
 
@@ -597,6 +681,28 @@ def evidence_hash(spark, d):
     return e.join(wrong, "evidence_id", "left").select("s_suppkey", "content_sha256", "evidence_id", F.coalesce("wrong", F.lit(False)).alias("wrong"))
 
 
+@query(
+    "evidence_verify",
+    """
+WITH p AS (SELECT s_suppkey, s_suppkey % 10 AS k, '{"component":"SUPPLIER","parents":"","statement":"' || s_name || '","status":"ok","unit":"EUR","value":"' || CAST(CAST(s_acctbal AS DECIMAL(38, 9)) AS VARCHAR) || '"}' AS payload FROM supplier),
+i AS (SELECT *, 'EV-SUPPLIER-' || upper(substr(sha256(payload), 1, 12)) AS id FROM p)
+SELECT id AS evidence_id, 'content_mismatch' AS problem FROM i WHERE k IN (1, 4)
+UNION ALL SELECT 'EV-X-' || s_suppkey, 'id_mismatch' FROM i WHERE k = 2
+UNION ALL SELECT id, 'id_mismatch' FROM i WHERE k = 4
+UNION ALL SELECT id, 'duplicate_id' FROM i WHERE k = 3""",
+)
+def evidence_verify(spark, d):
+    """Evidence of all suppliers, of which some were altered, renamed, doubled or lost their checksum."""
+    k = F.col("s_suppkey") % 10
+    s = _t(spark, d, "supplier").select("s_suppkey", F.lit("SUPPLIER").alias("component"), F.col("s_name").alias("statement"), F.lit("ok").alias("status"), F.col("s_acctbal").alias("value"), F.lit("EUR").alias("unit"), F.array().cast("array<string>").alias("parents"))
+    e = evidence.make_evidence(s).withColumns({
+        "statement": F.when(k == 1, F.concat("statement", F.lit("!"))).otherwise(F.col("statement")),
+        "evidence_id": F.when(k == 2, F.concat(F.lit("EV-X-"), F.col("s_suppkey").cast("string"))).otherwise(F.col("evidence_id")),
+        "content_sha256": F.when(k != 4, F.col("content_sha256")),
+    })
+    return evidence.verify_evidence(e.unionByName(e.filter(k == 3)))
+
+
 def _lineage(spark, d) -> DataFrame:
     """Lines cite their order, orders their customer; a few orders cite customers that are not there."""
     o = _t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("evidence_id"), F.array(F.concat(F.lit("c"), F.when(F.col("o_orderkey") % 97 == 0, -1).otherwise(F.col("o_custkey")).cast("string"))).alias("parents"))
@@ -674,6 +780,37 @@ def secret_scan(spark, d):
     return claims.scan_text(_t(spark, d, "documents"))
 
 
+# what is appended to document k of every twenty, and the rule that it breaks; the last ones break none
+_PLANTED = [
+    ("concat('sk-', repeat('a1B2', 6))", "SECRET_OPENAI_KEY"),
+    ("concat('AKIA', repeat('Q7', 8))", "SECRET_AWS_ACCESS_KEY"),
+    ("concat('ghp_', repeat('x9', 12))", "SECRET_GITHUB_TOKEN"),
+    ("concat('-----BEGIN ', 'RSA PRIVATE KEY-----')", "SECRET_PRIVATE_KEY"),
+    ("concat('export SERVICE_API_KEY = ', 'zq81')", "SECRET_API_KEY_ASSIGNMENT"),
+    ("concat('auth_token: ', '778x')", "SECRET_TOKEN_ASSIGNMENT"),
+    ("concat('sent Bearer ', repeat('t0k', 6))", "SECRET_BEARER_VALUE"),
+    ("'see /Users/someone'", "ABSOLUTE_MACOS_PATH"),
+    ("'see /home/someone'", "ABSOLUTE_LINUX_PATH"),
+    ("'see /private/etc'", "ABSOLUTE_PRIVATE_PATH"),
+    ("'see /var/tmp/x'", "ABSOLUTE_TEMP_PATH"),
+    ("concat('see D:', chr(92), 'data')", "ABSOLUTE_WINDOWS_DRIVE_PATH"),
+    ("concat('see ', chr(92), chr(92), 'host', chr(92), 'share')", "ABSOLUTE_UNC_PATH"),
+    ("'API_KEY=changeme'", None),
+    ("'TOKEN = <your token>'", None),
+    ("'api_key: example_key_here'", None),
+    ("'Bearer short'", None),
+    ("'risk-free /usr/bin AKIA1 sk-short'", None),
+]
+
+
+@query("secret_scan_planted", "WITH r(k, code) AS (VALUES " + ", ".join(f"({k}, '{code}')" for k, (_, code) in enumerate(_PLANTED) if code) + f") SELECT doc_id, code FROM documents JOIN r ON doc_id % {len(_PLANTED) + 2} = k")
+def secret_scan_planted(spark, d):
+    """All documents, with a secret, a path or a placeholder appended to most: SQL knows them by their place."""
+    cases = " ".join(f"WHEN {k} THEN {text}" for k, (text, _) in enumerate(_PLANTED))
+    planted = F.expr(f"concat(coalesce(text, ''), chr(10), CASE doc_id % {len(_PLANTED) + 2} {cases} ELSE '' END)")
+    return claims.scan_text(_t(spark, d, "documents").select("doc_id", planted.alias("text")))
+
+
 @query(
     "content_limits",
     r"""
@@ -708,7 +845,7 @@ def numeric_grounding(spark, d):
     r"""
 WITH t AS (SELECT doc_id, text || ' cites EV-DOC-' || upper(substr(sha256(CAST(doc_id % 200 AS VARCHAR)), 1, 12)) || ', profile.n' || (doc_id % 30) || ' and H' || (doc_id % 5) || CASE WHEN doc_id % 3 = 0 THEN ' for pilot_only_conservative' ELSE '' END AS text FROM documents),
 c AS (SELECT DISTINCT doc_id, 'evidence' AS kind, unnest(regexp_extract_all(text, '\bEV-[A-Z0-9_]{2,16}-[A-F0-9]{12}\b')) AS cited FROM t
-      UNION ALL SELECT DISTINCT doc_id, 'fact', unnest(regexp_extract_all(text, '\b(?:action|gate|policy|profile|protocol|riec)[.][A-Za-z0-9_.]+\b')) FROM t
+      UNION ALL SELECT DISTINCT doc_id, 'fact', unnest(regexp_extract_all(text, '\b(?:action|gate|policy|profile|protocol|selection)[.][A-Za-z0-9_.]+\b')) FROM t
       UNION ALL SELECT DISTINCT doc_id, 'protocol', unnest(regexp_extract_all(text, '\b[DHUG][0-9]+\b')) FROM t
       UNION ALL SELECT doc_id, 'action', 'pilot_only_conservative' FROM t WHERE contains(text, 'pilot_only_conservative'))
 SELECT * FROM c WHERE NOT (kind = 'evidence' AND cited IN (SELECT 'EV-DOC-' || upper(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12)) FROM documents WHERE doc_id < 100))
@@ -845,6 +982,20 @@ def gate_view(spark, d):
     return views.gate_view(g1, g2).select("scope", "protocol_id", "state")
 
 
+def _fingerprint_sql(table: str, columns: list[str]) -> str:
+    row = " || ',' || ".join(f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || CAST({c} AS VARCHAR) || '"' END""" for c in sorted(columns))
+    sums = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)) AS s{k}" for k in range(4))
+    return f"""
+SELECT n_rows, 'dataset-' || substr(sha256(concat_ws('-', n_rows, s0, s1, s2, s3)), 1, 16) AS dataset_id
+FROM (SELECT count(*) AS n_rows, {sums} FROM (SELECT sha256('[' || {row} || ']') AS h FROM {table}))"""
+
+
+@query("table_fingerprint_parts", _fingerprint_sql("part", ["p_partkey", "p_size", "p_type"]))
+def table_fingerprint_parts(spark, d):
+    """A column for each kind that both sides print alike: whole numbers and text."""
+    return measurements.table_fingerprint(_t(spark, d, "part").select("p_size", "p_type", "p_partkey"))
+
+
 @query("table_fingerprint")
 def table_fingerprint(spark, d):
     return measurements.table_fingerprint(_t(spark, d, "orders"))

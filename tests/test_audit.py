@@ -32,8 +32,7 @@ def evaluate(spark, df, roles=ROLES, scope=()):
     cells = models.cell_statistics(rows)
     tried = models.feasible(scopes)
     coefficients = models.fit_all(cells, tried)
-    crossfit = models.score_rows(rows, coefficients, held_out=True)
-    return models.candidate_ledger(rows, tried, coefficients, crossfit)
+    return models.candidate_ledger(tried, models.squared_errors(rows, coefficients))
 
 
 def by_candidate(ledger):
@@ -90,7 +89,7 @@ def test_unseen_level_is_a_prediction_failure(spark):
 def test_bad_quantity_fails_its_scope_only(spark):
     df = spark.createDataFrame([("a", "1.5", "g1"), ("a", "nan", "g2"), ("b", "2", "g1"), ("b", "1e1", "g2")], "plant string, q string, g string")
     rows, scopes = prepare(df, Roles("q", ("g",)), ("plant",))
-    assert {r.scope: r.failure_code for r in scopes.collect()} == {"a": "RIEC_INVALID_QUANTITY", "b": None}
+    assert {r.scope: r.failure_code for r in scopes.collect()} == {"a": "SELECTION_INVALID_QUANTITY", "b": None}
     assert sorted(r.y for r in rows.collect()) == [2.0, 10.0]
 
 
@@ -240,7 +239,7 @@ def test_action_states_and_pilot_ranges(spark):
     assert (r.state, r.pilot_lower, r.pilot_upper) == ("pilot_range_supported", 0.13, 0.36)
     r = decided(spark, 0.45, near_tie=True)
     assert (r.state, r.pilot_lower, r.pilot_upper) == ("pilot_only_conservative", 0.05, 0.22)
-    assert r.reason_codes == ["RIEC_NEAR_TIE", "CONSERVATIVE_PILOT_REFERENCE"]
+    assert r.reason_codes == ["SELECTION_NEAR_TIE", "CONSERVATIVE_PILOT_REFERENCE"]
     assert decided(spark, 0.45, contract_valid=False, action_supported=False).state == "invalid_contract"
     assert decided(spark, 0.45, action_supported=False, g1_state="material_warning").state == "insufficient_evidence"
     assert decided(spark, 0.45, g1_state="material_warning").state == "diagnose_process_first"
