@@ -61,9 +61,9 @@ class WaveletMatrix:
             per_block = np.add.reduceat(np.bitwise_count(packed).astype(np.uint32), np.arange(0, max(1, len(packed)), BLOCK_BITS // 8)) if len(packed) else np.zeros(0, np.uint32)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32).tobytes())
-            low = now[~one]
+            low = np.compress(~one, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
+            now = np.concatenate([low, np.compress(one, now)])
         return cls(len(tokens), bits, planes, ranks, zeros)
 
     def _ones(self, level: int, i: int) -> int:
@@ -133,8 +133,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
             z = self.zeros[level]
-            out[~one] = now[:z]
-            out[one] = now[z:] | now.dtype.type(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~one)] = now[:z]
+            out[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = out
         return now
 
