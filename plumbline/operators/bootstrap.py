@@ -95,20 +95,30 @@ def _replicate_tails(cells: pd.DataFrame, hist: pd.DataFrame, draws: pd.DataFram
     """(replicate, H2, H3) of one candidate: refits by weighted group statistics.
 
     A drawn copy is held out alone: its siblings stay in the training, so the held-out statistics are
-    those of one copy.
+    those of one copy. The Gaussian tail of a candidate without time needs the cells' sums alone, for
+    its predictions are constant in a cell; else the counted values are needed.
     """
     design = Design(cells, terms)
     number = {g: i for i, g in enumerate(design.groups)}
-    group = hist["group_token"].map(number).to_numpy()
-    y, n = hist["y"].to_numpy(float), hist["n"].to_numpy(float)
-    t = hist["time_h"].to_numpy(float) if design.timed else None
-    code = {f: hist[f].to_numpy(str) for f in design.factors}
+    values = student or design.timed
+    table, centre = (hist if values else cells), design.y_mean
+    group, n = table["group_token"].map(number).to_numpy(), table["n"].to_numpy(float)
+    if values:
+        y = table["y"].to_numpy(float)
+        first, second = n * (y - centre), n * (y - centre) ** 2
+        least = headroom.DEGENERATE
+    else:
+        first, second = table["sy"].to_numpy(float), table["syy"].to_numpy(float)
+        # what is left of a sum of squares that cancels out
+        least = max(headroom.DEGENERATE, 1e-7 * float(np.sqrt(second.sum() / n.sum())))
+    t = table["time_h"].to_numpy(float) if design.timed else None
+    code = {f: table[f].to_numpy(str) for f in design.factors}
     out = []
     for replicate, drawn in draws.groupby("replicate"):
         w = np.zeros(len(design.groups))
         w[drawn["group_token"].map(number).to_numpy()] = drawn["w"].to_numpy()
         gram, right = np.tensordot(w, design.gram, 1), np.tensordot(w, design.right, 1)
-        yhat, failed = np.full(len(y), np.nan), False
+        yhat, failed = np.full(len(n), np.nan), False
         for g in np.flatnonzero(w):
             fit = design.solve(gram - design.gram[g], right - design.right[g], design.gram[g])
             if fit["failure_code"]:
@@ -125,11 +135,18 @@ def _replicate_tails(cells: pd.DataFrame, hist: pd.DataFrame, draws: pd.DataFram
             out.append((int(replicate), None, None))
             continue
         used = w[group] > 0
-        weight, e = (n * w[group])[used], (y - yhat)[used]
+        times, off = w[group][used], centre - yhat[used]
+        weight = n[used] * times
         total = weight.sum()
-        location = (weight * e).sum() / total
-        scale = np.sqrt((weight * (e - location) ** 2).sum() / (total - 1))
-        if not scale > headroom.DEGENERATE:
+        location = (times * (first[used] + n[used] * off)).sum() / total
+        if values:
+            e = y[used] - yhat[used]
+            squares = (weight * (e - location) ** 2).sum()
+        else:
+            off = off - location
+            squares = (times * (second[used] + 2 * off * first[used] + n[used] * off * off)).sum()
+        scale = np.sqrt(max(0.0, squares) / (total - 1))
+        if not scale > least:
             out.append((int(replicate), None, None))
             continue
         prediction, back = np.unique(yhat[used], return_inverse=True)
@@ -147,11 +164,13 @@ def _replicate_tails(cells: pd.DataFrame, hist: pd.DataFrame, draws: pd.DataFram
 def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, chosen: DataFrame, policy: Policy, student: bool = True, blocks: int = 8) -> DataFrame:
     """H2 and H3 of every replicate over the frozen equivalence set ``chosen(scope, candidate_id, terms)``.
 
-    A task gets one scope and candidate with a block of replicates; rows are counted per cell, value
-    and, where the candidate has it, time.
+    A task gets one scope and candidate with a block of replicates, and the cells' sums. Only where
+    Student's tail is asked for or the candidate has time, it also gets the rows counted per cell, value
+    and time, whose number grows with the distinct values.
     """
     timed = chosen.select("scope", "candidate_id", "terms", F.array_contains("terms", "time").alias("timed"))
-    y = rows.join(timed, "scope").withColumn("time_h", F.when(F.col("timed"), F.col("time_h")))
+    counted = timed if student else timed.filter("timed")
+    y = rows.join(counted, "scope").withColumn("time_h", F.when(F.col("timed"), F.col("time_h")))
     hist = y.groupBy("scope", "candidate_id", "group_token", *FACTORS, "time_h", "y").agg(F.count("*").alias("n"))
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     left = cells.join(timed, "scope").select("*", F.lit("cell").alias("kind"), F.lit(None).cast("double").alias("time_h"), F.lit(None).cast("double").alias("y"))

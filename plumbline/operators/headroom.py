@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import special
 from plumbline.functions.fixed_values import D0, H1, H2, H3
 from plumbline.operators.prepare import Policy, decimal
+from plumbline.session import written
 
 SKEWNESS, KURTOSIS, SCALE_RATIO, DEGENERATE = 1.0, 3.0, 2.0, 1e-12
 MIN_DF, MAX_DF, DF_EDGE = 2.1, 100.0, 1e-3
@@ -59,13 +60,16 @@ def empirical_headroom(rows: DataFrame, policy: Policy, check_groups: bool = Tru
     # few rows: a rank error of a row matters, so take everything
     wide = F.col("n_rows") <= QUANTILE_ACCURACY * 4
     s = s.withColumns({"low": F.when(wide, F.col("least")).otherwise(F.col("near")[0]), "high": F.when(wide, F.col("most")).otherwise(F.col("near")[1])})
+    s = written(s, "brackets")  # computed once, and of a size that Spark knows
     inside = base.join(s.select("scope", "low", "high"), "scope")
     below = inside.groupBy("scope").agg(F.count_if(F.col("margin") < F.col("low")).alias("below"))
     counts = inside.filter(F.col("margin").between(F.col("low"), F.col("high"))).groupBy("scope", "margin").agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.partitionBy("scope").orderBy("margin"))
     at = counts.join(below, "scope").join(s.select("scope", "k"), "scope").withColumn("upto", F.col("below") + running)
     hit = at.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select("scope", F.col("margin").alias("raw_boundary"), F.col("n").alias("tie_multiplicity"), (F.col("upto") - F.col("n")).alias("underfills_at_boundary"))
-    out = s.join(hit, "scope")
+    out = s.join(hit, "scope", "left")
+    missed = F.raise_error(F.lit("the rank lies outside the quantiles that bracket it")).cast("double")
+    out = out.withColumn("raw_boundary", F.coalesce("raw_boundary", missed))
     blocked = [
         (F.col("n_rows") < policy.min_rows, "EMPIRICAL_INSUFFICIENT_ROWS"),
         (F.col("n_groups") < policy.min_groups_exploratory, "EMPIRICAL_INSUFFICIENT_GROUPS"),

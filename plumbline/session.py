@@ -27,9 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; ``drop_written`` deletes it."""
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes what this session's calls have written to the shared folder, and returns how many paths.
+
+    Results are lazy and read those tables: call it when they have been read or stored.
+    """
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

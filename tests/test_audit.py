@@ -353,7 +353,7 @@ def test_numbers_and_claims(spark):
     assert [v[i] for i in range(7)] == ["prohibited"] * 5 + ["supported", "overstated"]
 
 
-def test_every_query_runs_and_matches_sql(spark):
+def test_a_sample_of_queries_matches_sql(spark):
     """A few queries against DuckDB on the smallest tables."""
     import os
 
@@ -400,3 +400,56 @@ def test_state_semantics_judges_every_document_under_six_states(spark):
 
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert got == dict(duckdb.sql(f"SELECT doc_id, count(*) FROM ({audit_queries.ORACLE_SQL['state_semantics_all']}) GROUP BY 1").fetchall())
+
+
+def test_errors_from_sums_equal_those_of_scored_rows(spark):
+    """Also where the sums cancel out: a product whose quantity is nearly constant."""
+    data = [(f"{100 + 50 * (i % 2) + (1e-7 if i % 2 else 0.3) * ((i * 7) % 11):.9f}", "AB"[i % 2], f"b{i // 12}", f"2026-07-20T{i // 60:02d}:{i % 60:02d}:00Z", f"s{i % 3}", "dn"[i % 5 == 0], str(i)) for i in range(120)]
+    df = spark.createDataFrame(data, COLUMNS)
+    rows, scopes = prepare(df, ROLES)
+    cells = models.cell_statistics(rows)
+    coefficients = models.fit_all(cells, models.feasible(scopes))
+    errors = models.squared_errors(rows, coefficients).filter("failure_code is null").collect()
+    e = F.col("y") - F.col("yhat")
+    want = {}
+    for held in (True, False):
+        scored = models.score_rows(rows, coefficients, held).withColumn("fold", F.col("group_token") if held else F.lit(""))
+        want |= {(r.candidate_id, r.fold): r.sse for r in scored.groupBy("candidate_id", "fold").agg(F.sum(e * e).alias("sse")).collect()}
+    assert len(errors) == len(want) > 20
+    for r in errors:
+        assert r.sse == pytest.approx(want[r.candidate_id, r.fold_token], rel=1e-6, abs=1e-12)
+
+
+def test_result_tables_and_file_fingerprints(spark, tmp_path):
+    import hashlib
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "scope string, x int")
+    measurements.write_result_tables({"t": df, "plain": df.select("x")}, str(tmp_path / "out"))
+    assert sorted((r.scope, r.x) for r in spark.read.parquet(f"{tmp_path}/out/t").collect()) == [("a", 1), ("b", 2), ("b", 3)]
+    assert (tmp_path / "out" / "t" / "scope=a").is_dir() and spark.read.parquet(f"{tmp_path}/out/plain").count() == 3
+    (tmp_path / "f.csv").write_bytes(b"x,y\n1,2\n")
+    r = measurements.file_fingerprint(spark, str(tmp_path / "f.csv")).first()
+    sha = hashlib.sha256(b"x,y\n1,2\n").hexdigest()
+    assert (r.sha256, r.dataset_id) == (sha, "dataset-" + sha[:16])
+
+
+def test_unsafe_evidence_and_missing_checksums(spark):
+    facts = spark.createDataFrame([("A", "fine", "ok", 1.0, "mL"), ("A", "call +1 (555) 010-0199", "ok", 1.0, "mL"), ("A", "see /home/someone", "ok", 1.0, "mL"), ("A", "a\x01b", "ok", 1.0, "mL"), ("A", "+1 (555) 010-0199", "ok", 1.0, "mL")], "component string, statement string, status string, value double, unit string")
+    made = evidence.make_evidence(facts.withColumn("parents", F.array().cast("array<string>")))
+    found = {r.problem for r in evidence.unsafe_content(made).collect()}
+    assert found == {"ABSOLUTE_LINUX_PATH", "CONTROL_CHARACTER", "PERSONAL_VALUE"}
+    lost = made.withColumn("content_sha256", F.when(F.col("statement") != "fine", F.col("content_sha256")))
+    fine = made.filter("statement = 'fine'").first().evidence_id
+    assert {r.problem for r in evidence.verify_evidence(lost).filter(F.col("evidence_id") == fine).collect()} == {"content_mismatch", "id_mismatch"}
+
+
+def test_written_tables_can_be_dropped(spark):
+    from plumbline.session import drop_written, written
+
+    drop_written(spark)
+    kept = written(spark.range(5).toDF("x"), "some")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert drop_written(spark) == 1 and not os.path.exists(path) and drop_written(spark) == 0
