@@ -48,61 +48,132 @@ def student_cdf(x: np.ndarray, df: float) -> np.ndarray:
 
 
 def student_logpdf(z: np.ndarray, df: float) -> np.ndarray:
-    return math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(z * z / df)
+    return math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log(1 + z * z / df)
 
 
-def student_profile(x: np.ndarray, n: np.ndarray, df: float, location: float, scale: float) -> tuple[float, float, float]:
-    """(log likelihood, location, scale) of the best fit with given degrees of freedom, by reweighting."""
-    total = n.sum()
+def digamma(x: float) -> float:
+    """By recurrence to x >= 12, then the asymptotic series."""
+    below = 0.0
+    while x < 12:
+        below, x = below + 1 / x, x + 1
+    r = 1 / (x * x)
+    return math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - below
+
+
+def student_profile(x: np.ndarray, n: np.ndarray, df: float, location: float, scale: float, tolerance: float = 1e-10) -> tuple[float, float]:
+    """(location, scale) of the best fit with given degrees of freedom, from the given start.
+
+    Newton steps where the likelihood is concave and they are short; reweighting, which always climbs, elsewhere.
+    """
     for _ in range(500):
-        w = n * (df + 1) / (df + ((x - location) / scale) ** 2)
-        new_location = (w * x).sum() / w.sum()
-        # dividing by the weights' sum (not the count) is the faster form of the same fixed point
-        new_scale = max(math.sqrt((w * (x - new_location) ** 2).sum() / w.sum()), 1e-300)
-        done = abs(new_location - location) <= 1e-12 * (scale + abs(location)) and abs(new_scale - scale) <= 1e-12 * scale
-        location, scale = new_location, new_scale
-        if done:
+        z = (x - location) / scale
+        square = z * z
+        w = n / (df + square) * (df + 1)
+        wz = w * z
+        h = w * (df - square) / (df + square)  # slope of weight times z
+        zh = z * h
+        g1, g2 = wz.sum(), wz @ z - n.sum()
+        a, b, c = h.sum(), (wz + zh).sum(), z @ (wz + zh)
+        skew = zh.sum()
+        det = a * c - skew * b
+        if a > 0 and det > 0 and max(abs(c * g1 - skew * g2), abs(a * g2 - b * g1)) < 0.3 * det:
+            step, log_step = (c * g1 - skew * g2) / det, (a * g2 - b * g1) / det
+            location, scale = location + scale * step, scale * math.exp(log_step)
+        else:
+            mass = w.sum()
+            step = g1 / mass
+            # dividing by the weights' sum (not the count) is the faster form of the same fixed point
+            ratio = max(math.sqrt(max(0.0, wz @ z / mass - step * step)), 1e-300)
+            log_step = math.log(ratio)
+            location, scale = location + scale * step, max(scale * ratio, 1e-300)
+        if abs(step) <= tolerance and abs(log_step) <= tolerance:
             break
-    return float((n * (student_logpdf((x - location) / scale, df) - math.log(scale))).sum() / total), location, scale
+    return location, scale
 
 
 def fit_student(x: np.ndarray, n: np.ndarray, low: float, high: float, edge: float) -> tuple[str | None, float, float, float]:
     """(failure code, df, location, scale) of the maximum-likelihood fit with low <= df <= high.
 
-    The likelihood is profiled over log df: a coarse grid finds the best interval, golden sections
-    close it. A maximum at a bound is a failure, not a fit.
+    The likelihood is profiled over log df, each fit starting from its neighbour's: a coarse grid finds the
+    best interval, bisection with secant steps the root of the profile's slope in it. A maximum at a bound
+    is a failure, not a fit.
     """
     order = np.argsort(x)
     x, n = x[order], n[order].astype(float)
-    location = float(x[np.searchsorted(np.cumsum(n), n.sum() / 2)])
-    mean = (n * x).sum() / n.sum()
-    spread = math.sqrt((n * (x - mean) ** 2).sum() / max(1.0, n.sum() - 1))
-    value = lambda u: student_profile(x, n, math.exp(u), location, spread)
+    total = n.sum()
+    location = float(x[np.searchsorted(np.cumsum(n), total / 2)])
+    mean = (n * x).sum() / total
+    spread = math.sqrt((n * (x - mean) ** 2).sum() / max(1.0, total - 1))
     grid = np.linspace(math.log(low), math.log(high), 17)
-    scores = [value(u)[0] for u in grid]
+    fits, scores = [], []
+    for u in grid[::-1]:  # from the nearly normal end, where the start is good
+        location, spread = student_profile(x, n, math.exp(u), location, spread, 1e-4)
+        fits.insert(0, (location, spread))
+        scores.insert(0, float((n @ student_logpdf((x - location) / spread, math.exp(u))) / total - math.log(spread)))
     best = int(np.argmax(scores))
-    a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = value(c)[0], value(d)[0]
-    while b - a > 1e-9:
-        if fc >= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = value(c)[0]
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = value(d)[0]
-    df = math.exp((a + b) / 2)
-    likelihood, where, scale = value((a + b) / 2)
-    if not all(map(math.isfinite, (df, where, scale, likelihood))):
-        return "STUDENT_T_FIT_NONCONVERGENCE", df, where, scale
+    location, spread = fits[best]
+
+    def slope(u: float) -> float:
+        nonlocal location, spread
+        df = math.exp(u)
+        location, spread = student_profile(x, n, df, location, spread)
+        z = ((x - location) / spread) ** 2
+        return digamma((df + 1) / 2) - digamma(df / 2) - 1 / df + float(n @ ((df + 1) * z / (df * (df + z)) - np.log(1 + z / df))) / total
+
+    i, j = max(0, best - 1), min(len(grid) - 1, best + 1)
+    fa, fb = slope(grid[i]), slope(grid[j])
+    while fa <= 0 and i > 0:  # where the likelihood is flat, the grid may be off by some steps
+        i, j, fb = i - 1, i, fa
+        fa = slope(grid[i])
+    while fb >= 0 and j < len(grid) - 1:
+        i, j, fa = j, j + 1, fb
+        fb = slope(grid[j])
+    if fa <= 0 or fb >= 0:
+        u = grid[i] if fa <= 0 else grid[j]
+    else:
+        u = root(slope, grid[i], fa, grid[j], fb, 1e-10)
+    df = math.exp(u)
+    location, scale = student_profile(x, n, df, location, spread)
+    if not all(map(math.isfinite, (df, location, scale, *scores))):
+        return "STUDENT_T_FIT_NONCONVERGENCE", df, location, scale
     if scale <= 1e-12:
-        return "PARAMETRIC_DEGENERATE_SCALE", df, where, scale
+        return "PARAMETRIC_DEGENERATE_SCALE", df, location, scale
     if df - low <= edge or high - df <= edge:
-        return "STUDENT_T_DF_BOUNDARY", df, where, scale
-    return None, df, where, scale
+        return "STUDENT_T_DF_BOUNDARY", df, location, scale
+    return None, df, location, scale
+
+
+def _brackets(f, low: float, f_low: float, high: float, f_high: float, tolerance: float):
+    """Ever smaller (low, high) around a change of sign, by secant steps (Illinois) held inside the bracket.
+
+    A step within the tolerance of an end is moved off it by half the tolerance, so that the bracket closes
+    from both sides; every fourth step halves the bracket.
+    """
+    step, side = 0, 0
+    while high - low > tolerance:
+        step += 1
+        mid = low + (high - low) / 2
+        if step % 4 and f_high != f_low:
+            at = high - f_high * (high - low) / (f_high - f_low)
+            if math.isfinite(at):
+                mid = min(max(at, low + tolerance / 2), high - tolerance / 2)
+        if not low < mid < high:  # neighbouring numbers
+            break
+        value = f(mid)
+        if (value > 0) == (f_high > 0):
+            high, f_high = mid, value
+            f_low, side = f_low / (2 if side > 0 else 1), 1
+        else:
+            low, f_low = mid, value
+            f_high, side = f_high / (2 if side < 0 else 1), -1
+        yield low, high
+
+
+def root(f, low: float, f_low: float, high: float, f_high: float, tolerance: float) -> float:
+    """Where f changes sign between low and high."""
+    for low, high in _brackets(f, low, f_low, high, f_high, tolerance):  # noqa: B020
+        pass
+    return low + (high - low) / 2
 
 
 def largest_shift(risk, alpha: float, most: float, tolerance: float = 1e-9) -> tuple[float, float, bool, bool]:
@@ -110,10 +181,10 @@ def largest_shift(risk, alpha: float, most: float, tolerance: float = 1e-9) -> t
     base = risk(0.0)
     if base > alpha:
         return 0.0, base, False, False
-    if risk(most) <= alpha:
+    top = risk(most)
+    if top <= alpha:
         return most, base, True, True
-    low, high = 0.0, most
-    while high - low > tolerance:
-        mid = low + (high - low) / 2
-        low, high = (mid, high) if risk(mid) <= alpha else (low, mid)
+    low = 0.0
+    for low, _ in _brackets(lambda s: risk(s) - alpha, 0.0, base - alpha, most, top - alpha, tolerance):
+        pass
     return low, base, True, False

@@ -164,34 +164,36 @@ def _replicate_tails(cells: pd.DataFrame, hist: pd.DataFrame, draws: pd.DataFram
 def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, chosen: DataFrame, policy: Policy, student: bool = True, blocks: int = 8) -> DataFrame:
     """H2 and H3 of every replicate over the frozen equivalence set ``chosen(scope, candidate_id, terms)``.
 
-    A task gets one scope and candidate with a block of replicates, and the cells' sums. Only where
+    A boolean column ``student`` of ``chosen`` says in which scopes H3 is asked for; without it ``student``
+    holds for all. A task gets one scope and candidate with a block of replicates, and the cells' sums. Only where
     Student's tail is asked for or the candidate has time, it also gets the rows counted per cell, value
     and time, whose number grows with the distinct values.
     """
-    timed = chosen.select("scope", "candidate_id", "terms", F.array_contains("terms", "time").alias("timed"))
-    counted = timed if student else timed.filter("timed")
+    tail = F.col("student") if "student" in chosen.columns else F.lit(student)
+    timed = chosen.select("scope", "candidate_id", "terms", F.array_contains("terms", "time").alias("timed"), tail.alias("student"))
+    counted = timed.filter("timed OR student")
     y = rows.join(counted, "scope").withColumn("time_h", F.when(F.col("timed"), F.col("time_h")))
     hist = y.groupBy("scope", "candidate_id", "group_token", *FACTORS, "time_h", "y").agg(F.count("*").alias("n"))
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     left = cells.join(timed, "scope").select("*", F.lit("cell").alias("kind"), F.lit(None).cast("double").alias("time_h"), F.lit(None).cast("double").alias("y"))
-    right = hist.join(timed.select("scope", "candidate_id", "terms"), ["scope", "candidate_id"]).withColumn("kind", F.lit("hist"))
+    right = hist.join(timed.select("scope", "candidate_id", "terms", "student"), ["scope", "candidate_id"]).withColumn("kind", F.lit("hist"))
     both = left.unionByName(right, allowMissingColumns=True).select("*", block)
     drawn = draws.join(chosen.select("scope", "candidate_id"), "scope").withColumn("block", F.pmod("replicate", F.lit(blocks)).cast("int"))
     drawn = drawn.select(*[F.col(c).alias(c) for c in drawn.columns])  # columns of their own, apart from those of ``both``
 
     def run(data: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
-        columns = ["scope", "candidate_id", "replicate", "h2", "h3"]
+        columns = ["scope", "candidate_id", "student", "replicate", "h2", "h3"]
         if data.empty or sample.empty:
             return pd.DataFrame(columns=columns)
         first = data.iloc[0]
-        done = _replicate_tails(data[data["kind"] == "cell"], data[data["kind"] == "hist"], sample, list(first["terms"]), policy, student)
-        return pd.DataFrame([(first["scope"], first["candidate_id"], *d) for d in done], columns=columns)
+        done = _replicate_tails(data[data["kind"] == "cell"], data[data["kind"] == "hist"], sample, list(first["terms"]), policy, bool(first["student"]))
+        return pd.DataFrame([(first["scope"], first["candidate_id"], bool(first["student"]), *d) for d in done], columns=columns)
 
-    solved = both.groupBy("scope", "candidate_id", "block").cogroup(drawn.groupBy("scope", "candidate_id", "block")).applyInPandas(run, "scope string, candidate_id string, replicate int, h2 double, h3 double")
+    solved = both.groupBy("scope", "candidate_id", "block").cogroup(drawn.groupBy("scope", "candidate_id", "block")).applyInPandas(run, "scope string, candidate_id string, student boolean, replicate int, h2 double, h3 double")
     # the least over the members that fit
-    least = solved.groupBy("scope", "replicate").agg(F.min("h2").alias("h2"), F.min("h3").alias("h3"))
-    pairs = [F.struct(F.lit(H2).alias("protocol_id"), F.col("h2").alias("value"))] + ([F.struct(F.lit(H3).alias("protocol_id"), F.col("h3").alias("value"))] if student else [])
-    return least.select("scope", "replicate", F.explode(F.array(*pairs)).alias("p")).select("scope", "replicate", "p.protocol_id", "p.value")
+    least = solved.groupBy("scope", "replicate").agg(F.min("h2").alias("h2"), F.min("h3").alias("h3"), F.bool_or("student").alias("student"))
+    pairs = [F.struct(F.lit(p).alias("protocol_id"), F.col(c).alias("value"), asked.alias("asked")) for p, c, asked in ((H2, "h2", F.lit(True)), (H3, "h3", F.col("student")))]
+    return least.select("scope", "replicate", F.explode(F.array(*pairs)).alias("p")).filter("p.asked").select("scope", "replicate", "p.protocol_id", "p.value")
 
 
 def group_bootstrap(values: DataFrame, groups: DataFrame, policy: Policy) -> DataFrame:

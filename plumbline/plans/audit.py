@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed_values import U1
+from plumbline.functions.fixed_values import H2, H3, U1
 from plumbline.operators import bootstrap, decide, evidence, gates, headroom, models, selection, stability
 from plumbline.operators.prepare import Policy, Roles, prepare
 from plumbline.session import written
@@ -35,9 +35,11 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     protocols = written(protocols, "protocols")
     draws = written(bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode), "draws")
     terms = models.candidate_table(df.sparkSession)
-    equivalent = members.join(F.broadcast(terms), "candidate_id")
-    values = bootstrap.bootstrap_h1(rows, draws, policy).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, equivalent, policy, student))
     eligible = protocols.filter(F.col("status") != "ineligible").select("scope", "protocol_id")
+    # replicates are solved only where a parametric protocol takes part
+    parametric = eligible.filter(F.col("protocol_id").isin(H2, H3)).groupBy("scope").agg(F.bool_or(F.col("protocol_id") == H3).alias("student"))
+    equivalent = members.join(F.broadcast(terms), "candidate_id").join(parametric, "scope")
+    values = bootstrap.bootstrap_h1(rows, draws, policy).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, equivalent, policy))
     values = values.join(eligible, ["scope", "protocol_id"], "left_semi")
     bounds = written(bootstrap.group_bootstrap(values, cells, policy), "bounds")
     protocols = decide.attach_bounds(protocols, bounds)

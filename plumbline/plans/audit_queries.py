@@ -617,7 +617,7 @@ def pilot_range(spark, d):
 
 @query("audit_decision")
 def audit_decision(spark, d):
-    tables = audit(audit_source(spark, d), PRICE_ROLES, Policy(nominal=1500.0, lower_limit=900.0, alpha=0.05, maximum_shift=200.0, minimum_shift=1.0, spread_tolerance=50.0, replicates=100), student=False)
+    tables = audit(audit_source(spark, d), PRICE_ROLES, Policy(nominal=1500.0, lower_limit=900.0, alpha=0.05, maximum_shift=200.0, minimum_shift=1.0, spread_tolerance=50.0, replicates=200))
     return tables["decisions"].select("scope", "state", F.array_join("reason_codes", ",").alias("reasons"), *r6("safe_headroom", "pilot_lower", "pilot_upper"))
 
 
