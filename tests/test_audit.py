@@ -128,6 +128,29 @@ def test_special_functions():
     assert special.fit_student(rng.normal(size=4000), np.ones(4000), 2.1, 100.0, 1e-3)[0] in (None, "STUDENT_T_DF_BOUNDARY")
 
 
+@pytest.mark.parametrize("df,n", [(3, 3000), (8, 3000), (25, 20_000)])
+def test_student_fit_has_the_largest_likelihood(df, n):
+    x = 5 + 2 * np.random.default_rng(df).standard_t(df, n)
+    failure, *best = special.fit_student(x, np.ones(n), 2.1, 100.0, 1e-3)
+    score = lambda d, m, s: float((special.student_logpdf((x - m) / s, d) - math.log(s)).sum())
+    assert failure is None
+    for i, step in ((0, 1e-3), (1, 1e-4), (2, 1e-4)):
+        for sign in (-1, 1):
+            moved = list(best)
+            moved[i] += sign * step * (best[i] if i == 0 else 1)
+            assert score(*moved) < score(*best)
+    half = [x[::2], x[1::2]]  # counted values stand for repeated ones
+    doubled = special.fit_student(np.concatenate([half[0], half[0], half[1]]), np.ones(len(x) + len(half[0])), 2.1, 100.0, 1e-3)
+    counted = special.fit_student(np.concatenate(half), np.repeat([2.0, 1.0], [len(h) for h in half]), 2.1, 100.0, 1e-3)
+    assert doubled[0] == counted[0] and np.allclose(doubled[1:], counted[1:], rtol=1e-7)
+
+
+@pytest.mark.parametrize("risk,alpha,most,shift", [(lambda s: s**9, 0.5, 4.0, 0.5 ** (1 / 9)), (lambda s: 0.0 if s < 1 / 3 else 1.0, 0.1, 200.0, 1 / 3), (lambda s: s / 8, 0.25, 8.0, 2.0)])
+def test_largest_shift_is_met_from_below(risk, alpha, most, shift):
+    got, base, feasible, censored = special.largest_shift(risk, alpha, most)
+    assert feasible and not censored and risk(got) <= alpha and abs(got - shift) <= 1e-9
+
+
 def crossfit_of(spark, residuals, prediction=12.0):
     return spark.createDataFrame([("ALL", f"g{i % 3}", "M0_intercept", 0, prediction + r, 1, prediction) for i, r in enumerate(residuals)], "scope string, group_token string, candidate_id string, ordinal int, y double, k int, yhat double")
 
@@ -226,6 +249,10 @@ def test_weighted_replicates_equal_copied_rows(spark):
     chosen = models.candidate_table(spark).filter("candidate_id = 'M1_product'").select(F.lit("ALL").alias("scope"), "candidate_id", "terms")
     tails = bootstrap.bootstrap_parametric(rows, models.cell_statistics(rows), draws, chosen, policy, student=False, blocks=2).collect()
     assert len(tails) == 5 and all(r.value is not None for r in tails)
+    # H3 only where it is asked for; H2 is the same beside it
+    both = bootstrap.bootstrap_parametric(rows, models.cell_statistics(rows), draws, chosen.withColumn("student", F.lit(True)), policy, blocks=2).collect()
+    h2 = {r.replicate: r.value for r in both if r.protocol_id == "H2_gaussian_residual_tail"}
+    assert len(both) == 10 and h2 == pytest.approx({r.replicate: r.value for r in tails}, abs=1e-8)
 
 
 def decided(spark, h, **changes):
@@ -367,7 +394,7 @@ def test_a_sample_of_queries_matches_sql(spark):
     c = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("duplicate_ids", "unit_lookup", "action_state", "provenance_checks", "claim_status"):
+    for name in ("duplicate_ids", "unit_lookup", "action_state", "provenance_checks", "claim_status", "state_semantics"):
         df = entry.queries()[name](spark, d)
         columns = sorted(df.columns)
         mine = sorted(str(tuple(r[x] for x in columns)) for r in df.collect())
