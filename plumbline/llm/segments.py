@@ -2,7 +2,8 @@
 
 A segment is a span of the text that the tokenizer encodes on its own, whatever stands around it.
 The store keeps, per Python worker, the ids of the segments seen lately; it is emptied when it holds
-more than ``most`` segments, so its memory is bounded and results never depend on it.
+more than ``most`` segments, so its memory is bounded and results never depend on it. The hash only
+finds a segment; its bytes decide whether it is the same one.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ class SegmentStore:
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
         self.pool = np.zeros(1 << 18, np.int32)
+        self.from_, self.bytes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.texts, self.filled = np.zeros(1 << 18, np.uint8), 0
         self.table = np.full(self.slots, -1, np.int32)  # open addressing: number of the segment
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -68,24 +71,46 @@ class SegmentStore:
             open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
         return found
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = self.size + len(keys), self.used + len(ids)
+    def _add(self, keys: np.ndarray, segments: list[bytes], findable: bool = True) -> np.ndarray:
+        """Numbers of the new segments; ``findable`` enters them in the table, each key once."""
+        ids, counts = self.encode(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        text = np.frombuffer(b"".join(segments), np.uint8)
+        n, m, filled = self.size + len(keys), self.used + len(ids), self.filled + len(text)
         while len(self.keys) < n:
-            self.keys, self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.length))
+            self.keys, self.start, self.length, self.from_, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.length, self.from_, self.bytes))
         while len(self.pool) < m:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.texts) < filled:
+            self.texts = np.concatenate([self.texts, np.zeros_like(self.texts)])
         self.pool[self.used : m] = ids
+        self.texts[self.filled : filled] = text
         self.keys[self.size : n] = keys
         self.start[self.size : n] = self.used + np.cumsum(counts) - counts
         self.length[self.size : n] = counts
-        number = np.arange(self.size, n, dtype=np.int32)
-        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        self.from_[self.size : n] = self.filled + np.cumsum(sizes) - sizes
+        self.bytes[self.size : n] = sizes
+        new = np.arange(self.size, n, dtype=np.int32)
+        number = new if findable else new[:0]
+        slot = (keys[: len(number)] & np.uint64(self.slots - 1)).astype(np.int64)
         while len(number):
             free = self.table[slot] < 0
             self.table[slot[free]] = number[free]
             on = self.table[slot] != number
             number, slot = number[on], (slot[on] + 1) & (self.slots - 1)
-        self.size, self.used = n, m
+        self.size, self.used, self.filled = n, m, filled
+        return new
+
+    def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The spans whose bytes are not those of the segments ``at``, of equal hash."""
+        size = end - start
+        wrong = self.bytes[at] != size
+        alike = np.flatnonzero(~wrong & (size > 0))
+        differs = gather(data, start[alike], size[alike]) != gather(self.texts, self.from_[at[alike]], size[alike])
+        if differs.any():
+            ends = np.cumsum(size[alike])
+            wrong[alike[np.unique(np.searchsorted(ends, np.flatnonzero(differs), "right"))]] = True
+        return np.flatnonzero(wrong)
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each span of ``data``: where its ids stand in the pool, and how many they are."""
@@ -98,6 +123,10 @@ class SegmentStore:
             new, first = np.unique(keys[missing], return_index=True)
             first = missing[first]
             buffer = data.tobytes()
-            self._add(new, *self.encode([buffer[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]))
+            self._add(new, [buffer[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
             at[missing] = self._find(keys[missing])
+        other = self._others(data, start, end, at)
+        if len(other):  # encoded on their own
+            buffer = data.tobytes()
+            at[other] = self._add(keys[other], [buffer[a:b] for a, b in zip(start[other].tolist(), end[other].tolist())], findable=False)
         return self.start[at], self.length[at]

@@ -657,3 +657,23 @@ def test_token_files_special_literals_against_a_fresh_tokenizer():
     ids, counts = token_files.Encoder(path).encode_texts(pa.array(texts))
     fresh = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == sum(fresh, []) and counts.tolist() == [len(f) for f in fresh]
+
+
+def test_segments_of_one_hash_keep_their_own_ids(monkeypatch):
+    from plumbline.llm import segments
+
+    def encode(parts):
+        return np.array([b for p in parts for b in p], np.int32), np.array([len(p) for p in parts], np.int64)
+
+    words_ = [b"alpha", b"beta", b"", b"gamma", b"alpha", b"delta", b"betb", b"beta"]
+    data = np.frombuffer(b"".join(words_), np.uint8)
+    end = np.cumsum([len(w) for w in words_])
+    start = end - [len(w) for w in words_]
+    for hash_ in (None, lambda d, a, b: np.zeros(len(a), np.uint64), lambda d, a, b: (b - a).astype(np.uint64)):
+        if hash_:
+            monkeypatch.setattr(segments, "span_hashes", hash_)
+        for most in (1000, 3):  # emptied in between
+            store = segments.SegmentStore(encode, most)
+            for _ in range(3):
+                where, length = store.spans(data, start, end)
+                assert [bytes(store.pool[w : w + n].astype(np.uint8)) for w, n in zip(where, length)] == words_
