@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import free_names
 from plumbline.llm.word_arrays import Words, mix, slices, words
 
 SHINGLE = 5
@@ -185,8 +186,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no benchmark item."""
-    dirty = contained_items(docs, items, threshold).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("__dirty")), "left_anti")
+    (name,) = free_names(docs.columns, "dirty")
+    dirty = contained_items(docs, items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import free_names
 from plumbline.llm.components import components
 from plumbline.llm.hot_keys import join_by_key
 from plumbline.llm.word_arrays import mix, slices, words
@@ -364,8 +365,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The documents without those whose class has a smaller doc_id; rows of one doc_id stand together."""
-    later = jaccard_classes(docs).filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("__later"), "left_anti")
+    (name,) = free_names(docs.columns, "later")
+    later = jaccard_classes(docs).filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(later, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

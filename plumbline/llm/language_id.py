@@ -35,6 +35,7 @@ EPOCHS = 4
 BATCH = 128
 UNKNOWN = "und"
 MIN_SCORE = 0.4
+SURE = 0.9
 
 
 def tiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,9 +181,9 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
         net, tables = sent.value
         names = np.array(net.languages, object)
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                x, owner, length = tiles(part.column("text"))
+                x, owner, length = tiles(part.column(at))
                 weighted = net.probabilities(x, tables) * length[:, None]
                 total = np.stack([np.bincount(owner, weighted[:, k], minlength=b - a) for k in range(len(names))], 1)
                 share = total / np.maximum(1, np.bincount(owner, length, minlength=b - a))[:, None]
@@ -193,28 +194,32 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
                     names=[*part.schema.names[:-1], "lang_pred", "score"],
                 )
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    # a name that no column has; dropped by its place, the last
-    letters = "__letters"
-    while letters in kept.columns:
-        letters += "_"
-    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return kept.withColumn(letters, has).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    at = names.index("text")
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # any name will do, with dots as well
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    has = F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False))
+    return kept.withColumn("letters", has).mapInArrow(run, f"{fields}, lang_pred string, score double").toDF(*names, "lang_pred", "score")
+
 
+def identified(docs: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE, sure: float = SURE, languages: list[str] | None = None) -> DataFrame:
+    """The documents whose language is told, with that language in ``lang``.
 
-def identified(docs: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE, languages: list[str] | None = None) -> DataFrame:
-    """The documents whose language the network tells: those without letters, those whose best language
-    has a score below ``min_score``, and with ``languages`` those in other languages are rejected. A
-    null ``lang`` is filled with the prediction."""
+    Rejected are documents without letters, those whose best language scores under ``min_score``, those
+    whose ``lang`` the network contradicts with a score under ``sure`` (then neither is known), and with
+    ``languages`` those in other languages. From ``sure`` on the prediction replaces a ``lang`` that it
+    contradicts; a null ``lang`` is filled.
+    """
     net = learn(docs, rows)
-    own = [c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]
+    own = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     mine = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, own)])
-    out = predict(mine, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    lang = F.col(own[docs.columns.index("lang")])
+    contradicted = F.coalesce(lang != F.col("lang_pred"), F.lit(False))
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & ~(contradicted & (F.col("score") < sure))
+    out = predict(mine, net).filter(known)
     if languages is not None:
         out = out.filter(F.col("lang_pred").isin(languages))
-    told = lambda c, name: F.coalesce(F.col(name), "lang_pred") if c == "lang" else F.col(name)
-    return out.select(*[told(c, name).alias(c) for c, name in zip(docs.columns, own)])
+    return out.select(*[(F.col("lang_pred") if c == "lang" else F.col(name)).alias(c) for c, name in zip(docs.columns, own)])
 
 
 def op8_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:

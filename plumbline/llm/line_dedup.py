@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.hot_keys import join_by_key
+from plumbline.llm.columns import free_names
+from plumbline.llm.hot_keys import HOT, join_by_key
 from plumbline.session import written
 
 MIN_SITES = 8
@@ -38,7 +39,7 @@ def line_sites(docs: DataFrame) -> DataFrame:
     return docs.select("source", F.explode(F.filter(lines, lambda x: F.length(x) > 0)).alias("line")).select(line_key(F.col("line")).alias("key"), "source")
 
 
-def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, hot: int = HOT) -> DataFrame:
     """(key, n): the lines that at least ``min_sites`` sources share, and the documents that hold them."""
     margin = max(1.0, NEAR * min_sites)
     sites = line_sites(docs)
@@ -46,28 +47,29 @@ def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG
     spread = written(sketched.filter(F.col("sites") >= min_sites - margin), "spread")
     sure = spread.filter(F.col("sites") > min_sites + margin).select("key", "n")
     near = spread.filter(F.col("sites") <= min_sites + margin).select("key", "n")
-    counted = join_by_key(sites, near, ["key"], "n").distinct()  # a row per line and source
+    counted = join_by_key(sites, near, ["key"], "n", hot=hot).distinct()  # a row per line and source
     exact = counted.groupBy("key", "n").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites)
     return written(sure.unionByName(exact.select("key", "n")), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, counts: tuple[str, str] = ("n_lines", "n_removed"), hot: int = HOT) -> DataFrame:
     """The documents with boilerplate lines taken out of ``text``; adds the numbers of lines and of lines
     removed under the names of ``counts``."""
-    bad = boilerplate_keys(docs, min_sites, lg_k)
+    n_lines, n_removed = counts
+    doc, gone, kept = free_names([*docs.columns, *counts], "doc", "gone", "kept")
+    bad = boilerplate_keys(docs, min_sites, lg_k, hot)
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_key))).alias("key"))
-    per_doc = join_by_key(keyed, bad, ["key"], "n").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__bad"))
+    per_doc = join_by_key(keyed, bad, ["key"], "n", hot=hot).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(gone))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), line_key(x)))
+    left = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), line_key(x)))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    n_lines, n_removed = counts
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
     return (
         joined.withColumn(n_lines, size(lines).cast("long"))
-        .withColumn("__kept", F.when(F.col("__bad").isNull(), lines).otherwise(kept))
-        .withColumn(n_removed, (F.col(n_lines) - size("__kept")).cast("long"))
-        .withColumn("text", F.when(F.col(n_removed) > 0, F.array_join("__kept", "\n")).otherwise(F.col("text")))
-        .drop("__bad", "__kept")
+        .withColumn(kept, F.when(F.col(gone).isNull(), lines).otherwise(left))
+        .withColumn(n_removed, (F.col(n_lines) - size(kept)).cast("long"))
+        .withColumn("text", F.when(F.col(n_removed) > 0, F.array_join(kept, "\n")).otherwise(F.col("text")))
+        .drop(gone, kept)
     )
 
 

@@ -1,5 +1,6 @@
 """The training-data operators: brute force, round trips, held-out accuracy, and odd inputs."""
 
+import os
 import random
 import zlib
 
@@ -44,6 +45,7 @@ def odd(spark):
     """Odd rows with columns whose names clash with those that operators use."""
     extra = {"shard": F.lit(1), "key": F.lit("k"), "score": F.lit(0.5), "lang_pred": F.lit("zz"), "chunk": F.lit(3), "n": F.lit(4), "part": F.lit(5), "row": F.lit(6), "rank": F.lit(7), "size": F.lit(8)}
     extra |= {"letters": F.lit("abc"), "n_lines": F.lit(-1), "n_removed": F.lit(-2), "node": F.lit(9), "n_links": F.lit(10), "item_id": F.lit(11), "copy": F.lit(12), "toxic": F.lit(13), "held_out": F.lit(14)}
+    extra |= {c: F.lit(15) for c in ("__bad", "__doc", "__kept", "__later", "__dirty", "__lines", "__gone", "Doc", "Gone", "kept", "later", "dirty", "lines", "a.b")}
     return table(spark, ODD).withColumns(extra)
 
 
@@ -100,9 +102,7 @@ def test_line_dedup_counts_sites_not_documents(spark):
     assert got[100].text == "few\n0" and got[200].text == "0"
 
 
-def test_line_dedup_with_hot_and_seldom_keys_apart(spark, monkeypatch):
-    from plumbline.llm import hot_keys
-
+def test_line_dedup_with_hot_and_seldom_keys_apart(spark):
     rng = random.Random(2)
     lines = [f"line {k}" for k in range(40)]
     rows = [(i, "\n".join([f"own {i}", "everywhere", *(x for k, x in enumerate(lines) if rng.random() < 1 / (k + 1))]), "en", f"s{rng.randrange(10)}", 0) for i in range(300)]
@@ -114,8 +114,7 @@ def test_line_dedup_with_hot_and_seldom_keys_apart(spark, monkeypatch):
     for i, t, *_ in rows:
         want[i] = "\n".join(x for x in t.split("\n") if len(sites[x]) < line_dedup.MIN_SITES)
     for hot in (3, 10_000):  # a few keys by broadcast and the rest shuffled; all by broadcast
-        monkeypatch.setattr(hot_keys.join_by_key, "__defaults__", ("inner", hot))
-        assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(table(spark, rows)).collect()} == want
+        assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(table(spark, rows), hot=hot).collect()} == want
 
 
 def test_line_dedup_odd_inputs(spark):
@@ -377,6 +376,29 @@ def test_language_stage_rejects_by_the_prediction(spark):
     assert only == {"bb"}
 
 
+def test_language_stage_acts_on_contradicted_labels(spark):
+    docs, _ = synthetic(spark)
+    wrong = table(spark, [(9000, "kalomita mikalo tatalo " * 9, "bb", "s", 0), (9001, "mita", "bb", "s", 0)])
+    both = docs.unionByName(wrong)
+    shown = {r.doc_id: r for r in language_id.predict(both, language_id.learn(both)).collect()}
+    kept = {r.doc_id: r.lang for r in language_id.identified(both).collect()}
+    for i, r in shown.items():
+        contradicted = r.lang is not None and r.lang != r.lang_pred
+        assert (i in kept) == (r.score >= language_id.MIN_SCORE and not (contradicted and r.score < language_id.SURE))
+        assert i not in kept or kept[i] == r.lang_pred
+    assert kept[9000] == "aa"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the given tables are not here")
+def test_language_stage_changes_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = language_id.identified(docs).select("doc_id", F.col("lang").alias("told"))
+    both = docs.join(kept, "doc_id", "left").cache()
+    dropped = both.filter("told IS NULL").count()
+    relabelled = both.filter("told <> lang").count()
+    assert 0 < dropped < 0.01 * both.count() and 0 < relabelled < 0.01 * both.count()
+
+
 def test_tables_equal_the_convolution():
     net = language_id.ByteNet(["a", "b"])
     x = np.random.default_rng(1).integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
