@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_scan
+from plumbline.llm.columns import free_names
 from plumbline.session import written
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network tells, a null ``lang`` filled in.
+    """Documents whose language the byte network tells, with that language in ``lang``.
 
-    Texts that are null, empty or without a letter, and those whose best language scores under
-    ``language_id.MIN_SCORE``, go. Without any row to learn from all go, for nothing can be told.
+    Texts that are null, empty or without a letter go, as do those whose best language scores under
+    ``language_id.MIN_SCORE`` and those whose ``lang`` the network contradicts without being sure
+    (``language_id.SURE``); where it is sure, its language replaces ``lang``. Without any row to learn from
+    all go, for nothing can be told.
     """
     return language_id.identified(docs)
 
@@ -29,9 +32,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A null or empty text stays as it is; a text of such lines alone becomes empty and keeps its row.
     """
-    out = line_dedup.remove_boilerplate(docs, counts=("__lines", "__gone"))
+    lines, gone = free_names(docs.columns, "lines", "gone")
+    out = line_dedup.remove_boilerplate(docs, counts=(lines, gone))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
