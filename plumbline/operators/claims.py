@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +21,30 @@ def _rule_hit(text: Column, pattern: str, case: bool, placeholder: bool) -> Colu
     return F.exists(values, real)
 
 
+def _holds(text: Column, code: str) -> Column:
+    """Whether a text holds one of a rule's literals."""
+    return reduce(or_, [text.contains(x) for x in V.RULE_LITERALS[code]])
+
+
 def scan_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, code): one finding for each document and rule. No join and no shuffle: the rules are
-    conditions on the row."""
-    hits = [F.when(_rule_hit(F.col(text), pattern, case, placeholder), F.lit(code)) for code, pattern, case, placeholder in V.TEXT_RULES]
-    return docs.select(key, F.explode(F.array_compact(F.array(*hits))).alias("code"))
+    """(key, code): one finding for each document and rule. No join and no shuffle.
+
+    Two phases: every text is searched for the rules' literals, plain and in lower case, which costs a
+    comparison of bytes; only where one stands is its rule's expression tried, and only on the lines that
+    hold it, for no rule's match goes over a line feed.
+    """
+    first = docs.select(key, F.col(text).alias("t")).withColumn("folded", F.lower("t"))
+    flags = [_holds(F.col("t" if case else "folded"), code).alias(f"f{k}") for k, (code, _, case, _) in enumerate(V.TEXT_RULES)]
+    flagged = first.select(key, "t", *flags)
+    # texts without any literal, nearly all, are not split
+    lines = flagged.withColumn("lines", F.when(reduce(or_, [F.col(f"f{k}") for k in range(len(flags))]), F.split("t", "\n")))
+
+    def hit(k: int, code: str, pattern: str, case: bool, placeholder: bool) -> Column:
+        tried = lambda line: _holds(line if case else F.lower(line), code) & _rule_hit(line, pattern, case, placeholder)
+        return F.when(F.col(f"f{k}"), F.when(F.exists("lines", tried), F.lit(code)))
+
+    hits = F.array_compact(F.array(*[hit(k, *rule) for k, rule in enumerate(V.TEXT_RULES)]))
+    return lines.select(key, F.explode(F.when(F.col("lines").isNotNull(), hits)).alias("code"))
 
 
 def scan_content(files: DataFrame, key: str = "doc_id", text: str = "text", most_bytes: int = 10 * 1024 * 1024, blocklist: DataFrame | None = None) -> DataFrame:
