@@ -13,13 +13,23 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2.0)).astype(float)
 
 
-def incomplete_beta(a: float, b: float, x: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function, by Lentz's continued fraction."""
+_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
+
+
+def incomplete_beta(a: float | np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by Lentz's continued fraction; ``a`` may go with x."""
     x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    a, x = np.broadcast_arrays(np.asarray(a, float), x)
     flip = x > (a + 1) / (a + b + 2)
-    out = np.empty_like(x)
-    for swap, p, q in ((False, a, b), (True, b, a)):
-        z = np.where(swap, 1 - x, x)[flip == swap]
+    out = np.full(x.shape, np.nan)
+    for swap in (False, True):
+        own = (flip == swap) & ~np.isnan(x) & ~np.isnan(a)
+        p, q = (np.full(int(own.sum()), float(b)), a[own]) if swap else (a[own], np.full(int(own.sum()), float(b)))
+        z = 1 - x[own] if swap else x[own]
         if not len(z):
             continue
         c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
@@ -35,18 +45,26 @@ def incomplete_beta(a: float, b: float, x: np.ndarray) -> np.ndarray:
             if np.all(np.abs(c * d - 1) < 1e-15):
                 break
         with np.errstate(divide="ignore"):
-            front = np.exp(p * np.log(z) + q * np.log1p(-z) + math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q)) / p
+            front = np.exp(p * np.log(z) + q * np.log1p(-z) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p
         value = np.where(z <= 0, 0.0, front * h)
-        out[flip == swap] = 1 - value if swap else value
+        out[own] = 1 - value if swap else value
     return out
 
 
-def student_cdf(x: np.ndarray, df: float) -> np.ndarray:
+def student_cdf(x: np.ndarray, df: float | np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
-    tail = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + x * x))
+    tail = 0.5 * incomplete_beta(np.asarray(df, float) / 2, 0.5, df / (df + x * x))
     return np.where(x > 0, 1 - tail, tail)
 
 
+def tail(z: np.ndarray, df: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(distribution function, density) at z: normal, or Student's with degrees of freedom per column."""
+    if df is None:
+        return normal_cdf(z), np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+    front = np.exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / np.sqrt(df * math.pi)
+    return student_cdf(z, df), front * np.exp(-(df + 1) / 2 * np.log1p(z * z / df))
+
+
 def student_logpdf(z: np.ndarray, df: float) -> np.ndarray:
     return math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log(1 + z * z / df)
 
@@ -60,6 +78,15 @@ def digamma(x: float) -> float:
     return math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - below
 
 
+def trigamma(x: float) -> float:
+    """By recurrence to x >= 12, then the asymptotic series."""
+    below = 0.0
+    while x < 12:
+        below, x = below + 1 / (x * x), x + 1
+    r = 1 / (x * x)
+    return below + 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+
+
 def student_profile(x: np.ndarray, n: np.ndarray, df: float, location: float, scale: float, tolerance: float = 1e-10) -> tuple[float, float]:
     """(location, scale) of the best fit with given degrees of freedom, from the given start.
 

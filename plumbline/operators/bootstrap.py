@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import special
 from plumbline.functions.fixed_values import H1, H2, H3, U1
-from plumbline.operators import headroom
-from plumbline.operators.models import FACTORS, Design
+from plumbline.operators import tails
+from plumbline.operators.models import FACTORS, RANK_TOLERANCE
 from plumbline.operators.prepare import Policy, decimal
 from plumbline.session import written
 
@@ -54,146 +55,195 @@ def bootstrap_draws(groups: DataFrame, replicates: int, seed: int, mode: str = "
     return counted.join(ranked, ["scope", "i"]).select("scope", "replicate", "group_token", "w")
 
 
+TAIL_BINS, REST_BINS = 96, 31
+
+
 def bootstrap_h1(rows: DataFrame, draws: DataFrame, policy: Policy) -> DataFrame:
     """H1 of every replicate: a weighted order statistic of the groups' histograms of margins.
 
-    Only the lower tail is needed: margins up to a quantile well above alpha are tried first, and the
-    replicates whose rank lies beyond it (few groups, uneven weights) are done on the whole histogram.
+    In two levels. Margins are dealt to bins between approximate quantiles, narrow in the lower tail, and
+    the replicates are counted on the groups' bins, of which there are 128 whatever the rows; then each
+    replicate is counted on the margins of the one bin that its rank lies in.
     """
     margin = F.col("y") - F.lit(policy.lower_limit)
-    counts = written(rows.select("scope", "group_token", margin.alias("margin")).groupBy("scope", "group_token", "margin").agg(F.count("*").alias("n")), "counts")
-    sizes = counts.groupBy("scope", "group_token").agg(F.sum("n").alias("n"))
-    totals = draws.join(sizes, ["scope", "group_token"]).groupBy("scope", "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n_rows"), F.sum("w").alias("n_groups"))
-    totals = totals.withColumn("k", F.floor(decimal(policy.alpha) * F.col("n_rows")).cast("long"))
-    cut = counts.groupBy("scope").agg(F.percentile_approx("margin", min(1.0, 4 * policy.alpha + 0.02), 1000).alias("cut"))
-
-    def boundary(part: DataFrame, of: DataFrame) -> DataFrame:
-        weighted = part.join(draws, ["scope", "group_token"]).join(of.select("scope", "replicate"), ["scope", "replicate"], "left_semi")
-        steps = weighted.groupBy("scope", "replicate", "margin").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("scope", "replicate").orderBy("margin"))
-        return steps.withColumn("upto", upto).join(of.select("scope", "replicate", "k"), ["scope", "replicate"]).groupBy("scope", "replicate").agg(
-            F.min(F.when(F.col("upto") > F.col("k"), F.col("margin"))).alias("boundary")
-        )
-
-    low = boundary(counts.join(cut, "scope").filter(F.col("margin") <= F.col("cut")), totals)
-    done = written(totals.join(low, ["scope", "replicate"], "left"), "tails")
-    rest = done.filter(F.col("boundary").isNull()).drop("boundary")
-    full = done.filter(F.col("boundary").isNotNull()).unionByName(rest.join(boundary(counts, rest), ["scope", "replicate"], "left"))
-    under = counts.filter(F.col("margin") < 0).groupBy("scope", "group_token").agg(F.sum("n").alias("under"))
-    below = draws.join(under, ["scope", "group_token"]).groupBy("scope", "replicate").agg(F.sum(F.col("w") * F.col("under")).alias("under"))
-    out = full.join(below, ["scope", "replicate"], "left")
+    counts = rows.select("scope", "group_token", margin.alias("margin")).groupBy("scope", "group_token", "margin").agg(F.count("*").alias("n"))
+    counts = written(counts, "counts")
+    # a replicate's rank seldom lies above four times its share; bins reach all the same to the end
+    knee = min(0.9, 4 * policy.alpha + 0.02)
+    points = [knee * (k + 1) / TAIL_BINS for k in range(TAIL_BINS)] + [knee + (1 - knee) * (k + 1) / (REST_BINS + 1) for k in range(REST_BINS)]
+    cuts = written(rows.groupBy("scope").agg(F.percentile_approx(margin, points, 10_000).alias("cuts")), "cuts")
+    # the number of cuts below a margin, by halving
+    steps = F.array(*[F.lit(1 << k) for k in range(6, -1, -1)])
+    below = lambda c: F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("cuts", i + s - 1) < c, i + s).otherwise(i))
+    binned = written(counts.join(cuts, "scope").select("scope", "group_token", "margin", "n", below(F.col("margin")).alias("bin")), "binned")
+    bins = binned.groupBy("scope", "group_token", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("margin") < 0, F.col("n")).otherwise(0)).alias("under"))
+    drawn = draws.join(bins, ["scope", "group_token"]).groupBy("scope", "replicate", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("under")).alias("under"))
+    each = Window.partitionBy("scope", "replicate")
+    drawn = drawn.withColumns({"upto": F.sum("n").over(each.orderBy("bin")), "n_rows": F.sum("n").over(each), "under": F.sum("under").over(each)})
+    drawn = drawn.withColumn("k", F.floor(decimal(policy.alpha) * F.col("n_rows")).cast("long"))
+    hit = drawn.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+    n_groups = draws.groupBy("scope", "replicate").agg(F.sum("w").alias("n_groups"))
+    hit = written(hit.select("scope", "replicate", "bin", "n_rows", "under", "k", (F.col("k") - F.col("upto") + F.col("n")).alias("left")).join(n_groups, ["scope", "replicate"]), "hit")
+    inside = binned.join(hit.select("scope", "bin", "replicate", "left"), ["scope", "bin"]).join(draws, ["scope", "replicate", "group_token"])
+    values = inside.groupBy("scope", "replicate", "margin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.first("left").alias("left"))
+    upto = F.sum("n").over(Window.partitionBy("scope", "replicate").orderBy("margin"))
+    at = values.withColumn("upto", upto).groupBy("scope", "replicate").agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("margin"))).alias("boundary"))
+    out = hit.join(at, ["scope", "replicate"])
     eligible = (
         (F.col("n_rows") >= policy.min_rows)
         & (F.col("n_groups") >= policy.min_groups_exploratory)
         & ((decimal(policy.alpha) * F.col("n_rows")).cast("double") >= policy.min_tail_count)
-        & (F.coalesce("under", F.lit(0)) <= F.col("k"))
+        & (F.col("under") <= F.col("k"))
     )
     return out.select("scope", F.col("replicate").cast("int").alias("replicate"), F.lit(H1).alias("protocol_id"), F.when(eligible, F.greatest(F.lit(0.0), F.col("boundary"))).alias("value"))
 
 
-def _replicate_tails(cells: pd.DataFrame, hist: pd.DataFrame, draws: pd.DataFrame, terms: list[str], policy: Policy, student: bool) -> list[tuple[int, float | None, float | None]]:
-    """(replicate, H2, H3) of one candidate: refits by weighted group statistics.
+PREDICTORS = "scope string, candidate_id string, group_token string, product string, stream string, shift string, base array<double>, slope array<double>, w array<double>"
+GROUP_PART = 1000
+
+
+def _refits(pdf: pd.DataFrame, terms: list[str]) -> pd.DataFrame:
+    """The predictions of one candidate for the cells of a part of a scope's groups, in every replicate.
+
+    Rows with ``w`` are the cells of these groups; those without hold the cells' sums over all groups, each
+    group as often as it was drawn. A drawn copy is held out alone: its siblings stay in the training.
+    A replicate in which a fit fails predicts NaN.
+    """
+    factors, timed = [f for f in FACTORS if f in terms], "time" in terms
+    own, whole = pdf[pdf["w"].notna()].reset_index(drop=True), pdf[pdf["w"].isna()]
+    replicates = len(own["w"].iloc[0])
+    levels = {f: np.unique(whole[f].to_numpy(str)) for f in factors}
+    starts = dict(zip(factors, 1 + np.cumsum([0, *(len(levels[f]) for f in factors)])))
+    p = 1 + sum(map(len, levels.values())) + timed
+    groups, group = np.unique(own["group_token"].to_numpy(str), return_inverse=True)
+
+    def normal(frame: pd.DataFrame, at: np.ndarray, size: int, many: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Normal equations (size, many, p, p) and right sides of the frame's cells, summed by ``at``."""
+        columns = [np.zeros(len(frame), np.int64), *(starts[f] + np.searchsorted(levels[f], frame[f].to_numpy(str)) for f in factors)]
+        n, sy, st, stt, sty = (np.stack([np.asarray(v, float) for v in frame[c]]) for c in ("n", "sy", "st", "stt", "sty"))
+        gram, right = np.zeros((size, many, p, p)), np.zeros((size, many, p))
+        every = np.arange(many)[None]
+        for a in columns:
+            np.add.at(right, (at[:, None], every, a[:, None]), sy)
+            for b in columns:
+                np.add.at(gram, (at[:, None], every, a[:, None], b[:, None]), n)
+            if timed:
+                np.add.at(gram, (at[:, None], every, a[:, None], p - 1), st)
+                np.add.at(gram, (at[:, None], every, p - 1, a[:, None]), st)
+        if timed:
+            np.add.at(gram, (at[:, None], every, p - 1, p - 1), stt)
+            np.add.at(right, (at[:, None], every, p - 1), sty)
+        return gram, right, columns
+
+    gram, right, _ = normal(whole, np.zeros(len(whole), np.int64), 1, replicates)
+    held, held_right, columns = normal(own, group, len(groups), 1)
+    w = np.zeros((len(groups), replicates))
+    w[group] = np.stack([np.asarray(v, float) for v in own["w"]])
+    g, r = np.nonzero(w)
+    beta = np.full((len(groups), replicates, p), np.nan)
+    a, b = gram[0][r] - held[g, 0], right[0][r] - held_right[g, 0]
+    here = np.einsum("kii->ki", a) > 0.5
+    sound, keep = np.ones(len(g), bool), np.zeros((len(g), p), bool)
+    keep[:, 0] = True
+    for f in factors:
+        span = slice(starts[f], starts[f] + len(levels[f]))
+        present = here[:, span]
+        sound &= present.sum(1) >= 2
+        sound &= ~((np.einsum("kii->ki", held[g, 0])[:, span] > 0.5) & ~present).any(1)
+        keep[:, span] = present & (np.cumsum(present, 1) > 1)  # the first one present is the baseline
+    if timed:
+        keep[:, p - 1] = True
+    patterns, which = np.unique(keep[sound], axis=0, return_inverse=True)
+    for k, pattern in enumerate(patterns):
+        rows, at = np.flatnonzero(sound)[which.ravel() == k], np.flatnonzero(pattern)
+        part, side = a[rows][:, at[:, None], at], b[rows][:, at]
+        with np.errstate(all="ignore"):
+            scale = np.sqrt(np.maximum(np.einsum("kii->ki", part), 0))
+            c = part / (scale[:, :, None] * scale[:, None])
+        fine = (scale > 0).all(1) & np.isfinite(c).all((1, 2))
+        fine[fine] = np.linalg.eigvalsh(c[fine])[:, 0] >= RANK_TOLERANCE * len(at)
+        solved = np.zeros((int(fine.sum()), p))
+        solved[:, at] = np.linalg.solve(c[fine], (side[fine] / scale[fine])[:, :, None])[:, :, 0] / scale[fine]
+        beta[g[rows[fine]], r[rows[fine]]] = solved
+    y_mean, t_mean = float(own["y_mean"].iloc[0]), float(own["t_mean"].iloc[0]) if timed else 0.0
+    base = y_mean + beta[group, :, 0]
+    for c in columns[1:]:
+        base = base + beta[group, :, c]
+    slope = beta[group, :, p - 1] if timed else None
+    if timed:
+        base = base - slope * t_mean
+    drawn = w[group] > 0
+    shown = own[["scope", "candidate_id", "group_token", *FACTORS]].copy()
+    shown["base"] = np.where(drawn, base, 0.0).tolist()
+    shown["slope"] = np.where(drawn, slope, 0.0).tolist() if timed else None
+    shown["w"] = w[group].tolist()
+    return shown
 
-    A drawn copy is held out alone: its siblings stay in the training, so the held-out statistics are
-    those of one copy. The Gaussian tail of a candidate without time needs the cells' sums alone, for
-    its predictions are constant in a cell; else the counted values are needed.
+
+def replicate_predictors(cells: DataFrame, draws: DataFrame, chosen: DataFrame, replicates: int, part: int = GROUP_PART) -> DataFrame:
+    """(scope, candidate_id, group_token, factors, base, slope, w): what every replicate predicts for each cell
+    without its group, refitted from the cells' sums alone.
+
+    A task gets the cells of about ``part`` groups of a scope and the sums over all groups by replicate: as
+    many as there are combinations of factors.
     """
-    design = Design(cells, terms)
-    number = {g: i for i, g in enumerate(design.groups)}
-    values = student or design.timed
-    table, centre = (hist if values else cells), design.y_mean
-    group, n = table["group_token"].map(number).to_numpy(), table["n"].to_numpy(float)
-    if values:
-        y = table["y"].to_numpy(float)
-        first, second = n * (y - centre), n * (y - centre) ** 2
-        least = headroom.DEGENERATE
-    else:
-        first, second = table["sy"].to_numpy(float), table["syy"].to_numpy(float)
-        # what is left of a sum of squares that cancels out
-        least = max(headroom.DEGENERATE, 1e-7 * float(np.sqrt(second.sum() / n.sum())))
-    t = table["time_h"].to_numpy(float) if design.timed else None
-    code = {f: table[f].to_numpy(str) for f in design.factors}
-    out = []
-    for replicate, drawn in draws.groupby("replicate"):
-        w = np.zeros(len(design.groups))
-        w[drawn["group_token"].map(number).to_numpy()] = drawn["w"].to_numpy()
-        gram, right = np.tensordot(w, design.gram, 1), np.tensordot(w, design.right, 1)
-        yhat, failed = np.full(len(n), np.nan), False
-        for g in np.flatnonzero(w):
-            fit = design.solve(gram - design.gram[g], right - design.right[g], design.gram[g])
-            if fit["failure_code"]:
-                failed = True
-                break
-            at = group == g
-            value = np.full(int(at.sum()), fit["intercept"])
-            for f in design.factors:
-                value += np.array([fit[f"{f}_effects"][x] for x in code[f][at]])
-            if design.timed:
-                value += fit["slope"] * (t[at] - fit["t_mean"])
-            yhat[at] = value
-        if failed:
-            out.append((int(replicate), None, None))
-            continue
-        used = w[group] > 0
-        times, off = w[group][used], centre - yhat[used]
-        weight = n[used] * times
-        total = weight.sum()
-        location = (times * (first[used] + n[used] * off)).sum() / total
-        if values:
-            e = y[used] - yhat[used]
-            squares = (weight * (e - location) ** 2).sum()
-        else:
-            off = off - location
-            squares = (times * (second[used] + 2 * off * first[used] + n[used] * off * off)).sum()
-        scale = np.sqrt(max(0.0, squares) / (total - 1))
-        if not scale > least:
-            out.append((int(replicate), None, None))
-            continue
-        prediction, back = np.unique(yhat[used], return_inverse=True)
-        counts = np.bincount(back, weight)
-        h2 = headroom._shift_row(prediction, counts, special.normal_cdf, location, scale, policy)["headroom"]
-        h3 = None
-        if student:
-            failure, df, where, spread = special.fit_student(e, weight, headroom.MIN_DF, headroom.MAX_DF, headroom.DF_EDGE)
-            if failure is None:
-                h3 = headroom._shift_row(prediction, counts, lambda z, df=df: special.student_cdf(z, df), where, spread, policy)["headroom"]
-        out.append((int(replicate), h2, h3))
-    return out
-
-
-def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, chosen: DataFrame, policy: Policy, student: bool = True, blocks: int = 8) -> DataFrame:
+    slots = F.sequence(F.lit(0), F.lit(replicates - 1))
+    drawn = draws.groupBy("scope", "group_token").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "w"))).alias("m"))
+    vectors = drawn.select("scope", "group_token", F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")).alias("w"))
+    weighted = cells.join(vectors, ["scope", "group_token"])
+    sums = ("n", "sy", "st", "stt", "sty")
+    each = weighted.select("scope", *FACTORS, F.posexplode("w").alias("i", "times"), *sums, "y_mean", "t_mean")
+    each = each.groupBy("scope", *FACTORS, "i").agg(*[F.sum(F.col("times") * F.coalesce(c, F.lit(0.0))).alias(c) for c in sums], F.first("y_mean").alias("y_mean"), F.first("t_mean").alias("t_mean"))
+    ordered = each.groupBy("scope", *FACTORS).agg(F.array_sort(F.collect_list(F.struct("i", *sums))).alias("s"), F.first("y_mean").alias("y_mean"), F.first("t_mean").alias("t_mean"))
+    totals = ordered.select("scope", F.lit("").alias("group_token"), *FACTORS, *[F.col(f"s.{c}").alias(c) for c in sums], "y_mean", "t_mean", F.lit(None).cast("array<double>").alias("w"))
+    own = weighted.select("scope", "group_token", *FACTORS, *[F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums], "y_mean", "t_mean", "w")
+    sizes = cells.groupBy("scope").agg(F.ceil(F.count_distinct("group_token") / part).cast("int").alias("parts"))
+    wanted = written(chosen.select("scope", "candidate_id", "terms").join(sizes, "scope"), "wanted")
+    dealt = own.join(wanted, "scope").withColumn("part", F.pmod(F.xxhash64("group_token"), F.col("parts")).cast("int"))
+    shared = totals.join(wanted, "scope").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["w"].isna().all():  # no group fell into this part
+            return pd.DataFrame(columns=[c.split(" ")[0] for c in PREDICTORS.split(", ")])
+        return _refits(pdf, list(pdf["terms"].iloc[0]))
+
+    return dealt.unionByName(shared).groupBy("scope", "candidate_id", "part").applyInPandas(run, PREDICTORS)
+
+
+def replicate_samples(rows: DataFrame, predictors: DataFrame, chosen: DataFrame, per_block: int) -> DataFrame:
+    """Samples of all replicates: each cell's counted values once for ``per_block`` replicates, with what all
+    of them predict."""
+    timed = chosen.groupBy("scope").agg(F.bool_or(F.array_contains("terms", "time")).alias("timed"))
+    y = rows.join(timed, "scope").select("scope", "group_token", *FACTORS, F.when(F.col("timed"), F.col("time_h")).alias("t"), "y")
+    cell = ["scope", "group_token", *FACTORS]
+    lists = tails.chunked(tails.compacted(y, [*cell, "t"], "y"), cell)
+    block = F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / per_block).cast("int") - 1)).alias("block")
+    cut = lambda c: F.slice(c, F.col("block") * per_block + 1, F.lit(per_block)).alias(c)
+    named = predictors.select("*", block).select(*[F.col(c).alias(f"__{c}") for c in cell], "candidate_id", "block", cut("base"), cut("slope"), cut("w"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell])
+    return lists.join(named, same).select("scope", "candidate_id", "block", "base", "slope", "w", "t", "y", "n")
+
+
+def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, chosen: DataFrame, policy: Policy, student: bool = True, blocks: int = 1) -> DataFrame:
     """H2 and H3 of every replicate over the frozen equivalence set ``chosen(scope, candidate_id, terms)``.
 
     A boolean column ``student`` of ``chosen`` says in which scopes H3 is asked for; without it ``student``
-    holds for all. A task gets one scope and candidate with a block of replicates, and the cells' sums. Only where
-    Student's tail is asked for or the candidate has time, it also gets the rows counted per cell, value
-    and time, whose number grows with the distinct values.
+    holds for all. Replicates are a vector beside every value: rows are read once a round for all of them, or
+    ``blocks`` times where there are too many replicates for one vector.
     """
-    tail = F.col("student") if "student" in chosen.columns else F.lit(student)
-    timed = chosen.select("scope", "candidate_id", "terms", F.array_contains("terms", "time").alias("timed"), tail.alias("student"))
-    counted = timed.filter("timed OR student")
-    y = rows.join(counted, "scope").withColumn("time_h", F.when(F.col("timed"), F.col("time_h")))
-    hist = y.groupBy("scope", "candidate_id", "group_token", *FACTORS, "time_h", "y").agg(F.count("*").alias("n"))
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    left = cells.join(timed, "scope").select("*", F.lit("cell").alias("kind"), F.lit(None).cast("double").alias("time_h"), F.lit(None).cast("double").alias("y"))
-    right = hist.join(timed.select("scope", "candidate_id", "terms", "student"), ["scope", "candidate_id"]).withColumn("kind", F.lit("hist"))
-    both = left.unionByName(right, allowMissingColumns=True).select("*", block)
-    drawn = draws.join(chosen.select("scope", "candidate_id"), "scope").withColumn("block", F.pmod("replicate", F.lit(blocks)).cast("int"))
-    drawn = drawn.select(*[F.col(c).alias(c) for c in drawn.columns])  # columns of their own, apart from those of ``both``
-
-    def run(data: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
-        columns = ["scope", "candidate_id", "student", "replicate", "h2", "h3"]
-        if data.empty or sample.empty:
-            return pd.DataFrame(columns=columns)
-        first = data.iloc[0]
-        done = _replicate_tails(data[data["kind"] == "cell"], data[data["kind"] == "hist"], sample, list(first["terms"]), policy, bool(first["student"]))
-        return pd.DataFrame([(first["scope"], first["candidate_id"], bool(first["student"]), *d) for d in done], columns=columns)
-
-    solved = both.groupBy("scope", "candidate_id", "block").cogroup(drawn.groupBy("scope", "candidate_id", "block")).applyInPandas(run, "scope string, candidate_id string, student boolean, replicate int, h2 double, h3 double")
-    # the least over the members that fit
-    least = solved.groupBy("scope", "replicate").agg(F.min("h2").alias("h2"), F.min("h3").alias("h3"), F.bool_or("student").alias("student"))
-    pairs = [F.struct(F.lit(p).alias("protocol_id"), F.col(c).alias("value"), asked.alias("asked")) for p, c, asked in ((H2, "h2", F.lit(True)), (H3, "h3", F.col("student")))]
-    return least.select("scope", "replicate", F.explode(F.array(*pairs)).alias("p")).filter("p.asked").select("scope", "replicate", "p.protocol_id", "p.value")
+    replicates = 1 + (draws.agg(F.max("replicate")).first()[0] or 0)
+    per_block = -(-replicates // blocks)
+    predictors = written(replicate_predictors(cells, draws, chosen, replicates), "predictors")
+    samples = written(replicate_samples(rows, predictors, chosen, per_block), "samples")
+    found = tails.moments(samples)
+    solve = lambda s, f, t: tails.tail_headroom(s, policy.lower_limit, policy.alpha, policy.maximum_shift, t, per_block, f)
+    least = lambda out, p: out.groupBy("scope", "replicate").agg(F.min("headroom").alias("value")).select("scope", "replicate", F.lit(p).alias("protocol_id"), "value")
+    values = least(solve(samples, found, False), H2)
+    asked = chosen.filter(F.col("student") if "student" in chosen.columns else F.lit(student)).select("scope").distinct()
+    if asked.isEmpty():
+        return values
+    own = samples.join(asked, "scope", "left_semi")
+    return values.unionByName(least(solve(own, found.join(asked, "scope", "left_semi"), True), H3))
 
 
 def group_bootstrap(values: DataFrame, groups: DataFrame, policy: Policy) -> DataFrame:

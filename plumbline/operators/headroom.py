@@ -6,18 +6,16 @@ cross-fitted residuals.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import special
 from plumbline.functions.fixed_values import D0, H1, H2, H3
+from plumbline.operators import tails
 from plumbline.operators.prepare import Policy, decimal
+from plumbline.operators.tails import DEGENERATE, compacted  # noqa: F401
 from plumbline.session import written
 
-SKEWNESS, KURTOSIS, SCALE_RATIO, DEGENERATE = 1.0, 3.0, 2.0, 1e-12
-MIN_DF, MAX_DF, DF_EDGE = 2.1, 100.0, 1e-3
+SKEWNESS, KURTOSIS, SCALE_RATIO = 1.0, 3.0, 2.0
 QUANTILE_ACCURACY = 10_000
 
 
@@ -106,49 +104,6 @@ def scale_ratio(crossfit: DataFrame) -> DataFrame:
     return out.select("scope", "candidate_id", F.when(F.col("positive") >= 2, F.col("hi") / F.col("lo")).alias("scale_ratio"), ((F.col("positive") < F.col("all")) | (F.col("positive") < 2)).alias("unbounded"))
 
 
-def compacted(values: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(keys, x, n): distinct values with counts."""
-    return values.groupBy(*keys, x).agg(F.count("*").alias("n"))
-
-
-TAIL = "scope string, candidate_id string, failure_code string, headroom double, baseline_risk double, feasible boolean, censored boolean, df double, location double, scale double"
-
-
-def _shift_row(prediction: np.ndarray, n: np.ndarray, cdf, location: float, scale: float, policy: Policy) -> dict:
-    total = n.sum()
-    risk = lambda s: float((n * cdf((policy.lower_limit + s - prediction - location) / scale)).sum() / total)
-    shift, base, feasible, censored = special.largest_shift(risk, policy.alpha, policy.maximum_shift)
-    return {"failure_code": None, "headroom": shift, "baseline_risk": base, "feasible": feasible, "censored": censored, "location": location, "scale": scale}
-
-
-def _tails(crossfit: DataFrame, moments: DataFrame, policy: Policy, student: bool) -> DataFrame:
-    keys = ["scope", "candidate_id"]
-    predictions = compacted(crossfit, keys, "yhat").withColumn("kind", F.lit("p")).withColumnRenamed("yhat", "x")
-    if student:
-        residuals = compacted(crossfit.withColumn("e", F.col("y") - F.col("yhat")), keys, "e").withColumn("kind", F.lit("e")).withColumnRenamed("e", "x")
-        predictions = predictions.unionByName(residuals)
-    table = predictions.join(moments.select(*keys, "location", "scale"), keys)
-    columns = [c.strip().split(" ")[0] for c in TAIL.split(",")]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        row = {"scope": first["scope"], "candidate_id": first["candidate_id"]}
-        p = pdf[pdf["kind"] == "p"]
-        prediction, n = p["x"].to_numpy(float), p["n"].to_numpy(float)
-        location, scale = float(first["location"]), float(first["scale"])
-        if not scale > DEGENERATE:
-            row |= {"failure_code": "PARAMETRIC_DEGENERATE_SCALE"}
-        elif not student:
-            row |= _shift_row(prediction, n, special.normal_cdf, location, scale, policy)
-        else:
-            e = pdf[pdf["kind"] == "e"]
-            failure, df, where, spread = special.fit_student(e["x"].to_numpy(float), e["n"].to_numpy(float), MIN_DF, MAX_DF, DF_EDGE)
-            row |= {"failure_code": failure, "df": df} if failure else _shift_row(prediction, n, lambda z: special.student_cdf(z, df), where, spread, policy) | {"df": df}
-        return pd.DataFrame([row]).reindex(columns=columns).astype({"feasible": "boolean", "censored": "boolean"})
-
-    return table.groupBy(*keys).applyInPandas(solve, TAIL)
-
-
 def parametric_headroom(crossfit: DataFrame, policy: Policy, student: bool) -> DataFrame:
     """H2 (or H3, ``student``) per scope: the least headroom over the scope's equivalence set.
 
@@ -156,7 +111,8 @@ def parametric_headroom(crossfit: DataFrame, policy: Policy, student: bool) -> D
     left out, never replaced.
     """
     moments = residual_moments(crossfit)
-    solved = _tails(crossfit, moments, policy, student).drop("location", "scale", "df")
+    samples = written(tails.point_samples(crossfit), "samples")
+    solved = tails.tail_headroom(samples, policy.lower_limit, policy.alpha, policy.maximum_shift, student).drop("location", "scale", "df", "replicate")
     support = crossfit.groupBy("scope").agg(F.count_distinct("group_token").alias("n_groups"))
     joined = moments.join(solved, ["scope", "candidate_id"]).join(scale_ratio(crossfit), ["scope", "candidate_id"], "left").join(support, "scope")
     sound = F.col("failure_code").isNull() & (F.col("n") >= 4) & (F.col("n_groups") >= 2)

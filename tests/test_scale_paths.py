@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
-from plumbline.operators import claims, stability
+from plumbline.functions import special
+from plumbline.operators import bootstrap, claims, models, stability, tails
 from plumbline.operators.prepare import Policy
 
 
@@ -102,3 +103,137 @@ def test_two_phase_scan_finds_what_the_expressions_find(spark):
     want = {tuple(r) for r in every.collect()}
     assert {tuple(r) for r in claims.scan_text(docs).collect()} == want
     assert {c for _, c in want} == {rule[0] for rule in V.TEXT_RULES} == set(V.RULE_LITERALS)
+
+
+# --- tails of residuals ------------------------------------------------------------------------------
+
+
+def audit_table(spark, n=900, seed=7):
+    """Groups with shifts of their own, heavy tails, three products, two streams, time."""
+    rng = np.random.default_rng(seed)
+    group, product, stream = rng.integers(0, 12, n), rng.integers(0, 3, n), rng.integers(0, 2, n)
+    y = 50 + 0.3 * product + 0.05 * (group % 4) + 0.2 * stream + 0.6 * rng.standard_t(6, n) + 0.002 * np.arange(n) / 60
+    rows = [("ALL", f"g{g:02d}", float(round(v, 3)), f"p{p}", f"s{s}", "day", float(i) / 60) for i, (g, v, p, s) in enumerate(zip(group, y, product, stream))]
+    rows += [("B", *r[1:]) for r in rows[:400]]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double, product string, stream string, shift string, time_h double")
+    centres = df.groupBy("scope").agg(F.avg("y").alias("y_centre"), F.avg("time_h").alias("t_centre"))
+    return rows, df.join(centres, "scope")
+
+
+def held_out_predictions(rows, scope, terms, w):
+    """Predictions and residuals of one replicate by least squares on copied rows, each copy's group held out."""
+    own = [r for r in rows if r[0] == scope]
+
+    def design(part, levels):
+        cols = [np.ones(len(part))]
+        for f, k in (("product", 3), ("stream", 4)):
+            if f in terms:
+                cols += [np.array([r[k] == x for r in part], float) for x in levels[f][1:]]
+        if "time" in terms:
+            cols.append(np.array([r[6] for r in part]))
+        return np.stack(cols, 1)
+
+    levels = {f: sorted({r[k] for r in own}) for f, k in (("product", 3), ("stream", 4))}
+    e, pred, weight = [], [], []
+    for g, times in w.items():
+        train = [r for r in own for _ in range(w.get(r[1], 0) - (r[1] == g))]
+        beta = np.linalg.lstsq(design(train, levels), np.array([r[2] for r in train]), rcond=None)[0]
+        held = [r for r in own if r[1] == g]
+        p = design(held, levels) @ beta
+        pred += p.tolist()
+        e += (np.array([r[2] for r in held]) - p).tolist()
+        weight += [times] * len(held)
+    return np.array(e), np.array(pred), np.array(weight, float)
+
+
+def solved(e, pred, weight, policy, student):
+    total = weight.sum()
+    if student:
+        failure, df, where, scale = special.fit_student(e, weight, 2.1, 100.0, 1e-3)
+        if failure:
+            return None
+        cdf = lambda z: special.student_cdf(z, df)
+    else:
+        where = (weight @ e) / total
+        scale, cdf = math.sqrt((weight @ (e - where) ** 2) / (total - 1)), special.normal_cdf
+    return special.largest_shift(lambda s: float(weight @ cdf((policy.lower_limit + s - pred - where) / scale)) / total, policy.alpha, policy.maximum_shift)[0]
+
+
+@pytest.mark.parametrize(("candidate", "blocks"), [("M2_product_stream", 1), ("M5_product_time", 3)])
+def test_replicates_equal_refits_on_copied_rows(spark, candidate, blocks):
+    rows, df = audit_table(spark)
+    policy = Policy(nominal=50, lower_limit=47.5, alpha=0.05, maximum_shift=5.0)
+    draws = bootstrap.bootstrap_draws(df, 7, 5, mode="compatible").cache()
+    chosen = models.candidate_table(spark).filter(F.col("candidate_id") == candidate).crossJoin(df.select("scope").distinct()).select("scope", "candidate_id", "terms")
+    got = {(r.scope, r.replicate, r.protocol_id): r.value for r in bootstrap.bootstrap_parametric(df, models.cell_statistics(df), draws, chosen, policy, blocks=blocks).collect()}
+    w = {}
+    for r in draws.collect():
+        w.setdefault((r.scope, r.replicate), {})[r.group_token] = r.w
+    terms = V.CANDIDATES[candidate]
+    assert len(got) == 28
+    for (scope, replicate), drawn in w.items():
+        parts = held_out_predictions(rows, scope, terms, drawn)
+        for protocol, student in ((V.H2, False), (V.H3, True)):
+            want = solved(*parts, policy, student)
+            assert (got[scope, replicate, protocol] is None) == (want is None)
+            assert want is None or got[scope, replicate, protocol] == pytest.approx(want, abs=2e-8)
+
+
+def test_point_tails_equal_the_fits_on_one_histogram(spark):
+    rng = np.random.default_rng(3)
+    policy = Policy(nominal=12, lower_limit=9, alpha=0.05, maximum_shift=4.0)
+    rows = []
+    for scope, e in (("t", 0.5 * rng.standard_t(5, 3000)), ("skew", rng.gamma(3, 0.4, 2000)), ("flat", np.zeros(100)), ("normal", rng.normal(0, 0.5, 2000)), ("low", rng.normal(-2, 1, 500)), ("far", rng.normal(0, 0.1, 500))):
+        at = 20 if scope == "far" else 11
+        rows += [(scope, f"g{i % 5}", "M0_intercept", 0, float(at + 0.1 * (i % 3) + v), 1, at + 0.1 * (i % 3)) for i, v in enumerate(e)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, candidate_id string, ordinal int, y double, k int, yhat double")
+    with many_parts(spark, 6):
+        samples = tails.point_samples(df).cache()
+        got = {s: {r.scope: r for r in tails.tail_headroom(samples, policy.lower_limit, policy.alpha, policy.maximum_shift, s).collect()} for s in (False, True)}
+    for scope in ("t", "skew", "normal", "low", "far"):
+        e, pred = (np.array([f(r) for r in rows if r[0] == scope]) for f in (lambda r: r[4] - r[6], lambda r: r[6]))
+        for student in (False, True):
+            want, r = solved(e, pred, np.ones(len(e)), policy, student), got[student][scope]
+            assert (r.failure_code is None) == (want is not None), (scope, student, r)
+            assert want is None or r.headroom == pytest.approx(want, abs=2e-9), (scope, student)
+            if student and want is not None:
+                _, df_, where, scale = special.fit_student(e, np.ones(len(e)), 2.1, 100.0, 1e-3)
+                assert (r.df, r.location, r.scale) == (pytest.approx(df_, rel=1e-6), pytest.approx(where, abs=1e-8), pytest.approx(scale, rel=1e-8))
+    assert not got[False]["low"].feasible and got[False]["far"].censored and got[False]["far"].headroom == 4.0
+    assert {got[s]["flat"].failure_code for s in (False, True)} == {"PARAMETRIC_DEGENERATE_SCALE"}
+
+
+def test_degenerate_replicates_do_not_depend_on_student(spark):
+    """One rule for the scale of a replicate, whether Student's tail is asked for or not."""
+    rows = [("ALL", f"g{i % 9}", 10.0 + (1e-9 if i % 2 else 0.0) * (i % 5), "p", "s", "d", 0.0) for i in range(180)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double, product string, stream string, shift string, time_h double")
+    df = df.crossJoin(df.agg(F.avg("y").alias("y_centre"), F.avg("time_h").alias("t_centre")))
+    policy = Policy(nominal=10, lower_limit=9.9, alpha=0.05, maximum_shift=1.0)
+    draws = bootstrap.bootstrap_draws(df, 6, 1).cache()
+    chosen = models.candidate_table(spark).filter("candidate_id = 'M0_intercept'").select(F.lit("ALL").alias("scope"), "candidate_id", "terms")
+    both = [{r.replicate: r.value for r in bootstrap.bootstrap_parametric(df, models.cell_statistics(df), draws, chosen, policy, student=s).collect() if r.protocol_id == V.H2} for s in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 6 and None not in both[0].values()
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "few"])
+def test_binned_rank_equals_sorted_copies(spark, kind):
+    rng = random.Random(kind)
+    value = {"spread": lambda: round(rng.gauss(20, 5), 4), "ties": lambda: float(rng.randint(3, 6)), "few": lambda: rng.choice([0.5, 100.0])}[kind]
+    rows = [("AB"[i % 3 == 0], f"g{rng.randint(0, 10) ** 2 // 12}", value()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double")
+    policy = Policy(nominal=20, lower_limit=2.0, alpha=0.07)
+    draws = bootstrap.bootstrap_draws(df, 40, 5).cache()
+    with many_parts(spark, 6):
+        got = {(r.scope, r.replicate): r.value for r in bootstrap.bootstrap_h1(df, draws, policy).collect()}
+    w = {}
+    for r in draws.collect():
+        w.setdefault((r.scope, r.replicate), []).extend([r.group_token] * r.w)
+    y = {}
+    for s, g, v in rows:
+        y.setdefault((s, g), []).append(v - 2.0)
+    assert len(got) == 80
+    for key, tokens in w.items():
+        m = sorted(v for t in tokens for v in y[key[0], t])
+        k = int(0.07 * len(m) + 1e-9)
+        want = None if sum(v < 0 for v in m) > k or len(tokens) < 4 else max(0.0, m[k])
+        assert got[key] == (pytest.approx(want) if want is not None else None)
