@@ -109,6 +109,6 @@ def action_state(table: DataFrame, policy: Policy) -> DataFrame:
     )
     return t.select(
         "scope", "state", reasons.alias("reason_codes"), "safe_headroom", "basis", "protocol_spread", F.col("conflict").alias("material_protocol_conflict"), "near_tie",
-        F.when(pilot, F.col("pilot_lower")).alias("pilot_lower"), F.when(pilot, F.col("pilot_upper")).alias("pilot_upper"),
+        F.when(pilot, F.col("pilot_lower")).alias("pilot_lower"), F.when(pilot, F.col("pilot_upper")).alias("pilot_upper"), "contract_valid", "action_supported", "g1_state",
         F.lit("retrospective screening reference; requires a controlled pilot and engineering review; not a production setpoint").alias("claim_boundary"),
     )

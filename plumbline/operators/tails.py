@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -119,22 +120,22 @@ def stepped(state: DataFrame, sums: DataFrame, step: Callable[[dict, np.ndarray]
 
 # --- moments ----------------------------------------------------------------------------------------
 
-MOMENTS = "scope string, candidate_id string, block int, total array<double>, location array<double>, scale array<double>"
+MOMENTS = "scope string, candidate_id string, block int, total array<double>, location array<double>, scale array<double>, middle array<double>"
 
 
 def moments(samples: DataFrame) -> DataFrame:
-    """Per key and replicate: rows, mean and sample scale of the residuals; a replicate without a fit
-    (its base is not a number) has no scale."""
+    """Per key and replicate: rows, mean and sample scale of the residuals, mean of the quantity; a replicate
+    without a fit (its base is not a number) has no scale."""
 
     def sums(s: Sample, row: dict) -> np.ndarray:
         e = s.residuals()
-        return np.stack([s.w * s.n.sum(), s.w * (s.n @ e), s.w * (s.n @ (e * e))]).ravel()
+        return np.stack([s.w * s.n.sum(), s.w * (s.n @ e), s.w * (s.n @ (e * e)), s.w * (s.n @ s.y)]).ravel()
 
     def step(row: dict, s: np.ndarray) -> dict:
-        n, first, second = s.reshape(3, -1)
+        n, first, second, y = s.reshape(4, -1)
         with np.errstate(all="ignore"):
             mean = first / n
-            return {"total": n, "location": mean, "scale": np.sqrt(np.maximum(second - n * mean * mean, 0) / (n - 1))}
+            return {"total": n, "location": mean, "scale": np.sqrt(np.maximum(second - n * mean * mean, 0) / (n - 1)), "middle": y / n}
 
     found = summed(samples, None, sums)
     return stepped(found.select(*KEYS), found, step, MOMENTS, "moments")
@@ -143,20 +144,21 @@ def moments(samples: DataFrame) -> DataFrame:
 # --- the largest shift --------------------------------------------------------------------------------
 
 SEARCH = "scope string, candidate_id string, block int, total array<double>, location array<double>, scale array<double>, df array<double>, at array<double>, low array<double>, high array<double>, base_risk array<double>, moving double"
-#: Trial shifts to a round: the first one tries both ends and the middle.
+#: Trial shifts of the first round: both ends and a guess. Then there is one a round.
 FIRST = 3
 
 
 def largest_shifts(samples: DataFrame, fits: DataFrame, lower_limit: float, alpha: float, most: float) -> DataFrame:
     """(KEYS, headroom, baseline_risk arrays): per replicate the largest shift in [0, most] at which the share
     of rows below the limit is at most alpha; NaN without a scale. ``fits``: KEYS, total, location, scale, df (null
-    for the normal distribution).
+    for the normal distribution), start (a guess at the shift).
 
     The logarithm of the risk is nearly a line in its tail, so Newton steps on it, kept inside the
     bracket, take a few rounds.
     """
     fill = lambda v: F.transform("location", lambda _: F.lit(float(v)))
-    trials = F.flatten(F.array(fill(0.0), fill(most), fill(most / 2)))
+    near = F.transform("start", lambda x: F.when((x > 0) & (x < most), x).otherwise(F.lit(most / 2)))
+    trials = F.flatten(F.array(fill(0.0), fill(most), near))
     state = fits.select(*KEYS, "total", "location", "scale", "df", trials.alias("at"), fill(0.0).alias("low"), fill(most).alias("high"), fill(float("nan")).alias("base_risk"), F.lit(1.0).alias("moving"))
     state = written(state, "search")
 
@@ -198,9 +200,9 @@ def largest_shifts(samples: DataFrame, fits: DataFrame, lower_limit: float, alph
         moving = float(np.any(high - low > 1e-10 * (1 + np.abs(high))))
         return {c: row[c] for c in ("total", "location", "scale")} | {"df": row["df"], "at": nxt, "low": low, "high": high, "base_risk": base, "moving": moving}
 
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         state = stepped(state, summed(samples, state, sums), step, SEARCH, "search")
-        if state.filter("moving > 0").isEmpty():
+        if k > 1 and state.filter("moving > 0").isEmpty():
             break
     return state.select(*KEYS, "total", "location", "scale", "df", F.col("low").alias("headroom"), "base_risk")
 
@@ -300,9 +302,9 @@ def student_fits(samples: DataFrame, found: DataFrame) -> DataFrame:
             location, scale, df = row["location"] + move(a) * row["scale"], row["scale"] * np.exp(move(b)), row["df"] * np.exp(move(c))
         return {"total": row["total"], "location": location, "scale": scale, "df": df, "change": change, "moving": float(np.any(change > 1e-11))}
 
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         state = stepped(state, summed(samples, state, slopes), step, FIT, "student")
-        if state.filter("moving > 0").isEmpty():
+        if k > 1 and state.filter("moving > 0").isEmpty():
             break
     return state.drop("moving")
 
@@ -313,6 +315,10 @@ TAILS = "scope string, candidate_id string, replicate int, failure_code string,
 def tail_headroom(samples: DataFrame, lower_limit: float, alpha: float, most: float, student: bool, per_block: int = 1, found: DataFrame | None = None) -> DataFrame:
     """One row per scope, candidate and replicate (block * per_block + place): the headroom, or a failure."""
     found = moments(samples) if found is None else found
+    z = NormalDist().inv_cdf(alpha)
+    # where a normal tail of the whole quantity would end
+    start = F.zip_with("middle", "scale", lambda m, s: m + z * s - lower_limit)
+    found = found.withColumn("start", start)
     size = F.size("location")
     if student:
         fits = student_fits(samples, found)
@@ -320,7 +326,7 @@ def tail_headroom(samples: DataFrame, lower_limit: float, alpha: float, most: fl
             .when(~(F.get("change", i) <= 1e-9) | F.isnan(F.get("change", i)), F.lit("STUDENT_T_FIT_NONCONVERGENCE"))
             .when(F.get("scale", i) <= DEGENERATE, F.lit("PARAMETRIC_DEGENERATE_SCALE"))
             .when((F.get("df", i) - MIN_DF <= DF_EDGE) | (MAX_DF - F.get("df", i) <= DF_EDGE), F.lit("STUDENT_T_DF_BOUNDARY")))
-        fits = fits.join(found.select(*KEYS, F.col("scale").alias("first_scale")), KEYS).withColumn("code", code)
+        fits = fits.join(found.select(*KEYS, F.col("scale").alias("first_scale"), "start"), KEYS).withColumn("code", code)
     else:
         fits = found.withColumn("df", F.lit(None).cast("array<double>"))
         fits = fits.withColumn("code", F.transform("scale", lambda s: F.when(~(s > DEGENERATE) | F.isnan(s), F.lit("PARAMETRIC_DEGENERATE_SCALE"))))

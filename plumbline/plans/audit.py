@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from plumbline.operators.prepare import Policy, Roles, prepare
 from plumbline.session import written
 
 
-def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | tuple[str, ...] = (), draw_mode: str = "hashed", student: bool = True) -> dict[str, DataFrame]:
-    """All result tables of an audit, by name.
+def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | tuple[str, ...] = (), draw_mode: str = "hashed", student: bool = True, draws: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All result tables of an audit, by name. ``draws`` may draw the groups of replicates in place of
+    ``draw_mode``: it gets (scope, group_token, ...) and returns (scope, replicate, group_token, w).
 
     Rows, coefficients, ledger, cross-fitted rows of the equivalence sets and replicate values are
     written to the shared folder once and read by what follows.
@@ -33,13 +36,13 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     if student:
         protocols = protocols.unionByName(headroom.parametric_headroom(kept, policy, student=True))
     protocols = written(protocols, "protocols")
-    draws = written(bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode), "draws")
+    drawn = written(draws(cells) if draws else bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode), "draws")
     terms = models.candidate_table(df.sparkSession)
     eligible = protocols.filter(F.col("status") != "ineligible").select("scope", "protocol_id")
     # replicates are solved only where a parametric protocol takes part
     parametric = eligible.filter(F.col("protocol_id").isin(H2, H3)).groupBy("scope").agg(F.bool_or(F.col("protocol_id") == H3).alias("student"))
     equivalent = members.join(F.broadcast(terms), "candidate_id").join(parametric, "scope")
-    values = bootstrap.bootstrap_h1(rows, draws, policy).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, equivalent, policy))
+    values = bootstrap.bootstrap_h1(rows, drawn, policy).unionByName(bootstrap.bootstrap_parametric(rows, cells, drawn, equivalent, policy))
     values = values.join(eligible, ["scope", "protocol_id"], "left_semi")
     bounds = written(bootstrap.group_bootstrap(values, cells, policy), "bounds")
     protocols = decide.attach_bounds(protocols, bounds)

@@ -7,11 +7,12 @@ sides, arrays are joined to text.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
-from plumbline.operators import bootstrap, claims, decide, evidence, gates, headroom, models, profile, readiness, selection, stability, views
+from plumbline.operators import bootstrap, claims, decide, evidence, gates, headroom, models, profile, readiness, selection, stability, tails, views
 from plumbline.operators.prepare import Policy, Roles, converted_quantity, group_token, prepare
 from plumbline.plans.audit import audit
 from plumbline.session import written
@@ -507,11 +508,6 @@ def gaussian_headroom(spark, d):
     return _tail_query(spark, d, False)
 
 
-@query("student_t_headroom")
-def student_t_headroom(spark, d):
-    return _tail_query(spark, d, True)
-
-
 def shared_draws(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Draws that SQL can repeat: replicate r and slot i take group (r * 7919 + i * i * 31 + r * i * 17) mod G."""
     rows = audit_rows(spark, d)[0] if rows is None else rows
@@ -548,15 +544,165 @@ def bootstrap_bound_h1(spark, d):
     return bootstrap.group_bootstrap(values, rows, POLICY).select(*r6("lower_bound"), "u1_status", "successful")
 
 
-@query("bootstrap_bounds")
-def bootstrap_bounds(spark, d):
-    rows, scopes = audit_rows(spark, d)
+# Logarithms of unit prices, a scope per return flag and order priority, in an order of their own: heavy
+# tails, so that all three headrooms can be told. Some scopes are given a fault, by their name.
+LOG_ROLES = Roles("log_price", ("batch",), stream="l_linestatus", time="at")
+LOG_POLICY = Policy(nominal=8.0, lower_limit=4.9, alpha=0.05, resolution=0.01, minimum_shift=0.05, maximum_shift=3.0, spread_tolerance=0.12, unit="L")
+LOG_SCOPE = ("l_returnflag", "o_orderpriority")
+_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+
+
+def log_source(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of LOG_ROLES. A|1-URGENT lacks quantities, N|2-HIGH has five batches, R|3-MEDIUM lies low. Streams
+    of low priority go by ship date; all others take turns, the least and the greatest first, so
+    that no run rule is hit. ``at`` has no ties."""
+    s = audit_source(spark, d)
+    flag, priority = F.col("l_returnflag"), F.substring("o_orderpriority", 1, 1)
+    y = F.round(F.ln("unit_price"), 6) - F.when((flag == "R") & (priority == "3"), 1.5).otherwise(0.0)
+    s = s.withColumns({"log_price": F.when(~((flag == "A") & (priority == "1") & (F.col("l_linenumber") == 7)), y), "batch": F.when((flag == "N") & (priority == "2"), F.col("s_nationkey") % 5).otherwise(F.col("s_nationkey"))})
+    stream = Window.partitionBy(*LOG_SCOPE, "l_linestatus")
+    i, n = F.row_number().over(stream.orderBy(F.col("log_price").asc_nulls_first(), *_ORDER)) - 1, F.count("*").over(stream)
+    turns = F.when(i < F.floor(n / 2), 2 * i).otherwise(2 * (n - 1 - i) + 1)
+    place = F.when(priority == "5", F.row_number().over(stream.orderBy(*_ORDER))).otherwise(turns)
+    return s.withColumn("at", F.timestamp_seconds(60 * place))
+
+
+def _gauss(f, upto: str, nodes: int = 24) -> str:
+    """SQL for the integral of f from 0 to ``upto``, by Gauss and Legendre."""
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    return f"(({upto}) / 2 * ({' + '.join(f'{b!r} * {f(f'(({upto}) * {(1 + a) / 2!r})')}' for a, b in zip(x.tolist(), w.tolist()))}))"
+
+
+def _gamma_sql(x: str, order: int) -> str:
+    """Digamma (order 0) or trigamma (1) in SQL: by recurrence to x + 12, then the asymptotic series."""
+    z = f"({x} + 12)"
+    if order == 0:
+        steps = " + ".join(f"1 / ({x} + {k})" for k in range(12))
+        return f"(ln{z} - 0.5 / {z} - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - ({steps}))"
+    steps = " + ".join(f"1 / ({x} + {k}) ** 2" for k in range(12))
+    return f"(1 / {z} + 0.5 / {z} ** 2 + 1 / (6 * {z} ** 3) - 1 / (30 * {z} ** 5) + 1 / (42 * {z} ** 7) + ({steps}))"
+
+
+def _solved_3() -> str:
+    """The Newton step of three unknowns, by Cramer's rule; where the likelihood is not concave, the step
+    of reweighting, and half a step of the degrees of freedom."""
+    det = "(haa * (hbb * hcc - hbc * hbc) - hab * (hab * hcc - hbc * hac) + hac * (hab * hbc - hbb * hac))"
+    a = f"-(ga * (hbb * hcc - hbc * hbc) - hab * (gb * hcc - hbc * gc) + hac * (gb * hbc - hbb * gc)) / {det}"
+    b = f"-(haa * (gb * hcc - hbc * gc) - ga * (hab * hcc - hbc * hac) + hac * (hab * gc - gb * hac)) / {det}"
+    c = f"-(haa * (hbb * gc - gb * hbc) - hab * (hab * gc - gb * hac) + ga * (hab * hbc - hbb * hac)) / {det}"
+    concave, mass = f"haa < 0 AND haa * hbb - hab * hab > 0 AND {det} < 0", "((df + 1) * (m - z2) / df)"
+    pick = lambda newton, other, name: f"CASE WHEN {concave} THEN {newton} ELSE {other} END AS {name}"
+    return ", ".join([pick(a, f"ga / {mass}", "da"), pick(b, f"0.5 * ln((df + 1) * z2 / {mass})", "db"), pick(c, "0.5 * sign(gc)", "dc")])
+
+
+_NORMAL = _gauss(lambda x: f"exp(-0.5 * {x} ** 2)", "z") + " / sqrt(2 * pi()) + 0.5"
+_STUDENT = f"0.5 + exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * {_gauss(lambda x: f'cos{x} ** (df - 1)', 'atan(z / sqrt(df))')}"
+
+
+def _search_sql(name: str, fits: str, cdf: str, p) -> str:
+    """The largest shift by halving, for each scope and replicate of ``fits(scope, r, loc, sc, df)``."""
+    risk = f"sum(v.w * v.n * ({cdf})) / any_value(total)"
+    return f"""
+{name}_b AS (
+  SELECT scope, r, 0 AS i, 0.0::DOUBLE AS lo, {p.maximum_shift}::DOUBLE AS hi FROM {fits}
+  UNION ALL
+  SELECT scope, r, i + 1, CASE WHEN risk <= {p.alpha}::DOUBLE THEN (lo + hi) / 2 ELSE lo END, CASE WHEN risk <= {p.alpha}::DOUBLE THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT scope, r, i, lo, hi, {risk} AS risk
+        FROM (SELECT b.scope, b.r, i, lo, hi, pred.w, pred.n, f.df, f.total, ({p.lower_limit}::DOUBLE + (lo + hi) / 2 - pred.pred - f.loc) / f.sc AS z
+              FROM {name}_b b JOIN {fits} f ON f.scope = b.scope AND f.r = b.r JOIN pred ON pred.scope = b.scope AND pred.r = b.r WHERE i < 36) v GROUP BY scope, r, i, lo, hi)),
+{name} AS (SELECT scope, r, lo AS value FROM {name}_b WHERE i = 36)"""
+
+
+def _log_audit_sql() -> str:
+    """From the tables to protocol values of every scope and replicate (r = -1: the rows as they are)."""
+    p, order = LOG_POLICY, ", ".join(_ORDER)
+    terms = {"z1": "z / q", "z2": "z * z / q", "lg": "ln(1 + z * z / df)", "dm": "(df - z * z) / q ** 2", "zr": "z / q ** 2", "zz": "z * z / q ** 2", "mn": "z * (z * z - 1) / q ** 2", "ln_": "z * z * (z * z - 1) / q ** 2", "nn": "z * z * (df * q - (df + 1) * (2 * df + z * z)) / (df * q) ** 2"}
+    curve = f"m * ({_gamma_sql('((df + 1) / 2)', 1)} / 4 - {_gamma_sql('(df / 2)', 1)} / 4 + 1 / (2 * df * df))"
+    slope = f"(m * ({_gamma_sql('((df + 1) / 2)', 0)} / 2 - {_gamma_sql('(df / 2)', 0)} / 2 - 1 / (2 * df)) - lg / 2 + (df + 1) * z2 / (2 * df))"
+    clip = lambda x: f"greatest(-0.5, least(0.5, {x}))"
+    return f"""
+WITH RECURSIVE {SOURCE_SQL.strip()},
+raw AS (SELECT l_returnflag || '|' || o_orderpriority AS scope, l_linestatus AS stream, left(o_orderpriority, 1) = '5' AS natural_, CASE WHEN l_returnflag = 'N' AND left(o_orderpriority, 1) = '2' THEN s_nationkey % 5 ELSE s_nationkey END AS g,
+        CASE WHEN NOT (l_returnflag = 'A' AND left(o_orderpriority, 1) = '1' AND l_linenumber = 7) THEN round(ln(unit_price), 6) - CASE WHEN l_returnflag = 'R' AND left(o_orderpriority, 1) = '3' THEN 1.5 ELSE 0 END END AS y, {order} FROM src),
+bad AS (SELECT DISTINCT scope FROM raw WHERE y IS NULL),
+x AS (SELECT scope, stream, 'GRP-' || upper(substr(sha256('["' || CAST(g AS VARCHAR) || '"]'), 1, 16)) AS g, y, CASE WHEN natural_ THEN row_number() OVER (PARTITION BY scope, stream ORDER BY {order}) ELSE CASE WHEN i < n // 2 THEN 2 * i ELSE 2 * (n - 1 - i) + 1 END END AS pos
+      FROM (SELECT *, row_number() OVER (PARTITION BY scope, stream ORDER BY y NULLS FIRST, {order}) - 1 AS i, count(*) OVER (PARTITION BY scope, stream) AS n FROM raw) WHERE scope NOT IN (SELECT scope FROM bad)),
+gs AS (SELECT scope, g, count(*) AS n, sum(y) AS sy FROM x GROUP BY scope, g),
+t AS (SELECT scope, g, row_number() OVER (PARTITION BY scope ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY scope) AS z FROM gs),
+drawn AS (
+  SELECT q.scope, r, g, count(*) AS w FROM (SELECT scope, r, (r * 7919 + i * i * 31 + r * i * 17) % z AS i FROM t, (SELECT unnest(generate_series(0, 199)) AS r)) q JOIN t ON t.scope = q.scope AND t.i = q.i GROUP BY ALL
+  UNION ALL SELECT scope, -1, g, 1 FROM gs),
+pred AS (SELECT scope, r, g, w, n, (sum(w * sy) OVER k - sy) / (sum(w * n) OVER k - n) AS pred FROM drawn JOIN gs USING (scope, g) WINDOW k AS (PARTITION BY scope, r)),
+e AS (SELECT x.scope, r, w, y - pred AS e FROM x JOIN pred ON pred.scope = x.scope AND pred.g = x.g),
+mom AS (SELECT scope, r, total, loc, sqrt((second - total * loc * loc) / (total - 1)) AS sc FROM (SELECT scope, r, sum(w) AS total, sum(w * e) / sum(w) AS loc, sum(w * e * e) AS second FROM e GROUP BY scope, r)),
+gfit AS (SELECT scope, r, total, loc, sc, NULL::DOUBLE AS df FROM mom),
+{_search_sql("h2", "gfit", _NORMAL, p)},
+fit AS (
+  SELECT scope, r, 0 AS i, total, loc AS mu, sc * 0.88 AS sg, 9.0::DOUBLE AS df FROM mom
+  UNION ALL
+  SELECT scope, r, i + 1, m, mu + {clip("da")} * sg, sg * exp({clip("db")}), least({tails.MAX_DF}, greatest({tails.MIN_DF}, df * exp({clip("dc")})))
+  FROM (SELECT *, {_solved_3()}
+        FROM (SELECT *, (df + 1) * z1 AS ga, (df + 1) * z2 - m AS gb, df * {slope} AS gc, -(df + 1) * dm AS haa, -2 * (df + 1) * df * zr AS hab, df * mn AS hac, -2 * (df + 1) * df * zz AS hbb, df * ln_ AS hbc,
+                     df * df * ({curve} + z2 / (2 * df) + nn / 2) + df * {slope} AS hcc
+              FROM (SELECT scope, r, i, any_value(total) AS m, any_value(mu) AS mu, any_value(sg) AS sg, any_value(df) AS df, {", ".join(f"sum(w * {v}) AS {k}" for k, v in terms.items())}
+                    FROM (SELECT f.*, w, (e.e - mu) / sg AS z, df + ((e.e - mu) / sg) ** 2 AS q FROM fit f JOIN e ON e.scope = f.scope AND e.r = f.r WHERE i < 18) GROUP BY scope, r, i)))),
+sfit AS (SELECT scope, r, total, mu AS loc, sg AS sc, df FROM fit WHERE i = 18 AND df BETWEEN {tails.MIN_DF + tails.DF_EDGE} AND {tails.MAX_DF - tails.DF_EDGE}),
+{_search_sql("h3", "sfit", _STUDENT, p)},
+m AS (SELECT scope, g, y - {p.lower_limit} AS m FROM x),
+c AS (SELECT scope, r, m, sum(c) OVER (PARTITION BY scope, r ORDER BY m) AS upto, c, sum(c) OVER (PARTITION BY scope, r) AS total, sum(CASE WHEN m < 0 THEN c ELSE 0 END) OVER (PARTITION BY scope, r) AS low
+      FROM (SELECT scope, r, m, sum(w) AS c FROM m JOIN drawn USING (scope, g) GROUP BY ALL)),
+h1 AS (SELECT scope, r, CASE WHEN any_value(total) >= 80 AND {p.alpha} * any_value(total) >= 5 AND any_value(low) <= any_value(floor(CAST({p.alpha} AS DECIMAL(18, 6)) * total)) THEN greatest(0.0, min(m) FILTER (WHERE upto > floor(CAST({p.alpha} AS DECIMAL(18, 6)) * total))) END AS value,
+              arg_min(c, m) FILTER (WHERE upto > floor(CAST({p.alpha} AS DECIMAL(18, 6)) * total)) > 1 AS tie FROM c GROUP BY scope, r),
+size AS (SELECT scope, count(*) AS n, count(DISTINCT g) AS gs FROM x GROUP BY scope),
+pe AS (SELECT x.scope, x.g, e.e FROM e JOIN (SELECT DISTINCT scope, '' AS g FROM x) x ON x.scope = e.scope WHERE e.r = -1),
+diag AS (SELECT scope, abs(skewness(e)) > 1 AS skewed, kurtosis(e) > 3 AS heavy FROM pe GROUP BY scope),
+ratio AS (SELECT scope, max(s) / min(s) > 2 AS uneven FROM (SELECT scope, g, stddev_samp(y) AS s FROM x GROUP BY scope, g) GROUP BY scope),
+base AS (SELECT scope, sum(n * ({_NORMAL})) / sum(n) AS base FROM (SELECT pred.scope, n, ({p.lower_limit}::DOUBLE - pred - loc) / sc AS z FROM pred JOIN gfit USING (scope, r) WHERE r = -1) GROUP BY scope),
+base3 AS (SELECT scope, sum(n * ({_STUDENT})) / sum(n) AS base3 FROM (SELECT pred.scope, n, df, ({p.lower_limit}::DOUBLE - pred - loc) / sc AS z FROM pred JOIN sfit USING (scope, r) WHERE r = -1) GROUP BY scope),
+prot AS (
+  SELECT scope, '{V.H1}' AS protocol_id, value AS point, FALSE AS material FROM h1 WHERE r = -1
+  UNION ALL SELECT h2.scope, '{V.H2}', value, skewed OR heavy OR uneven OR base > {p.alpha} FROM h2 JOIN diag USING (scope) JOIN ratio USING (scope) JOIN base USING (scope) WHERE r = -1
+  UNION ALL SELECT size.scope, '{V.H3}', value, value IS NULL OR base3 > {p.alpha} FROM size LEFT JOIN (SELECT * FROM h3 WHERE r = -1) h USING (scope) LEFT JOIN base3 USING (scope)),
+vals AS (SELECT v.* FROM (SELECT scope, r, '{V.H1}' AS protocol_id, value FROM h1 UNION ALL SELECT scope, r, '{V.H2}', value FROM h2 UNION ALL SELECT mom.scope, mom.r, '{V.H3}', value FROM mom LEFT JOIN h3 ON h3.scope = mom.scope AND h3.r = mom.r) v
+         JOIN prot ON prot.scope = v.scope AND prot.protocol_id = v.protocol_id WHERE v.r >= 0 AND prot.point IS NOT NULL),
+good AS (SELECT scope, r FROM vals GROUP BY scope, r HAVING count(value) = count(*)),
+u1 AS (SELECT size.scope, count(good.r) AS good, gs >= 8 AND count(good.r) >= 100 AND (200 - count(good.r)) / 200 <= 0.1 AS valid FROM size LEFT JOIN good USING (scope) GROUP BY size.scope, gs),
+bound AS (SELECT scope, protocol_id, value AS bound FROM (SELECT vals.*, row_number() OVER (PARTITION BY vals.scope, protocol_id ORDER BY value) AS k, ceil(0.1 * good) AS want FROM vals JOIN good ON good.scope = vals.scope AND good.r = vals.r JOIN u1 ON u1.scope = vals.scope WHERE valid) WHERE k = want)"""
+
+
+_LOG_AUDIT = _log_audit_sql()
+
+
+def _log_fits(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows, scopes = prepare(log_source(spark, d), LOG_ROLES, LOG_SCOPE)
     rows = written(rows, "rows")
     cells = written(models.cell_statistics(rows), "cells")
-    draws = written(bootstrap.bootstrap_draws(cells, 100, POLICY.seed), "draws")
-    chosen = models.candidate_table(spark).filter(F.col("candidate_id") == "M1_product").crossJoin(scopes.select("scope")).select("scope", "candidate_id", "terms")
-    values = bootstrap.bootstrap_h1(rows, draws, POLICY).unionByName(bootstrap.bootstrap_parametric(rows, cells, draws, chosen, POLICY, student=False))
-    return bootstrap.group_bootstrap(values, cells, POLICY).select("scope", "protocol_id", "u1_status", "successful", *r6("lower_bound"))
+    tried = models.feasible(scopes).filter(F.col("candidate_id") == "M0_intercept")
+    return {"rows": rows, "cells": cells, "crossfit": models.score_rows(rows, written(models.fit_all(cells, tried), "coefficients"), held_out=True), "chosen": tried.select("scope", "candidate_id", "terms")}
+
+
+@query(
+    "student_t_headroom",
+    f"{_LOG_AUDIT} SELECT scope, protocol_id, CASE WHEN point IS NULL THEN 'ineligible' WHEN material THEN 'warning' ELSE 'ok' END AS status, round(point, 6) AS point_estimate, CASE WHEN point IS NOT NULL AND material THEN 'PARAMETRIC_INSUFFICIENT_SUPPORT' ELSE '' END AS warnings FROM prot WHERE protocol_id = '{V.H3}'",
+)
+def student_t_headroom(spark, d):
+    """Student's tail of every scope's residuals: the fit by Newton steps in SQL as well."""
+    out = headroom.parametric_headroom(_log_fits(spark, d)["crossfit"], LOG_POLICY, True)
+    return out.select("scope", "protocol_id", "status", *r6("point_estimate"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("bootstrap_bounds", f"{_LOG_AUDIT} SELECT u1.scope, protocol_id, CASE WHEN NOT valid THEN 'ineligible' WHEN good < 200 THEN 'warning' ELSE 'ok' END AS u1_status, good AS successful, round(bound, 6) AS lower_bound FROM u1 LEFT JOIN bound USING (scope)")
+def bootstrap_bounds(spark, d):
+    """Bounds of all three headrooms over 200 replicates; a scope's ineligible headrooms take no part."""
+    f = _log_fits(spark, d)
+    points = headroom.empirical_headroom(f["rows"], LOG_POLICY).select("scope", "protocol_id", "status")
+    for student in (False, True):
+        points = points.unionByName(headroom.parametric_headroom(f["crossfit"], LOG_POLICY, student).select("scope", "protocol_id", "status"))
+    eligible = written(points.filter(F.col("status") != "ineligible").select("scope", "protocol_id"), "eligible")
+    draws = written(shared_draws(spark, d, f["cells"]), "draws")
+    values = bootstrap.bootstrap_h1(f["rows"], draws, LOG_POLICY).unionByName(bootstrap.bootstrap_parametric(f["rows"], f["cells"], draws, f["chosen"], LOG_POLICY))
+    bounds = bootstrap.group_bootstrap(values.join(eligible, ["scope", "protocol_id"], "left_semi"), f["cells"], LOG_POLICY)
+    return bounds.select("scope", "protocol_id", "u1_status", "successful", *r6("lower_bound"))
 
 
 # --- decisions -------------------------------------------------------------------------------------
@@ -615,10 +761,45 @@ def pilot_range(spark, d):
     return _decided(spark, d).filter(F.col("pilot_upper").isNotNull()).select("scope", F.round("pilot_lower", 4).alias("pilot_lower"), F.round("pilot_upper", 4).alias("pilot_upper"))
 
 
-@query("audit_decision")
+@query(
+    "audit_decision",
+    f"""{_LOG_AUDIT},
+safe AS (SELECT scope, min(coalesce(bound, point)) AS h, CASE WHEN count(point) >= 2 THEN max(coalesce(bound, point)) - min(coalesce(bound, point)) END AS spread, count(point) AS eligible, bool_and(bound IS NOT NULL) FILTER (WHERE point IS NOT NULL) AS bounded, bool_or(material) FILTER (WHERE protocol_id <> '{V.H1}') AS parametric
+         FROM (SELECT prot.*, CASE WHEN point IS NOT NULL THEN bound END AS bound FROM prot LEFT JOIN bound ON bound.scope = prot.scope AND bound.protocol_id = prot.protocol_id) GROUP BY scope),
+o AS (SELECT *, count(*) OVER k AS n, avg(y) OVER k AS mean, stddev_samp(y) OVER k AS sd, y - lag(y) OVER (PARTITION BY scope, stream ORDER BY pos) AS step, row_number() OVER (PARTITION BY scope, stream ORDER BY pos) AS spot FROM x WINDOW k AS (PARTITION BY scope, stream)),
+v AS (SELECT *, sign(y - mean) AS side, sign(step) AS way FROM o WHERE n >= 20),
+w0 AS (SELECT *, CASE WHEN side IS DISTINCT FROM lag(side) OVER k THEN 1 ELSE 0 END AS ns, CASE WHEN way IS DISTINCT FROM lag(way) OVER k THEN 1 ELSE 0 END AS nw FROM v WINDOW k AS (PARTITION BY scope, stream ORDER BY pos)),
+w1 AS (SELECT *, sum(ns) OVER k AS sr, sum(nw) OVER k AS wr FROM w0 WINDOW k AS (PARTITION BY scope, stream ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+scale AS (SELECT scope, stream, avg(abs(step)) / 1.128 AS sigma FROM w1 GROUP BY scope, stream),
+hits AS (
+  SELECT w1.scope FROM w1 JOIN scale USING (scope, stream) WHERE abs(y - mean) > 3 * sigma
+  UNION ALL SELECT scope FROM (SELECT scope, stream, sr FROM w1 WHERE side <> 0 GROUP BY scope, stream, sr HAVING count(*) >= 8)
+  UNION ALL SELECT scope FROM (SELECT scope, stream, wr FROM w1 WHERE way <> 0 GROUP BY scope, stream, wr HAVING count(*) >= 5)
+  UNION ALL SELECT scope FROM (SELECT scope, stream FROM w1 GROUP BY scope, stream HAVING abs(avg(y) FILTER (WHERE spot <= greatest(1, n // 4)) - avg(y) FILTER (WHERE spot > n - greatest(1, n // 4))) > 1.5 * any_value(sd))),
+cover AS (SELECT scope, count(*) FILTER (WHERE n >= 20) / count(*) AS coverage FROM o GROUP BY scope),
+one AS (
+  SELECT size.scope, TRUE AS contract_valid, h, spread, eligible, CASE WHEN eligible = 0 THEN 'none' WHEN bounded THEN 'lower_bounds' ELSE 'point_estimates_without_bound' END AS basis, eligible BETWEEN 1 AND 2 AS mixed, coalesce(parametric, FALSE) AS parametric,
+         size.n >= 80 AND gs >= 8 AND {LOG_POLICY.alpha} * size.n >= 5 AND valid AND coverage >= 0.6 AS action_supported, CASE WHEN coverage < 0.6 THEN 'ineligible' WHEN size.scope IN (SELECT scope FROM hits) THEN 'material_warning' ELSE 'pass' END AS g1_state
+  FROM size JOIN safe USING (scope) JOIN u1 USING (scope) JOIN cover USING (scope)
+  UNION ALL SELECT scope, FALSE, NULL, NULL, 0, 'none', FALSE, FALSE, FALSE, NULL FROM bad),
+con AS (SELECT *, coalesce(spread > {LOG_POLICY.spread_tolerance}, FALSE) AS wide, coalesce(spread > {LOG_POLICY.spread_tolerance}, FALSE) OR mixed OR parametric OR basis = 'point_estimates_without_bound' AS careful, CAST(CAST(round(h, 9) AS VARCHAR) AS DECIMAL(18, 9)) AS hd FROM one),
+rng AS (SELECT *, floor(CASE WHEN careful THEN 0.05 ELSE greatest(0.05, 0.30 * hd) END / 0.01) * 0.01 AS lo, floor(least(3.0, CASE WHEN careful THEN 0.50 ELSE 0.80 END * hd) / 0.01) * 0.01 AS hi FROM con),
+done AS (SELECT *, CASE WHEN NOT contract_valid THEN 'invalid_contract' WHEN NOT action_supported THEN 'insufficient_evidence' WHEN h IS NULL OR h < 0.05 THEN 'no_actionable_headroom' WHEN g1_state = 'material_warning' THEN 'diagnose_process_first'
+                        WHEN hi < 0.05 OR lo < 0.05 OR hi < lo THEN 'no_actionable_headroom' WHEN careful THEN 'pilot_only_conservative' ELSE 'pilot_range_supported' END AS state FROM rng)
+SELECT scope, state, contract_valid, action_supported, g1_state, round(h, 6) AS safe_headroom, basis, round(spread, 6) AS protocol_spread,
+       CASE WHEN state LIKE 'pilot%' THEN round(CAST(lo AS DOUBLE), 4) END AS pilot_lower, CASE WHEN state LIKE 'pilot%' THEN round(CAST(hi AS DOUBLE), 4) END AS pilot_upper,
+       CASE state WHEN 'invalid_contract' THEN 'CONTRACT_INVALID' WHEN 'insufficient_evidence' THEN 'EVIDENCE_INSUFFICIENT' WHEN 'diagnose_process_first' THEN 'ORDERED_STABILITY_MATERIAL_WARNING'
+         WHEN 'no_actionable_headroom' THEN CASE WHEN h IS NULL THEN 'NO_ELIGIBLE_HEADROOM' WHEN h <= 0 THEN 'HEADROOM_NONPOSITIVE' WHEN h < 0.05 THEN 'HEADROOM_BELOW_MINIMUM_ACTIONABLE' WHEN hi <= 0 THEN 'PILOT_RANGE_NONPOSITIVE' WHEN lo < 0.05 OR hi < 0.05 THEN 'PILOT_RANGE_SUBMINIMUM' ELSE 'PILOT_RANGE_INVERTED' END
+         WHEN 'pilot_only_conservative' THEN concat_ws(',', CASE WHEN wide THEN 'PROTOCOL_SPREAD_MATERIAL' END, CASE WHEN mixed THEN 'PROTOCOL_STATE_OR_ASSUMPTION_CONFLICT' END, CASE WHEN parametric THEN 'PARAMETRIC_DIAGNOSTIC_MATERIAL' END, CASE WHEN basis = 'point_estimates_without_bound' THEN 'UNCERTAINTY_BOUND_UNAVAILABLE' END, 'CONSERVATIVE_PILOT_REFERENCE')
+         ELSE 'SUPPORTED_PILOT_REFERENCE' END AS reasons
+FROM done""",
+)
 def audit_decision(spark, d):
-    tables = audit(audit_source(spark, d), PRICE_ROLES, Policy(nominal=1500.0, lower_limit=900.0, alpha=0.05, maximum_shift=200.0, minimum_shift=1.0, spread_tolerance=50.0, replicates=200))
-    return tables["decisions"].select("scope", "state", F.array_join("reason_codes", ",").alias("reasons"), *r6("safe_headroom", "pilot_lower", "pilot_upper"))
+    """The whole audit, from rows to one decision per scope: headrooms and bounds by three protocols, order,
+    sufficiency, action."""
+    tables = audit(log_source(spark, d), LOG_ROLES, LOG_POLICY, LOG_SCOPE, draws=lambda cells: shared_draws(spark, d, cells))
+    out = tables["decisions"].select("scope", "state", "contract_valid", "action_supported", "g1_state", *r6("safe_headroom"), "basis", *r6("protocol_spread"), F.round("pilot_lower", 4).alias("pilot_lower"), F.round("pilot_upper", 4).alias("pilot_upper"), F.array_join("reason_codes", ",").alias("reasons"))
+    return out
 
 
 SCOPE_POLICY = Policy(nominal=1500.0, lower_limit=225.0, alpha=0.05, resolution=0.01, minimum_shift=4.0, maximum_shift=40.0, spread_tolerance=50.0)
