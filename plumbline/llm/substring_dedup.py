@@ -265,11 +265,12 @@ def _remove(n_buckets: int):
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: its words, how many lie in windows that start in a document with a smaller
-    doc_id, the text without them, and the removed spans as word places."""
+    doc_id, the text without them, and the removed spans as word places. Rows are dealt to chunks by id and
+    text, so those without an id are spread like all others."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-size // chunk_bytes))
     n_buckets = min(MOST_BUCKETS, max(1, -(-n_chunks // CHUNKS_PER_BUCKET)))
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk")).repartition("chunk")
+    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")).repartition("chunk")
     anchors = texts.groupBy("chunk").applyInArrow(_send_anchors(n_buckets), SENT)
     hits = anchors.groupBy("bucket").applyInArrow(_match_anchors, REPLY)
     windows = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_send_windows(n_buckets), SENT)

@@ -290,6 +290,17 @@ def test_repeats_against_brute_force(spark):
     assert got == brute_repeats(docs)
 
 
+def test_repeats_of_rows_without_id_are_spread_over_chunks(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"s{k}" for k in range(20))
+    rows = [(None if i % 3 else 7, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + " " + (shared if i % 2 else ""), "en", "s", 0) for i in range(120)] + [(3, shared, "en", "s", 0)]
+    n_chunks = -(-sum(len(r[1].encode()) for r in rows) // 2000)
+    dealt = table(spark, rows).filter("doc_id IS NULL").groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")).count().collect()
+    assert len(dealt) > n_chunks // 2 and max(r["count"] for r in dealt) < 40
+    one, many = (sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(table(spark, rows), chunk_bytes=b).collect()) for b in (10**9, 2000))
+    assert one == many and {r[2] for r in many if r[0] == 7} == {0, 20}
+
+
 def test_repeats_odd_inputs(spark):
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(odd(spark)).collect()}
     assert (got[1].n_words, got[1].kept_text) == (0, "") and got[3].n_words == 0
