@@ -35,7 +35,7 @@ def mean_diagnostic(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def empirical_headroom(rows: DataFrame, policy: Policy, check_groups: bool = True) -> DataFrame:
+def empirical_headroom(rows: DataFrame, policy: Policy, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
     """H1: the (k+1)-th smallest margin, k = floor(alpha * n) in decimals, clamped at 0.
 
     Approximate quantiles with a guaranteed rank error bracket the rank; only the margins inside the
@@ -43,27 +43,30 @@ def empirical_headroom(rows: DataFrame, policy: Policy, check_groups: bool = Tru
     """
     margin = F.col("y") - F.lit(policy.lower_limit)
     base = rows.select("scope", "group_token", margin.alias("margin"))
-    slack = 2.0 / QUANTILE_ACCURACY
+    slack = 2.0 / accuracy
     near = [max(0.0, policy.alpha - slack), min(1.0, policy.alpha + slack)]
     s = base.groupBy("scope").agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("group_token").alias("n_groups"),
         F.count_if(F.col("margin") < 0).alias("baseline_underfills"),
-        F.percentile_approx("margin", near, QUANTILE_ACCURACY).alias("near"),
+        F.percentile_approx("margin", near, accuracy).alias("near"),
         F.min("margin").alias("least"),
         F.max("margin").alias("most"),
     )
     tail = decimal(policy.alpha) * F.col("n_rows")
     s = s.withColumns({"expected_tail_count": tail.cast("double"), "k": F.floor(tail).cast("long")})
     # few rows: a rank error of a row matters, so take everything
-    wide = F.col("n_rows") <= QUANTILE_ACCURACY * 4
+    wide = F.col("n_rows") <= accuracy * 4
     s = s.withColumns({"low": F.when(wide, F.col("least")).otherwise(F.col("near")[0]), "high": F.when(wide, F.col("most")).otherwise(F.col("near")[1])})
     s = written(s, "brackets")  # computed once, and of a size that Spark knows
-    inside = base.join(s.select("scope", "low", "high"), "scope")
-    below = inside.groupBy("scope").agg(F.count_if(F.col("margin") < F.col("low")).alias("below"))
-    counts = inside.filter(F.col("margin").between(F.col("low"), F.col("high"))).groupBy("scope", "margin").agg(F.count("*").alias("n"))
+    # one pass: the rows below the bracket as a number, those inside by value
+    met = base.join(s.select("scope", "low", "high"), "scope").filter(F.col("margin") <= F.col("high"))
+    inside = F.when(F.col("margin") >= F.col("low"), F.col("margin"))
+    tally = written(met.groupBy("scope", inside.alias("margin")).agg(F.count("*").alias("n")), "tally")
+    below = tally.filter(F.col("margin").isNull()).select("scope", F.col("n").alias("below"))
+    counts = tally.filter(F.col("margin").isNotNull())
     running = F.sum("n").over(Window.partitionBy("scope").orderBy("margin"))
-    at = counts.join(below, "scope").join(s.select("scope", "k"), "scope").withColumn("upto", F.col("below") + running)
+    at = counts.join(below, "scope", "left").join(s.select("scope", "k"), "scope").withColumn("upto", F.coalesce("below", F.lit(0)) + running)
     hit = at.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select("scope", F.col("margin").alias("raw_boundary"), F.col("n").alias("tie_multiplicity"), (F.col("upto") - F.col("n")).alias("underfills_at_boundary"))
     out = s.join(hit, "scope", "left")
     missed = F.raise_error(F.lit("the rank lies outside the quantiles that bracket it")).cast("double")

@@ -53,7 +53,6 @@ class Policy:
     min_success: int = 100
     max_failed_fraction: float = 0.1
     confidence: float = 0.9
-    max_groups: int = 200
     c: float = 1.0
     abs_tolerance: float = 1e-6
     rel_tolerance: float = 1e-8
@@ -122,8 +121,8 @@ def scope_of(scope_cols: list[str] | tuple[str, ...]) -> Column:
 
 
 def prepare(df: DataFrame, roles: Roles, scope_cols: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(audit rows of sound scopes, one status row per scope). The scopes are counted and written at once;
-    rows carry their scope's mean quantity and time, which models centre by.
+    """(audit rows of sound scopes, one status row per scope). The source is read once: its narrow rows and
+    the scopes are written; rows carry their scope's mean quantity and time, which models centre by.
 
     One bad quantity or blank group fails its scope with a reason; a blank in an optional role makes
     that role unavailable (null) in its scope.
@@ -143,6 +142,7 @@ def prepare(df: DataFrame, roles: Roles, scope_cols: list[str] | tuple[str, ...]
         (instant(df, roles.time, roles.timezone) if roles.time else F.lit(None).cast("double")).alias("at"),
         F.array(*[F.coalesce(text_of(c), F.lit("")) for c in roles.tie_breaks]).cast("array<string>").alias("tie_key"),
     )
+    raw = written(raw, "narrow")
     there = lambda c: (F.count(c) == F.count("*")).alias(f"has_{c}")
     scopes = raw.groupBy("scope").agg(
         F.count("*").alias("n_rows"),

@@ -26,7 +26,8 @@ def policy_issues(policies: DataFrame) -> DataFrame:
 
 
 def support_issues(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Row and group support per scope; composite groups are counted as they are."""
+    """Row and group support per scope; composite groups are counted as they are. There is no upper limit of
+    groups, here as in the audit."""
     from plumbline.operators.prepare import scope_of, text_of
 
     groups = [text_of(c) for c in roles.group]
@@ -40,7 +41,6 @@ def support_issues(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list
         issue(g <= 1, "CONTRACT_GROUP_CONSTANT", "blocking", where),
         issue(g < policy.min_groups_exploratory, "CONTRACT_INSUFFICIENT_GROUPS", "blocking", where),
         issue((g >= policy.min_groups_exploratory) & (g < policy.min_groups_action), "CONTRACT_INSUFFICIENT_GROUPS", "warning", where),
-        issue(g > policy.max_groups, "CONTRACT_SELECTION_SETTINGS_INVALID", "blocking", "selection"),
         issue(n < policy.min_rows, "CONTRACT_EVIDENCE_PROFILE_INVALID", "blocking", "evidence_profile.min_rows"),
         issue(n * F.lit(policy.alpha) < policy.min_tail_count, "CONTRACT_EVIDENCE_PROFILE_INVALID", "warning", "evidence_profile.min_expected_tail_count"),
     )

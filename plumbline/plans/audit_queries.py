@@ -709,11 +709,11 @@ def bootstrap_bounds(spark, d):
 
 
 def _nation_protocols(spark, d) -> DataFrame:
-    """Three protocol rows per nation with values that follow its customers: a table of many scopes."""
-    n = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("m"), F.count("*").alias("n"))
+    """Three protocol rows per nation with values made from its key: the cases that audits seldom meet."""
+    n = _t(spark, d, "customer").select("c_nationkey").distinct()
     i, k = F.col("i"), F.col("c_nationkey")
     t = n.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    point = F.round(((k * 13 + i * 7) % 29) / 20.0 + F.col("m") * 0, 2)
+    point = F.round(((k * 13 + i * 7) % 29) / 20.0, 2)
     return t.select(
         k.cast("string").alias("scope"), F.element_at(F.array(F.lit(V.H1), F.lit(V.H2), F.lit(V.H3)), i + 1).alias("protocol_id"),
         F.when((k + i) % 6 == 0, "ineligible").otherwise("ok").alias("status"), point.alias("point_estimate"), ((i > 0) & (k % 9 == 4)).alias("material_warning"),

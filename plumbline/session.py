@@ -27,13 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_paths: list[str] = []
+_paths: dict[str, list[str]] = {}  # by application: one session's end must not take another's tables
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets; ``drop_written`` deletes it."""
-    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _paths[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(_owner(spark), []).append(path)
+    return path
+
+
+def _owner(spark: SparkSession) -> str:
+    """The application and, within it, the session, as Spark numbers it."""
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
 
 
 def drop_written(spark: SparkSession) -> int:
@@ -42,8 +48,8 @@ def drop_written(spark: SparkSession) -> int:
     Results are lazy and read those tables: call it when they have been read or stored.
     """
     conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for written_to in _paths.pop(_owner(spark), []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written_to)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import special
-from plumbline.operators import bootstrap, claims, models, stability, tails
+from plumbline.operators import bootstrap, claims, headroom, models, stability, tails
 from plumbline.operators.prepare import Policy
 
 
@@ -237,3 +237,36 @@ def test_binned_rank_equals_sorted_copies(spark, kind):
         k = int(0.07 * len(m) + 1e-9)
         want = None if sum(v < 0 for v in m) > k or len(tokens) < 4 else max(0.0, m[k])
         assert got[key] == (pytest.approx(want) if want is not None else None)
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_rank_brackets_are_exact_at_any_accuracy(spark, accuracy):
+    rng = random.Random(accuracy)
+    rows = [(s, f"g{i % 7}", round(rng.gauss(10, 2), d)) for s, d in (("fine", 6), ("ties", 0)) for i in range(3000)] + [("same", f"g{i % 7}", 4.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double")
+    got = {r.scope: r for r in headroom.empirical_headroom(df, Policy(nominal=10, lower_limit=2.0, alpha=0.07), accuracy).collect()}
+    for scope in ("fine", "ties", "same"):
+        m = sorted(y - 2.0 for s, _, y in rows if s == scope)
+        k = len(m) * 7 // 100
+        r = got[scope]
+        assert (r.k, r.raw_boundary, r.tie_multiplicity, r.underfills_at_boundary) == (k, m[k], m.count(m[k]), sum(v < m[k] for v in m))
+
+
+def test_one_sessions_tables_outlive_anothers_end(spark):
+    from plumbline.session import drop_written, written
+
+    drop_written(spark)
+    other = spark.newSession()
+    mine, theirs = written(spark.range(3), "mine"), written(other.range(4), "theirs")
+    assert drop_written(other) == 1 and mine.count() == 3 and drop_written(spark) == 1
+    with pytest.raises(Exception, match="(?i)exist|FileNotFound"):
+        theirs.collect()
+
+
+def test_many_groups_block_neither_readiness_nor_audit(spark):
+    from plumbline.operators import readiness
+    from plumbline.operators.prepare import Roles
+
+    df = spark.createDataFrame([(float(i % 9), f"b{i // 3}") for i in range(1500)], "q double, b string")
+    found = {(r.code, r.severity) for r in readiness.support_issues(df, Roles("q", ("b",)), Policy(nominal=5, lower_limit=0)).collect()}
+    assert found == set()
