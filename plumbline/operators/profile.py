@@ -2,7 +2,7 @@
 
 The table is unpivoted to (column, value) and counted per distinct value: one shuffle of distinct
 values, on which every predicate is evaluated once per value instead of once per row. All counts are
-sums of these weights, the median is a weighted percentile.
+sums of these weights, medians are found in them by counted brackets.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
+from plumbline.session import written
 
 MOST_LEVELS, LARGEST_SHARE, LONGEST = 20, 0.20, 80
 
@@ -58,6 +59,45 @@ def distinct_values(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("position", "name", "value").agg(F.count("*").alias("n"))
 
 
+MEDIAN_ROWS = 50_000  # so many values of a column are sorted together
+MEDIAN_BINS = 256
+
+
+def weighted_medians(numbers: DataFrame, most: int = MEDIAN_ROWS) -> DataFrame:
+    """(position, median): of each position's values ``x`` that count ``n`` times; between two middle values
+    their mean. Exact, for all positions at once.
+
+    Each round deals what is left of a position's values to bins between approximate quantiles, counts the
+    bins, and keeps the one or two that hold the middle ranks: under a hundredth of the values. Only
+    when ``most`` are left are they sorted.
+    """
+    left = written(numbers.select("position", "x", "n"), "numbers")
+    total = left.groupBy("position").agg(F.sum("n").alias("total"))
+    ranks = total.select("position", F.floor((F.col("total") - 1) / 2).alias("low"), F.floor(F.col("total") / 2).alias("high"))
+    sizes = written(ranks.join(left.groupBy("position").agg(F.count("*").alias("size")), "position").withColumn("below", F.lit(0).cast("long")), "ranks")
+    points = [(k + 1) / MEDIAN_BINS for k in range(MEDIAN_BINS - 1)]
+    steps = F.array(*[F.lit(1 << k) for k in range(7, -1, -1)])
+    bin_ = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("cuts", i + s - 1) < F.col("x"), i + s).otherwise(i))
+    while not (wide := sizes.filter(F.col("size") > most)).isEmpty():
+        cuts = left.join(wide, "position", "left_semi").groupBy("position").agg(F.percentile_approx("x", points, 10_000).alias("cuts"))
+        binned = written(left.join(written(cuts, "cuts"), "position", "left").withColumn("bin", F.when(F.col("cuts").isNull(), 0).otherwise(bin_)).select("position", "x", "n", "bin"), "binned")
+        tally = binned.groupBy("position", "bin").agg(F.sum("n").alias("n"), F.count("*").alias("size"))
+        upto = F.sum("n").over(Window.partitionBy("position").orderBy("bin"))  # a row per bin
+        met = tally.withColumn("upto", upto).join(sizes.select("position", "low", "high", "below"), "position").withColumn("start", F.col("below") + F.col("upto") - F.col("n"))
+        met = written(met.filter((F.col("start") <= F.col("high")) & (F.col("start") + F.col("n") > F.col("low"))), "middle")
+        shrunk = written(met.groupBy("position", "low", "high").agg(F.sum("size").alias("size"), F.min("start").alias("below")), "ranks")
+        left = written(binned.join(met.select("position", "bin"), ["position", "bin"], "left_semi").drop("bin"), "numbers")
+        stuck = shrunk.select("position", F.col("size").alias("now")).join(sizes, "position").filter((F.col("size") > most) & (F.col("now") >= F.col("size")))
+        sizes = shrunk
+        if not stuck.isEmpty():  # one value, written in many ways
+            left = written(left.groupBy("position", "x").agg(F.sum("n").alias("n")), "numbers")
+            sizes = written(sizes.drop("size").join(left.groupBy("position").agg(F.count("*").alias("size")), "position"), "ranks")
+    upto = F.sum("n").over(Window.partitionBy("position").orderBy("x"))
+    ends = left.withColumn("upto", upto).join(sizes.select("position", "low", "high", "below"), "position").withColumn("upto", F.col("upto") + F.col("below"))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("x")))
+    return ends.groupBy("position").agg(((at("low") + at("high")) / 2).alias("x_median"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: dtype, missing fraction, distinct count, summary, blockers, redacted examples."""
     v = F.col("value")
@@ -71,7 +111,8 @@ def profile(df: DataFrame) -> DataFrame:
         is_datetime(v).alias("moment"),
         (is_email(v) | is_phone(v)).alias("personal"),
     )
-    seen = seen.withColumn("x", F.when(F.col("number"), F.expr("try_cast(value as double)")))
+    seen = written(seen.withColumn("x", F.when(F.col("number"), F.expr("try_cast(value as double)"))), "values")
+    medians = weighted_medians(seen.filter(F.col("x").isNotNull()))
     there = F.col("present")
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     out = seen.groupBy("position", "name").agg(
@@ -85,10 +126,9 @@ def profile(df: DataFrame) -> DataFrame:
         count(there & F.col("moment")).alias("n_datetime"),
         count(there & F.col("personal")).alias("n_personal"),
         F.min("x").alias("x_min"),
-        F.percentile("x", 0.5, F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("x_median"),
         F.max("x").alias("x_max"),
         F.max(F.when(there, F.length(v))).alias("longest"),
-    )
+    ).join(medians, "position", "left")
     name = normalized_name(F.col("name"))
     every = lambda c: F.col(c) == F.col("n_present")
     dtype = (

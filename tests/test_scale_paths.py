@@ -1,5 +1,6 @@
 """Results that must not depend on how rows are dealt: small data over many partitions, against brute force."""
 
+import collections
 import contextlib
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import special
-from plumbline.operators import bootstrap, claims, headroom, models, stability, tails
+from plumbline.operators import bootstrap, claims, headroom, models, profile, stability, tails
 from plumbline.operators.prepare import Policy
 
 
@@ -270,3 +271,15 @@ def test_many_groups_block_neither_readiness_nor_audit(spark):
     df = spark.createDataFrame([(float(i % 9), f"b{i // 3}") for i in range(1500)], "q double, b string")
     found = {(r.code, r.severity) for r in readiness.support_issues(df, Roles("q", ("b",)), Policy(nominal=5, lower_limit=0)).collect()}
     assert found == set()
+
+
+@pytest.mark.parametrize("most", [3, 40, 10**6])
+def test_medians_by_rounds_equal_sorted_values(spark, most):
+    rng = random.Random(most)
+    columns = [[rng.gauss(0, 1) for _ in range(801)], [rng.choice([-1e300, 1e-300, 5.0, 1e300]) for _ in range(400)], [7.0], [1.0, 2.0], [float(rng.randint(0, 50)) for _ in range(2000)], [3.0] * 500]
+    rows = [(i, x, 1) for i, c in enumerate(columns) for x in c[: len(c) // 2]] + [(i, x, k) for i, c in enumerate(columns) for x, k in collections.Counter(c[len(c) // 2 :]).items()]
+    df = spark.createDataFrame(rows, "position int, x double, n long")
+    with many_parts(spark, 4):
+        got = {r.position: r.x_median for r in profile.weighted_medians(df, most).collect()}
+    assert got == {i: statistics.median(c) for i, c in enumerate(columns)}
+    assert profile.weighted_medians(df.limit(0)).count() == 0
