@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
-from plumbline.operators.profile import is_email, is_phone
+from plumbline.operators.profile import is_email, is_phone, normalized_name
 from plumbline.session import written
 
 
@@ -118,3 +118,56 @@ def unsafe_content(evidence: DataFrame, column: str = "statement") -> DataFrame:
     value = F.trim(t)
     other = [F.when(is_email(value) | is_phone(value), F.lit("PERSONAL_VALUE")), F.when(t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), F.lit("CONTROL_CHARACTER"))]
     return evidence.select("evidence_id", F.explode(F.array_compact(F.array(*secret, *other))).alias("problem"))
+
+
+def is_sensitive_key(key: Column) -> Column:
+    """Keys that name raw rows, credentials, persons or prompts, however they are written."""
+    k = normalized_name(key)
+    named = k.isin(V.SENSITIVE_KEYS) | k.rlike("^(?:" + "|".join(V.SENSITIVE_BEGINNINGS) + ")") | k.rlike("(?:" + "|".join(V.SENSITIVE_ENDS) + ")$")
+    return named & ~k.isin(V.PERMITTED_KEYS)
+
+
+def nested_values(evidence: DataFrame, column: str, deepest: int = V.DEEPEST) -> DataFrame:
+    """(evidence_id, depth, key_path, key, value, entries): every value at any depth of the JSON in ``column``, and
+    ``entries`` of it if it is an object or array. Goes down level by level, each a projection without a
+    shuffle, to one level below ``deepest``; text that is no JSON has the depth -1."""
+    spark = evidence.sparkSession
+    top = evidence.select("evidence_id", F.lit(0).alias("depth"), F.lit("$").alias("key_path"), F.lit(None).cast("string").alias("key"), F.col(column).alias("value"))
+    level, out = top, None
+    for _ in range(deepest + 2):
+        kind = F.schema_of_variant(F.try_parse_json("value"))
+        # a value of the levels below is JSON by now
+        level = written(level.withColumn("kind", F.coalesce(kind, F.lit("none"))).withColumn("depth", F.when((F.col("kind") == "none") & (F.col("depth") == 0), -1).otherwise(F.col("depth"))), "level")
+        below = level.filter(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select("evidence_id", "depth", "key_path", F.parse_json("value").alias("v"))
+        found = below.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        inside = found.select("evidence_id", (F.col("depth") + 1).alias("depth"), F.concat("key_path", step).alias("key_path"), "key", F.to_json("value").alias("value"))
+        sizes = found.groupBy("evidence_id", "key_path").agg(F.count("*").alias("entries"))
+        part = level.join(sizes, ["evidence_id", "key_path"], "left")
+        out = part if out is None else out.unionByName(part)
+        if below.isEmpty():
+            break
+        level = inside
+    return out
+
+
+def unsafe_nested(evidence: DataFrame, column: str = "payload", deepest: int = V.DEEPEST) -> DataFrame:
+    """(evidence_id, key_path, problem): what may not stand in the JSON of ``column`` at any depth: sensitive keys,
+    secrets, local paths, personal values and control characters in keys and texts, values that are too long,
+    too many or too deep, and text that is no JSON."""
+    seen = nested_values(evidence, column, deepest)
+    # a text's JSON has quotes and escapes; other scalars hold nothing unsafe
+    text = F.when(F.col("kind") == "STRING", F.try_variant_get(F.try_parse_json("value"), "$", "string"))
+    seen = seen.withColumn("text", text)
+
+    def unsafe(c: str) -> list[Column]:
+        t = F.col(c)
+        rules = [F.when(t.rlike(f"(?m{'' if case else 'i'}){pattern}"), F.lit(code)) for code, pattern, case, placeholder in V.TEXT_RULES if not placeholder]
+        return [*rules, F.when(is_email(F.trim(t)) | is_phone(F.trim(t)), F.lit("PERSONAL_VALUE")), F.when(t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), F.lit("CONTROL_CHARACTER"))]
+
+    hits = [
+        F.when(F.col("depth") < 0, F.lit("INVALID_JSON")), F.when(F.col("depth") > deepest, F.lit("TOO_DEEP")), F.when(F.col("entries") > V.MOST_ENTRIES, F.lit("TOO_MANY_ENTRIES")),
+        F.when(F.length("text") > V.LONGEST_VALUE, F.lit("VALUE_TOO_LONG")), F.when(F.length("key") > V.LONGEST_KEY, F.lit("KEY_TOO_LONG")), F.when(is_sensitive_key(F.col("key")), F.lit("SENSITIVE_KEY")),
+        *unsafe("text"), *unsafe("key"),
+    ]
+    return seen.select("evidence_id", "key_path", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("problem"))
