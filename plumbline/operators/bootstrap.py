@@ -234,7 +234,7 @@ def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, ch
     replicates = 1 + (draws.agg(F.max("replicate")).first()[0] or 0)
     per_block = -(-replicates // blocks)
     predictors = written(replicate_predictors(cells, draws, chosen, replicates), "predictors")
-    samples = written(replicate_samples(rows, predictors, chosen, per_block), "samples")
+    samples = written(replicate_samples(rows, predictors, chosen, per_block), "samples", rows_per_file=tails.ROWS_PER_FILE)
     found = tails.moments(samples)
     solve = lambda s, f, t: tails.tail_headroom(s, policy.lower_limit, policy.alpha, policy.maximum_shift, t, per_block, f)
     least = lambda out, p: out.groupBy("scope", "replicate").agg(F.min("headroom").alias("value")).select("scope", "replicate", F.lit(p).alias("protocol_id"), "value")

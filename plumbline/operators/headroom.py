@@ -114,7 +114,7 @@ def parametric_headroom(crossfit: DataFrame, policy: Policy, student: bool) -> D
     left out, never replaced.
     """
     moments = residual_moments(crossfit)
-    samples = written(tails.point_samples(crossfit), "samples")
+    samples = written(tails.point_samples(crossfit), "samples", rows_per_file=tails.ROWS_PER_FILE)
     solved = tails.tail_headroom(samples, policy.lower_limit, policy.alpha, policy.maximum_shift, student).drop("location", "scale", "df", "replicate")
     support = crossfit.groupBy("scope").agg(F.count_distinct("group_token").alias("n_groups"))
     joined = moments.join(solved, ["scope", "candidate_id"]).join(scale_ratio(crossfit), ["scope", "candidate_id"], "left").join(support, "scope")

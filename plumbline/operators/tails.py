@@ -25,6 +25,7 @@ from plumbline.session import written
 
 KEYS = ["scope", "candidate_id", "block"]
 CHUNK = 2000  # values to a sample row
+ROWS_PER_FILE = 32  # sample rows to a file, so that a round runs on all cores
 DEGENERATE = 1e-12
 MIN_DF, MAX_DF, DF_EDGE = 2.1, 100.0, 1e-3
 ROUNDS = 60

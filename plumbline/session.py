@@ -54,15 +54,18 @@ def drop_written(spark: SparkSession) -> int:
     return gone
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, rows_per_file: int | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
-    A lost executor then costs a re-read, not a recomputation of what stands before the cut.
+    A lost executor then costs a re-read, not a recomputation of what stands before the cut. Few rows that
+    mean much work each are spread over tasks by a small ``rows_per_file``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
