@@ -76,34 +76,74 @@ def check_lineage(evidence: DataFrame) -> DataFrame:
 
 def topo_levels(links: DataFrame) -> DataFrame:
     """(node, level) for a table of (child, parent): 0 for nodes without parents, null for nodes on or
-    behind a cycle. Peels one level per round."""
+    behind a cycle; else one more than the highest of the parents' levels. Links with a null end are left out.
+
+    Contracts the graph. A link carries the longest way that it stands for; a node without parents gets one to null,
+    of length 1. Each round replaces links to nodes with a single link by what that link leads to, adding up
+    lengths, and keeps the longest of those between the same two. A chain of n takes log2(n) rounds, as do
+    diamonds in a row; no graph takes more rounds than it has levels. The table never grows. A way longer
+    than there are nodes runs in a cycle and is followed no further.
+    """
+    links = links.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct()
     nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
-    rest, level, done = written(links.select("child", "parent").distinct(), "links"), 0, None
-    left = written(nodes, "nodes")
-    while True:
-        free = left.join(rest.select(F.col("child").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level))
-        free = written(free, "level")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = written(left.join(free.select("node"), "node", "left_anti"), "nodes")
-        rest = written(rest.join(free.select(F.col("node").alias("parent")), "parent", "left_anti").select("child", "parent"), "links")
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    tops = nodes.join(links.select(F.col("child").alias("node")), "node", "left_anti").select(F.col("node").alias("child"), F.lit(None).cast("string").alias("parent"))
+    ways = links.select(F.col("child").cast("string"), F.col("parent").cast("string")).unionByName(tops.withColumn("child", F.col("child").cast("string")))
+    ways = written(ways.withColumns({"length": F.lit(1).cast("long"), "moved": F.lit(True)}), "ways")
+    most = ways.select("child").distinct().count() + 1
+    while not ways.filter("moved").isEmpty():
+        single = ways.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("beyond"), F.first("length").alias("further")).filter("n = 1")
+        single = single.filter((F.col("further") <= most) & ~F.col("beyond").eqNullSafe(F.col("child"))).select(F.col("child").alias("parent"), "beyond", "further")
+        met = F.col("further").isNotNull()
+        step = ways.drop("moved").join(single, "parent", "left").select("child", F.when(met, F.col("beyond")).otherwise(F.col("parent")).alias("parent"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"), met.alias("moved"))
+        ways = written(step.groupBy("child", "parent").agg(F.max("length").alias("length"), F.max("moved").alias("moved")), "ways")
+    ends = ways.groupBy("child").agg(F.bool_and(F.col("parent").isNull()).alias("sure"), F.max("length").alias("length"))
+    return ends.select(F.col("child").cast(links.schema["child"].dataType).alias("node"), F.when(F.col("sure"), (F.col("length") - 1).cast("int")).alias("level"))
 
 
 def ancestors(links: DataFrame) -> DataFrame:
-    """(node, ancestor) for every path of (child, parent) links, by doubling path lengths."""
-    known = written(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
-    size = known.count()
+    """(node, ancestor) for every path of (child, parent) links; a node on a cycle is its own ancestor.
+
+    Round r joins only the pairs that are exactly 2^(r-1) links apart, by the shortest way, with all pairs known:
+    the first half of every new shortest way is among the former, the rest among the latter.
+    """
+    known = links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).filter("node IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    known, reach = written(known.withColumn("distance", F.lit(1).cast("long")), "closure"), 1
+    while True:
+        edge = known.filter(F.col("distance") == reach).select("node", F.col("ancestor").alias("via"))
+        rest = known.select(F.col("node").alias("via"), "ancestor", "distance")
+        far = edge.join(rest, "via").groupBy("node", "ancestor").agg((F.min("distance") + reach).alias("distance"))
+        far = written(far.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "further")
+        if far.isEmpty():
+            return known.select("node", "ancestor")
+        known, reach = written(known.unionByName(far), "closure"), 2 * reach
+
+
+def ancestors_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): all that the nodes of ``nodes(node)`` descend from by (child, parent) links, without the closure of
+    all others; a given node is among them only if it lies above a given one.
+
+    Jumps of 1, 2, 4, ... links are composed with themselves, and what is reached takes each jump once: a chain
+    of n takes log2(n) rounds. Where the jumps of one length would be more than the links themselves (much
+    branching), single links are followed from what was reached last instead.
+    """
+    jumps = links.select(F.col("child").alias("node"), F.col("parent").alias("to")).filter("node IS NOT NULL AND to IS NOT NULL").distinct()
+    one = written(jumps, "links")
+    most = 2 * one.count()
+    reached = written(one.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("to").alias("node")).distinct(), "reached")
+    jumps, doubling, last = one, True, reached
     while True:
-        far = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
-        known = written(known.union(far).distinct(), "closure")
-        grown = known.count()
-        if grown == size:
-            return known
-        size = grown
+        new = (reached if doubling else last).join(jumps, "node").select(F.col("to").alias("node")).distinct()
+        new = written(new.join(reached, "node", "left_anti"), "new")
+        if new.isEmpty():
+            return reached
+        reached, last = written(reached.unionByName(new), "reached"), new
+        if doubling:
+            composed = jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to").select("node", F.col("beyond").alias("to"))
+            composed = written(composed.distinct(), "jumps")
+            if composed.count() > most:  # from here on link by link, first from all that is reached
+                jumps, doubling, last = one, False, reached
+            else:
+                jumps = composed
 
 
 def descendants(links: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
+LONGEST_RECORD = 1 << 26  # characters
 
 
 class BadHeader(ValueError):
@@ -27,23 +28,109 @@ def validate_header(columns: list[str]) -> None:
         seen.add(name.casefold())
 
 
-def read_measurements(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """A strict CSV (or a Parquet table) as trimmed strings; rows of another width fail the read."""
+def read_measurements(spark: SparkSession, path: str, format: str = "csv", ordered: bool = True) -> DataFrame:
+    """A strict CSV (or a Parquet table) as trimmed strings; rows of another width fail the read.
+
+    Files are cut into parts of any size, also within quoted line breaks (see ``csv_records``). Empty lines
+    between records are skipped, a first line that is empty is an error, as are invalid UTF-8, a quoted value that
+    goes on after its closing quote or never ends, a carriage return outside quotes other than at a
+    line's end, and a file whose header is not the first file's. An unquoted value may hold quotes. Rows come
+    in the order of the files, at the price of a sort by range; ``ordered=False`` does without it.
+    """
     if format == "parquet":
         df = spark.read.parquet(path)
         validate_header(df.columns)
         return df.select(*[F.trim(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
-    csv = {"header": True, "inferSchema": False, "enforceSchema": False, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
-    head = spark.read.options(**csv).csv(path)
-    columns = [c.lstrip("﻿").strip() for c in head.columns]
+    head = spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8").csv(path)
+    columns = [c.lstrip("\ufeff").strip() for c in head.columns]
     validate_header(columns)
-    schema = ", ".join(f"`{c}` string" for c in columns) + f", {CORRUPT} string"
-    rows = spark.read.options(**(csv | {"enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})).schema(schema).csv(path)
-    whole = F.coalesce(F.is_valid_utf8(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])), F.lit(True))
-    bad = F.col(CORRUPT).isNotNull() | ~whole
-    checked = F.when(bad, F.raise_error(F.lit("a row does not match the header"))).otherwise(F.trim(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))))
-    rest = [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns[1:]]
-    return rows.select(checked.alias(columns[0]), *rest)
+    schema = ", ".join(f"c{i} string" for i in range(len(columns))) + f", {CORRUPT} string"
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true", "lineSep": "\n", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(columns) + 1))}
+    records = csv_records(spark, path).withColumn("parsed", F.from_csv("record", schema, options))
+    cells = F.array(*[F.trim(F.coalesce(F.col(f"parsed.c{i}"), F.lit(""))) for i in range(len(columns))])
+    alien = (F.col("number") == 1) & (cells != F.array(*[F.lit(c) for c in columns]))
+    bad = F.col(f"parsed.{CORRUPT}").isNotNull() | is_irregular(F.col("record")) | alien
+    # in the filter, so that no choice of columns escapes the check
+    whole = F.when(bad, F.raise_error(F.lit("a row does not match the header")).cast("boolean")).otherwise((F.col("number") > 1) & (F.length("record") > 0))
+    rows = records.withColumn("cells", cells).filter(whole)
+    rows = rows.orderBy("file", "number") if ordered else rows
+    return rows.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def _rest(text: Column) -> Column:
+    """What is left of comma and text when complete values are taken from its beginning, one after another.
+
+    Pairs of quotes stand as one character, so that no expression repeats a group.
+    """
+    pairs = F.regexp_replace(F.regexp_replace(F.concat(F.lit(","), text), "\x01", "?"), '""', "\x01")
+    return F.regexp_replace(pairs, r'\G,(?:\x01*+"[^"]*+"(?=,|\z)|\x01*+(?=,|\z)|[^",\x01\r][^,\r]*+(?=,|\z))', "")
+
+
+def _open(text: Column) -> Column:
+    """Does a record that begins so end within quotes? Irregular text does not."""
+    return F.when(text.contains('"'), _rest(text).rlike(r'\A,\x01*+"[^"]*+\z')).otherwise(False)
+
+
+def is_irregular(record: Column) -> Column:
+    """Quotes that neither close a value nor stand within an unquoted one, and stray carriage returns."""
+    return F.when(record.contains('"') | record.contains("\r"), F.length(_rest(record)) > 0).otherwise(False)
+
+
+def _states(lines: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """Adds ``ends_0`` and ``ends_1``: the state (0 outside, 1 within quotes) after each row if the first row is met
+    outside or within quotes, from each row's own ``if_0`` and ``if_1``.
+
+    A row either settles the state, keeps it or turns it: the state is the last settled one, turned as
+    often as rows since then say.
+    """
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("turns", F.sum(F.when((F.col("if_0") == 1) & (F.col("if_1") == 0), 1).otherwise(0)).over(upto))
+    settled = F.last(F.when(F.col("if_0") == F.col("if_1"), F.struct(F.col("if_0").alias("state"), F.col("turns").alias("at"))), ignorenulls=True).over(upto)
+    lines = lines.withColumn("settled", settled)
+    since = lambda start: F.when(F.col("settled").isNull(), (F.lit(start) + F.col("turns")) % 2).otherwise((F.col("settled.state") + F.col("turns") - F.col("settled.at")) % 2)
+    return lines.withColumns({"ends_0": since(0), "ends_1": since(1)}).drop("turns", "settled")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, record): the records of CSV files, numbered from 1 in each, line breaks in quotes included.
+
+    Files are read in parts (``spark.sql.files.maxPartitionBytes``). What a part does to the state, outside or
+    within quotes, is known for both states that it may be met in; a row per part, put together by windows over
+    parts, tells in which it is met. Only records of several lines are then grouped. One longer than
+    ``LONGEST_RECORD`` characters is an error before it is put together: a quote was not closed.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.lit("a row does not match the header: invalid UTF-8")))
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), value.alias("line"))
+    part = Window.partitionBy("file", "part").orderBy("id")
+    first = (F.col("part") == 0) & (F.row_number().over(part) == 1)
+    lines = lines.withColumn("line", F.when(first & F.col("line").startswith("\ufeff"), F.expr("substring(line, 2)")).otherwise(F.col("line")))
+    bare = F.regexp_replace("line", r"\r\z", "")
+    lines = lines.withColumns({"if_0": _open(bare).cast("int"), "if_1": F.when(F.col("line").contains('"'), _open(F.concat(F.lit('"'), bare))).otherwise(True).cast("int")})
+    lines = _states(lines, "id", ["file", "part"])
+    met = lambda start: F.coalesce(F.lag(f"ends_{start}").over(part), F.lit(start))
+    lines = lines.withColumns({"met_0": met(0), "met_1": met(1)})
+    begun = lambda start: F.sum(1 - F.col(f"met_{start}"))
+    parts = lines.groupBy("file", "part").agg(
+        F.max_by("ends_0", "id").alias("if_0"), F.max_by("ends_1", "id").alias("if_1"), begun(0).alias("begun_0"), begun(1).alias("begun_1")
+    )
+    parts = _states(parts, "part", ["file"])
+    over = Window.partitionBy("file").orderBy("part")
+    parts = parts.withColumn("start", F.coalesce(F.lag("ends_0").over(over), F.lit(0)))
+    begun_here = F.when(F.col("start") == 0, F.col("begun_0")).otherwise(F.col("begun_1"))
+    parts = parts.withColumn("begun", begun_here).withColumn("before", F.sum("begun").over(over) - F.col("begun")).select("file", "part", "start", "before")
+    lines = lines.join(parts, ["file", "part"])
+    of = lambda name: F.when(F.col("start") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
+    lines = lines.select("file", "part", "id", "line", of("met").alias("met"), of("ends").alias("ends"), "before")
+    lines = lines.withColumn("number", F.col("before") + F.sum(1 - F.col("met")).over(part))
+    alone = (F.col("met") == 0) & (F.col("ends") == 0)
+    single = lines.filter(alone).select("file", "number", F.col("line").alias("record"))
+    pieces = lines.filter(~alone).select("file", "number", "part", "id", "line")
+    sizes = pieces.groupBy("file", "number").agg(F.sum(F.length("line") + 1).alias("size"))
+    fit = F.when(F.col("size") > LONGEST_RECORD, F.raise_error(F.lit("a quoted value does not end"))).otherwise(F.col("line"))
+    joined = pieces.join(sizes, ["file", "number"]).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("part", "id", fit.alias("line")))).alias("p"))
+    several = joined.select("file", "number", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("record"))
+    return single.unionByName(several).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import collections
 import contextlib
+import csv
+import io
 import math
 import random
 import statistics
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import special
-from plumbline.operators import bootstrap, claims, headroom, models, profile, stability, tails
+from plumbline.operators import bootstrap, claims, evidence, headroom, models, profile, stability, tails
 from plumbline.operators.prepare import Policy
+from plumbline.sources import measurements
 
 
 @contextlib.contextmanager
@@ -283,3 +286,142 @@ def test_medians_by_rounds_equal_sorted_values(spark, most):
         got = {r.position: r.x_median for r in profile.weighted_medians(df, most).collect()}
     assert got == {i: statistics.median(c) for i, c in enumerate(columns)}
     assert profile.weighted_medians(df.limit(0)).count() == 0
+
+# --- strict CSV in parts -----------------------------------------------------------------------------
+
+
+def _cell(rng):
+    kind = rng.random()
+    if kind < 0.4:
+        return str(rng.randrange(1000))
+    return "".join(rng.choice(['"', ",", "\n", "\r\n", "a", "é", " b", "", 'x"y']) for _ in range(rng.randrange(8)))
+
+
+@contextlib.contextmanager
+def small_splits(spark, size):
+    """A file of a few kilobytes is read by many tasks."""
+    keys = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 1, "spark.sql.files.minPartitionNum": 64}
+    kept = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_parts_equals_one_reader(spark, tmp_path, end):
+    rng = random.Random(len(end))
+    rows = [[_cell(rng) for _ in range(3)] + [str(i)] for i in range(400)]
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["a", "b c", "d", "i"])
+    for i, row in enumerate(rows):
+        if i % 50 == 9:  # a value without quotes around it that holds one
+            row[1] = f'in"ches {i}'
+            out.write(f"1,{row[1]},2,{i}{end}")
+            row[0], row[2] = "1", "2"
+        else:
+            writer.writerow(row)
+    text = "﻿" + out.getvalue()
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    assert [r[3] for r in list(csv.reader(io.StringIO(text, newline=""), strict=True))[1:]] == [str(i) for i in range(400)]
+    for size in (100, 1000, 1 << 20):
+        with small_splits(spark, size):
+            df = measurements.read_measurements(spark, str(tmp_path / "t.csv"))
+            assert df.columns == ["a", "b c", "d", "i"]
+            got = {r[3]: tuple(r) for r in df.collect()}
+            assert df.count() == 400
+        assert got == {r[3]: tuple(x.strip(" ") for x in r) for r in rows}
+
+
+@pytest.mark.parametrize(
+    "text", ['a,b\n1,2,3\n', 'a,b\n1\n', 'a,b\n"x"y,2\n', 'a,b\n1,"open\n2,3\n4,5\n', 'a,b\n""x,2\n', "a,b\n1\r2,3\n", "\na,b\n1,2\n", 'a,b\n1,"b,"c"\n2,"d"\n']
+)
+def test_csv_errors_in_parts(spark, tmp_path, text):
+    (tmp_path / "bad.csv").write_bytes(text.encode())
+    for size in (4, 1 << 20):
+        with small_splits(spark, size), pytest.raises(Exception, match="does not match|does not end"):
+            measurements.read_measurements(spark, str(tmp_path / "bad.csv")).select("b").collect()
+
+
+def test_csv_of_several_files_bytes_and_long_records(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "1.csv").write_text('a,b\n1,"x\ny"\n\n')
+    (tmp_path / "m" / "2.csv").write_text("a,b\n2,z\n")
+    read = lambda at: measurements.read_measurements(spark, str(tmp_path / at))
+    assert sorted(tuple(r) for r in read("m").collect()) == [("1", "x\ny"), ("2", "z")]
+    assert read("m").count() == 2
+    (tmp_path / "m" / "3.csv").write_text("a,c\n2,z\n")
+    with pytest.raises(Exception, match="does not match"):
+        read("m").count()
+    (tmp_path / "u.csv").write_bytes(b"a,b\n1,\xff\n")
+    with pytest.raises(Exception, match="does not match"):
+        read("u.csv").collect()
+    monkeypatch.setattr(measurements, "LONGEST_RECORD", 10)
+    (tmp_path / "long.csv").write_text('a,b\n1,"' + "x\n" * 20 + '"\n')
+    with pytest.raises(Exception, match="does not end"):
+        read("long.csv").collect()
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    assert read("empty.csv").collect() == []
+
+
+# --- lineage -----------------------------------------------------------------------------------------
+
+
+def brute_lineage(links):
+    """Levels by peeling, and all pairs of node and ancestor."""
+    up = collections.defaultdict(set)
+    for c, p in links:
+        up[c].add(p)
+    nodes = {x for link in links for x in link}
+    levels, left = {}, set(nodes)
+    while free := [n for n in left if all(p in levels for p in up[n])]:
+        levels |= {n: 1 + max((levels[p] for p in up[n]), default=-1) for n in free}
+        left -= set(free)
+    pairs = set()
+    for n in nodes:
+        todo, seen = list(up[n]), set()
+        while todo:
+            p = todo.pop()
+            if p not in seen:
+                seen.add(p)
+                todo += up[p]
+        pairs |= {(n, p) for p in seen}
+    return {n: levels.get(n) for n in nodes}, pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lineage_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    n = 40
+    links = [(f"n{a}", f"n{b}") for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range([45, 70, 30, 60][seed])) if a > b or (seed % 2 and rng.random() < 0.08)]
+    links += [links[0]] + [(f"d{2 * i + k}", f"d{2 * i - 1 - j}") for i in range(1, 7) for k in (0, 1) for j in (0, 1)]  # a repeated link; layers of two
+    df = spark.createDataFrame([*links, (None, "n1"), ("n1", None)], "child string, parent string")
+    levels, pairs = brute_lineage(links)
+    assert {r.node: r.level for r in evidence.topo_levels(df).collect()} == levels
+    assert sorted(tuple(r) for r in evidence.ancestors(df).collect()) == sorted(pairs)
+    some = rng.sample(sorted(levels), 3)
+    given = spark.createDataFrame([(x,) for x in [*some, some[0], "nowhere", None]], "node string")
+    assert sorted(r.node for r in evidence.ancestors_of(df, given).collect()) == sorted({p for c, p in pairs if c in some})
+
+
+def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, writes = 10_000, []
+    kept = evidence.written
+    monkeypatch.setattr(evidence, "written", lambda df, name: (writes.append(name), kept(df, name))[1])
+    chain = spark.range(1, n).select(F.col("id").cast("string").alias("child"), (F.col("id") - 1).cast("string").alias("parent"))
+    loop = spark.createDataFrame([("l0", "l1"), ("l1", "l2"), ("l2", "l0"), ("behind", "l0")], "child string, parent string")
+    levels = evidence.topo_levels(chain.unionByName(loop))
+    got = levels.agg(F.count_if(F.col("level") == F.col("node").cast("int")), F.count_if(F.col("level").isNull())).first()
+    assert tuple(got) == (n, 4) and len(writes) < 25
+    writes.clear()
+    above = evidence.ancestors_of(chain, spark.createDataFrame([(str(n - 1),), ("50",)], "node string"))
+    assert above.count() == n - 1 and above.distinct().count() == n - 1 and writes.count("reached") < 20
+
+
+def test_lineage_of_nothing(spark):
+    df = spark.createDataFrame([], "child string, parent string")
+    assert evidence.topo_levels(df).collect() == evidence.ancestors(df).collect() == evidence.ancestors_of(df, spark.createDataFrame([], "node string")).collect() == []
