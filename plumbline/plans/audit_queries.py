@@ -15,7 +15,7 @@ from plumbline.functions import fixed_values as V
 from plumbline.operators import bootstrap, claims, decide, evidence, gates, headroom, models, profile, readiness, selection, stability, tails, views
 from plumbline.operators.prepare import Policy, Roles, converted_quantity, group_token, prepare
 from plumbline.plans.audit import audit
-from plumbline.session import written
+from plumbline.session import new_path, written
 from plumbline.sources import measurements
 
 ROLES = Roles("l_quantity", ("s_nationkey",), product="l_returnflag", stream="l_linestatus", shift="o_orderpriority", time="l_shipdate", tie_breaks=("l_orderkey", "l_linenumber"))
@@ -951,6 +951,20 @@ def ancestors(spark, d):
     return evidence.ancestors(_chain(spark, d))
 
 
+@query(
+    "ancestors_of_urgent_orders",
+    """
+WITH u AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM u))
+SELECT 'c' || o_custkey AS node FROM u UNION SELECT 'n' || c_nationkey FROM c UNION SELECT 'r' || n_regionkey FROM nation JOIN c ON n_nationkey = c_nationkey""",
+)
+def ancestors_of_urgent_orders(spark, d):
+    """What urgent orders descend from, in a graph of all orders, customers, nations and regions."""
+    link = lambda t, a, x, b, y: _t(spark, d, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
+    links = link("orders", "o", "o_orderkey", "c", "o_custkey").unionByName(link("customer", "c", "c_custkey", "n", "c_nationkey")).unionByName(link("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    urgent = _t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return evidence.ancestors_of(links, urgent)
+
+
 @query("topological_levels", f"WITH RECURSIVE {_CHAIN_SQL} SELECT node, CAST(max(depth) AS INTEGER) AS level FROM r GROUP BY node UNION ALL SELECT DISTINCT parent, 0 FROM e WHERE parent NOT IN (SELECT child FROM e)")
 def topological_levels(spark, d):
     return evidence.topo_levels(_chain(spark, d))
@@ -1214,6 +1228,15 @@ def table_fingerprint(spark, d):
     return measurements.table_fingerprint(_t(spark, d, "orders"))
 
 
+@query("csv_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(trim(lang), '') AS lang, coalesce(trim(source), '') AS source, length(trim(coalesce(text, ''))) AS n, md5(trim(coalesce(text, ''))) AS text_md5 FROM documents")
+def csv_round_trip(spark, d):
+    """All documents, line breaks and quotes included, as CSV files that are then read strictly, in parts."""
+    path = new_path(spark, "csv")
+    _t(spark, d, "documents").select("doc_id", "lang", "source", "text").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    read = measurements.read_measurements(spark, path, ordered=False)
+    return read.select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
+
+
 @query(
     "result_drift",
     "SELECT CAST(c_nationkey AS VARCHAR) AS scope, 'customers' AS field, CAST(count(*) AS VARCHAR) AS now, CAST(count(*) - 1 AS VARCHAR) AS was FROM customer GROUP BY c_nationkey HAVING c_nationkey % 3 = 0",
