@@ -94,6 +94,36 @@ def ungrounded_citations(texts: DataFrame, evidence_ids: DataFrame, fact_keys: D
     return cited.join(allowed.distinct(), ["kind", "cited"], "left_anti").select(key, "kind", "cited")
 
 
+def ungrounded_units(texts: DataFrame, units: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, cited): units of measure that stand in a text and not in ``units(unit)``; null texts name none."""
+    named = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(V.UNITS_IN_TEXT), F.lit(0)))
+    cited = texts.select(key, F.lit("unit").alias("kind"), F.explode(named).alias("cited"))
+    return cited.join(units.select(F.col("unit").alias("cited")).distinct(), "cited", "left_anti").select(key, "kind", "cited")
+
+
+def check_findings(findings: DataFrame, facts: DataFrame, evidence_ids: DataFrame) -> DataFrame:
+    """(doc_id, position, problem, item): findings must cite exactly the evidence that their facts rest on.
+
+    ``findings(doc_id, position, finding_id, evidence_ids, fact_keys)``, positions from 1; ``facts(fact_key,
+    evidence_ids)``; ``evidence_ids(evidence_id)``. Problems: unknown_fact, unknown_evidence, missing_evidence (a
+    fact rests on it), extraneous_evidence (no fact does), id_out_of_order. Null lists are empty, and
+    what a list repeats counts once.
+    """
+    at = ["doc_id", "position"]
+    each = lambda c, name: findings.select(*at, F.explode(F.array_distinct(c)).alias(name)).filter(F.col(name).isNotNull())
+    cited, keys = each("evidence_ids", "item"), each("fact_keys", "fact_key")
+    needed = keys.join(facts.select("fact_key", F.explode("evidence_ids").alias("item")), "fact_key").select(*at, "item").distinct()
+    known = evidence_ids.select(F.col("evidence_id").alias("item")).distinct()
+    found = {
+        "unknown_fact": keys.join(facts.select("fact_key").distinct(), "fact_key", "left_anti").withColumnRenamed("fact_key", "item"),
+        "unknown_evidence": cited.join(known, "item", "left_anti"),
+        "missing_evidence": needed.join(cited, [*at, "item"], "left_anti"),
+        "extraneous_evidence": cited.join(needed, [*at, "item"], "left_anti"),
+        "id_out_of_order": findings.filter(~F.col("finding_id").eqNullSafe(F.format_string("FND-%03d", "position"))).select(*at, F.col("finding_id").alias("item")),
+    }
+    return reduce(DataFrame.unionByName, [t.select(*at, F.lit(problem).alias("problem"), "item") for problem, t in found.items()])
+
+
 def is_prohibited(text: Column) -> Column:
     """A claim that no evidence here can carry."""
     lowered = F.lower(text)

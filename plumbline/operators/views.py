@@ -18,6 +18,24 @@ def gate_view(g1: DataFrame, g2: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def dataset_counts(rows: DataFrame) -> DataFrame:
+    """One row per scope: how much of what an audit saw. A role that is not available counts 0."""
+    of = lambda c, name: F.count_distinct(c).alias(name)
+    return rows.groupBy("scope").agg(F.count("*").alias("n_rows"), of("group_token", "n_groups"), of("product", "n_products"), of("stream", "n_streams"), of("shift", "n_shifts"))
+
+
+def conflict_summary(decisions: DataFrame) -> DataFrame:
+    """(scope, conflict, detail): none; material, with the order's warning deciding; or material, with a careful action."""
+    ordered = F.col("state") == "diagnose_process_first"
+    conflict = F.when(~F.col("material_protocol_conflict"), "none").when(ordered, "order_decides").otherwise("conservative")
+    detail = (
+        F.when(conflict == "none", "The protocols do not differ materially.")
+        .when(conflict == "order_decides", "The protocols differ materially; the warning on ordered stability decides.")
+        .otherwise("The protocols differ materially; the action stays careful.")
+    )
+    return decisions.select("scope", conflict.alias("conflict"), detail.alias("detail"))
+
+
 def benchmark_record(tables: dict[str, DataFrame]) -> DataFrame:
     """One summary row per scope of an audit."""
     d, s = tables["decisions"], tables["selection"].select("scope", "winner", "runner_up")

@@ -304,6 +304,56 @@ def fitted(spark: SparkSession, d: str, only: list[str] | None = None, scope: tu
     return {"rows": rows, "scopes": scopes, "cells": cells, "tried": tried, "coefficients": coefficients, "crossfit": crossfit, "ledger": models.candidate_ledger(tried, models.squared_errors(rows, coefficients))}
 
 
+STATUS_ROLES = Roles("y", ("batch",), product="product", stream="stream", shift="o_orderpriority", time="at", tie_breaks=("l_orderkey", "l_linenumber"))
+
+
+def status_source(spark: SparkSession, d: str) -> DataFrame:
+    """A scope per nation, a group per supplier, with one defect in most scopes, by the nation's key: a blank group,
+    constant quantities, a product that one supplier alone has, blank streams, one product, blank times."""
+    s = audit_source(spark, d).withColumn("first", F.col("l_suppkey") == F.min("l_suppkey").over(Window.partitionBy("s_nationkey")))
+    k, seventh = F.col("s_nationkey"), F.col("l_linenumber") == 7
+    return s.withColumns({
+        "batch": F.when(~((k % 12 == 9) & seventh), F.col("l_suppkey").cast("string")),
+        "y": F.when(k % 8 == 6, F.lit(3.0)).otherwise(F.col("l_quantity").cast("double")),
+        "product": F.when(k % 8 == 1, "one").when((k % 8 == 7) & F.col("first"), "its own").otherwise(F.col("l_returnflag")),
+        "stream": F.when(~((k % 8 == 3) & seventh), (F.col("l_linenumber") % 2).cast("string")),
+        "at": F.when(~((k % 8 == 2) & seventh), F.col("l_shipdate")),
+    })
+
+
+_TERMS = ", ".join(f"('{c}', {'product' in t}, {'stream' in t}, {'shift' in t}, {'time' in t})" for c, t in V.CANDIDATES.items())
+
+
+@query(
+    "candidate_statuses",
+    f"""
+WITH x AS (SELECT s_nationkey AS k, l_suppkey, l_linenumber = 7 AS seventh FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT k, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_groups, bool_or(seventh) AS hit FROM x GROUP BY k),
+c(candidate_id, product, stream, shift, time) AS (VALUES {_TERMS}),
+r AS (SELECT CAST(k AS VARCHAR) AS scope, candidate_id,
+  CASE WHEN n_rows < 80 THEN 'CANDIDATE_INSUFFICIENT_SUPPORT' WHEN n_groups < 4 THEN 'SELECTION_INSUFFICIENT_GROUPS'
+       WHEN hit AND ((stream AND k % 8 = 3) OR (time AND k % 8 = 2)) THEN 'CANDIDATE_REQUIRED_COLUMN_MISSING'
+       WHEN product AND k % 8 = 1 THEN 'CANDIDATE_INSUFFICIENT_LEVELS' WHEN k % 8 = 6 THEN 'CANDIDATE_FIT_FAILED' WHEN product AND k % 8 = 7 THEN 'CANDIDATE_UNSEEN_LEVEL' END AS failure_code
+  FROM n, c WHERE NOT (hit AND k % 12 = 9)),
+t AS (SELECT *, CASE WHEN failure_code IS NULL THEN 'ok' WHEN failure_code = 'CANDIDATE_FIT_FAILED' THEN 'fit_failed' WHEN failure_code = 'CANDIDATE_UNSEEN_LEVEL' THEN 'prediction_failed' ELSE 'ineligible' END AS status FROM r)
+SELECT *, status = 'ok' AND bool_or(status = 'ok' AND candidate_id = 'M0_intercept') OVER (PARTITION BY scope) AS scored FROM t""",
+)
+def candidate_statuses(spark, d):
+    """What becomes of every candidate in scopes with defects: feasibility, status and code, and whether it is
+    scored against a baseline."""
+    rows, scopes = prepare(status_source(spark, d), STATUS_ROLES, ("s_nationkey",))
+    rows = written(rows, "rows")
+    tried = models.feasible(scopes)
+    coefficients = written(models.fit_all(models.cell_statistics(rows), tried), "coefficients")
+    scored = selection.score(models.candidate_ledger(tried, models.squared_errors(rows, coefficients)), 1.0)
+    return scored.select("scope", "candidate_id", "status", "failure_code", F.col("xpe").isNotNull().alias("scored"))
+
+
+@query("dataset_counts", f"WITH {SOURCE_SQL} SELECT product AS scope, count(*) AS n_rows, count(DISTINCT g) AS n_groups, count(DISTINCT product) AS n_products, count(DISTINCT stream) AS n_streams, count(DISTINCT shift) AS n_shifts FROM a GROUP BY 1")
+def dataset_counts(spark, d):
+    return views.dataset_counts(audit_rows(spark, d, scope=("l_returnflag",))[0])
+
+
 _LEDGER = ["candidate_id", "status", "parameter_count", "rss", "aic", "bic_eff", "grouped_risk", "group_balanced_risk"]
 
 
@@ -1088,6 +1138,41 @@ def citation_grounding(spark, d):
     return claims.ungrounded_citations(docs.select("doc_id", text.alias("text")), ids, keys, ["H1", "H2", "H3"], ["pilot_range_supported"])
 
 
+def _unit_sentence(k: str) -> str:
+    return f"CASE {k} % 6 WHEN 0 THEN ' adds 5 mL.' WHEN 1 THEN ' adds 5mg' WHEN 2 THEN ' adds 3 kg and 2 g ' WHEN 3 THEN ' adds 1 millL' WHEN 4 THEN ' (oz)' ELSE ' lb/L' END"
+
+
+@query("unit_citations", f"""
+WITH t AS (SELECT doc_id, regexp_replace(text || {_unit_sentence('doc_id')}, '([^A-Za-z])', '\\1\\1', 'g') AS text FROM documents),
+u AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])(mL|µL|μL|mg|kg|lb|oz|L|g)(?:$|[^A-Za-z])', 1)) AS cited FROM t)
+SELECT doc_id, 'unit' AS kind, cited FROM u WHERE cited NOT IN ('mL', 'L')""")
+def unit_citations(spark, d):
+    """Units that documents name, with a sentence added, and that no fact is measured in."""
+    texts = _t(spark, d, "documents").select("doc_id", F.concat("text", F.expr(_unit_sentence("doc_id"))).alias("text"))
+    return claims.ungrounded_units(texts, spark.createDataFrame([("mL",), ("L",)], "unit string"))
+
+
+@query("finding_citations", """
+WITH f AS (SELECT doc_id, unnest([1, 2]) AS position FROM documents),
+p(kind, problem, item) AS (VALUES (1, 'missing_evidence', 'region'), (2, 'extraneous_evidence', 'next'), (3, 'unknown_fact', 'x'), (4, 'unknown_evidence', 'none'), (4, 'extraneous_evidence', 'none'), (5, 'id_out_of_order', 'id'))
+SELECT doc_id, position, problem, CASE item WHEN 'x' THEN 'profile.x' WHEN 'none' THEN 'EV-NAT-000000000000' WHEN 'id' THEN 'FND-00' || (position + 1)
+  ELSE 'EV-REG-' || upper(substr(sha256(CAST(CASE item WHEN 'region' THEN n_regionkey ELSE (n_regionkey + 1) % 5 END AS VARCHAR)), 1, 12)) END AS item
+FROM f JOIN p ON (doc_id + position) % 6 = kind JOIN nation ON n_nationkey = doc_id % 25""")
+def finding_citations(spark, d):
+    """Two findings a document, each on one nation's fact, which rests on the nation's and its region's evidence;
+    five in six cite wrongly."""
+    ev = lambda of, key: F.concat(F.lit(f"EV-{of}-"), F.upper(F.substring(F.sha2(key.cast("string"), 256), 1, 12)))
+    n = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    facts = n.select(F.concat(F.lit("profile.n"), F.col("n_nationkey").cast("string")).alias("fact_key"), F.array(ev("NAT", F.col("n_nationkey")), ev("REG", F.col("n_regionkey"))).alias("evidence_ids"))
+    known = facts.select(F.explode("evidence_ids").alias("evidence_id")).distinct()
+    docs = _t(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("position")).join(F.broadcast(n), F.col("doc_id") % 25 == F.col("n_nationkey"))
+    kind, own, region = (F.col("doc_id") + F.col("position")) % 6, ev("NAT", F.col("n_nationkey")), ev("REG", F.col("n_regionkey"))
+    cited = F.when(kind == 1, F.array(own)).when(kind == 2, F.array(own, region, ev("REG", (F.col("n_regionkey") + 1) % 5))).when(kind == 4, F.array(own, region, F.lit("EV-NAT-000000000000"))).otherwise(F.array(own, region, own))
+    keys = F.array_compact(F.array(F.concat(F.lit("profile.n"), F.col("n_nationkey").cast("string")), F.when(kind == 3, F.lit("profile.x"))))
+    number = F.col("position") + F.when(kind == 5, 1).otherwise(0)
+    return claims.check_findings(docs.select("doc_id", "position", F.format_string("FND-%03d", number).alias("finding_id"), cited.alias("evidence_ids"), keys.alias("fact_keys")), facts, known)
+
+
 _CLAIM = "CASE doc_id % 8 WHEN 0 THEN ' The plant is compliant.' WHEN 1 THEN ' There is no evidence of achieved savings.' WHEN 2 THEN ' Protocols agree' WHEN 3 THEN ' Proceed with a pilot' WHEN 4 THEN ' D0 alone carries the action' WHEN 5 THEN ' This is not a production setpoint' WHEN 6 THEN ' It will save! Zero risk' ELSE ' Nothing more' END"
 
 

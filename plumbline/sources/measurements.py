@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,10 +171,26 @@ def verify_checksums(expected: DataFrame, found: DataFrame) -> DataFrame:
     return e.join(f, "path", "full_outer").select("path", status.alias("status"))
 
 
-def write_result_tables(tables: dict[str, DataFrame], path: str, partition_by: str = "scope") -> None:
-    """Each table as Parquet under its name, by scope where it has one."""
+CLAIM_BOUNDARY = "retrospective screening reference; requires a controlled pilot and engineering review; not a production setpoint"
+
+
+def write_result_tables(tables: dict[str, DataFrame], path: str, partition_by: str = "scope") -> DataFrame:
+    """Each table as Parquet under its name, by scope where it has one, and beside them ``manifest``, which is returned:
+    (table, n_rows, dataset_id, columns, claim_boundary), as the tables read back.
+
+    Rows of a scope are brought together first, so that a scope has few files; Spark splits a scope that is too large.
+    """
+    if "manifest" in tables:
+        raise ValueError("manifest is the name of the list of tables")
+    listed = []
     for name, df in tables.items():
-        writer = df.write
-        if partition_by in df.columns:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{path}/{name}")
+        clustered = partition_by in df.columns
+        writer = (df.hint("rebalance", partition_by) if clustered else df).write
+        (writer.partitionBy(partition_by) if clustered else writer).parquet(f"{path}/{name}")
+        read = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+        listed.append(table_fingerprint(read).select(F.lit(name).alias("table"), "n_rows", "dataset_id", F.lit(",".join(df.columns)).alias("columns"), F.lit(CLAIM_BOUNDARY).alias("claim_boundary")))
+    if not listed:
+        raise ValueError("no tables")
+    manifest = reduce(DataFrame.unionByName, listed)
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    return manifest.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")

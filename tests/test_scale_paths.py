@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import special
-from plumbline.operators import bootstrap, claims, evidence, headroom, models, profile, stability, tails
+from plumbline.operators import bootstrap, claims, evidence, headroom, models, profile, stability, tails, views
 from plumbline.operators.prepare import Policy
 from plumbline.sources import measurements
 
@@ -425,3 +425,31 @@ def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
 def test_lineage_of_nothing(spark):
     df = spark.createDataFrame([], "child string, parent string")
     assert evidence.topo_levels(df).collect() == evidence.ancestors(df).collect() == evidence.ancestors_of(df, spark.createDataFrame([], "node string")).collect() == []
+
+
+# --- findings, views and result tables ---------------------------------------------------------------
+
+
+def test_findings_cite_exactly_what_their_facts_rest_on(spark):
+    facts = spark.createDataFrame([("gate.a", ["e1", "e2"]), ("gate.b", ["e2"]), ("gate.c", [])], "fact_key string, evidence_ids array<string>")
+    known = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "evidence_id string")
+    findings = [(1, 1, "FND-001", ["e2", "e1", "e1"], ["gate.a", "gate.b"]), (1, 2, "FND-002", ["e1", "e3"], ["gate.b"]), (1, 3, "FND-003", None, ["gate.c"]), (2, 1, None, ["e9"], ["gate.z", None])]
+    df = spark.createDataFrame(findings, "doc_id int, position int, finding_id string, evidence_ids array<string>, fact_keys array<string>")
+    assert sorted(tuple(r) for r in claims.check_findings(df, facts, known).collect() if r.item) == [
+        (1, 2, "extraneous_evidence", "e1"), (1, 2, "extraneous_evidence", "e3"), (1, 2, "missing_evidence", "e2"), (2, 1, "extraneous_evidence", "e9"), (2, 1, "unknown_evidence", "e9"), (2, 1, "unknown_fact", "gate.z"),
+    ]
+    assert [tuple(r) for r in claims.check_findings(df, facts, known).filter("item IS NULL").collect()] == [(2, 1, "id_out_of_order", None)]
+
+
+def test_units_conflicts_and_manifest(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "5 mL, 3kg g L"), (2, "xkg gL"), (3, None), (4, "µL")], "doc_id int, text string")
+    got = claims.ungrounded_units(texts, spark.createDataFrame([("mL",)], "unit string")).collect()
+    assert sorted((r.doc_id, r.cited) for r in got) == [(1, "L"), (1, "g"), (1, "kg"), (4, "µL")]
+    decided = spark.createDataFrame([("a", "diagnose_process_first", True), ("b", "pilot_only_conservative", True), ("c", "pilot_range_supported", False)], "scope string, state string, material_protocol_conflict boolean")
+    assert {r.scope: r.conflict for r in views.conflict_summary(decided).collect()} == {"a": "order_decides", "b": "conservative", "c": "none"}
+    manifest = measurements.write_result_tables({"decided": decided.repartition(3), "again": decided.select("state")}, str(tmp_path / "out"))
+    rows = {r.table: r for r in manifest.collect()}
+    assert rows["decided"].n_rows == 3 and rows["decided"].dataset_id == measurements.table_fingerprint(decided).first().dataset_id
+    assert rows["again"].columns == "state" and "not a production setpoint" in rows["again"].claim_boundary
+    with pytest.raises(ValueError):
+        measurements.write_result_tables({"manifest": decided}, str(tmp_path / "other"))
