@@ -13,7 +13,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed_values import H1, H2, H3, U1
@@ -55,38 +55,50 @@ def bootstrap_draws(groups: DataFrame, replicates: int, seed: int, mode: str = "
     return counted.join(ranked, ["scope", "i"]).select("scope", "replicate", "group_token", "w")
 
 
-TAIL_BINS, REST_BINS = 96, 31
+TAIL_BINS, REST_BINS, FINE_BINS = 96, 31, 63
+
+
+def _below(halvings: int) -> Column:
+    """The number of ``cuts`` below a margin, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(halvings - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("cuts", i + s - 1) < F.col("margin"), i + s).otherwise(i))
 
 
 def bootstrap_h1(rows: DataFrame, draws: DataFrame, policy: Policy) -> DataFrame:
     """H1 of every replicate: a weighted order statistic of the groups' histograms of margins.
 
-    In two levels. Margins are dealt to bins between approximate quantiles, narrow in the lower tail, and
-    the replicates are counted on the groups' bins, of which there are 128 whatever the rows; then each
-    replicate is counted on the margins of the one bin that its rank lies in.
+    In three levels. Margins are dealt to bins between approximate quantiles, narrow in the lower tail, and the
+    replicates are counted on the groups' bins, of which there are 128 whatever the rows. The bins that
+    a replicate's rank lies in are cut into 64 again, and so on; in the end each replicate is counted on the margins
+    of the one small bin that its rank lies in. Rows are never shuffled but for those of the first bins hit.
     """
-    margin = F.col("y") - F.lit(policy.lower_limit)
-    counts = rows.select("scope", "group_token", margin.alias("margin")).groupBy("scope", "group_token", "margin").agg(F.count("*").alias("n"))
-    counts = written(counts, "counts")
+    margins = rows.select("scope", "group_token", (F.col("y") - F.lit(policy.lower_limit)).alias("margin"))
     # a replicate's rank seldom lies above four times its share; bins reach all the same to the end
     knee = min(0.9, 4 * policy.alpha + 0.02)
     points = [knee * (k + 1) / TAIL_BINS for k in range(TAIL_BINS)] + [knee + (1 - knee) * (k + 1) / (REST_BINS + 1) for k in range(REST_BINS)]
-    cuts = written(rows.groupBy("scope").agg(F.percentile_approx(margin, points, 10_000).alias("cuts")), "cuts")
-    # the number of cuts below a margin, by halving
-    steps = F.array(*[F.lit(1 << k) for k in range(6, -1, -1)])
-    below = lambda c: F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("cuts", i + s - 1) < c, i + s).otherwise(i))
-    binned = written(counts.join(cuts, "scope").select("scope", "group_token", "margin", "n", below(F.col("margin")).alias("bin")), "binned")
-    bins = binned.groupBy("scope", "group_token", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("margin") < 0, F.col("n")).otherwise(0)).alias("under"))
+    cuts = written(margins.groupBy("scope").agg(F.percentile_approx("margin", points, 10_000).alias("cuts")), "cuts")
+    binned = margins.join(cuts, "scope").select("scope", "group_token", "margin", _below(7).alias("bin"))
+    bins = written(binned.groupBy("scope", "group_token", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("margin") < 0).alias("under")), "bins")
     drawn = draws.join(bins, ["scope", "group_token"]).groupBy("scope", "replicate", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("under")).alias("under"))
     each = Window.partitionBy("scope", "replicate")
     drawn = drawn.withColumns({"upto": F.sum("n").over(each.orderBy("bin")), "n_rows": F.sum("n").over(each), "under": F.sum("under").over(each)})
     drawn = drawn.withColumn("k", F.floor(decimal(policy.alpha) * F.col("n_rows")).cast("long"))
-    hit = drawn.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+    met = (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))
+    left = F.col("k") - F.col("upto") + F.col("n")
     n_groups = draws.groupBy("scope", "replicate").agg(F.sum("w").alias("n_groups"))
-    hit = written(hit.select("scope", "replicate", "bin", "n_rows", "under", "k", (F.col("k") - F.col("upto") + F.col("n")).alias("left")).join(n_groups, ["scope", "replicate"]), "hit")
-    inside = binned.join(hit.select("scope", "bin", "replicate", "left"), ["scope", "bin"]).join(draws, ["scope", "replicate", "group_token"])
+    hit = written(drawn.filter(met).select("scope", "replicate", "bin", "n_rows", "under", "k", left.alias("left")).join(n_groups, ["scope", "replicate"]), "hit")
+    wanted = written(hit.select("scope", "bin").distinct(), "wanted")
+    counts = written(binned.join(wanted, ["scope", "bin"]).groupBy("scope", "group_token", "bin", "margin").agg(F.count("*").alias("n")), "counts")
+    # the second level; a bin of few margins, or of one that is met often, stays as it is
+    finer = written(counts.groupBy("scope", "bin").agg(F.percentile_approx("margin", [(k + 1) / (FINE_BINS + 1) for k in range(FINE_BINS)], 10_000).alias("cuts")), "finer")
+    fine = written(counts.join(finer, ["scope", "bin"]).select("scope", "group_token", "bin", "margin", "n", _below(6).alias("part")), "fine")
+    parts = fine.groupBy("scope", "group_token", "bin", "part").agg(F.sum("n").alias("n"))
+    drawn = hit.select("scope", "replicate", "bin", F.col("left").alias("k")).join(draws, ["scope", "replicate"]).join(parts, ["scope", "group_token", "bin"])
+    drawn = drawn.groupBy("scope", "replicate", "bin", "part", "k").agg(F.sum(F.col("w") * F.col("n")).alias("n")).withColumn("upto", F.sum("n").over(each.orderBy("part")))
+    inner = written(drawn.filter(met).select("scope", "replicate", "bin", "part", left.alias("left")), "inner")
+    inside = fine.join(inner, ["scope", "bin", "part"]).join(draws, ["scope", "replicate", "group_token"])
     values = inside.groupBy("scope", "replicate", "margin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.first("left").alias("left"))
-    upto = F.sum("n").over(Window.partitionBy("scope", "replicate").orderBy("margin"))
+    upto = F.sum("n").over(each.orderBy("margin"))
     at = values.withColumn("upto", upto).groupBy("scope", "replicate").agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("margin"))).alias("boundary"))
     out = hit.join(at, ["scope", "replicate"])
     eligible = (
@@ -210,18 +222,19 @@ def replicate_predictors(cells: DataFrame, draws: DataFrame, chosen: DataFrame,
     return dealt.unionByName(shared).groupBy("scope", "candidate_id", "part").applyInPandas(run, PREDICTORS)
 
 
-def replicate_samples(rows: DataFrame, predictors: DataFrame, chosen: DataFrame, per_block: int) -> DataFrame:
-    """Samples of all replicates: each cell's counted values once for ``per_block`` replicates, with what all
-    of them predict."""
-    timed = chosen.groupBy("scope").agg(F.bool_or(F.array_contains("terms", "time")).alias("timed"))
+def replicate_samples(rows: DataFrame, predictors: DataFrame, chosen: DataFrame, per_block: int, gather: Callable[[DataFrame, list[str]], DataFrame] = tails.condensed) -> DataFrame:
+    """Samples of all replicates: each cell's values, condensed or counted, once for ``per_block`` replicates, with
+    what all of them predict."""
+    # written, so that its size is known: it must not send all rows of a scope to one task
+    timed = written(chosen.groupBy("scope").agg(F.bool_or(F.array_contains("terms", "time")).alias("timed")), "timed")
     y = rows.join(timed, "scope").select("scope", "group_token", *FACTORS, F.when(F.col("timed"), F.col("time_h")).alias("t"), "y")
     cell = ["scope", "group_token", *FACTORS]
-    lists = tails.chunked(tails.compacted(y, [*cell, "t"], "y"), cell)
+    lists = gather(y, cell)
     block = F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / per_block).cast("int") - 1)).alias("block")
     cut = lambda c: F.slice(c, F.col("block") * per_block + 1, F.lit(per_block)).alias(c)
     named = predictors.select("*", block).select(*[F.col(c).alias(f"__{c}") for c in cell], "candidate_id", "block", cut("base"), cut("slope"), cut("w"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell])
-    return lists.join(named, same).select("scope", "candidate_id", "block", "base", "slope", "w", "t", "y", "n")
+    return lists.join(named, same).select("scope", "candidate_id", "block", "base", "slope", "w", "t", "y", "n", "half")
 
 
 def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, chosen: DataFrame, policy: Policy, student: bool = True, blocks: int = 1) -> DataFrame:
@@ -236,7 +249,8 @@ def bootstrap_parametric(rows: DataFrame, cells: DataFrame, draws: DataFrame, ch
     predictors = written(replicate_predictors(cells, draws, chosen, replicates), "predictors")
     samples = written(replicate_samples(rows, predictors, chosen, per_block), "samples", rows_per_file=tails.ROWS_PER_FILE)
     found = tails.moments(samples)
-    solve = lambda s, f, t: tails.tail_headroom(s, policy.lower_limit, policy.alpha, policy.maximum_shift, t, per_block, f)
+    some = lambda keys: replicate_samples(rows.join(keys.select("scope").distinct(), "scope", "left_semi"), predictors.join(keys, ["scope", "candidate_id"], "left_semi"), chosen, per_block, tails.whole)
+    solve = lambda s, f, t: tails.tail_headroom(s, policy.lower_limit, policy.alpha, policy.maximum_shift, t, per_block, f, some)
     least = lambda out, p: out.groupBy("scope", "replicate").agg(F.min("headroom").alias("value")).select("scope", "replicate", F.lit(p).alias("protocol_id"), "value")
     values = least(solve(samples, found, False), H2)
     asked = chosen.filter(F.col("student") if "student" in chosen.columns else F.lit(student)).select("scope").distinct()

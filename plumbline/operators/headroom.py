@@ -107,17 +107,53 @@ def scale_ratio(crossfit: DataFrame) -> DataFrame:
     return out.select("scope", "candidate_id", F.when(F.col("positive") >= 2, F.col("hi") / F.col("lo")).alias("scale_ratio"), ((F.col("positive") < F.col("all")) | (F.col("positive") < 2)).alias("unbounded"))
 
 
-def parametric_headroom(crossfit: DataFrame, policy: Policy, student: bool) -> DataFrame:
+def residual_groups(crossfit: DataFrame) -> DataFrame:
+    """Per scope, candidate and group: rows, mean and second to fourth central sums of the residuals."""
+    e = F.col("y") - F.col("yhat")
+    s = crossfit.groupBy("scope", "candidate_id", "group_token").agg(F.count("*").alias("n"), F.avg(e).alias("mean"), F.var_pop(e).alias("v"), F.skewness(e).alias("g1"), F.kurtosis(e).alias("g2"))
+    m2, spread = F.col("v") * F.col("n"), F.col("v") > 0
+    return s.select("scope", "candidate_id", "group_token", "n", "mean", m2.alias("m2"), F.when(spread, F.col("g1") * F.sqrt(m2 * m2 * m2 / F.col("n"))).otherwise(0.0).alias("m3"), F.when(spread, (F.col("g2") + 3) * m2 * m2 / F.col("n")).otherwise(0.0).alias("m4"))
+
+
+def _diagnostics(groups: DataFrame) -> DataFrame:
+    """``residual_moments``, ``scale_ratio`` and the number of groups, put together from ``residual_groups``."""
+    keys = ["scope", "candidate_id"]
+    centre = groups.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("location"))
+    n, d = F.col("n"), F.col("mean") - F.col("location")
+    m2, m3, m4 = F.col("m2") + n * d**2, F.col("m3") + 3 * d * F.col("m2") + n * d**3, F.col("m4") + 4 * d * F.col("m3") + 6 * d**2 * F.col("m2") + n * d**4
+    own = F.when(n >= 2, F.sqrt(F.col("m2") / (n - 1)))
+    sound = F.when(own > DEGENERATE, own)
+    s = groups.join(centre, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(m2).alias("s2"), F.sum(m3).alias("s3"), F.sum(m4).alias("s4"), F.count("*").alias("n_groups"),
+        F.max(sound).alias("hi"), F.min(sound).alias("lo"), F.count(sound).alias("positive"), F.count(own).alias("all"),
+    )
+    n, spread = F.col("n").cast("double"), F.col("s2") > 0
+    g1, g2 = F.sqrt(n) * F.col("s3") / F.sqrt(F.col("s2") * F.col("s2") * F.col("s2")), n * F.col("s4") / (F.col("s2") * F.col("s2")) - 3
+    return s.select(
+        *keys, "n", "n_groups",
+        F.when(spread & (n > 2), g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
+        F.when(spread & (n > 3), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("excess_kurtosis"),
+        F.when(F.col("positive") >= 2, F.col("hi") / F.col("lo")).alias("scale_ratio"),
+        F.when(F.col("all") > 0, (F.col("positive") < F.col("all")) | (F.col("positive") < 2)).alias("unbounded"),
+    )
+
+
+def residual_tables(crossfit: DataFrame) -> dict[str, DataFrame]:
+    """What both parametric headrooms start from: two passes over the rows."""
+    samples = written(tails.point_samples(crossfit), "samples", rows_per_file=tails.ROWS_PER_FILE)
+    return {"groups": written(residual_groups(crossfit), "residuals"), "samples": samples, "found": tails.moments(samples)}
+
+
+def parametric_headroom(crossfit: DataFrame, policy: Policy, student: bool, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """H2 (or H3, ``student``) per scope: the least headroom over the scope's equivalence set.
 
     ``crossfit`` holds the candidates of the equivalence set only. A candidate without a sound fit is
-    left out, never replaced.
+    left out, never replaced. ``tables``: its ``residual_tables``, if they are there already.
     """
-    moments = residual_moments(crossfit)
-    samples = written(tails.point_samples(crossfit), "samples", rows_per_file=tails.ROWS_PER_FILE)
-    solved = tails.tail_headroom(samples, policy.lower_limit, policy.alpha, policy.maximum_shift, student).drop("location", "scale", "df", "replicate")
-    support = crossfit.groupBy("scope").agg(F.count_distinct("group_token").alias("n_groups"))
-    joined = moments.join(solved, ["scope", "candidate_id"]).join(scale_ratio(crossfit), ["scope", "candidate_id"], "left").join(support, "scope")
+    tables = tables or residual_tables(crossfit)
+    exact = lambda keys: tails.point_samples(crossfit.join(keys, ["scope", "candidate_id"], "left_semi"), tails.whole)
+    solved = tails.tail_headroom(tables["samples"], policy.lower_limit, policy.alpha, policy.maximum_shift, student, found=tables["found"], exact=exact).drop("location", "scale", "df", "replicate")
+    joined = _diagnostics(tables["groups"]).join(solved, ["scope", "candidate_id"])
     sound = F.col("failure_code").isNull() & (F.col("n") >= 4) & (F.col("n_groups") >= 2)
     s = joined.withColumn("sound", sound).groupBy("scope").agg(
         F.min(F.when(F.col("sound"), F.col("headroom"))).alias("point_estimate"),

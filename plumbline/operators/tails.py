@@ -1,23 +1,32 @@
 """Parametric tails of residuals, solved for all scopes, candidates and replicates at once.
 
-*Samples* are rows of values in arrays: (scope, candidate_id, block, base, slope, w, t, y, n). Value i of a row
+*Samples* are rows of values in arrays: (scope, candidate_id, block, base, slope, w, t, y, n, half). Value i of a row
 stands for n[i] rows of quantity y[i]; replicate r of the block draws them w[r] times and predicts
 base[r] + slope[r] * t[i]. A point estimate is one replicate of weight 1. Every step is a round: each sample
 row is read once, with what is known so far of its scope and candidate (one row, ``state``), and yields
 partial sums for all replicates; the sums of a round make the next state. So no task holds a scope, and a
 round costs one pass over the samples whatever the number of replicates.
+
+The values of a key that has many rows are *condensed*: dealt to bins, narrow in the middle, and each bin's values
+replaced by fixed nodes whose weights n give every polynomial of degree under ``NODES`` the same sum over the bin
+(Chebyshev interpolation). Moments stay as they are, and the sums of a Student fit, which are analytic, change by
+less than 1e-12 of themselves as long as a bin's half width (``half``) is small against its distance from
+the nearest singularity, location +- i * scale * sqrt(df). That is tested after the fit, and what fails the test
+is fitted on all its values. So a round's work does not grow with the rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add, and_
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import special
@@ -25,11 +34,14 @@ from plumbline.session import written
 
 KEYS = ["scope", "candidate_id", "block"]
 CHUNK = 2000  # values to a sample row
-ROWS_PER_FILE = 32  # sample rows to a file, so that a round runs on all cores
+ROWS_PER_FILE = 8  # sample rows to a file, so that a round runs on all cores
 DEGENERATE = 1e-12
 MIN_DF, MAX_DF, DF_EDGE = 2.1, 100.0, 1e-3
 ROUNDS = 60
 BINS, BIN_REACH = 512, 60.0
+CONDENSED_FROM = 1000  # rows of a key
+NODES, BIN_STEP, FINEST = 16, 0.4, 8.0  # nodes of a bin; its width in asinh(FINEST * (y - mean) / deviation)
+WIDEST = 0.35  # a bin's half width by its distance from the nearest singularity
 
 
 def chunked(counts: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -49,11 +61,43 @@ def compacted(values: DataFrame, keys: list[str], x: str) -> DataFrame:
     return values.groupBy(*keys, x).agg(F.count("*").alias("n"))
 
 
-def point_samples(crossfit: DataFrame) -> DataFrame:
+def _same(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+
+
+def condensed(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, y, n, half): rows (keys, t, y) as counted values, or as nodes where a key has many of them."""
+    cell = [*keys, "t"]
+    stats = values.groupBy(*cell).agg(F.count("*").alias("rows"), F.avg("y").alias("mean"), (F.stddev_samp("y") / FINEST).alias("unit"))
+    many = stats.filter((F.col("rows") > CONDENSED_FROM) & (F.col("unit") > 0) & (F.col("unit") < float("inf")))
+    many = written(many.select(*[F.col(c).alias(f"__{c}") for c in cell], "mean", "unit"), "many")
+    few = chunked(compacted(values.join(many, _same(cell), "left_anti"), cell, "y"), keys)
+    place = F.asinh((F.col("y") - F.col("mean")) / F.col("unit")) / BIN_STEP
+    edge = lambda by: F.col("mean") + F.col("unit") * F.sinh((F.col("bin") + by) * BIN_STEP)
+    middle, half = (edge(0.5) + edge(-0.5)) / 2, (edge(0.5) - edge(-0.5)) / 2
+    dealt = values.join(many, _same(cell)).select(*cell, "y", "mean", "unit", F.floor(place + 0.5).alias("bin"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("y") - middle) / half)))
+    angles = dealt.select(*cell, "mean", "unit", "bin", angle.alias("angle"))
+    sums = angles.groupBy(*cell, "mean", "unit", "bin").agg(F.count("*").cast("double").alias("a0"), *[F.sum(F.cos(k * F.col("angle"))).alias(f"a{k}") for k in range(1, NODES)])
+    at = [(i + 0.5) * math.pi / NODES for i in range(NODES)]
+    weight = lambda x: (F.col("a0") + 2 * reduce(add, [F.col(f"a{k}") * math.cos(k * x) for k in range(1, NODES)])) / NODES
+    nodes = sums.select(*cell, F.array(*[middle + half * math.cos(x) for x in at]).alias("y"), F.array(*[weight(x) for x in at]).alias("n"), F.array_repeat(half, NODES).alias("half"))
+    lists = nodes.groupBy(*cell).agg(F.collect_list(F.struct("y", "n", "half")).alias("v")).withColumn("y", F.flatten("v.y"))
+    lists = lists.select(*keys, F.transform("y", lambda _: F.col("t")).alias("t"), "y", F.flatten("v.n").alias("n"), F.flatten("v.half").alias("half"))
+    return lists.unionByName(few.select(*keys, "t", "y", F.col("n").cast("array<double>").alias("n"), F.lit(None).cast("array<double>").alias("half")))
+
+
+def whole(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Like ``condensed``, but all values as they are."""
+    lists = chunked(compacted(values, [*keys, "t"], "y"), keys)
+    return lists.select(*keys, "t", "y", F.col("n").cast("array<double>").alias("n"), F.lit(None).cast("array<double>").alias("half"))
+
+
+def point_samples(crossfit: DataFrame, gather: Callable[[DataFrame, list[str]], DataFrame] = condensed) -> DataFrame:
     """Samples of scored rows (scope, candidate_id, y, yhat): one replicate, which predicts yhat."""
-    counts = compacted(crossfit.withColumn("t", F.col("yhat")), ["scope", "candidate_id", "t"], "y")
+    lists = gather(crossfit.select("scope", "candidate_id", F.col("yhat").alias("t"), "y"), ["scope", "candidate_id"])
     one = lambda x: F.array(F.lit(x))
-    return chunked(counts, ["scope", "candidate_id"]).select("scope", "candidate_id", F.lit(0).alias("block"), one(0.0).alias("base"), one(1.0).alias("slope"), one(1.0).alias("w"), "t", "y", "n")
+    return lists.select("scope", "candidate_id", F.lit(0).alias("block"), one(0.0).alias("base"), one(1.0).alias("slope"), one(1.0).alias("w"), "t", "y", "n", "half")
 
 
 class Sample:
@@ -65,6 +109,7 @@ class Sample:
         self.base, self.w = np.asarray(row["base"], float), np.asarray(row["w"], float)
         self.slope = None if row["slope"] is None else np.asarray(row["slope"], float)
         self.t = None if self.slope is None else np.asarray(row["t"], float)
+        self.half = None if row["half"] is None else np.asarray(row["half"], float)
 
     def predictions(self) -> tuple[np.ndarray, np.ndarray]:
         """(predictions, rows of each): all values of a row have one prediction unless it has a slope."""
@@ -275,6 +320,7 @@ def student_fits(samples: DataFrame, found: DataFrame) -> DataFrame:
         return np.bincount(place.ravel(), (s.n[:, None] * s.w[ok][None]).ravel(), minlength=BINS)
 
     def begin(row: dict, s: np.ndarray) -> dict:
+        s = np.maximum(s, 0)  # nodes may have weights below zero
         kept = np.flatnonzero(s)
         middle = np.sinh((kept / (BINS - 1) * 2 - 1) * np.arcsinh(4 * BIN_REACH)) / 4
         df, where, spread = 10.0, 0.0, 1.0
@@ -313,8 +359,26 @@ def student_fits(samples: DataFrame, found: DataFrame) -> DataFrame:
 TAILS = "scope string, candidate_id string, replicate int, failure_code string, headroom double, baseline_risk double, feasible boolean, censored boolean, df double, location double, scale double"
 
 
-def tail_headroom(samples: DataFrame, lower_limit: float, alpha: float, most: float, student: bool, per_block: int = 1, found: DataFrame | None = None) -> DataFrame:
-    """One row per scope, candidate and replicate (block * per_block + place): the headroom, or a failure."""
+def _too_wide(samples: DataFrame, fits: DataFrame) -> DataFrame:
+    """(scope, candidate_id) of fits with bins too wide for the precision of their sums."""
+
+    def sums(s: Sample, row: dict) -> np.ndarray:
+        location, scale, df = (np.asarray(row[c], float) for c in ("location", "scale", "df"))
+        if s.half is None:
+            return np.zeros(1)
+        with np.errstate(all="ignore"):
+            wide = s.half[:, None] > WIDEST * np.sqrt((s.residuals() - location) ** 2 + df * scale**2)
+        return np.array([float((wide & (s.w > 0)).sum())])
+
+    return summed(samples, fits, sums).filter(F.col("sums")[0] > 0).select("scope", "candidate_id").distinct()
+
+
+def tail_headroom(samples: DataFrame, lower_limit: float, alpha: float, most: float, student: bool, per_block: int = 1, found: DataFrame | None = None, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per scope, candidate and replicate (block * per_block + place): the headroom, or a failure.
+
+    ``exact`` gives the samples of some (scope, candidate_id) with all values as they are; it is needed where
+    ``samples`` are condensed.
+    """
     found = moments(samples) if found is None else found
     z = NormalDist().inv_cdf(alpha)
     # where a normal tail of the whole quantity would end
@@ -323,6 +387,12 @@ def tail_headroom(samples: DataFrame, lower_limit: float, alpha: float, most: fl
     size = F.size("location")
     if student:
         fits = student_fits(samples, found)
+        if exact is not None:
+            wide = written(_too_wide(samples, fits), "wide")
+            if not wide.isEmpty():
+                own = ["scope", "candidate_id"]
+                again = written(exact(wide), "exact", rows_per_file=ROWS_PER_FILE)
+                fits = fits.join(wide, own, "left_anti").unionByName(student_fits(again, found.join(wide, own, "left_semi")))
         code = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(~(F.get("first_scale", i) > DEGENERATE) | F.isnan(F.get("first_scale", i)), F.lit("PARAMETRIC_DEGENERATE_SCALE"))
             .when(~(F.get("change", i) <= 1e-9) | F.isnan(F.get("change", i)), F.lit("STUDENT_T_FIT_NONCONVERGENCE"))
             .when(F.get("scale", i) <= DEGENERATE, F.lit("PARAMETRIC_DEGENERATE_SCALE"))

@@ -32,9 +32,10 @@ def audit(df: DataFrame, roles: Roles, policy: Policy, scope_cols: list[str] | t
     members = chosen.select("scope", F.explode("equivalence_set").alias("candidate_id"))
     kept = written(models.score_rows(rows, coefficients.join(members, ["scope", "candidate_id"], "left_semi"), held_out=True), "crossfit")
     h1 = headroom.empirical_headroom(rows, policy).select("scope", "protocol_id", "status", "point_estimate", F.lit(False).alias("material_warning"), "warnings")
-    protocols = h1.unionByName(headroom.parametric_headroom(kept, policy, student=False))
+    residuals = headroom.residual_tables(kept)
+    protocols = h1.unionByName(headroom.parametric_headroom(kept, policy, False, residuals))
     if student:
-        protocols = protocols.unionByName(headroom.parametric_headroom(kept, policy, student=True))
+        protocols = protocols.unionByName(headroom.parametric_headroom(kept, policy, True, residuals))
     protocols = written(protocols, "protocols")
     drawn = written(draws(cells) if draws else bootstrap.bootstrap_draws(cells, policy.replicates, policy.seed, draw_mode), "draws")
     terms = models.candidate_table(df.sparkSession)

@@ -221,6 +221,44 @@ def test_point_tails_equal_the_fits_on_one_histogram(spark):
     assert {got[s]["flat"].failure_code for s in (False, True)} == {"PARAMETRIC_DEGENERATE_SCALE"}
 
 
+def test_condensed_values_are_bounded_and_give_the_same_tails(spark):
+    """Twice the rows do not make twice the values; a fit much narrower than the values' spread is told."""
+    rng = np.random.default_rng(8)
+    policy = Policy(nominal=12, lower_limit=9, alpha=0.05, maximum_shift=4.0)
+    held, found = [], []
+    for n in (6000, 12000):
+        e = 0.5 * rng.standard_t(4, n)
+        df = spark.createDataFrame([("s", f"g{i % 3}", "M0_intercept", 0, float(12 + 0.1 * (i % 3) + v), 1, 12 + 0.1 * (i % 3)) for i, v in enumerate(e.tolist())], "scope string, group_token string, candidate_id string, ordinal int, y double, k int, yhat double")
+        few, every = (tails.point_samples(df, f).cache() for f in (tails.condensed, tails.whole))
+        held.append(few.agg(F.sum(F.size("y"))).first()[0])
+        assert few.select(F.sum(F.aggregate("n", F.lit(0.0), lambda a, x: a + x))).first()[0] == pytest.approx(n)
+        exact = lambda keys, df=df: tails.point_samples(df.join(keys, ["scope", "candidate_id"], "left_semi"), tails.whole)
+        for student in (False, True):
+            a, b = (tails.tail_headroom(x, policy.lower_limit, policy.alpha, policy.maximum_shift, student, exact=f).first() for x, f in ((few, exact), (every, None)))
+            found.append((student, a.failure_code, b.failure_code))
+            assert a.failure_code == b.failure_code, found
+            if b.failure_code is None:
+                assert (a.headroom, a.location, a.scale) == tuple(pytest.approx(x, rel=1e-9, abs=1e-9) for x in (b.headroom, b.location, b.scale))
+    assert held[1] < 1.5 * held[0] < 3000
+    fit = lambda scale: few.select(*tails.KEYS).distinct().select(*tails.KEYS, *[F.array(F.lit(v)).alias(c) for c, v in (("location", 0.0), ("scale", scale), ("df", 4.0))])
+    assert tails._too_wide(few, fit(0.5)).isEmpty() and tails._too_wide(few, fit(0.005)).count() == 1 and tails._too_wide(every, fit(0.005)).isEmpty()
+
+
+def test_places_by_range_parts_equal_row_numbers(spark):
+    from pyspark.sql import Window
+
+    from plumbline.plans import audit_queries as q
+
+    d = "/root/testdata/sf0.001"
+    flag = F.substring("o_orderpriority", 1, 1) == "5"
+    stream = Window.partitionBy(*q.LOG_SCOPE, "l_linestatus")
+    i, n = F.row_number().over(stream.orderBy(F.col("log_price").asc_nulls_first(), *q._ORDER)) - 1, F.count("*").over(stream)
+    place = F.when(flag, F.row_number().over(stream.orderBy(*q._ORDER))).otherwise(F.when(i < F.floor(n / 2), 2 * i).otherwise(2 * (n - 1 - i) + 1))
+    shown = lambda df: sorted(map(str, df.select(*q.LOG_SCOPE, "l_linestatus", "batch", "log_price", F.unix_seconds("at").alias("at")).collect()))
+    with many_parts(spark, 7):
+        assert shown(q.log_source(spark, d)) == shown(q.log_values(spark, d).withColumn("at", F.timestamp_seconds(60 * place)))
+
+
 def test_degenerate_replicates_do_not_depend_on_student(spark):
     """One rule for the scale of a replicate, whether Student's tail is asked for or not."""
     rows = [("ALL", f"g{i % 9}", 10.0 + (1e-9 if i % 2 else 0.0) * (i % 5), "p", "s", "d", 0.0) for i in range(180)]
