@@ -58,10 +58,13 @@ def bootstrap_draws(groups: DataFrame, replicates: int, seed: int, mode: str = "
 TAIL_BINS, REST_BINS, FINE_BINS = 96, 31, 63
 
 
-def _below(halvings: int) -> Column:
-    """The number of ``cuts`` below a margin, by halving."""
-    steps = F.array(*[F.lit(1 << k) for k in range(halvings - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("cuts", i + s - 1) < F.col("margin"), i + s).otherwise(i))
+def _dealt(df: DataFrame, name: str, halvings: int) -> DataFrame:
+    """``df`` with the number of ``cuts`` below its margin, by halving: a column for each step, which Spark
+    compiles (a fold over an array it interprets)."""
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << k for k in range(halvings - 1, -1, -1)):
+        df = df.withColumn(name, F.col(name) + F.when(F.get("cuts", F.col(name) + (step - 1)) < F.col("margin"), step).otherwise(0))
+    return df
 
 
 def bootstrap_h1(rows: DataFrame, draws: DataFrame, policy: Policy) -> DataFrame:
@@ -77,7 +80,7 @@ def bootstrap_h1(rows: DataFrame, draws: DataFrame, policy: Policy) -> DataFrame
     knee = min(0.9, 4 * policy.alpha + 0.02)
     points = [knee * (k + 1) / TAIL_BINS for k in range(TAIL_BINS)] + [knee + (1 - knee) * (k + 1) / (REST_BINS + 1) for k in range(REST_BINS)]
     cuts = written(margins.groupBy("scope").agg(F.percentile_approx("margin", points, 10_000).alias("cuts")), "cuts")
-    binned = margins.join(cuts, "scope").select("scope", "group_token", "margin", _below(7).alias("bin"))
+    binned = _dealt(margins.join(cuts, "scope"), "bin", 7)
     bins = written(binned.groupBy("scope", "group_token", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("margin") < 0).alias("under")), "bins")
     drawn = draws.join(bins, ["scope", "group_token"]).groupBy("scope", "replicate", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("under")).alias("under"))
     each = Window.partitionBy("scope", "replicate")
@@ -88,10 +91,14 @@ def bootstrap_h1(rows: DataFrame, draws: DataFrame, policy: Policy) -> DataFrame
     n_groups = draws.groupBy("scope", "replicate").agg(F.sum("w").alias("n_groups"))
     hit = written(drawn.filter(met).select("scope", "replicate", "bin", "n_rows", "under", "k", left.alias("left")).join(n_groups, ["scope", "replicate"]), "hit")
     wanted = written(hit.select("scope", "bin").distinct(), "wanted")
-    counts = written(binned.join(wanted, ["scope", "bin"]).groupBy("scope", "group_token", "bin", "margin").agg(F.count("*").alias("n")), "counts")
+    # one comparison keeps most rows from being dealt again: none outside the bins hit is wanted
+    ends = (F.coalesce(F.get("cuts", F.col("bin") - 1), F.lit(float("-inf"))), F.coalesce(F.get("cuts", F.col("bin")), F.lit(float("inf"))))
+    span = written(wanted.join(cuts, "scope").groupBy("scope").agg(F.min(ends[0]).alias("low"), F.max(ends[1]).alias("high"), F.first("cuts").alias("cuts")), "span")
+    near = margins.join(span, "scope").filter((F.col("margin") > F.col("low")) & (F.col("margin") <= F.col("high")))
+    counts = written(_dealt(near, "bin", 7).join(wanted, ["scope", "bin"]).groupBy("scope", "group_token", "bin", "margin").agg(F.count("*").alias("n")), "counts")
     # the second level; a bin of few margins, or of one that is met often, stays as it is
     finer = written(counts.groupBy("scope", "bin").agg(F.percentile_approx("margin", [(k + 1) / (FINE_BINS + 1) for k in range(FINE_BINS)], 10_000).alias("cuts")), "finer")
-    fine = written(counts.join(finer, ["scope", "bin"]).select("scope", "group_token", "bin", "margin", "n", _below(6).alias("part")), "fine")
+    fine = written(_dealt(counts.join(finer, ["scope", "bin"]), "part", 6).select("scope", "group_token", "bin", "margin", "n", "part"), "fine")
     parts = fine.groupBy("scope", "group_token", "bin", "part").agg(F.sum("n").alias("n"))
     drawn = hit.select("scope", "replicate", "bin", F.col("left").alias("k")).join(draws, ["scope", "replicate"]).join(parts, ["scope", "group_token", "bin"])
     drawn = drawn.groupBy("scope", "replicate", "bin", "part", "k").agg(F.sum(F.col("w") * F.col("n")).alias("n")).withColumn("upto", F.sum("n").over(each.orderBy("part")))

@@ -65,32 +65,45 @@ def decimal(x: float) -> Column:
     return F.lit(Decimal(str(x))).cast("decimal(38,18)")
 
 
-def number(column: str) -> Column:
-    """A finite number, or null: numbers as they are, text only if all of it is a number."""
+#: types whose text, read as a double, is their value again
+PLAIN = {"tinyint", "smallint", "int", "bigint", "double"}
+
+
+def number(column: str, kind: str | None = None) -> Column:
+    """A finite number, or null: numbers as they are, text only if all of it is a number.
+
+    A column known to be of a plain type (``kind``) is taken without going through its text, which costs more
+    than all else that a row goes through.
+    """
     from plumbline.functions.fixed_values import NUMBER
 
     c = F.col(f"`{column}`")
+    if kind in PLAIN:
+        return F.when(F.abs(c.cast("double")) < float("inf"), c.cast("double"))
     text = F.trim(c.cast("string"))
     value = F.when(text.rlike(rf"\A(?:{NUMBER})\z"), text.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def converted_quantity(roles: Roles) -> Column:
-    """The adjusted quantity; null where it is invalid. ``custom`` conversions are never computed."""
+def converted_quantity(roles: Roles, kinds: dict[str, str] | None = None) -> Column:
+    """The adjusted quantity; null where it is invalid. ``custom`` conversions are never computed.
+
+    ``kinds``: the columns' types, where they are known."""
+    value = lambda c: number(c, (kinds or {}).get(c))
     if roles.conversion == "gross_minus_tare":
         if roles.weight is None or roles.tare is None:
             return F.lit(None).cast("double")
-        y = number(roles.weight) - number(roles.tare)
+        y = value(roles.weight) - value(roles.tare)
     elif roles.conversion == "fixed_density":
         d = roles.fixed_density
-        y = number(roles.quantity) / F.lit(float(d)) if d is not None and d > 0 else F.lit(None).cast("double")
+        y = value(roles.quantity) / F.lit(float(d)) if d is not None and d > 0 else F.lit(None).cast("double")
     elif roles.conversion == "row_density":
         if roles.density is None:
             return F.lit(None).cast("double")
-        d = number(roles.density)
-        y = F.when(d > 0, number(roles.quantity) / d)
+        d = value(roles.density)
+        y = F.when(d > 0, value(roles.quantity) / d)
     elif roles.conversion == "none":
-        y = number(roles.quantity)
+        y = value(roles.quantity)
     else:
         y = F.lit(None).cast("double")
     return F.when(F.abs(y) < float("inf"), y)
@@ -135,7 +148,7 @@ def prepare(df: DataFrame, roles: Roles, scope_cols: list[str] | tuple[str, ...]
         scope_of(scope_cols).alias("scope"),
         group_token(groups).alias("group_token"),
         blank_group.alias("blank_group"),
-        converted_quantity(roles).alias("y"),
+        converted_quantity(roles, dict(df.dtypes)).alias("y"),
         part(roles.product).alias("product"),
         part(roles.stream).alias("stream"),
         part(roles.shift).alias("shift"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import special
-from plumbline.operators import bootstrap, claims, evidence, headroom, models, profile, stability, tails, views
+from plumbline.operators import bootstrap, claims, evidence, headroom, models, prepare, profile, stability, tails, views
 from plumbline.operators.prepare import Policy
 from plumbline.sources import measurements
 
@@ -295,6 +295,42 @@ def test_binned_rank_equals_sorted_copies(spark, kind):
         assert got[key] == (pytest.approx(want) if want is not None else None)
 
 
+def plans(monkeypatch, module):
+    """The plans of the tables that ``module`` writes, by name."""
+    seen, write = {}, module.written
+    monkeypatch.setattr(module, "written", lambda df, name, *a, **k: (seen.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name, *a, **k))[1])
+    return seen
+
+
+def test_plain_numbers_do_not_go_through_text(spark, monkeypatch):
+    values = [0.1, -0.0, 5e-324, 1.7976931348623157e308, 1e22, float("nan"), float("inf"), -float("inf"), None, 3.0]
+    longs = [2**53 + 1, -(2**63), 2**63 - 1, 0, None, 7, 8, 9, 10, 2**62 + 257]
+    df = spark.createDataFrame(list(zip(values, longs)), "x double, i bigint")
+    for name, kind in (("x", "double"), ("i", "bigint")):
+        assert all(r.a == r.b for r in df.select(prepare.number(name).alias("a"), prepare.number(name, kind).alias("b")).collect())
+    roles = prepare.Roles("x", ("i",))
+    seen = plans(monkeypatch, prepare)
+    rows, scopes = prepare.prepare(df.filter((F.abs("x") < float("inf")) & F.col("i").isNotNull()), roles)
+    assert "RLIKE" not in seen["narrow"] and rows.count() == 5
+    text = spark.createDataFrame([("1.5", "a"), ("x", "a")], "x string, i string")
+    assert prepare.prepare(text, roles)[1].first().bad_quantities == 1 and "RLIKE" in seen["narrow"]
+
+
+def test_margins_are_dealt_by_compiled_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("A", f"g{i % 7}", float(rng.randint(0, 300))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double")
+    seen = plans(monkeypatch, bootstrap)
+    assert bootstrap.bootstrap_h1(df, bootstrap.bootstrap_draws(df, 20, 5), Policy(nominal=20, lower_limit=2.0, alpha=0.07)).count() == 20
+    assert not any("lambdafunction" in seen[name] for name in ("bins", "counts", "fine"))
+    # the second pass over the rows leaves out what lies beyond the bins hit before it deals the rest
+    assert "low" in seen["span"] and "high" in seen["counts"]
+    cuts = sorted(rng.choice(range(50)) + 0.0 for _ in range(127))
+    margins = [-1.0, 0.0, 49.0, 50.0, *(rng.uniform(-1, 51) for _ in range(50)), *map(float, range(50))]
+    got = bootstrap._dealt(spark.createDataFrame([(m, cuts) for m in margins], "margin double, cuts array<double>"), "bin", 7).collect()
+    assert [r.bin for r in got] == [sum(c < r.margin for c in cuts) for r in got]
+
+
 @pytest.mark.parametrize("accuracy", [20, 100, 10_000])
 def test_rank_brackets_are_exact_at_any_accuracy(spark, accuracy):
     rng = random.Random(accuracy)
