@@ -45,14 +45,16 @@ def empirical_headroom(rows: DataFrame, policy: Policy, accuracy: int = QUANTILE
     base = rows.select("scope", "group_token", margin.alias("margin"))
     slack = 2.0 / accuracy
     near = [max(0.0, policy.alpha - slack), min(1.0, policy.alpha + slack)]
-    s = base.groupBy("scope").agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("group_token").alias("n_groups"),
-        F.count_if(F.col("margin") < 0).alias("baseline_underfills"),
-        F.percentile_approx("margin", near, accuracy).alias("near"),
-        F.min("margin").alias("least"),
-        F.max("margin").alias("most"),
+    # quantiles beside a distinct count would be kept for each group, and rows sorted where these are many
+    each = base.groupBy("scope", "group_token").agg(F.count("*").alias("n"), F.count_if(F.col("margin") < 0).alias("under"), F.min("margin").alias("least"), F.max("margin").alias("most"))
+    s = each.groupBy("scope").agg(
+        F.sum("n").alias("n_rows"),
+        F.count("group_token").alias("n_groups"),
+        F.sum("under").alias("baseline_underfills"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
     )
+    s = s.join(base.groupBy("scope").agg(F.percentile_approx("margin", near, accuracy).alias("near")), "scope")
     tail = decimal(policy.alpha) * F.col("n_rows")
     s = s.withColumns({"expected_tail_count": tail.cast("double"), "k": F.floor(tail).cast("long")})
     # few rows: a rank error of a row matters, so take everything

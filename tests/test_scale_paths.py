@@ -331,6 +331,20 @@ def test_margins_are_dealt_by_compiled_steps(spark, monkeypatch):
     assert [r.bin for r in got] == [sum(c < r.margin for c in cuts) for r in got]
 
 
+def test_quantiles_are_not_kept_for_each_group(spark, monkeypatch):
+    """200 groups in each of two scopes: more keys than an aggregation of objects holds before it sorts its rows."""
+    rows = [("AB"[i % 2], f"g{i // 2 % 200}" if i % 11 else None, float(i * 37 % 1009)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "scope string, group_token string, y double")
+    seen = plans(monkeypatch, headroom)
+    got = {r.scope: r for r in headroom.empirical_headroom(df, Policy(nominal=20, lower_limit=2.0, alpha=0.07)).collect()}
+    quantiles = [line for line in seen["brackets"].splitlines() if "percentile" in line and "Aggregate" in line]
+    assert quantiles and not any("group_token" in line for line in quantiles)
+    for scope, r in got.items():
+        m = sorted(y - 2.0 for s, _, y in rows if s == scope)
+        assert (r.n_rows, r.n_groups, r.k, r.raw_boundary) == (3000, len({g for s, g, _ in rows if s == scope and g}), 210, m[210])
+        assert r.baseline_underfills == sum(x < 0 for x in m)
+
+
 @pytest.mark.parametrize("accuracy", [20, 100, 10_000])
 def test_rank_brackets_are_exact_at_any_accuracy(spark, accuracy):
     rng = random.Random(accuracy)
